@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import simhash
+from sonoloom.llm import simhash, substring
 
 QUERIES = {
+    "op9_doubling_dedup": substring.query,
     "op10_simhash_covering": simhash.query,
 }
 
