@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import simhash, substring
+from sonoloom.llm import packing, simhash, substring
 
 QUERIES = {
+    "op8_linear_grouping_pack": packing.query,
     "op9_doubling_dedup": substring.query,
     "op10_simhash_covering": simhash.query,
 }
