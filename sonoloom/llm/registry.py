@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import packing, simhash, substring
+from sonoloom.llm import decontaminate, packing, simhash, substring
 
 QUERIES = {
+    "op6_decontaminate": decontaminate.query,
     "op8_linear_grouping_pack": packing.query,
     "op9_doubling_dedup": substring.query,
     "op10_simhash_covering": simhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": decontaminate.SQL,
+}
