@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import decontaminate, packing, simhash, substring
+from sonoloom.llm import decontaminate, packing, sharding, simhash, substring
 
 QUERIES = {
+    "op4_lpt_shards": sharding.query,
     "op6_decontaminate": decontaminate.query,
     "op8_linear_grouping_pack": packing.query,
     "op9_doubling_dedup": substring.query,
