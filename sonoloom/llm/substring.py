@@ -28,7 +28,7 @@ from sonoloom.plans.scratch import materialise
 
 WINDOW, SHORTEST = 35, 9
 #: Documents in a block, and bytes of text hashed at once.
-BLOCK_ROWS, STEP = 2000, 1 << 19
+BLOCK_ROWS, STEP = 1000, 1 << 17
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 VALUES = "block long, part long, hashes binary, several binary"
@@ -53,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_cache.get("up", ())) < n:
-        n = 2 * n
+        n += n // 4
         for name, base in (("up", BASE), ("down", INVERSE)):
             steps = np.full(n, base, dtype=np.uint64)
             steps[0] = 1
@@ -221,7 +221,7 @@ def _finish(lengths: list[int]):
 @F.arrow_udf(T.BinaryType())
 def _zipped(texts: pa.Array) -> pa.Array:
     zip_ = zstandard.ZstdCompressor(level=1)
-    return pa.array((None if t is None else zip_.compress(t.encode()) for t in texts.to_pylist()), pa.binary())
+    return pa.array((zip_.compress(t.as_buffer()) if t.is_valid else None for t in texts), pa.binary())
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shortest: int = SHORTEST, block_rows: int = BLOCK_ROWS) -> DataFrame:
