@@ -15,7 +15,10 @@ documents; an empty table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections import defaultdict
+from functools import cache, cached_property
 
 import numpy as np
 import public_tokenizers
@@ -33,40 +36,53 @@ LARGE_SHARE, GROUPS = 1 / 8, 64
 #: Tokens that a configuration may waste after substitution.
 SLACK = 4
 
-_encoders: dict[str, tuple] = {}
 
+class _Coder:
+    """text -> ids of the vocabulary in a file: a fast coder where it provably agrees, else the file's own library.
 
-def _encoder(path: str):
-    """text -> ids of the vocabulary in ``path``: the fast coder where it provably agrees, else the file's own library.
-
-    The coder merges by rank; that is the file's order of merges if merge i makes token 256 + i.
+    The fast coder merges by rank; that is the file's order of merges if merge i makes token 256 + i. Where
+    no two white-space characters stand together, its splitting needs no look-ahead over them.
     """
-    if path not in _encoders:
-        own = Tokenizer.from_file(path)
+
+    def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, pairs = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(pairs)) or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
+            raise ValueError("the vocabulary is not a byte-level BPE in merge order")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        fixed = [t["content"] for t in spec["added_tokens"]]
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in fixed}
-        if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(pairs)) or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
-            raise ValueError("the vocabulary is not a byte-level BPE in merge order")
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoders[path] = own, fast, fixed
-    return _encoders[path]
+        self.fixed = [t["content"] for t in spec["added_tokens"]]
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in self.fixed}
+        pattern = public_tokenizers.PATTERN
+        single = pattern.replace(r"|\s+(?!\S)|\s+", r"|\s")
+        self.general, self.single = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (pattern, single))
+        self.pairs = re.compile(r"\s\s")
+
+    @cached_property
+    def own(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    def __call__(self, text: str) -> array | np.ndarray:
+        if not any(t in text for t in self.fixed):
+            if not self.pairs.search(text):
+                return array("I", self.single.encode_ordinary(text))
+            try:
+                return self.general.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its matching gives up on very long runs of white space
+                pass
+        return array("I", self.own.encode(text, add_special_tokens=False).ids)
+
+
+@cache
+def _coder(path: str) -> _Coder:
+    return _Coder(path)
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
-    own, fast, fixed = _encoder(path)
-    text = text or ""
-    if not any(t in text for t in fixed):
-        try:
-            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        except ValueError:  # its matching gives up on very long runs of white space
-            pass
-    return np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    return np.asarray(_coder(path)(text or ""), dtype="<u4")
 
 
 def pieces_of(text: Column, path: str, capacity: int = CAPACITY, end: int = END) -> Column:
