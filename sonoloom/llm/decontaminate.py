@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from sonoloom.plans.naming import fresh
 from sonoloom.plans.scratch import materialise
 
 WINDOW, SHINGLE = 10, 3
@@ -236,8 +237,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs``, all columns, without documents that hold any window of an item."""
-    hit = materialise(find_hits(docs, benchmark, id_col, text_col, **kw).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left_anti")
+    own, key = fresh(docs, "hit_id", "hit_key")
+    hit = find_hits(docs, benchmark, id_col, text_col, **kw).where(F.size("spans") > 0).select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct()
+    return docs.join(materialise(hit, "contaminated"), F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(key)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

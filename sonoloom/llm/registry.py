@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import decontaminate, packing, sharding, simhash, substring
+from sonoloom.llm import decontaminate, packing, quality, secrets, sharding, simhash, substring, toxicity
 
 QUERIES = {
+    "op2_toxicity_mil": toxicity.query,
     "op4_lpt_shards": sharding.query,
+    "op5_secret_battery": secrets.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_quality_ftrl": quality.query,
     "op8_linear_grouping_pack": packing.query,
     "op9_doubling_dedup": substring.query,
     "op10_simhash_covering": simhash.query,

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sonoloom.plans.naming import fresh
 from sonoloom.plans.scratch import materialise
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -164,9 +165,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "root")).alias("k"))
-    kept = materialise(best.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key")), "kept")
-    stays = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left_semi")
-    return stays.withColumn("_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_key"]).drop("_key")
+    own, key = fresh(docs, "kept_id", "kept_key")
+    kept = materialise(best.select(F.col("k.doc_id").alias(own), F.col("k.text_key").alias(key)), "kept")
+    stays = docs.join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(key)), "left_semi")
+    return stays.withColumn(key, F.xxhash64(text_col)).dropDuplicates([id_col, key]).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
