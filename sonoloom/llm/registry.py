@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import decontaminate, packing, quality, secrets, sharding, simhash, substring, toxicity
+from sonoloom.llm import decontaminate, packing, quality, secrets, sharding, simhash, substring, toxicity, warc
 
 QUERIES = {
+    "op1_warc_segments": warc.query,
     "op2_toxicity_mil": toxicity.query,
     "op4_lpt_shards": sharding.query,
     "op5_secret_battery": secrets.query,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_segments": warc.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
