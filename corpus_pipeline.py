@@ -1,23 +1,56 @@
-"""Corpus pipeline: quality filter, near-dedup, decontamination, secret redaction, packing."""
+"""Corpus pipeline: quality filter, near-duplicates, benchmark decontamination, secret redaction, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. A runner may write each stage's result and give the next one the table read back.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sonoloom.llm import decontaminate, packing, quality, secrets, simhash
+from sonoloom.plans.scratch import materialise
+
 
-from sonoloom.llm import simhash
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned here from ``labels``, rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_dedup", near_dedup)]
-#: SQL has no XXH64, so no SQL is given; tests compare the stages with brute force.
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets become a mark; n_chars follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents that are left, placed in sequences of 1024 tokens."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("secret_redaction", secret_redaction),
+    ("best_fit_packing", sequence_packing),
+]
+#: SQL can express neither the learned model, nor XXH64 fingerprints, nor the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on ``documents``; each result is written to the shared scratch folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import decontaminate, packing, quality, secrets, sharding, simhash, substring, toxicity, warc
+from sonoloom.llm import decontaminate, hamming, packing, quality, secrets, sharding, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
     "op2_toxicity_mil": toxicity.query,
+    "op3_hamming_topk": hamming.query,
     "op4_lpt_shards": sharding.query,
     "op5_secret_battery": secrets.query,
     "op6_decontaminate": decontaminate.query,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_segments": warc.SQL,
+    "op3_hamming_topk": hamming.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
