@@ -37,9 +37,9 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MESSAGE = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 RECORD = pa.schema([
     ("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()),
-    ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()),
+    ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload", pa.binary()), ("error", pa.string()),
 ])
-RECORD_DDL = "record_id string, record_type string, page_id long, url string, digest string, refers_to long, origin string, segment int, total long, block binary"
+RECORD_DDL = "record_id string, record_type string, page_id long, url string, digest string, refers_to long, origin string, segment int, total long, block binary, payload binary, error string"
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -113,13 +113,16 @@ def parse(file: io.BufferedIOBase) -> Iterator[dict]:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records with their block if they are segments, else with their decoded payload."""
     for batch in batches:
         for content in batch.column(0):
             held, size = [], 0
             with gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())) as file:
                 for record in parse(io.BufferedReader(file, 1 << 16)):
-                    held.append(record)
                     size += len(record["block"])
+                    if record["segment"] is None:
+                        record["payload"], record["error"] = message_body(record.pop("block"))
+                    held.append(record)
                     if size >= 1 << 22:
                         yield pa.RecordBatch.from_pylist(held, RECORD)
                         held, size = [], 0
@@ -166,7 +169,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     Only records cut into segments are shuffled. A group is the segments of one record.
     """
     keep = ["record_type", "page_id", "url", "digest", "refers_to"]
-    whole = records.where(F.col("segment").isNull()).select(*keep, "block")
+    whole = records.where(F.col("segment").isNull()).select(*keep, "payload", "error")
     parts = records.where(F.col("segment").isNotNull()).withColumn("of", F.coalesce("origin", "record_id"))
     first = F.col("segment") == 1
     grouped = parts.groupBy("of").agg(
@@ -175,7 +178,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     gapless = F.transform("p", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("p"))
     joined = F.array_join(F.transform("p", lambda x: x["block"].cast("string")), "").cast("binary")
     cut = grouped.where(F.col("record_type").isNotNull()).withColumn("joined", joined).select(*keep, F.when(gapless & (F.length("joined") == F.col("total")), F.col("joined")).alias("block"))
-    return whole.unionByName(cut).withColumn("m", _decoded("block")).select(*keep, "m.payload", "m.error")
+    return whole.unionByName(cut.withColumn("m", _decoded("block")).select(*keep, "m.payload", "m.error"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_records_are_cut_and_files_are_plain_archives(spark):
 
 
 def test_missing_segment_and_wrong_total_are_errors(spark):
-    row = lambda of, seg, block, total=None: (f"id{of}" if seg == 1 else f"c{of}{seg}", "response" if seg == 1 else "continuation", of, None, None, None, None if seg == 1 else f"id{of}", seg, total, block)
+    row = lambda of, seg, block, total=None: (f"id{of}" if seg == 1 else f"c{of}{seg}", "response" if seg == 1 else "continuation", of, None, None, None, None if seg == 1 else f"id{of}", seg, total, block, None, None)
     ok = b"HTTP/1.1 200 OK\r\n\r\nab"
     rows = [row(1, 1, ok), row(1, 2, b"c"), row(1, 3, b"d", len(ok) + 2), row(2, 1, ok), row(2, 3, b"d", len(ok) + 2), row(3, 1, ok), row(3, 2, b"d", 99), row(4, 2, b"d", 1)]
     found = {r.page_id: r for r in warc.reassemble(spark.createDataFrame(rows, warc.RECORD_DDL)).collect()}
