@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
+BATCH_BYTES = "4m"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,6 +29,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound by bytes what a Python worker gets at once: rows of long texts would make batches by count large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later uses neither recompute nor lose it with an executor."""
     spark = df.sparkSession
