@@ -1,10 +1,11 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
 A code of ``BITS`` bits is cut into m segments of about log2(rows) bits, each with an index from segment
-value to codes (Norouzi, Punjani and Fleet, 2012). Level a probes every segment with all values at
-distance a from the query's. After level a, any code within m*(a+1) - 1 of the query has been found: a
-code farther than a in all m segments is at least m*(a+1) away. A query is done as soon as its k-th
-verified distance is within that radius; the others go on to level a + 1. So results are exact.
+value to codes (Norouzi, Punjani and Fleet, 2012). Level a probes the segments, first one half and then
+the other, with all values at distance a from the query's. Once b segments have been probed to a and the
+others to a - 1, any code within m*a + b - 1 of the query has been found: a code farther away in every
+segment is at least b*(a+1) + (m-b)*a away. A query is done as soon as its k-th verified distance is
+within that radius; the others go on. So results are exact.
 
 The index holds distinct codes; only the k smallest ids of a code can be in a result, so a code that a
 third of all rows share is k ids. A code that several segments find is verified once, by the first
@@ -19,7 +20,7 @@ gets one result; empty tables give an empty result; other columns play no part.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -39,7 +40,7 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 def cuts(rows: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(shift, width) of the segments: as many as make a segment about log2(rows) bits wide, at most 24."""
-    m = min(bits, max(2, math.ceil(bits / min(24, max(8.0, math.log2(max(2, rows)))))))
+    m = min(bits, max(2, round(bits / min(24, max(8.0, math.log2(max(2, rows)))))))
     edges = [round(i * bits / m) for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -70,22 +71,25 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, bits: int = BITS) ->
     left = wanted.select(F.col("of").alias("q")).distinct()
     best = None
     order = W.partitionBy("q").orderBy("distance", "id")
-    for level in range(max(width for _, width in parts) + 1):
+    half = -(-len(parts) // 2)
+    for level, begin in product(range(max(width for _, width in parts) + 1), (0, half)):
         probes = None
         for s, (_, width) in enumerate(parts):
-            if level > width:
+            if not begin <= s < begin + half or level > width:
                 continue
             mask = F.explode(_flips(width, level)) if level else F.lit(0).cast("long")
             own = left.select("q", F.lit(s).alias("s"), _segments(F.col("q"), parts)[s].alias("own"), mask.alias("m")).select("q", "s", F.col("own").bitwiseXOR(F.col("m")).alias("v"))
             probes = own if probes is None else probes.unionByName(own)
         gaps = F.transform(F.arrays_zip(_segments(F.col("q"), parts).alias("a"), _segments(F.col("code"), parts).alias("b")), lambda x: F.bit_count(x["a"].bitwiseXOR(x["b"])))
         earlier = F.exists(F.transform(gaps, lambda d, i: (d < level) | ((d == level) & (i < F.col("s")))), lambda x: x)
+        if probes is None:
+            continue
         met = probes.join(index, ["s", "v"]).where(~earlier).select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
         found = met.join(held, "code").select("q", "id", "distance")
         if best is not None:
             found = found.unionByName(best.join(left, "q", "left_semi").select("q", "id", "distance"))
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        covered = len(parts) * (level + 1) - 1
+        covered = len(parts) * level + min(begin + half, len(parts)) - 1
         now = materialise(ranked, "best")
         done = now.groupBy("q").agg(F.max("rank").alias("n"), F.max("distance").alias("d")).where((F.col("n") == need) & (F.col("d") <= covered))
         rest = materialise(left.join(done, "q", "left_anti"), "left")
