@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sonoloom.plans.naming import fresh
-from sonoloom.plans.scratch import materialise
+from sonoloom.plans.scratch import materialise, small_batches
 
 WINDOW, SHINGLE = 10, 3
 #: Words of items that one broadcast index may hold, and bytes of documents looked at once.
@@ -219,6 +219,7 @@ def _united(spans: pa.Array) -> pa.Array:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, text_key, n_words, spans, items), one row per row of ``docs``; spans are hit word ranges, end exclusive."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text"))
     found = []
     for index in _indexes(docs, benchmark, text_col, item_col, item_text, window, shingle, block_words):

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sonoloom.plans.scratch import small_batches
+
 #: Labelled documents that a model learns from at most. More labels do not make training longer.
 SAMPLE = 16_000
 
@@ -51,16 +53,31 @@ class Ftrl:
         self.n[at] = new
 
 
-def fit(sample: DataFrame, learn: Callable[[list[tuple[str, float]]], np.ndarray]) -> np.ndarray:
-    """Run ``learn`` on the bounded sample in one task; the weights come back sparse."""
+Example = tuple[np.ndarray, np.ndarray, float]
+
+
+def fit(sample: DataFrame, encode: Callable[[str], tuple[np.ndarray, np.ndarray]], learn: Callable[[list[Example]], np.ndarray]) -> np.ndarray:
+    """Encode the bounded sample where it lies, learn from the encoded examples in one task; the weights come back sparse.
+
+    ``encode`` gives an int32 and a second array of four-byte numbers, whose kind is that of the encoding of "".
+    """
+    kind = encode("")[1].dtype
+    small_batches(sample.sparkSession)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, y in zip(b.column(0), b.column(1)):
+                at, x = encode(text.as_py() or "")
+                yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([x.tobytes()]), pa.array([y.as_py()])], ["a", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        w = learn(rows)
+        rows = sorted((a, x, y) for b in batches for a, x, y in zip(*(c.to_pylist() for c in b.columns)))
+        w = learn([(np.frombuffer(a, "<i4"), np.frombuffer(x, kind), y) for a, x, y in rows])
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([len(w)]), pa.array([at.astype("<i4").tobytes()]), pa.array([w[at].astype("<f8").tobytes()])], ["size", "at", "w"])
 
-    got = sample.repartition(1).mapInArrow(run, "size long, at binary, w binary").collect()
+    examples = sample.mapInArrow(encoded, "a binary, x binary, y double")
+    got = examples.repartition(1).mapInArrow(run, "size long, at binary, w binary").collect()
     if not got:  # no label, no task
         return learn([])
     size, at, w = got[0]

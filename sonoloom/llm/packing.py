@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tokenizers import Tokenizer
 
 from sonoloom.plans.ranking import gapless_rank
-from sonoloom.plans.scratch import materialise
+from sonoloom.plans.scratch import materialise, small_batches
 
 CAPACITY, END = 1024, 2
 #: Lengths over this share of the capacity are large; they form so many groups.
@@ -102,6 +102,7 @@ def pieces_of(text: Column, path: str, capacity: int = CAPACITY, end: int = END)
 
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, text_key, piece, start, length, ids), one row for each piece; ids are little-endian uint32."""
+    small_batches(docs.sparkSession)
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), pieces_of(F.col(text_col), path, capacity, end).alias("all"))
     length = F.length("ids") / 4

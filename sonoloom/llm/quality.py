@@ -14,22 +14,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sonoloom.llm.hashing import features
-from sonoloom.llm.learning import SAMPLE, Ftrl, fit, held_out, labelled_sample
+from sonoloom.llm.learning import SAMPLE, Example, Ftrl, fit, held_out, labelled_sample
 
 BITS, SCALE, ALPHA, L1, L2, EPOCHS = 20, 30.0, 0.5, 0.0, 1e-4, 2
 THRESHOLD = 0.3
 
 
-def learn(rows: list[tuple[str, float]]) -> np.ndarray:
+def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates, values) of a text; the last coordinate is the intercept's."""
+    _, bucket, _ = next(features([text], BITS))
+    at, counts = np.unique(bucket, return_counts=True)
+    return np.append(at, 1 << BITS).astype("<i4"), np.append(counts * (SCALE / max(1, counts.sum())), 1.0).astype("<f4")
+
+
+def learn(examples: list[Example]) -> np.ndarray:
     model = Ftrl(BITS + 1, ALPHA, L1, L2)
-    examples, at = [], 0
-    for doc, bucket, n in features((t for t, _ in rows), BITS):
-        keys, counts = np.unique(doc.astype(np.int64) << BITS | bucket, return_counts=True)
-        cut = np.searchsorted(keys >> BITS, np.arange(n + 1))
-        for i, (a, b) in enumerate(zip(cut, cut[1:])):
-            x = counts[a:b] * (SCALE / max(1, counts[a:b].sum()))
-            examples.append((np.append(keys[a:b] & ((1 << BITS) - 1), 1 << BITS).astype(np.int32), np.append(x, 1.0).astype(np.float32), rows[at + i][1]))
-        at += n
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(len(examples)):
             u, x, y = examples[i]
@@ -41,7 +40,7 @@ def learn(rows: list[tuple[str, float]]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights learned from at most ``sample`` labelled documents outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, label, sample), learn)
+    return fit(labelled_sample(docs, labels, label, sample), encode, learn)
 
 
 def score(text: Column, weights: np.ndarray, spark: SparkSession) -> Column:

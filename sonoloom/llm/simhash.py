@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sonoloom.plans.naming import fresh
-from sonoloom.plans.scratch import materialise
+from sonoloom.plans.scratch import materialise, small_batches
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Members of one bucket that one step compares; larger buckets are dealt into chunk pairs.
@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable over links, root a fingerprint that names the component.
     """
+    small_batches(docs.sparkSession)
     text = F.col(text_col)
     keyed = materialise(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprint(text, shingle, seed).alias("fp")), "fingerprints")
     nodes = materialise(keyed.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")

@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sonoloom.plans.scratch import materialise
+from sonoloom.plans.scratch import materialise, small_batches
 
 WINDOW, SHORTEST = 35, 9
 #: Documents in a block, and bytes of text hashed at once.
@@ -229,6 +229,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The texts are shuffled compressed, once for each level and once to finish; hashes are packed.
     """
+    small_batches(docs.sparkSession)
     lengths = levels(window, shortest)
     blocks = max(64, -(-docs.count() // block_rows))
     part_bits = max(0, (blocks - 1).bit_length())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sonoloom.llm.hashing import _CLASS, _LOWER, _VALUE, REPEAT, tokens
-from sonoloom.llm.learning import SAMPLE, Ftrl, fit, held_out, labelled_sample
+from sonoloom.llm.learning import SAMPLE, Example, Ftrl, fit, held_out, labelled_sample
 from sonoloom.llm.substring import _mix, _spans
 
 BITS, STEMS, INTERCEPT = 20, (4, 5, 6), -10.0
@@ -58,16 +58,18 @@ def _noisy_or(z: np.ndarray) -> tuple[np.ndarray, float]:
     return p, float(-np.expm1(np.log1p(-p).sum()))
 
 
-def learn(rows: list[tuple[str, float]]) -> np.ndarray:
+def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
+    of, bucket, _, _ = sentences(text)
+    return of.astype("<i4"), bucket.astype("<i4")
+
+
+def learn(examples: list[Example]) -> np.ndarray:
     model = Ftrl(BITS, ALPHA, L1, L2)
-    examples = []
-    for text, y in rows:
-        of, bucket, first, _ = sentences(text)
-        if len(first):
-            examples.append((of.astype(np.int32), bucket.astype(np.int32), len(first), y))
+    examples = [e for e in examples if len(e[0])]
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(len(examples)):
-            of, bucket, n, y = examples[i]
+            of, bucket, y = examples[i]
+            n = of[-1] + 1
             at, where = np.unique(bucket, return_inverse=True)
             w = model.weights(at)
             p, whole = _noisy_or(INTERCEPT + np.bincount(of, w[where], n))
@@ -78,7 +80,7 @@ def learn(rows: list[tuple[str, float]]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> np.ndarray:
     """Weights learned from at most ``sample`` labelled documents outside the held-out fold."""
-    return fit(labelled_sample(docs, labels, label, sample), learn)
+    return fit(labelled_sample(docs, labels, label, sample), encode, learn)
 
 
 def score(text: Column, weights: np.ndarray, spark: SparkSession) -> Column:
