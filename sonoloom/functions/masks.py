@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sonoloom.functions.points import intersection, line_coefficients
 
@@ -50,25 +50,27 @@ def config_to_corners(c: Column) -> Column:
     return F.struct(*out)
 
 
-def row_runs(c: Column, rows: Column, cols: Column) -> Column:
-    """array<struct<row, a, b>>: the mask's pixels as runs of columns, ends inclusive, clipped to the image."""
-
-    def fan(y: Column) -> Column:
-        dy = (y - c["cy"]).cast("double")
-        wide = lambda r: F.floor(F.sqrt(F.greatest(F.lit(0.0), c[r].cast("double") * c[r] - dy * dy)) + EDGE)
-        ray = lambda angle: dy / F.tan(F.radians(c[angle]))
-        left, right = F.greatest(F.ceil(ray("angle2") - EDGE), -wide("radius2")), F.least(F.floor(ray("angle1") + EDGE), wide("radius2"))
-        hole = F.ceil(F.sqrt(F.greatest(F.lit(0.0), c["radius1"].cast("double") * c["radius1"] - dy * dy)) - EDGE)
-        cut = (c["radius1"] > dy) & (hole > 0)
-        parts = F.when(cut, F.array(F.struct(left.alias("l"), F.least(right, -hole).alias("r")), F.struct(F.greatest(left, hole).alias("l"), right.alias("r")))).otherwise(F.array(F.struct(left.alias("l"), right.alias("r"))))
-        clipped = F.transform(parts, lambda s: F.struct(y.alias("row"), F.greatest(F.lit(0), s["l"] + c["cx"]).cast("int").alias("a"), F.least(cols - 1, s["r"] + c["cx"]).cast("int").alias("b")))
-        return F.when((dy > 0) & (dy <= c["radius2"]), clipped).otherwise(F.array().cast("array<struct<row:int,a:int,b:int>>"))
-
-    box = lambda y: F.array(F.struct(y.alias("row"), F.greatest(F.lit(0), c["x_min"]).alias("a"), F.least(cols - 1, c["x_max"]).alias("b")))
-    first, last = F.greatest(F.lit(0), F.when(c["mask_type"] == "rectangle", c["y_min"]).otherwise(c["cy"] + 1)), F.least(rows - 1, F.when(c["mask_type"] == "rectangle", c["y_max"]).otherwise(c["cy"] + c["radius2"]))
-    span = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    found = F.flatten(F.transform(span, lambda y: F.when(c["mask_type"] == "rectangle", box(y)).otherwise(fan(y))))
-    return F.filter(found, lambda r: r["a"] <= r["b"])
+def rasterise(df: DataFrame, rows: Column, cols: Column) -> DataFrame:
+    """``df``, which has the fields of a configuration, with row, a, b: one row for each run of the mask's pixels.
+
+    Ends are inclusive and clipped to the image. A fan's row ends at its rays and outer circle and may have
+    a hole, the inner circle; the row of the centre is left out.
+    """
+    box, c = F.col("mask_type") == "rectangle", F.col
+    first = F.greatest(F.lit(0), F.when(box, c("y_min")).otherwise(c("cy") + 1))
+    last = F.least(rows - 1, F.when(box, c("y_max")).otherwise(c("cy") + c("radius2")))
+    each = df.withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))).withColumn("dy", (c("row") - c("cy")).cast("double"))
+    square = lambda r: F.greatest(F.lit(0.0), c(r).cast("double") * c(r) - c("dy") * c("dy"))
+    ray = lambda angle: c("dy") / F.tan(F.radians(c(angle)))
+    wide = F.floor(F.sqrt(square("radius2")) + EDGE)
+    cut = each.withColumns({
+        "left": F.greatest(F.ceil(ray("angle2") - EDGE), -wide).cast("int"), "right": F.least(F.floor(ray("angle1") + EDGE), wide).cast("int"),
+        "hole": F.when(c("radius1") > c("dy"), F.ceil(F.sqrt(square("radius1")) - EDGE)).otherwise(0).cast("int"),
+    })
+    run = lambda a, b: F.struct(F.greatest(F.lit(0), a).alias("a"), F.least(cols - 1, b).alias("b"))
+    split = F.array(run(c("left") + c("cx"), F.least("right", -c("hole")) + c("cx")), run(F.greatest("left", "hole") + c("cx"), c("right") + c("cx")))
+    parts = F.when(box, F.array(run(c("x_min"), c("x_max")))).when(c("hole") > 0, split).otherwise(F.array(run(c("left") + c("cx"), c("right") + c("cx"))))
+    return cut.select(*df.columns, "row", F.inline(parts)).where("a <= b")
 
 
 def merge_top(p: dict[str, Column]) -> dict[str, Column]:

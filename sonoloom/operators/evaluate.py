@@ -31,12 +31,12 @@ def runs(configs: DataFrame, key: str, config: str) -> DataFrame:
     of = configs.select(key, F.col(f"{config}.*"), "image_rows", "image_cols")
     sizes = [c for c in of.columns if c != key]
     each = of.select(*sizes).distinct()
-    raster = each.withColumn("runs", M.row_runs(F.struct(*CONFIG), F.col("image_rows"), F.col("image_cols")))
+    raster = M.rasterise(each, F.col("image_rows"), F.col("image_cols"))
     same = [of[c].eqNullSafe(raster[c]) for c in sizes]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return of.join(raster, on).select(of[key], F.inline(raster["runs"]))
+    return of.join(raster, on).select(of[key], raster["row"], raster["a"], raster["b"])
 
 
 def area(r: DataFrame, key: str, name: str) -> DataFrame:

@@ -32,13 +32,13 @@ INSIDE = """CASE WHEN {0}.mask_type = 'rectangle' THEN x BETWEEN {0}.x_min AND {
     AND (x - {0}.cx) ^ 2 + (y - {0}.cy) ^ 2 BETWEEN {0}.radius1 ^ 2 AND {0}.radius2 ^ 2 END"""
 GT, PRED = _config_sql("gt", "0", "0"), _config_sql("pred", "pred_dx", "pred_dy")
 KEY = ", ".join(CFG)
-PIXELS = f"""one AS (SELECT DISTINCT {KEY} FROM gt), grid AS (SELECT x, y FROM (SELECT unnest(range(640)) AS x), (SELECT unnest(range(480)) AS y)),
-  px AS (SELECT one.*, x, y FROM one, grid WHERE {INSIDE.format('one')})"""
+PIXELS = f"""one AS (SELECT row_number() OVER () AS kid, * FROM (SELECT DISTINCT {KEY} FROM gt)), grid AS (SELECT x, y FROM (SELECT unnest(range(640)) AS x), (SELECT unnest(range(480)) AS y)),
+  px AS (SELECT kid, x, y FROM one, grid WHERE {INSIDE.format('one')})"""
 SAME = " AND ".join(f"{{0}}.{c} IS NOT DISTINCT FROM {{1}}.{c}" for c in CFG)
 PAIRS = f"""pair AS (SELECT gt.clip_id, {', '.join(f'gt.{c} AS {c}, pred.{c} AS p_{c}' for c in CFG)} FROM gt JOIN pred ON gt.clip_id = pred.clip_id),
   kinds AS (SELECT row_number() OVER () AS kid, * FROM (SELECT DISTINCT {', '.join(f'{c}, p_{c}' for c in CFG)} FROM pair)),
-  a AS (SELECT kid, {KEY} FROM kinds), b AS (SELECT kid, {', '.join(f'p_{c} AS {c}' for c in CFG)} FROM kinds), grid AS (SELECT x, y FROM (SELECT unnest(range(640)) AS x), (SELECT unnest(range(480)) AS y)),
-  cnt AS (SELECT kid, count(*) FILTER (i) AS truth, count(*) FILTER (j) AS predicted, count(*) FILTER (i AND j) AS common FROM (SELECT a.kid, {INSIDE.format('a')} AS i, {INSIDE.format('b')} AS j FROM a JOIN b ON a.kid = b.kid, grid WHERE y >= 40) GROUP BY 1),
+  a AS (SELECT kid, {KEY} FROM kinds), b AS (SELECT kid, {', '.join(f'p_{c} AS {c}' for c in CFG)} FROM kinds), grid AS (SELECT x, y FROM (SELECT unnest(range(100, 541)) AS x), (SELECT unnest(range(40, 461)) AS y)),
+  cnt AS (SELECT kid, count(*) FILTER (i) AS truth, count(*) FILTER (j) AS predicted, count(*) FILTER (i AND j) AS common FROM (SELECT a.kid, {INSIDE.format('a')} AS i, {INSIDE.format('b')} AS j FROM a JOIN b ON a.kid = b.kid, grid) GROUP BY 1),
   o AS (SELECT pair.clip_id, truth, predicted, common FROM pair JOIN kinds ON {' AND '.join(f'pair.{c} IS NOT DISTINCT FROM kinds.{c} AND pair.p_{c} IS NOT DISTINCT FROM kinds.p_{c}' for c in CFG)} JOIN cnt ON cnt.kid = kinds.kid)"""
 
 
@@ -48,7 +48,7 @@ def _configs(s, d):
 
 def _sectors(df):
     own = df.withColumn("c", V.sector(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), 50, 0, 10, 25))
-    return own.select("clip_id", "frame_number", "kind", F.inline(M.row_runs(F.col("c"), F.lit(128), F.lit(128))))
+    return M.rasterise(own.select("clip_id", "frame_number", "kind", "c.*"), F.lit(128), F.lit(128)).select("clip_id", "frame_number", "kind", "row", "a", "b")
 
 
 SECTOR_PIXELS = """ang AS (SELECT *, least(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS lo, greatest(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS hi FROM {0}),
@@ -100,14 +100,14 @@ def _ordered(s, d):
 
 R.add("corners_to_config", lambda s, d: _configs(s, d).select("clip_id", "pred.*"), f"WITH {PRED} SELECT clip_id, {KEY} FROM pred")
 R.add("config_to_corners", lambda s, d: _configs(s, d).select("clip_id", M.config_to_corners(F.col("gt")).alias("c")).select("clip_id", *(F.round(f"c.{c}_{a}", 4).alias(f"{c}_{a}") for c in V.CORNERS for a in "xy")), f"WITH {GT} SELECT clip_id, " + ", ".join(f"round(CASE WHEN mask_type = 'rectangle' THEN x_{'min' if c[1] == 'l' else 'max'} ELSE cx + radius{1 if c[0] == 'u' else 2} * cos(radians(angle{2 if c[1] == 'l' else 1})) END, 4) AS {c}_x, round(CASE WHEN mask_type = 'rectangle' THEN y_{'min' if c[0] == 'u' else 'max'} ELSE cy + radius{1 if c[0] == 'u' else 2} * sin(radians(angle{2 if c[1] == 'l' else 1})) END, 4) AS {c}_y" for c in V.CORNERS) + " FROM gt")
-R.add("mask_runs", lambda s, d: V.runs(_configs(s, d), "clip_id", "gt").groupBy("clip_id", "row").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels"), F.min("a").alias("first"), F.max("b").alias("last")), f"WITH {GT}, {PIXELS}, r AS (SELECT {KEY}, y, count(*) AS pixels, min(x) AS first, max(x) AS last FROM px GROUP BY {KEY}, y) SELECT gt.clip_id, CAST(y AS INT) AS row, pixels, CAST(first AS INT) AS first, CAST(last AS INT) AS last FROM gt JOIN r ON {SAME.format('gt', 'r')}")
+R.add("mask_runs", lambda s, d: V.runs(_configs(s, d), "clip_id", "gt").groupBy("clip_id", "row").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels"), F.min("a").alias("first"), F.max("b").alias("last")), f"WITH {GT}, {PIXELS}, r AS (SELECT kid, y, count(*) AS pixels, min(x) AS first, max(x) AS last FROM px GROUP BY kid, y) SELECT gt.clip_id, CAST(y AS INT) AS row, pixels, CAST(first AS INT) AS first, CAST(last AS INT) AS last FROM gt JOIN one ON {SAME.format('gt', 'one')} JOIN r ON r.kid = one.kid")
 R.add("mask_overlap", lambda s, d: V.dice_iou(V.overlap(_configs(s, d), "clip_id")).select("clip_id", F.round("dice", 9).alias("dice"), F.round("iou", 9).alias("iou")), f"WITH {GT}, {PRED}, {PAIRS} SELECT clip_id, round(2 * common / (truth + predicted), 9) AS dice, round(common / (truth + predicted - common), 9) AS iou FROM o")
 R.add("mask_confusion", lambda s, d: V.overlap(_configs(s, d), "clip_id").select("clip_id", (F.col("truth") - F.col("common")).alias("truth_only"), (F.col("predicted") - F.col("common")).alias("predicted_only"), "common"), f"WITH {GT}, {PRED}, {PAIRS} SELECT clip_id, truth - common AS truth_only, predicted - common AS predicted_only, common FROM o")
 R.add("corner_errors", lambda s, d: V.corner_errors(_configs(s, d)).select("clip_id", *(F.round(m, 6).alias(m) for m in METRICS[2:])), "SELECT clip_id, " + ", ".join(f"round(sqrt(pred_dx ^ 2 + pred_dy ^ 2), 6) AS {m}" for m in METRICS[2:]) + " FROM v_mask")
 R.add("angle_degrees", lambda s, d: masks(s, d).select("clip_id", P.angle_degrees(F.col("pred_dx"), F.col("pred_dy")).alias("down"), P.angle_degrees(F.col("pred_dx"), F.col("pred_dy"), False).alias("up")), "SELECT clip_id, CASE WHEN pred_dx = 0 AND pred_dy = 0 THEN 0 ELSE round_even((degrees(atan2(-pred_dy, pred_dx)) + 360) % 360, 2) END AS down, CASE WHEN pred_dx = 0 AND pred_dy = 0 THEN 0 ELSE round_even((degrees(atan2(pred_dy, pred_dx)) + 360) % 360, 2) END AS up FROM v_mask")
 R.add("eval_metrics", _metrics, f"WITH {GT}, {PRED}, {PAIRS} SELECT m.clip_id, {METRIC_SQL}, " + ", ".join(f"{ERR} AS {m}" for m in METRICS[2:]) + ", CASE WHEN pred_dx = 0 AND pred_dy = 0 THEN 0 ELSE round_even((degrees(atan2(-pred_dy, pred_dx)) + 360) % 360, 2) END AS angle FROM v_mask m JOIN o ON o.clip_id = m.clip_id")
 R.add("write_metrics", lambda s, d: _metrics(s, d).join(_configs(s, d).select("clip_id", *(F.col(f"pred.{c}").alias(f"predicted_{c}") for c in CFG)), "clip_id").drop("angle"), f"WITH {GT}, {PRED}, {PAIRS} SELECT m.clip_id, {METRIC_SQL}, " + ", ".join(f"{ERR.replace('pred_d', 'm.pred_d')} AS {m}" for m in METRICS[2:]) + ", " + ", ".join(f"{c} AS predicted_{c}" for c in CFG) + " FROM pred m JOIN o ON o.clip_id = m.clip_id")
-R.add("round_metrics", lambda s, d: masks(s, d).select("clip_id", F.bround(F.col("pred_dx") / 8 + F.col("clip_id") / 1000, 2).alias("v"), "image_rows"), "SELECT clip_id, round_even(pred_dx / 8 + clip_id / 1000, 2) AS v, image_rows FROM v_mask")
+R.add("round_metrics", lambda s, d: masks(s, d).select("clip_id", F.bround(F.col("pred_dx") / 8 + F.col("clip_id") % 4, 2).alias("v"), "image_rows"), "SELECT clip_id, round_even(pred_dx / 8 + clip_id % 4, 2) AS v, image_rows FROM v_mask")
 R.add("report_manifest", lambda s, d: _metrics(s, d).select("clip_id", *(F.coalesce(F.when(F.col(m) > 0, F.format_string("%.3f", F.col(m))), F.lit("N/A")).alias(m) for m in METRICS)), f"WITH {GT}, {PRED}, {PAIRS}, x AS (SELECT m.clip_id, {METRIC_SQL}, " + ", ".join(f"{ERR} AS {m}" for m in METRICS[2:]) + " FROM v_mask m JOIN o ON o.clip_id = m.clip_id) SELECT clip_id, " + ", ".join(f"CASE WHEN {m} > 0 THEN printf('%.3f', {m}) ELSE 'N/A' END AS {m}" for m in METRICS) + " FROM x")
 R.add("read_mask_config", lambda s, d: _read_config(s, d).select("clip_id", "mask_type", "angle1", "angle_min_degrees"), f"WITH {GT} SELECT clip_id, mask_type, CASE WHEN clip_id % 5 <> 0 THEN angle1 END AS angle1, CASE WHEN clip_id % 5 = 0 THEN angle1 END AS angle_min_degrees FROM gt")
 R.add("normalise_mask_keys", lambda s, d: _read_config(s, d).select("clip_id", F.coalesce("mask_type", F.lit("fan")).alias("mask_type"), F.coalesce("angle1", "angle_min_degrees").alias("angle1"), F.coalesce("angle2", "angle_max_degrees").alias("angle2"), F.coalesce("radius1", "radius_min_px").alias("radius1"), F.coalesce("radius2", "radius_max_px").alias("radius2")), f"WITH {GT} SELECT clip_id, mask_type, angle1, angle2, radius1, radius2 FROM gt")
@@ -119,7 +119,7 @@ R.add("merge_top_corners", lambda s, d: masks(s, d).select("clip_id", *(v.alias(
 R.add("order_corners", _ordered, "SELECT clip_id, " + ", ".join(f"gt_{c}_{a} AS {c}_{a}" for c in V.CORNERS for a in "xy") + " FROM v_mask")
 R.add("redaction_height", lambda s, d: masks(s, d).select("clip_id", M.redaction_height(F.col("image_rows"), F.col("gt_ul_y") + 20 * F.col("pred_dy"), F.col("gt_ur_y") - 200, 0.2).alias("height")), "SELECT clip_id, CAST(CASE WHEN gt_ul_y + 20 * pred_dy > 0 THEN least(96, gt_ul_y + 20 * pred_dy) ELSE 96 END AS INT) AS height FROM v_mask")
 R.add("redaction_mode", lambda s, d: masks(s, d).select("clip_id", F.when(F.col("clip_id") % 3 == 0, "untouched").when(F.col("pred_dx") > 0, "mask").otherwise("top").alias("mode")), "SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN 'untouched' WHEN clip_id % 7 > 3 THEN 'mask' ELSE 'top' END AS mode FROM v_mask")
-R.add("mask_erode", lambda s, d: V.area(V.erode(V.runs(_configs(s, d), "clip_id", "gt"), "clip_id", 5), "clip_id", "pixels"), f"WITH {GT}, {PIXELS}, n AS (SELECT {KEY}, x + i AS x, y + j AS y FROM px, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)), e AS (SELECT {KEY}, x, y FROM n GROUP BY {KEY}, x, y HAVING count(*) = 25), k AS (SELECT {KEY}, count(*) AS pixels FROM e GROUP BY {KEY}) SELECT gt.clip_id, pixels FROM gt JOIN k ON {SAME.format('gt', 'k')}")
+R.add("mask_erode", lambda s, d: V.area(V.erode(V.runs(_configs(s, d), "clip_id", "gt"), "clip_id", 5), "clip_id", "pixels"), f"WITH {GT}, {PIXELS}, n AS (SELECT kid, x + i AS x, y + j AS y FROM px, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)), e AS (SELECT kid, x, y FROM n GROUP BY kid, x, y HAVING count(*) = 25), k AS (SELECT kid, count(*) AS pixels FROM e GROUP BY kid) SELECT gt.clip_id, pixels FROM gt JOIN one ON {SAME.format('gt', 'one')} JOIN k ON k.kid = one.kid")
 R.add("mask_contour", lambda s, d: _contour(s, d), None)
 R.add("sector_mask", lambda s, d: _sectors(lines(s, d).select("*")).groupBy("clip_id", "frame_number", "kind").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels")), "WITH ang AS (SELECT *, least(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS lo, greatest(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS hi FROM v_line), g AS (SELECT x, y FROM (SELECT unnest(range(-25, 26)) AS x), (SELECT unnest(range(1, 26)) AS y) WHERE x * x + y * y BETWEEN 100 AND 625) SELECT clip_id, frame_number, kind, count(*) AS pixels FROM ang, g WHERE x >= y / tan(radians(hi)) - 1e-9 AND x <= y / tan(radians(lo)) + 1e-9 GROUP BY 1, 2, 3")
 R.add("pleura_percentage", lambda s, d: V.pleura_percentage(_sectors(lines(s, d))), f"WITH {SECTOR_PIXELS.format('v_line')} {PERCENT}")
