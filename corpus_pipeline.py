@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoloom.llm import decontaminate, packing, quality, secrets, simhash
+from sonoloom.llm import decontaminate, packing, quality, secrets, similar
 from sonoloom.plans.scratch import materialise
 
 
@@ -18,8 +18,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.keep_one(docs)
+    """One document of each component of texts with five-word shingle similarity 0.8 or more stays."""
+    return similar.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

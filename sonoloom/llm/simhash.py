@@ -164,7 +164,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The document with the smallest id stays (a null id only where no other is); of rows that repeat
     that id, the one with the smallest xxHash64 of its text, and any one of rows equal in both.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The document of each ``root`` of ``found`` (doc_id, text_key, root) that ``keep_one`` names."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "root")).alias("k"))
     own, key = fresh(docs, "kept_id", "kept_key")
     kept = materialise(best.select(F.col("k.doc_id").alias(own), F.col("k.text_key").alias(key)), "kept")
