@@ -6,7 +6,8 @@ are independent and uniform": chi-squared over the alphabet, runs above and belo
 lag-one serial correlation. Fisher's method joins the three p-values. Tokens of natural text fail. Over
 the whole corpus the Benjamini-Hochberg step-up decides at level ``LEVEL`` which tokens are text, with
 p-values weighted by length (longer tokens carry more evidence), so at most that share of the tokens
-discarded are truly random. The tokens not discarded are ``random`` spans, if they overlap no fixed one.
+discarded are truly random. The weight never takes a p-value above the level below itself, so no token whose
+own p-value is above the level is discarded, however long. The tokens not discarded are ``random`` spans, if they overlap no fixed one.
 P-values are rounded up to a grid of tenths of a decade, so the step-up needs a histogram of 151 bins.
 
 Defined results: null text is empty; texts without matches have counts 0 and empty span lists; equal
@@ -122,15 +123,15 @@ def _encoding(token: Column) -> Column:
 class Discard:
     """The corpus decision: weighted p-values in this bin or a later one are text."""
 
-    def __init__(self, mean_length: float, bin_: int | None):
-        self.mean_length, self.bin = mean_length, bin_
+    def __init__(self, mean_length: float, bin_: int | None, level: float = LEVEL):
+        self.mean_length, self.bin, self.level = mean_length, bin_, level
 
     def keeps(self, length: Column, p: Column) -> Column:
-        return F.lit(True) if self.bin is None else _bin(length, p, self.mean_length) < self.bin
+        return F.lit(True) if self.bin is None else (_bin(length, p, self.mean_length, self.level) < self.bin) | (p > self.level)
 
 
-def _bin(length: Column, p: Column, mean_length: float) -> Column:
-    weighted = p * mean_length / length
+def _bin(length: Column, p: Column, mean_length: float, level: float = LEVEL) -> Column:
+    weighted = F.when(p > level, F.greatest(p, p * mean_length / length)).otherwise(p * mean_length / length)
     return F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(-10 * F.log10(weighted)))).cast("int")
 
 
@@ -142,8 +143,8 @@ def calibrate(docs: DataFrame, text_col: str = "text", level: float = LEVEL) ->
     if not m:
         return Discard(1.0, None)
     later = W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)  # at most 151 rows
-    bins = tokens.groupBy(_bin(F.col("length"), F.col("p"), mean).alias("bin")).agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(later))
-    return Discard(mean, bins.where(F.pow(F.lit(10.0), -F.col("bin") / 10) * m <= level * F.col("n")).agg(F.min("bin")).first()[0])
+    bins = tokens.groupBy(_bin(F.col("length"), F.col("p"), mean, level).alias("bin")).agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(later))
+    return Discard(mean, bins.where(F.pow(F.lit(10.0), -F.col("bin") / 10) * m <= level * F.col("n")).agg(F.min("bin")).first()[0], level)
 
 
 def spans(text: Column, discard: Discard) -> tuple[Column, Column]:

@@ -98,6 +98,19 @@ def test_step_up_matches_brute_force(spark):
     assert abs(got.mean_length - mean) < 1e-9 and got.bin == min(cuts, default=None)
 
 
+def test_long_random_tokens_stay_among_many_slugs(spark):
+    rng = random.Random(9)
+    slugs = [" ".join(f"{a}-Words-in-Slug-Form-{n}-like-this-one" for n in range(2000, 2020)) for a in ("Ordinary", "Plain", "Usual", "Simple", "Common")] * 8
+    keys = ["Aa1" + "".join(rng.choice(secrets.BASE64_ALPHABET) for _ in range(n - 3)) for n in (300, 750, 1500, 2500, 4000) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate([*keys, *slugs])], SCHEMA)
+    discard = secrets.calibrate(docs)
+    _, every = secrets.spans(F.col("text"), discard)
+    found = {r.doc_id: [tuple(s) for s in r.b] for r in docs.select("doc_id", every.alias("b")).collect()}
+    assert discard.bin is not None and not any(found[i] for i in range(len(keys), len(found)))
+    random_ones = [i for i, k in enumerate(keys) if slow_p(k) > secrets.LEVEL]
+    assert len(random_ones) >= 16 and all(found[i] == [(0, 4, len(keys[i]))] for i in random_ones)
+
+
 def _told(t):
     digit, upper, lower = re.search("[0-9]", t), re.search("[A-Z]", t), re.search("[a-z]", t)
     return bool(digit and (upper or lower) and (re.fullmatch("[0-9a-f]+|[0-9A-F]+|[A-Z2-7]+", t) or (upper and lower)))
