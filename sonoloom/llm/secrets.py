@@ -1,10 +1,13 @@
 """Secret scan: three fixed patterns, and a randomness test battery that adds spans. DataFrame functions only.
 
-Battery: every run of 20 or more base64-like characters whose encoding can be told (hex, base32, base64
-or its URL form: upper case, lower case and digits as the encoding needs) is tested against "its symbols
-are independent and uniform": chi-squared over the alphabet, runs above and below the middle symbol, and
+Battery: every run of 20 or more base64-like characters is tested against "its symbols are independent and
+uniform" in its encoding. That is told (hex, base32, base64 or its URL form: upper case, lower case and digits
+as the encoding needs) or, for the rest, the smallest that fits: digits, letters of one case or both, base32
+and base36 of either case, base64. Shorter runs of 20 or more of one case and digits, hex runs and dashed hex
+inside a token are read too, and the reading that looks most random counts. The tests are chi-squared over the alphabet, runs above and below the middle symbol, and
 lag-one serial correlation. Fisher's method joins the three p-values. Tokens of natural text fail. Over
-the whole corpus the Benjamini-Hochberg step-up decides at level ``LEVEL`` which tokens are text, with
+the whole corpus the Benjamini-Hochberg step-up decides at level ``LEVEL`` which tokens are text, apart for the
+two families (told or not, as the second is mostly text), with
 p-values weighted by length (longer tokens carry more evidence), so at most that share of the tokens
 discarded are truly random. The weight never takes a p-value above the level below itself, so no token whose
 own p-value is above the level is discarded, however long. The tokens not discarded are ``random`` spans, if they overlap no fixed one.
@@ -32,6 +35,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: The alphabets in the order of their codes.
 HEX_ALPHABET = "0123456789abcdef"
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE64_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LEVEL, LEAST_P, BINS = 0.05, 1e-15, 150
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -96,39 +100,87 @@ def _p_value(codes: Column, k: Column) -> Column:
 
 
 def _tested(text: Column) -> Column:
-    """array<struct<start, end, p>> of the tokens whose encoding can be told."""
+    """array<struct<start, end, p, told>> of all tokens; ``told`` where the encoding of the whole token can be told.
+
+    A token may be random as a whole or behind a prefix; it is text only if it fails every reading, so the largest p counts.
+    """
 
     def one(span: Column) -> Column:
-        return _let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), lambda token: _let(_encoding(token), lambda e: F.when(e["k"] > 0, measured(token, e, span))))
+        return _let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), lambda token: _let(_encoding(token), lambda e: measured(token, e, span)))
 
     def measured(token: Column, e: Column, span: Column) -> Column:
-        plain = F.translate(F.when(e["k"] == 16, F.lower(token)).otherwise(token), "-_", "+/")
-        codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.position(F.substring(plain, i, F.lit(1)), e["alphabet"]).cast("double"))
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), _let(codes, lambda c: _p_value(c, e["k"])).alias("p"))
+        p = F.aggregate(_readings(token, e), F.lit(LEAST_P), lambda a, r: F.greatest(a, _read_p(r)))
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), p.alias("p"), (e["k"] > 0).alias("told"))
+
+    return F.transform(_located(text, TOKEN, 4), one)
+
+
+def _read_p(reading: Column) -> Column:
+    codes = F.transform(F.sequence(F.lit(1), F.length(reading["symbols"])), lambda i: F.position(F.substring(reading["symbols"], i, F.lit(1)), reading["alphabet"]).cast("double"))
+    return _let(codes, lambda c: _p_value(c, reading["k"]))
+
+
+def _which(k: int, alphabet: str) -> Column:
+    return F.struct(F.lit(float(k)).alias("k"), F.lit(alphabet).alias("alphabet"))
+
+
+def _readings(token: Column, e: Column) -> Column:
+    """array<struct<symbols, k, alphabet>>: the whole token and the runs of 20 or more in it that another encoding fits."""
 
-    return F.filter(F.transform(_located(text, TOKEN, 4), one), lambda x: x.isNotNull())
+    def reading(symbols: Column, which: Column) -> Column:
+        plain = F.translate(F.when(which["k"] == 16, F.lower(symbols)).otherwise(symbols), "-_", "+/")
+        return F.struct(plain.alias("symbols"), which["k"].alias("k"), which["alphabet"].alias("alphabet"))
+
+    whole = _let(F.when(e["k"] > 0, e).otherwise(_smallest(token)), lambda w: reading(token, w))
+    runs = [F.transform(F.filter(F.regexp_extract_all(token, F.lit(f"[{symbols}]{{20,}}"), F.lit(0)), lambda r: F.length(r) < F.length(token)), lambda r: _let(_smallest(r), lambda w: reading(r, w))) for symbols in ("0-9a-z", "0-9A-Z")]
+    # a hex run needs digit and letter; what the token or a run shows as hex already is read once
+    hexes = F.filter(F.regexp_extract_all(token, F.lit("[0-9a-f]{20,}|[0-9A-F]{20,}"), F.lit(0)), lambda r: (F.length(r) < F.length(token)) & r.rlike("[0-9]") & r.rlike("[A-Fa-f]"))
+    bare = F.translate(token, "-", "")
+    dashed = token.rlike("^[0-9a-fA-F]+(-[0-9a-fA-F]+)+$") & (F.length(bare) >= 20) & token.rlike("[0-9]") & token.rlike("[A-Fa-f]")
+    as_hex = lambda symbols: reading(symbols, _which(16, HEX_ALPHABET))
+    return F.concat(F.array(whole), *runs, F.transform(hexes, as_hex), F.transform(F.when(dashed, F.array(bare)).otherwise(F.array().cast("array<string>")), as_hex))
 
 
 def _encoding(token: Column) -> Column:
     digit, letter = token.rlike("[0-9]"), token.rlike("[A-Za-z]")
-    which = lambda k, alphabet: F.struct(F.lit(float(k)).alias("k"), F.lit(alphabet).alias("alphabet"))
     return (
-        F.when(digit & letter & (token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$")), which(16, HEX_ALPHABET))
-        .when(digit & letter & token.rlike("^[A-Z2-7]+$"), which(32, BASE32_ALPHABET))
-        .when(digit & token.rlike("[A-Z]") & token.rlike("[a-z]"), which(64, BASE64_ALPHABET))
-        .otherwise(which(0, ""))
+        F.when(digit & letter & (token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$")), _which(16, HEX_ALPHABET))
+        .when(digit & letter & token.rlike("^[A-Z2-7]+$"), _which(32, BASE32_ALPHABET))
+        .when(digit & token.rlike("[A-Z]") & token.rlike("[a-z]"), _which(64, BASE64_ALPHABET))
+        .otherwise(_which(0, ""))
+    )
+
+
+def _smallest(token: Column) -> Column:
+    """The smallest of the encodings that fit; a random token is uniform over it, given the kinds of symbols it shows."""
+    digit = token.rlike("[0-9]")
+    return (
+        F.when(token.rlike("^[0-9]+$"), _which(10, DIGITS))
+        .when(token.rlike("^[a-z]+$"), _which(26, LOWER))
+        .when(token.rlike("^[A-Z]+$"), _which(26, UPPER))
+        .when(token.rlike("^[A-Za-z]+$"), _which(52, UPPER + LOWER))
+        .when(digit & (token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$")), _which(16, HEX_ALPHABET))
+        .when(token.rlike("^[a-z2-7]+$"), _which(32, LOWER + DIGITS[2:8]))
+        .when(token.rlike("^[A-Z2-7]+$"), _which(32, BASE32_ALPHABET))
+        .when(token.rlike("^[a-z0-9]+$"), _which(36, DIGITS + LOWER))
+        .when(token.rlike("^[A-Z0-9]+$"), _which(36, DIGITS + UPPER))
+        .otherwise(_which(64, BASE64_ALPHABET))
     )
 
 
 class Discard:
-    """The corpus decision: weighted p-values in this bin or a later one are text."""
+    """The corpus decision: weighted p-values in this bin or a later one are text; ``rest`` decides on tokens of no told encoding."""
 
-    def __init__(self, mean_length: float, bin_: int | None, level: float = LEVEL):
-        self.mean_length, self.bin, self.level = mean_length, bin_, level
+    def __init__(self, mean_length: float, bin_: int | None, level: float = LEVEL, rest: Discard | None = None):
+        self.mean_length, self.bin, self.level, self.rest = mean_length, bin_, level, rest
 
     def keeps(self, length: Column, p: Column) -> Column:
         return F.lit(True) if self.bin is None else (_bin(length, p, self.mean_length, self.level) < self.bin) | (p > self.level)
 
+    def keeps_token(self, t: Column) -> Column:
+        length, p = t["end"] - t["start"], t["p"]
+        return self.keeps(length, p) if self.rest is None else F.when(t["told"], self.keeps(length, p)).otherwise(self.rest.keeps(length, p))
+
 
 def _bin(length: Column, p: Column, mean_length: float, level: float = LEVEL) -> Column:
     weighted = F.when(p > level, F.greatest(p, p * mean_length / length)).otherwise(p * mean_length / length)
@@ -136,15 +188,19 @@ def _bin(length: Column, p: Column, mean_length: float, level: float = LEVEL) ->
 
 
 def calibrate(docs: DataFrame, text_col: str = "text", level: float = LEVEL) -> Discard:
-    """The step-up over the tokens of all documents; the driver gets two numbers."""
+    """The step-up over the tokens of all documents, once for each family; the driver gets four numbers."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = materialise(docs.select(F.explode(_tested(text)).alias("t")).select((F.col("t.end") - F.col("t.start")).alias("length"), "t.p"), "tokens")
+    tokens = materialise(docs.select(F.explode(_tested(text)).alias("t")).select((F.col("t.end") - F.col("t.start")).alias("length"), "t.p", "t.told"), "tokens")
+    return _step_up(tokens.where("told"), level, _step_up(tokens.where("not told"), level))
+
+
+def _step_up(tokens: DataFrame, level: float, rest: Discard | None = None) -> Discard:
     m, mean = tokens.agg(F.count("*"), F.avg("length")).first()
     if not m:
-        return Discard(1.0, None)
+        return Discard(1.0, None, level, rest)
     later = W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)  # at most 151 rows
     bins = tokens.groupBy(_bin(F.col("length"), F.col("p"), mean, level).alias("bin")).agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(later))
-    return Discard(mean, bins.where(F.pow(F.lit(10.0), -F.col("bin") / 10) * m <= level * F.col("n")).agg(F.min("bin")).first()[0], level)
+    return Discard(mean, bins.where(F.pow(F.lit(10.0), -F.col("bin") / 10) * m <= level * F.col("n")).agg(F.min("bin")).first()[0], level, rest)
 
 
 def spans(text: Column, discard: Discard) -> tuple[Column, Column]:
@@ -153,7 +209,7 @@ def spans(text: Column, discard: Discard) -> tuple[Column, Column]:
     fixed = fixed_spans(text)
 
     def added(own: Column) -> Column:
-        free = F.filter(_tested(text), lambda t: discard.keeps(t["end"] - t["start"], t["p"]) & ~F.exists(own, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+        free = F.filter(_tested(text), lambda t: discard.keeps_token(t) & ~F.exists(own, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
         return F.array_sort(F.concat(own, F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end")))))
 
     return fixed, _let(fixed, added)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -111,6 +112,28 @@ def test_long_random_tokens_stay_among_many_slugs(spark):
     assert len(random_ones) >= 16 and all(found[i] == [(0, 4, len(keys[i]))] for i in random_ones)
 
 
+def test_keys_of_every_kind_are_found_among_text(spark):
+    rng = random.Random(10)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    hexa = lambda n: "0a" + draw("0123456789abcdef", n - 2)
+    kinds = {
+        "base36": lambda: draw(low + digits, 32), "base32": lambda: draw(low + "234567", 32), "upper": lambda: draw(up + digits, 32), "letters": lambda: draw(low + up, 30),
+        "lower": lambda: draw(low, 30), "no digit": lambda: draw(low + up + "+/", 24), "prefix": lambda: "key_" + hexa(20), "plain prefix": lambda: "key" + hexa(21),
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128), version=4)), "behind": lambda: "live_" + draw(low + digits, 36), "digits": lambda: draw(digits, 22),
+    }
+    keys = [(k, make()) for k, make in kinds.items() for _ in range(20)]
+    text = ["ordinary-words-in-slug-form-like-this-one", "usr/local/share/some/path/of/words", "a_name_of_some_function_in_code", "GetElementsByNameOrClassOrTag", "--------------------------", "2024-01-02-03-04-05-2024-01-02"]
+    rows = [(i, f"x {k} y") for i, (_, k) in enumerate(keys)] + [(1000 + i, " ".join(text)) for i in range(100)]
+    docs = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+    _, every = secrets.spans(F.col("text"), secrets.calibrate(docs))
+    found = {r.doc_id: [tuple(s) for s in r.b] for r in docs.select("doc_id", every.alias("b")).collect()}
+    assert not any(found[1000 + i] for i in range(100))
+    for kind in kinds:
+        hits = [(2, 4, 2 + len(k)) in [(a, n, b) for a, n, b in found[i]] for i, (name, k) in enumerate(keys) if name == kind]
+        assert sum(hits) >= 16, (kind, sum(hits))
+
+
 def _told(t):
     digit, upper, lower = re.search("[0-9]", t), re.search("[A-Z]", t), re.search("[a-z]", t)
     return bool(digit and (upper or lower) and (re.fullmatch("[0-9a-f]+|[0-9A-F]+|[A-Z2-7]+", t) or (upper and lower)))
