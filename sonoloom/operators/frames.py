@@ -116,10 +116,10 @@ def trilinear(x: Column, y: Column, z: Column) -> Column:
     return F.array(*(corner(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)))
 
 
-def reslice(points: DataFrame, voxels: DataFrame) -> DataFrame:
-    """Trilinear samples of ``voxels`` (x, y, z, v) at ``points`` (key, px, py, pz); outside is 0."""
-    near = points.select("key", F.inline(trilinear(F.col("px"), F.col("py"), F.col("pz")))).where("w > 0")
-    return near.join(voxels, ["x", "y", "z"], "left").groupBy("key").agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0))).alias("v"))
+def reslice(points: DataFrame, voxels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Trilinear samples of ``voxels`` (x, y, z, v) at ``points`` (key, px, py, pz), each in the volume named by the columns ``by`` of both; outside is 0."""
+    near = points.select("key", *by, F.inline(trilinear(F.col("px"), F.col("py"), F.col("pz")))).where("w > 0")
+    return near.join(voxels, [*by, "x", "y", "z"], "left").groupBy("key").agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0))).alias("v"))
 
 
 def reconstruct(points: DataFrame) -> DataFrame:

@@ -63,6 +63,8 @@ NEAR = f"""near AS (SELECT clip_id, frame_no, pos, floor(px) + i AS x, floor(py)
 R.add("reconstruct_volume", lambda s, d: O.reconstruct(_placed(s, d)).withColumn("v", F.round("v", 6)), f"WITH {NEAR} SELECT clip_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z, round(max(w) * 255, 6) AS v FROM near WHERE w > 0 GROUP BY 1, 2, 3, 4")
 R.add("reslice_secondary", lambda s, d: _resliced(s, d), f"WITH {NEAR}, vox AS (SELECT pos % 8 AS x, pos // 8 AS y, frame_no AS z, v FROM v_pixel WHERE clip_id = 0) SELECT clip_id, frame_no, pos, round(sum(w * coalesce(v, 0)), 6) AS v FROM near LEFT JOIN vox USING (x, y, z) WHERE w > 0 GROUP BY 1, 2, 3")
 
+R.add("reslice_secondary_all", lambda s, d: _resliced_all(s, d))
+
 
 def _upserted(s, d):
     from sonoloom.operators.annotations import capture_upsert
@@ -75,3 +77,11 @@ def _resliced(s, d):
     vox = frames(s, d).where("clip_id = 0").select(F.col("frame_no").alias("z"), F.posexplode("pixels").alias("p", "v")).select((F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "z", "v")
     points = _placed(s, d).select(F.struct("clip_id", "frame_no", "pos").alias("key"), "px", "py", "pz")
     return O.reslice(points, vox).select("key.*", F.round("v", 6).alias("v"))
+
+
+def _resliced_all(s, d):
+    """Every pixel of every frame, sampled in its own clip's volume."""
+    at = frames(s, d).select(*KEY, F.posexplode("pixels").alias("pos", "v")).select(*KEY, "pos", "v", (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).cast("int").alias("y"))
+    points = at.select("clip_id", F.struct("clip_id", "frame_no", "pos").alias("key"), (F.col("x") * 0.5).alias("px"), (F.col("y") * 0.5).alias("py"), (F.col("frame_no") * 0.25).alias("pz"))
+    vox = at.select("clip_id", "x", "y", F.col("frame_no").alias("z"), "v")
+    return O.reslice(points, vox, ("clip_id",)).select("key.*", F.round("v", 6).alias("v"))
