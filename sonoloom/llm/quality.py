@@ -22,7 +22,7 @@ THRESHOLD = 0.3
 
 def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, values) of a text; the last coordinate is the intercept's."""
-    _, bucket, _ = next(features([text], BITS))
+    bucket = np.concatenate([b for _, b, _ in features([text], BITS)])
     at, counts = np.unique(bucket, return_counts=True)
     return np.append(at, 1 << BITS).astype("<i4"), np.append(counts * (SCALE / max(1, counts.sum())), 1.0).astype("<f4")
 
@@ -49,10 +49,12 @@ def score(text: Column, weights: np.ndarray, spark: SparkSession) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def of_batch(texts: pa.Array) -> pa.Array:
-        w, out = shared.value, []
+        w, out, open_ = shared.value, [], np.zeros(2)
         for doc, bucket, n in features((t.as_py() for t in texts), BITS):
-            total = np.bincount(doc, minlength=n)
-            z = np.bincount(doc, w[bucket], n) * (SCALE / np.maximum(1, total)) + w[1 << BITS]
+            sums = np.array([np.bincount(doc, minlength=n + 1), np.bincount(doc, w[bucket], n + 1)])
+            sums[:, 0] += open_
+            open_ = sums[:, n]  # of a document that goes on
+            z = sums[1, :n] * (SCALE / np.maximum(1, sums[0, :n])) + w[1 << BITS]
             out.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 

@@ -5,36 +5,46 @@ to the window length (35 words: 9, 18, 35). At each level a window is represente
 of that many words; windows whose representative starts once only are dropped, the others go on to the
 next level, until the last level is the whole window.
 
-Documents are dealt to blocks by a hash of the row. A block sends each hash it holds once, packed by
-hash range; the range's task answers with one bit for each hash: does it start in two places or more?
-So a word sequence that fills a third of the corpus is one hash for each block, never one group's rows.
+Words are hashed by keyed XXH3 with 128 bits. The levels below the last only rule windows out, with 64 bits;
+equal windows have equal hashes, so none is lost. The last level decides with 128 bits, which 10^13
+different windows share by chance with a probability under 10^-12.
+
+Texts are cut into pieces of bounded size, each with the ``window`` - 1 words before and behind it, and packed
+into blocks of bounded size, one row for each, in a table bucketed by block: texts are shuffled once, and no
+task or worker holds more than a block's words. A block sends each hash it holds once, packed by hash range;
+the range's task answers with one bit for each hash: does it start in two places or more? So a word
+sequence that fills a third of the corpus is one hash for each block, never one group's rows.
 
 Defined results: null text and text without words have no words, an empty kept text and nothing
 removed; equal rows remove each other's windows; an empty table gives an empty result; other columns
-play no part. Hashes have 64 bits at each level, and the last level's decide.
+play no part. A text's kept words are put together in one row, as its input was.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
+from functools import partial
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-
-from sonoloom.plans.scratch import materialise, small_batches
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-WINDOW, SHORTEST = 35, 9
-#: Documents in a block, and bytes of text hashed at once.
-BLOCK_ROWS, STEP = 1000, 1 << 17
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-VALUES = "block long, part long, hashes binary, several binary"
-ANSWERS = "block long, level int, part long, n int, bits binary"
+from sonoloom.plans.scratch import materialise, scratch_path, small_batches
 
-_cache: dict[str, np.ndarray] = {}
+WINDOW, SHORTEST, SEED = 35, 9, 0x9E3779B97F4A7C15
+#: Bytes of text in a piece and in a block, and of hashes in a part.
+PIECE_BYTES, BLOCK_BYTES, PART_BYTES = 1 << 20, 1 << 21, 1 << 23
+#: Odd multipliers, one for each half of a hash.
+STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+HASHES = "block long, part long, hashes binary, flags binary"
+WORD, SPACE = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
+KEY = np.dtype([("low", "<u8"), ("high", "<u8")])
 
 
 def levels(window: int, shortest: int = SHORTEST) -> list[int]:
@@ -45,38 +55,19 @@ def levels(window: int, shortest: int = SHORTEST) -> list[int]:
     return found
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_cache.get("up", ())) < n:
-        n += n // 4
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            _cache[name] = np.cumprod(steps)
-    return _cache["up"], _cache["down"]
-
-
-def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end], alike wherever the span lies."""
-    up, down = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return _mix((sums[end] - sums[start]) * down[start])
+def word_hashes(words: list[bytes], seed: int = SEED) -> np.ndarray:
+    """(n, 2) halves of the words' hashes."""
+    raw = b"".join(map(partial(xxhash.xxh3_128_digest, seed=seed), words))
+    return np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if "bytes" not in _cache:
-        _cache["bytes"] = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-    text = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    gaps = np.flatnonzero(text == 32)
-    return _spans(_cache["bytes"][text], np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(text)]]))
+def runs_of(h: np.ndarray, length: int, half: int) -> np.ndarray:
+    """One half of the hash of each run of ``length`` words: a polynomial of their hashes, which are as good as random."""
+    n, step = len(h) - length + 1, np.uint64(STEPS[half])
+    out = np.zeros(max(0, n), dtype=np.uint64)
+    for i in range(length if n > 0 else 0):
+        out = out * step + h[i : n + i, half]
+    return out
 
 
 def _slide(a: np.ndarray, width: int, best, fill: int) -> np.ndarray:
@@ -91,162 +82,248 @@ def _slide(a: np.ndarray, width: int, best, fill: int) -> np.ndarray:
     return best(a, ahead(a, width - span)) if span < width else a
 
 
-class _Part:
-    """Consecutive documents of a block, hashed together; ``alive`` marks the starts of windows still in question."""
-
-    def __init__(self, texts: list[bytes], window: int):
-        words = [t.split() for t in texts]
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        self.h, self.window = word_hashes([w for ws in words for w in ws]), window
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        self.alive = np.arange(len(self.h)) + window <= ends
+class _Block:
+    """The pieces of a block; ``alive`` marks the starts of windows still in question, ``own`` those that count here."""
+
+    def __init__(self, row: dict, window: int):
+        text, at, words, size, own = zstandard.ZstdDecompressor().decompress(row["z"]), 0, [], [], []
+        for n, behind, mine in zip(row["size"], row["behind"], row["own"]):
+            found = text[at : at + n].split()
+            at += n
+            words += found
+            size.append(len(found))
+            own += [(behind, behind + mine)]
+        sizes = np.array(size, dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.words, self.starts, self.bounds, self.window = words, starts, own, window
+        self.h = word_hashes(words)
+        here = np.arange(len(words))
+        self.alive = here + window <= np.repeat(starts + sizes, sizes)
+        low, high = np.array(own, dtype=np.int64).reshape(-1, 2).T
+        self.own = (here >= np.repeat(starts + low, sizes)) & (here < np.repeat(starts + high, sizes))
 
     def level(self, length: int) -> np.ndarray:
-        """The hashes, repeats included, that represent the windows alive."""
+        """Places of the runs of ``length`` words that represent the windows alive."""
         n, width = len(self.h), self.window - length + 1
-        if n < length or not self.alive.any():
-            self.least, self.alive = self.h, np.zeros(n, dtype=bool)
-            return self.h[:0]
-        at = np.arange(n - length + 1)
-        grams = np.concatenate([_spans(self.h, at, at + length) | np.uint64(1), np.full(length - 1, ~np.uint64(0))])
-        self.least = _slide(grams, width, np.minimum, 2**64 - 1)
+        if n < self.window or not self.alive.any():
+            self.least, self.alive = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
+            return np.zeros(0, dtype=np.int64)
+        self.grams = np.concatenate([runs_of(self.h, length, 0) | np.uint64(1), np.full(length - 1, ~np.uint64(0))])
+        self.least = _slide(self.grams, width, np.minimum, 2**64 - 1)
         chosen = _slide(np.where(self.alive, self.least, np.uint64(0))[::-1], width, np.maximum, 0)[::-1]
-        return grams[(chosen == grams) & (chosen > 0)]
-
-    def keep(self, repeated: np.ndarray) -> None:
-        if not len(repeated):
-            self.alive[:] = False
+        return np.flatnonzero((chosen == self.grams) & (chosen > 0))
+
+    def asked(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, how often each starts here, key of each place) of a level; keys in order."""
+        at, last = self.level(length), length == self.window
+        keys = np.zeros(len(at), dtype=KEY)
+        if len(at):
+            keys["low"] = self.grams[at]
+            keys["high"] = runs_of(self.h, length, 1)[at] if last else 0
+        order = np.lexsort((keys["high"], keys["low"])) if last else np.argsort(keys["low"])
+        ranked = keys[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        of = np.empty(len(at), dtype=np.int64)
+        of[order] = np.cumsum(new) - 1
+        self.at = at
+        return ranked[new], np.bincount(of, self.own[at] if last else None, int(new.sum())).astype(np.int64), of
+
+    def keep(self, repeated: np.ndarray, keys: np.ndarray, of: np.ndarray, length: int) -> None:
+        """Only windows whose representative is ``repeated`` stay alive."""
+        if length == self.window:
+            stays = np.zeros(len(self.h), dtype=bool)
+            stays[self.at[repeated[of]]] = True
+            self.alive &= stays
             return
-        at = np.minimum(np.searchsorted(repeated, self.least), len(repeated) - 1)
-        self.alive &= repeated[at] == self.least
+        known = keys["low"][repeated]
+        if len(known):
+            at = np.minimum(np.searchsorted(known, self.least), len(known) - 1)
+            self.alive &= known[at] == self.least
+        else:
+            self.alive[:] = False
 
-    def covered(self) -> np.ndarray:
+    def removed(self) -> np.ndarray:
         edge = np.zeros(len(self.h) + 1, dtype=np.int32)
         edge[:-1] += self.alive
-        edge[self.window :] -= self.alive[: len(edge) - self.window]
+        edge[self.window :] -= self.alive[: max(0, len(edge) - self.window)]
         return np.cumsum(edge[:-1]) > 0
 
 
-def _texts(rows: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """The block's texts in an order that any later reading of the block repeats."""
-    unzip = zstandard.ZstdDecompressor()
-    texts = [b"" if z is None else unzip.decompress(z) for z in rows["z"].to_pylist()]
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    return np.array(order, dtype=np.int64), [texts[i] for i in order]
-
-
-def _parts(texts: list[bytes], window: int) -> Iterator[tuple[int, int, _Part]]:
-    a = size = 0
-    for b, t in enumerate(texts, 1):
-        size += len(t)
-        if size >= STEP or b == len(texts):
-            yield a, b, _Part(texts[a:b], window)
-            a, size = b, 0
-
-
-def _replay(parts: list[_Part], lengths: list[int], answers: pa.Table | None) -> np.ndarray | None:
-    """Apply the answers of all levels that have them; the hashes, in order, of the first level that has none."""
-    told: dict[int, list] = {}
-    for row in [] if answers is None else answers.to_pylist():
-        told.setdefault(row["level"], []).append((row["part"], row["n"], row["bits"]))
-    done = max(told, default=-1) + 1
-    for k, length in enumerate(lengths):
-        hashes = np.sort(np.concatenate([p.level(length) for p in parts] or [np.zeros(0, dtype=np.uint64)]))
-        if k >= done:
-            return hashes
-        bits = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for _, n, b in sorted(told.get(k, []))]
-        own = np.unique(hashes)
-        repeated = own[np.concatenate(bits).astype(bool)] if bits else own[:0]
-        for p in parts:
-            p.keep(repeated)
-    return None
-
-
-def _ask(lengths: list[int], part_bits: int):
-    def later(key, rows, answers):
-        parts = [p for _, _, p in _parts(_texts(rows)[1], lengths[-1])]
-        hashes = _replay(parts, lengths, answers)
-        own, counts = np.unique(hashes if hashes is not None else np.zeros(0, dtype=np.uint64), return_counts=True)
-        part = (own >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(own), dtype=np.int64)
-        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(own)]
-        out = [(key[0].as_py(), int(part[a]), own[a:b].tobytes(), np.packbits(counts[a:b] > 1).tobytes()) for a, b in zip(cuts, cuts[1:])]
-        names = ["block", "part", "hashes", "several"]
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
-
-    def first(key, rows):
-        return later(key, rows, None)
-
-    return first, later
-
-
-def _answer(level: int):
+def _behind(text: bytes, start: int, n: int) -> int:
+    """Where the ``n`` words before ``start``, the end of a word, begin."""
+    size = 64 * n
+    while True:
+        low = max(0, start - size)
+        found = [m.start() for m in WORD.finditer(text, low, start)]
+        if len(found) > n or not low:  # the first one found may be cut
+            return found[-n] if len(found) >= n else (found or [start])[0]
+        size *= 4
+
+
+def _cut(text: bytes, window: int, size: int) -> Iterator[tuple[bytes, int, int]]:
+    """(piece with its neighbours, words before its own, own words) of a text, cut at white space."""
+    start, n = 0, window - 1
+    while True:
+        gap = SPACE.search(text, start + size)
+        end = gap.start() if gap else len(text)
+        begin = _behind(text, start, n) if start and n else start
+        ahead = end
+        for _, m in zip(range(n), WORD.finditer(text, end)):
+            ahead = m.end()
+        yield text[begin:ahead], len(text[begin:start].split()), len(text[start:end].split())
+        if end == len(text):
+            return
+        start = end
+
+
+#: A block: its texts, one after the other, and for each piece bytes, words before its own, own words, row, number, whether its text was cut, id.
+BLOCK = [("block", pa.int64()), ("z", pa.binary()), *((n, pa.list_(t)) for n, t in [("size", pa.int32()), ("behind", pa.int32()), ("own", pa.int32()), ("uid", pa.int64()), ("piece", pa.int32()), ("cut", pa.bool_())])]
+
+
+def _pack(window: int, piece_bytes: int, block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high = TaskContext.get().partitionId() << 33
+        block = row = size = 0
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            texts = [h[0] for h in held]
+            z = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            cols = [list(c) for c in zip(*held)]
+            values = [high + block, z, [len(t) for t in texts], *cols[1:]]
+            schema = pa.schema([*BLOCK, ("ids", pa.list_(kind))])
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+
+        for b in batches:
+            kind = b.column(0).type
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = (text.as_py() or "").encode()
+                for number, (piece, behind, own) in enumerate(_cut(raw, window, piece_bytes)):
+                    held.append((piece + b" ", behind, own, high + row, number, len(raw) > piece_bytes, doc_id))
+                    size += len(piece)
+                    if size >= block_bytes:
+                        yield flush()
+                        held, size, block = [], 0, block + 1
+                row += 1
+        if held:
+            yield flush()
+
+    return run
+
+
+def _told(row: dict, block: _Block, lengths: list[int], upto: int) -> None:
+    """Apply the answers of the levels below ``upto``."""
+    answers: dict[int, list] = {}
+    for a in row["answers"] or []:
+        answers.setdefault(a["level"], []).append((a["part"], a["n"], a["bits"]))
+    for k in range(upto):
+        keys, _, of = block.asked(lengths[k])
+        bits = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=n) for _, n, b in sorted(answers.get(k, []))]
+        block.keep(np.concatenate(bits).astype(bool) if bits else np.zeros(len(keys), dtype=bool), keys, of, lengths[k])
+
+
+def _ask(lengths: list[int], level: int, part_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            block = _Block(row, lengths[-1])
+            _told(row, block, lengths, level)
+            keys, counts, _ = block.asked(lengths[level])
+            part = (keys["low"] >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(keys), dtype=np.int64)
+            cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(keys)]
+            sent = keys if level == len(lengths) - 1 else keys["low"]
+            out = [(row["block"], int(part[a]), sent[a:b].tobytes(), np.packbits([counts[a:b] > 0, counts[a:b] > 1]).tobytes()) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "part", "hashes", "flags"])
+
+    return run
+
+
+def _answer(level: int, last: bool):
     def run(key, rows):
-        held = [np.frombuffer(b, dtype=np.uint64) for b in rows["hashes"].to_pylist()]
-        several = [np.unpackbits(np.frombuffer(s, dtype=np.uint8), count=len(h)) for s, h in zip(rows["several"].to_pylist(), held)]
-        _, where, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        counts[where[np.concatenate(several).astype(bool)]] += 1
-        cuts = np.cumsum([len(h) for h in held])[:-1]
-        bits = [np.packbits(b).tobytes() for b in np.split(counts[where] > 1, cuts)]
-        n = len(held)
+        raw, kind = rows["hashes"].to_pylist(), KEY if last else np.dtype("<u8")
+        sizes = np.array([len(x) // kind.itemsize for x in raw], dtype=np.int64)
+        keys = np.frombuffer(b"".join(raw), dtype=kind)
+        flags = [np.unpackbits(np.frombuffer(f, dtype=np.uint8), count=2 * n).reshape(2, -1) for f, n in zip(rows["flags"].to_pylist(), sizes)]
+        order = np.lexsort((keys["high"], keys["low"])) if last else np.argsort(keys)
+        ranked = keys[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        of = np.cumsum(new) - 1
+        counts = np.bincount(of, np.concatenate(flags, axis=1).sum(axis=0)[order], int(new.sum()))
+        repeated = np.empty(len(keys), dtype=bool)
+        repeated[order] = counts[of] > 1
+        bits = [np.packbits(x).tobytes() for x in np.split(repeated, np.cumsum(sizes)[:-1])]
+        n = len(raw)
         return pa.table({
             "block": rows["block"].cast(pa.int64()), "level": pa.array([level] * n, pa.int32()), "part": rows["part"].cast(pa.int64()),
-            "n": pa.array([len(h) for h in held], pa.int32()), "bits": pa.array(bits, pa.binary()),
+            "n": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary()),
         })
 
     return run
 
 
 def _finish(lengths: list[int]):
-    def run(key, rows, answers):
-        order, texts = _texts(rows)
-        cut = list(_parts(texts, lengths[-1]))
-        _replay([p for _, _, p in cut], lengths, answers)
-        n_words, n_removed, kept = [], [], []
-        for a, b, part in cut:
-            gone, at = part.covered(), 0
-            for t in texts[a:b]:
-                words = t.split()
-                own, at = gone[at : at + len(words)], at + len(words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            row = one.to_pylist()[0]
+            block = _Block(row, lengths[-1])
+            _told(row, block, lengths, len(lengths))
+            gone = block.removed()
+            n_words, n_removed, kept = [], [], []
+            for start, (low, high) in zip(block.starts.tolist(), block.bounds):
+                words, own = block.words[start + low : start + high], gone[start + low : start + high]
                 n_words.append(len(words))
                 n_removed.append(int(own.sum()))
                 kept.append(b" ".join(compress(words, ~own) if own.any() else words).decode())
-        out = rows.select(["doc_id"]).take(pa.array(order))
-        for name, values, kind in (("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("kept", kept, pa.string())):
-            out = out.append_column(name, pa.array(values, kind))
-        return out
+            columns = [one.column(c).flatten() for c in ("uid", "piece", "cut", "ids")]
+            columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "piece", "cut", "doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-@F.arrow_udf(T.BinaryType())
-def _zipped(texts: pa.Array) -> pa.Array:
-    zip_ = zstandard.ZstdCompressor(level=1)
-    return pa.array((zip_.compress(t.as_buffer()) if t.is_valid else None for t in texts), pa.binary())
+def _blocks(docs: DataFrame, id_col: str, text_col: str, window: int, piece_bytes: int, block_bytes: int) -> DataFrame:
+    """One row for each block, in a table bucketed by block in the shared scratch folder."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    ddl = f"block long, z binary, size array<int>, behind array<int>, own array<int>, uid array<long>, piece array<int>, cut array<boolean>, ids array<{kind.simpleString()}>"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
+    packed = docs.select(id_col, text_col).mapInArrow(_pack(window, piece_bytes, block_bytes), ddl)
+    name = f"blocks_{uuid.uuid4().hex}"
+    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", scratch_path(spark, "blocks")).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shortest: int = SHORTEST, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept), one row per row of ``docs``; kept is the text of the words that stay.
-
-    The texts are shuffled compressed, once for each level and once to finish; hashes are packed.
-    """
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shortest: int = SHORTEST, piece_bytes: int = PIECE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept), one row per row of ``docs``; kept is the text of the words that stay."""
     small_batches(docs.sparkSession)
     lengths = levels(window, shortest)
-    blocks = max(64, -(-docs.count() // block_rows))
-    part_bits = max(0, (blocks - 1).bit_length())
-    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks))
-    texts = docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), _zipped(F.col(text_col)).alias("z"))
+    blocks = _blocks(docs, id_col, text_col, window, piece_bytes, block_bytes)
+    words = blocks.select(F.sum(F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
+    part_bits = max(6, (8 * words // PART_BYTES).bit_length())
     answers = None
     for level in range(len(lengths)):
-        first, later = _ask(lengths, part_bits)
-        grouped = texts.select("block", "z").groupBy("block")
-        if answers is None:
-            hashes = grouped.applyInArrow(first, VALUES)
-        else:
-            hashes = grouped.cogroup(answers.groupBy("block")).applyInArrow(later, VALUES)
-        now = materialise(hashes.groupBy("part").applyInArrow(_answer(level), ANSWERS), f"answers{level}")
+        last = level == len(lengths) - 1
+        hashes = _with(blocks, answers).mapInArrow(_ask(lengths, level, part_bits), HASHES)
+        now = materialise(hashes.groupBy("part").applyInArrow(_answer(level, last), "block long, level int, part long, n int, bits binary"), f"answers{level}")
         answers = now if answers is None else answers.unionByName(now)
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept string"
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(lengths), schema)
+    kind = docs.schema[id_col].dataType
+    schema = f"uid long, piece int, cut boolean, doc_id {kind.simpleString()}, n_words long, n_removed long, kept string"
+    found = materialise(_with(blocks, answers).mapInArrow(_finish(lengths), schema), "pieces")
+    columns = ["doc_id", "n_words", "n_removed", "kept"]
+    joined = found.where("cut").groupBy("uid").agg(
+        F.first("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("n_removed").alias("n_removed"),
+        F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("piece", "kept"))), lambda p: p["kept"] != ""), lambda p: p["kept"]), " ").alias("kept"),
+    )
+    return found.where("not cut").select(columns).unionByName(joined.select(columns))
+
+
+def _with(blocks: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """Each block with the answers it has got so far."""
+    if answers is None:
+        return blocks.withColumn("answers", F.lit(None).cast("array<struct<level:int,part:bigint,n:int,bits:binary>>"))
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("level", "part", "n", "bits")).alias("answers"))
+    return blocks.join(told.hint("merge"), "block", "left")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

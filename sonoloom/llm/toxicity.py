@@ -12,13 +12,14 @@ get equal scores; without any label no weight is learned; empty tables are allow
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from sonoloom.llm.hashing import _CLASS, _LOWER, _VALUE, REPEAT, tokens
+from sonoloom.llm.hashing import _CLASS, _LOWER, _VALUE, REPEAT, STEP, _mix, _spans, tokens
 from sonoloom.llm.learning import SAMPLE, Example, Ftrl, fit, held_out, labelled_sample
-from sonoloom.llm.substring import _mix, _spans
 
 BITS, STEMS, INTERCEPT = 20, (4, 5, 6), -10.0
 ALPHA, L1, L2, EPOCHS = 1.5, 1.0, 1e-3, 5
@@ -31,10 +32,20 @@ SCORED = T.StructType([
 ])
 
 
-def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence, bucket) of the distinct features, and each sentence's first and last byte."""
+def _stretches(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, part) of a text in parts of at most ``STEP`` bytes, cut after a sentence's end, else before white space, else anywhere."""
+    at = 0
+    while len(text) - at > STEP:
+        end = max(text.rfind(c, at, at + STEP) for c in (b".", b"!", b"?", b"\n")) + 1
+        end = end if end > at else max(text.rfind(c, at + 1, at + STEP) for c in (b" ", b"\t"))
+        end = end if end > at else at + STEP
+        yield at, text[at:end]
+        at = end
+    yield at, text[at:] if at else text
+
+
+def _of_part(lowered: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
-    lowered = (text or "").encode().translate(_LOWER)
     h, start, end = tokens(lowered)
     raw = np.frombuffer(lowered, dtype=np.uint8)
     word = _CLASS[raw[start]] == 1
@@ -53,6 +64,16 @@ def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return keys >> BITS, keys & ((1 << BITS) - 1), start[first], end[last]
 
 
+def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, bucket) of the distinct features, and each sentence's first and last byte."""
+    found, n = [], 0
+    for at, part in _stretches((text or "").encode().translate(_LOWER)):
+        of, bucket, first, last = _of_part(part)
+        found.append((of + n, bucket, first + at, last + at))
+        n += len(first)
+    return found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found)))
+
+
 def _noisy_or(z: np.ndarray) -> tuple[np.ndarray, float]:
     p = np.minimum(1 / (1 + np.exp(-np.clip(z, -35, 35))), 1 - 1e-12)
     return p, float(-np.expm1(np.log1p(-p).sum()))

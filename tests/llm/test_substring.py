@@ -45,7 +45,41 @@ def test_brute_force_with_edge_cases(spark):
         rows.append((10 + k, rng.choice([" ", "\n", "  "]).join(text)))
     rows.append((500, "solo " * 30 + " ".join(word() for _ in range(120_000))))
     assert result(spark, rows) == slow(rows)
-    assert result(spark, rows, block_rows=1, window=12) == slow(rows, 12)
+    assert result(spark, rows, piece_bytes=500, block_bytes=900, window=12) == slow(rows, 12)
+    assert result(spark, rows, piece_bytes=700, block_bytes=1) == slow(rows)
+
+
+def test_pieces_hold_each_word_once_with_its_neighbours():
+    rng = random.Random(3)
+    for size in (1, 7, 40):
+        for n in (1, 2, 5):
+            text = "".join(rng.choice(["a", "bb", "ccccccccc", " ", "  ", "\n", "\t"]) for _ in range(200)).encode()
+            words, at = text.split(), 0
+            for piece, behind, own in substring._cut(text, n, size):
+                assert piece.split() == words[at - behind : at + own + n - 1] and behind == min(at, n - 1)
+                at += own
+            assert at == len(words)
+
+
+def test_long_words_are_not_taken_for_others(spark):
+    """A polynomial modulo 2^64 cannot tell these two words apart, whatever its base."""
+    first = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = first.translate({97: "b", 98: "a"})
+    rows = [(1, "same " * 34 + first), (2, "same " * 34 + other), (3, first * 3), (4, other * 3)]
+    assert all(r[2] == 0 for r in result(spark, rows)) and result(spark, rows) == slow(rows)
+
+
+def test_equal_rows_and_a_hot_passage(spark):
+    passage = " ".join(f"w{i}" for i in range(50))
+    rows = [(7, passage)] * 400 + [(i, f"{passage} own{i}") for i in range(300)]
+    assert result(spark, rows, block_bytes=2000) == slow(rows)
+
+
+def test_a_text_far_over_a_piece(spark):
+    rng = random.Random(5)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(700_000))
+    rows = [(1, text), (2, " ".join(text.split()[400_000:400_060]))]
+    assert [r[1:3] for r in result(spark, rows)] == [(700_000, 60), (60, 60)]
 
 
 def test_empty_table(spark):
