@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -63,61 +62,93 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i in range(bits) if ((i % span + 1) & v).bit_count() & 1) for v in range(1, span + 1)]
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
+def covering_tables(radius: int, words: int = 1, parts: int = 1) -> list[tuple[int, int]]:
+    """(word, signed mask) for codes of ``words`` 64-bit words, each cut into ``parts``: of two codes within the
+    radius, some part differs in at most radius / (words * parts) bits, and its masks cover that."""
+    width = BITS // parts
+    masks = [m << (p * width) for p in range(parts) for m in covering_masks(radius // (words * parts), width)]
+    return [(w, m - (1 << 64) if m >> 63 else m) for w in range(words) for m in masks]
 
 
-def _forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect what the links within the radius connect; at most len(x) - 1 of them."""
-    edges, left, u = [], np.arange(len(x)), x.view(np.uint64)
+def _forest(node: np.ndarray, code: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that connect what the links within the radius connect; at most len(node) - 1 of them."""
+    edges, left = [], np.arange(len(node))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = np.bitwise_count(u[left] ^ u[i]) <= radius
-            edges += [(int(x[i]), int(x[j])) for j in left[near]]
+            near = np.bitwise_count(code[left] ^ code[i]).sum(axis=1) <= radius
+            edges += [(int(node[i]), int(node[j])) for j in left[near]]
             queue += list(left[near])
             left = left[~near]
     return edges
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first ``keys`` columns, which are integers, over batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        for a, c in zip(cuts, cuts[1:]):
+            part = b.slice(a, c - a)
+            if held and any(held[-1].column(i)[-1] != part.column(i)[0] for i in range(keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+
 def _forests(radius: int):
     """Over partitions sorted by bucket: one spanning forest for each run of equal buckets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, key = [], None
-        for pdf in batches:
-            out = []
-            new = (pdf[["v", "k", "lo", "hi"]] != pdf[["v", "k", "lo", "hi"]].shift()).any(axis=1).to_numpy()
-            starts = [*np.flatnonzero(new), len(pdf)]
-            x, keys = pdf["fp"].to_numpy(), pdf[["v", "k", "lo", "hi"]].to_numpy()
-            for a, b in zip(starts, starts[1:]):
-                own = tuple(keys[a])
-                if own != key and held:
-                    out += _forest(np.unique(np.concatenate(held)), radius)
-                    held = []
-                key = own
-                held.append(x[a:b])
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        if held:
-            yield pd.DataFrame(_forest(np.unique(np.concatenate(held)), radius), columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for t in runs(batches, 4):
+            node = t.column(4).to_numpy()
+            _, first = np.unique(node, return_index=True)
+            code = np.stack([t.column(i).to_numpy()[first] for i in range(5, t.num_columns)], axis=1).view(np.uint64) if t.num_columns > 5 else node[first].reshape(-1, 1).view(np.uint64)
+            found += _forest(node[first], code, radius)
+            if len(found) >= 1 << 16:
+                yield _edges(found)
+                found = []
+        yield _edges(found)
 
     return run
 
 
-def covering_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): a set of links within the radius that connects the same distinct ``fp`` as all links do."""
-    masks = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(_signed(m)).alias("m")) for v, m in enumerate(covering_masks(radius))))
-    keyed = nodes.select("fp", F.explode(masks).alias("t")).select("fp", F.col("t.v").alias("v"), F.col("fp").bitwiseAND(F.col("t.m")).alias("k"))
+def covering_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, code: tuple[str, ...] = ("node",), parts: int = 1) -> DataFrame:
+    """(a, b): a set of links within the radius that connects the same distinct ``node`` as all links do.
+
+    ``code`` names the 64-bit words of a node's code; a bucket of over ``chunk`` nodes is dealt into chunk pairs.
+    """
+    masks = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(w).alias("w"), F.lit(m).alias("m")) for v, (w, m) in enumerate(covering_tables(radius, len(code), parts))))
+    held = list(dict.fromkeys(("node", *code)))
+    word = F.element_at(F.array(*code), F.col("t.w") + 1)
+    keyed = nodes.select(*held, F.explode(masks).alias("t")).select(*held, F.col("t.v").alias("v"), word.bitwiseAND(F.col("t.m")).alias("k"))
     full = keyed.groupBy("v", "k").agg(F.count("*").alias("n")).where("n > 1")
-    split = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp"), split).cast("int")
-    met = (
-        keyed.join(full, ["v", "k"])
-        .select("v", "k", "fp", own.alias("c"), F.explode(F.sequence(F.lit(0), split - 1)).alias("d"))
-        .select("v", "k", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "fp")
-    )
-    return met.repartition("v", "k", "lo", "hi").sortWithinPartitions("v", "k", "lo", "hi").mapInPandas(_forests(radius), "a long, b long").distinct()
+    met = in_chunks(keyed.join(full, ["v", "k"]), ["v", "k"], F.ceil(F.col("n") / chunk).cast("int"), held)
+    return met.mapInArrow(_forests(radius), "a long, b long").distinct()
+
+
+def in_chunks(rows: DataFrame, group: list[str], split: Column, held: list[str]) -> DataFrame:
+    """``rows`` (group, lo, hi, held), dealt and sorted by group and chunk pair: any two of a group's nodes meet in some pair.
+
+    A group of more than one chunk has a part for each pair of different chunks, so none is larger than two chunks.
+    """
+    own = F.pmod(F.xxhash64("node"), split).cast("int")
+    others = F.filter(F.sequence(F.lit(0), split - 1), lambda d: (d != F.col("c")) | (split == 1))
+    keys = [*group, "lo", "hi"]
+    dealt = rows.withColumn("c", own).select(*group, *held, "c", F.explode(others).alias("d")).select(*group, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), *held)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col)
     keyed = materialise(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprint(text, shingle, seed).alias("fp")), "fingerprints")
     nodes = materialise(keyed.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = components(covering_links(nodes.select("fp"), radius))
+    roots = components(covering_links(nodes.select(F.col("fp").alias("node")), radius))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = materialise(rooted.join(lowest, "root").select(F.col("fp").alias("of"), "root", "component_id"), "classes")
@@ -159,16 +190,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one document of each component, all columns kept.
+    """``docs`` with one document of each component, chosen as in :func:`one_of_each`."""
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each ``root`` of ``found`` (doc_id, text_key, root), all columns kept.
 
     The document with the smallest id stays (a null id only where no other is); of rows that repeat
     that id, the one with the smallest xxHash64 of its text, and any one of rows equal in both.
     """
-    return one_of_each(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The document of each ``root`` of ``found`` (doc_id, text_key, root) that ``keep_one`` names."""
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "root")).alias("k"))
     own, key = fresh(docs, "kept_id", "kept_key")
     kept = materialise(best.select(F.col("k.doc_id").alias(own), F.col("k.text_key").alias(key)), "kept")

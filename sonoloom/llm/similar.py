@@ -1,14 +1,18 @@
-"""Near-duplicates by word shingles: texts whose sets of five-word shingles have a similarity of 0.8 or more.
+"""SimHash near-duplicates with a check of similarity: five-word shingle sets alike by 0.8 or more (Jaccard).
 
-Method: a prefix-filtered set join. All sets are put in one order, rare shingles first. Two sets that are
-similar enough share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each, so pairs that meet there, and
-whose sizes and positions leave room for the overlap, are all the candidates. Each candidate is then compared
-in full, so no link is lost and none is added. The order only decides how many candidates there are: shingles
-often found in a sample of at most ``SAMPLE`` texts come last.
+A change of one word changes five shingles, so fingerprints of shingles move far (10 of 64 bits at 0.8). Candidates
+therefore come from fingerprints of the text's distinct words, 128 bits wide, which stay near: a covering
+LSH (see ``simhash``) over four parts of 32 bits finds every pair within ``RADIUS`` bits, with 15 masks a part.
+Texts connected by such pairs form a group; inside a group the shingle sets are compared exactly, and
+only texts whose similarity is reached are linked. Components over these links are near-duplicates.
+
+So no link inside a group is lost or added; a similar pair is lost only if its words' fingerprints are more than
+``RADIUS`` bits apart and no chain of others joins them (README gives the measured share). Groups are dealt into pairs of chunks of
+bounded size, so no task holds a large group.
 
 Defined results: words are parted by ASCII white space, A-Z count as a-z; a text under five words is one
 shingle; null text and text without words have the empty set, alike only among themselves. Hashes of shingles
-and sets have 64 bits and decide. Equal rows get equal results; an empty table gives an empty result; other
+have 64 bits, of sets too. Equal rows get equal results; an empty table gives an empty result; other
 columns play no part.
 """
 
@@ -18,108 +22,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sonoloom.llm.hashing import _LOWER
-from sonoloom.llm.simhash import components, one_of_each
-from sonoloom.llm.substring import _spans, word_hashes
+from sonoloom.llm.simhash import _edges, components, covering_links, in_chunks, one_of_each, runs
+from sonoloom.llm.substring import PIECE_BYTES, _cut, runs_of, word_hashes
 from sonoloom.plans.scratch import materialise, small_batches
 
-SHINGLE = 5
+SHINGLE, RADIUS, PARTS = 5, 15, 2
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
-#: Texts counted, how often a shingle must be among them to go last, and how many such shingles are kept.
-SAMPLE, OFTEN, MOST = 16_000, 4, 1 << 16
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    h = word_hashes((text or "").encode().translate(_LOWER).split())
-    if not len(h):
-        return h
-    at = np.arange(max(1, len(h) - SHINGLE + 1))
-    return np.unique(_spans(h, at, np.minimum(at + SHINGLE, len(h))))
-
-
-def _set_key(s: np.ndarray) -> int:
-    return int(_spans(s, np.zeros(1, np.int64), np.array([len(s)]))[0].view(np.int64)) if len(s) else 0
+#: Shingles in a chunk of a group.
+CHUNK = 1 << 17
 
 
-def _first(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The prefix of the set in the common order."""
-    n = len(s) - -(-OVER * len(s) // UNDER) + 1 if len(s) else 0
-    at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
-    rank = np.where(often[at] == s, counts[at], 0) if len(often) else np.zeros(len(s), np.int64)
-    return s[np.argsort(rank, kind="stable")[:n]]
+def shingles(text: str | None, size: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of the shingles, 128-bit fingerprint of the distinct words) of a whole text, a piece at a time."""
+    found, words, first = [], [], None
+    for piece, behind, own in _cut((text or "").encode().translate(_LOWER), SHINGLE, size):
+        h = word_hashes(piece.split())
+        first = h if first is None else first
+        words.append(np.unique(h[behind : behind + own], axis=0) if own else h[:0])
+        if len(h) >= SHINGLE:
+            found.append(np.unique(runs_of(h, SHINGLE, 0)))
+    found = found or [runs_of(first, max(1, len(first)), 0)]  # under five words, the first piece has them all
+    once = np.unique(np.concatenate(words), axis=0) if len(words) > 1 else words[0]
+    votes = np.zeros(128, dtype=np.int64)
+    for at in range(0, len(once), 1 << 16):
+        votes += np.unpackbits(np.ascontiguousarray(once[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    sets = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+    return sets, np.packbits(2 * votes > len(once)).view("<i8")
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
-def _often(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, count) of the shingles found often in the sample, by hash; at most ``MOST`` come to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [shingles(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64))], ["h"])
-
-    parts = -(-max(1, docs.count()) // SAMPLE)
-    texts = docs.select(text_col).where(F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(parts)) == 0).distinct()
-    found = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(MOST).toPandas()
-    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def set_key(s: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), dtype=np.uint64).view(np.int64)) if len(s) else 0
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, node, size, first): ``node`` names the set of shingles, ``first`` is its prefix."""
-    often, counts = _often(docs, text_col)
+    """(doc_id, text_key, node, size, low, high): ``node`` names the set of shingles, low and high are the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(2)]
-            sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_set_key, sets), pa.int64()), sizes, _lists([_first(s, often, counts) for s in sets])], ["doc_id", "text_key", "node", "size", "first"])
+            held = [shingles(t.as_py()) for t in b.column(2)]
+            print_ = np.array([f for _, f in held], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([set_key(s) for s, _ in held], pa.int64()), pa.array([len(s) for s, _ in held], pa.int64()), pa.array(print_[:, 0]), pa.array(print_[:, 1])],
+                ["doc_id", "text_key", "node", "size", "low", "high"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, f"doc_id {kind}, text_key long, node long, size int, first array<long>")
-
-
-def candidates(keyed: DataFrame) -> DataFrame:
-    """(a, b), a < b: nodes that share a prefix shingle and may overlap enough."""
-    rows = keyed.select("node", "size", "first").dropDuplicates(["node"]).select("node", "size", F.posexplode("first").alias("pos", "h"))
-    x = rows.select("h", F.col("node").alias("a"), F.col("size").alias("m"), F.col("pos").alias("i"))
-    y = rows.select("h", F.col("node").alias("b"), F.col("size").alias("n"), F.col("pos").alias("j"))
-    room = (OVER + UNDER) * F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= OVER * (F.col("m") + F.col("n"))
-    return x.join(y, "h").where((F.col("a") < F.col("b")) & room).select("a", "b").distinct()
-
-
-def _sets(docs: DataFrame, text_col: str, keyed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, all): the whole sets of the nodes in ``pairs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_set_key, sets), pa.int64()), _lists(sets)], ["node", "all"])
-
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialise(keyed.join(named, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key"), "texts")
-    own = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).join(texts, "text_key", "left_semi").select("text")
-    return own.mapInArrow(run, "node long, all array<long>").dropDuplicates(["node"])
+    return plain.mapInArrow(run, f"doc_id {kind}, text_key long, node long, size long, low long, high long")
+
+
+def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the sets (sorted, distinct) that are similar enough."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, of = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    many = np.bincount(of)
+    first, holders, begin = np.cumsum(many) - many, owner[order], np.cumsum(sizes) - sizes
+    edges, left = [], np.ones(len(sets), dtype=bool)
+    for i in range(len(sets)):
+        if not left[i]:
+            continue
+        queue, left[i] = [i], False
+        while queue and left.any():
+            k = queue.pop()
+            own = of[begin[k] : begin[k] + sizes[k]]
+            n = many[own]
+            at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(holders[at], minlength=len(sets))
+            near = np.flatnonzero(left & ((OVER + UNDER) * shared >= OVER * (sizes + sizes[k])))
+            edges += [(k, int(j)) for j in near]
+            queue += near.tolist()
+            left[near] = False
+    return edges
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in runs(batches, 3):
+        node = t.column(3).to_numpy()
+        _, once = np.unique(node, return_index=True)
+        held = t.column(4)
+        yield _edges([(int(node[once[i]]), int(node[once[j]])) for i, j in linked([np.frombuffer(held[int(k)].as_buffer(), dtype="<u8") for k in once])])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([shingles(t.as_py())[0].tobytes() for t in b.column(3)], pa.binary())], ["root", "n", "node", "set"])
 
 
 def links(docs: DataFrame, text_col: str, keyed: DataFrame) -> DataFrame:
-    """(a, b): the pairs of nodes whose similarity is 0.8 or more."""
-    pairs = materialise(candidates(keyed), "pairs")
-    sets = materialise(_sets(docs, text_col, keyed, pairs), "sets")
-    x, y = (sets.select(F.col("node").alias(c), F.col("all").alias(f"of_{c}")) for c in "ab")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(x, "a").join(y, "b").where((OVER + UNDER) * shared >= OVER * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    """(a, b): links between the nodes of ``keyed``, a written table, that connect what all links connect."""
+    nodes = materialise(keyed.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("size", "low", "high"))), "nodes")
+    near = components(covering_links(nodes, RADIUS, code=("low", "high"), parts=PARTS))
+    grouped = nodes.join(near.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("node", "text_key", "size", "root")
+    sizes = grouped.groupBy("root").agg(F.sum("size").alias("n"))
+    wanted = materialise(grouped.join(sizes, "root").select("root", "n", "node", "text_key"), "wanted")
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).join(wanted, "text_key").select("root", "n", "node", "text")
+    sets = materialise(texts.mapInArrow(_sets, "root long, n long, node long, set binary").dropDuplicates(["node"]), "sets")
+    pairs = in_chunks(sets, ["root"], F.ceil(F.col("n") / CHUNK).cast("int"), ["node", "set"])
+    return pairs.mapInArrow(_compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,9 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     keyed = materialise(_keyed(docs, id_col, text_col), "shingled")
     roots = components(links(docs, text_col, keyed))
-    return keyed.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    return keyed.select("doc_id", "text_key", "node").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one document of each component, chosen as in ``simhash.keep_one``."""
+    """``docs`` with one document of each component, chosen as in ``simhash.one_of_each``."""
     return one_of_each(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)

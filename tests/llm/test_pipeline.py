@@ -8,7 +8,6 @@ from sonoloom.llm import packing, quality
 from tests.llm.test_decontaminate import slow as slow_hits
 from tests.llm.test_packing import check
 from tests.llm.test_secrets import slow_fixed
-from tests.llm.test_simhash import slow_components
 
 SF = "/root/testdata/sf0.01"
 
@@ -31,11 +30,13 @@ def test_columns_stay(stages):
 
 
 def test_each_stage_against_brute_force(spark, stages):
+    from tests.llm.test_similar import slow_kept  # it uses the stages of this module
+
     (_, docs, good), (_, _, single), (_, _, clean), (_, _, redacted), (_, _, packed) = stages
     scored = {r.doc_id: r.score for r in quality.query(spark, SF).collect()}
     assert sorted(r.doc_id for r in good.collect()) == sorted(i for i, s in scored.items() if s >= 0.3)
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, _, c in slow_components(rows)})
+    assert sorted(r.doc_id for r in single.collect()) == slow_kept(rows)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     hit = {r[0] for r in slow_hits([(r.doc_id, r.text) for r in single.collect()], items) if r[5]}
     assert hit and sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in single.collect() if r.doc_id not in hit)

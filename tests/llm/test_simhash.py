@@ -64,7 +64,7 @@ def test_brute_force_with_edge_cases(spark):
 def test_dense_cluster_is_chunked(spark):
     base = 0x0123456789ABCDEF
     fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(40)})
-    nodes = spark.createDataFrame([(f,) for f in fps] + [(~base,)], "fp long")
+    nodes = spark.createDataFrame([(f,) for f in fps] + [(~base,)], "node long")
     links = simhash.covering_links(nodes, chunk=64)
     assert all((a ^ b).bit_count() <= 3 for a, b in links.limit(500).collect())
     roots = {r.node: r.root for r in simhash.components(links).collect()}
@@ -80,6 +80,15 @@ def test_every_pair_within_radius_meets():
         assert any(not m & d for m in masks)
 
 
+def test_every_pair_within_a_wide_radius_meets():
+    rng = random.Random(4)
+    tables = simhash.covering_tables(15, 2, 2)
+    assert len(tables) == 60
+    for _ in range(5_000):
+        d = sum(1 << i for i in rng.sample(range(128), rng.randint(0, 15)))
+        assert any(not (m % (1 << 64)) & (d >> (64 * w)) & ((1 << 64) - 1) for w, m in tables)
+
+
 def test_empty_table_and_keep_one(spark):
     assert result(spark, []) == []
     long = " ".join(f"t{i}" for i in range(300))
