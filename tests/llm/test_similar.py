@@ -109,7 +109,7 @@ def test_large_groups_are_dealt_into_chunks(spark, monkeypatch):
 def test_given_documents_lose_next_to_no_similar_pair(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     every, found = slow_kept(rows, near=False), slow_kept(rows)
-    assert set(every) <= set(found) and len(found) - len(every) <= 0.01 * (len(rows) - len(every))
+    assert set(every) <= set(found) and len(found) - len(every) <= 0.02 * (len(rows) - len(every))
 
 
 def test_given_documents_and_the_stages_after(spark, stages):
