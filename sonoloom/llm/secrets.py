@@ -1,17 +1,22 @@
 """Secret scan: three fixed patterns, and a randomness test battery that adds spans. DataFrame functions only.
 
-Battery: every run of 20 or more base64-like characters is tested against "its symbols are independent and
-uniform" in its encoding. That is told (hex, base32, base64 or its URL form: upper case, lower case and digits
-as the encoding needs) or, for the rest, the smallest that fits: digits, letters of one case or both, base32
-and base36 of either case, base64. Shorter runs of 20 or more of one case and digits, hex runs and dashed hex
-inside a token are read too, and the reading that looks most random counts. The tests are chi-squared over the alphabet, runs above and below the middle symbol, and
-lag-one serial correlation. Fisher's method joins the three p-values. Tokens of natural text fail. Over
-the whole corpus the Benjamini-Hochberg step-up decides at level ``LEVEL`` which tokens are text, apart for the
-two families (told or not, as the second is mostly text), with
-p-values weighted by length (longer tokens carry more evidence), so at most that share of the tokens
-discarded are truly random. The weight never takes a p-value above the level below itself, so no token whose
-own p-value is above the level is discarded, however long. The tokens not discarded are ``random`` spans, if they overlap no fixed one.
-P-values are rounded up to a grid of tenths of a decade, so the step-up needs a histogram of 151 bins.
+Battery: every run of 20 or more base64-like characters is read in the smallest encoding that fits (digits, hex,
+base32 and base36 of either case, letters, base64 or its URL form), as a whole and, where such parts have 20
+characters, as its runs of letters and digits, of one case and digits, of hex (the longest of each), and dashed hex without dashes.
+Four statistics, each standard normal for independent uniform symbols, are taken of a reading: chi-squared of
+the symbols and of their classes (upper, lower, digit, other; halves of the alphabet if it has one class), runs
+of equal class, and lag-one serial correlation.
+
+A reading is structured, and no secret, if the battery rejects randomness (Fisher, level ``STRUCTURED``). Else its
+p-value is that of text: the chance that text of its length and encoding gives so small a sum of the four. For text
+that sum grows with the square root of the length (``ENCODINGS``, fixed values measured on identifiers, slugs and
+paths of English words), so short tokens need stronger evidence. The smallest p-value of a token's readings,
+times their number, is its own. Over the whole corpus, in each of three classes of length, the Benjamini-Hochberg
+step-up decides which tokens become ``random`` spans, so that at most a share ``LEVEL`` of them is text. P-values are rounded
+up to a grid of tenths of a decade, so the step-up needs a histogram of 3 x 151 bins. Runs of digits, and of letters of one
+case under some hundred characters, cannot be told from numbers and words and are not flagged.
+
+Each text is looked at once: its spans are written to the shared scratch folder, the decision reads them there.
 
 Defined results: null text is empty; texts without matches have counts 0 and empty span lists; equal
 rows get equal spans and each counts as a token; an empty table gives an empty result; other columns
@@ -22,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sonoloom.plans.naming import fresh
 from sonoloom.plans.scratch import materialise
@@ -32,12 +37,24 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: The alphabets in the order of their codes.
-HEX_ALPHABET = "0123456789abcdef"
-BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BASE64_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-LEVEL, LEAST_P, BINS = 0.05, 1e-15, 150
+#: Symbols in the order of their codes, the class of each, and for text of n symbols the sum of the four
+#: statistics: slope by sqrt(n), intercept, and spread at 20 symbols (it grows with the fourth root of n).
+ENCODINGS = {
+    "digits": (DIGITS, "A" * 5 + "B" * 5, 0.0, -100.0, 1.0),
+    "hex": (DIGITS + "abcdef", "A" * 10 + "B" * 6, 2.5, -3.0, 2.0),
+    "lower": (LOWER, "A" * 13 + "B" * 13, 0.80, -1.82, 2.0),
+    "upper": (UPPER, "A" * 13 + "B" * 13, 0.80, -1.82, 2.0),
+    "lower32": (LOWER + "234567", "A" * 26 + "B" * 6, 2.21, -5.20, 1.5),
+    "upper32": (UPPER + "234567", "A" * 26 + "B" * 6, 2.21, -5.20, 1.5),
+    "lower36": (LOWER + DIGITS, "A" * 26 + "B" * 10, 2.64, -5.92, 1.5),
+    "upper36": (UPPER + DIGITS, "A" * 26 + "B" * 10, 2.64, -5.92, 1.5),
+    "letters": (UPPER + LOWER, "A" * 26 + "B" * 26, 2.45, -2.51, 2.0),
+    "base64": (UPPER + LOWER + DIGITS + "+/", "A" * 26 + "B" * 26 + "C" * 10 + "DD", 3.60, -6.08, 2.5),
+}
+LEVEL, STRUCTURED, LEAST_P, BINS = 0.05, 1e-4, 1e-15, 150
+#: First lengths of the classes that the step-up decides apart.
+LENGTHS = (20, 32, 64)
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 MARK = "[SECRET]"
 
@@ -48,19 +65,31 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _located(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Spans of the pattern's matches, leftmost and without overlap; with ``least``, those whose second group is that long."""
+    """Spans of the pattern's matches, leftmost and without overlap; with ``least``, those whose second group is that long.
+
+    Offsets are summed over blocks of 256 matches, so the work is in proportion to the matches.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     second = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if least else 0))
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
     steps = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), second, lambda s, x: F.struct(s["g"].alias("g"), s["m"].alias("m"), (F.length(x) >= least).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def start(at: Column, kind_: str) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(kind_).alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         begin, end = a["at"] + s["g"], a["at"] + s["g"] + s["m"]
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(s["ok"], F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    def all_blocks(every: Column) -> Column:
+        def block(a: Column, b: Column) -> Column:
+            own = F.aggregate(F.slice(every, b * 256 + 1, F.lit(256)), start(a["at"], SPAN), step)
+            return _let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / 256).cast("int")), start(F.lit(0), f"array<{SPAN}>"), block, lambda a: F.flatten(a["out"]))
+
+    return F.when(text.rlike(pattern), _let(steps, all_blocks)).otherwise(F.array().cast(SPAN))
 
 
 def fixed_spans(text: Column) -> Column:
@@ -68,151 +97,156 @@ def fixed_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_located(text, ASSIGN, 1, 6), _located(text, ACCESS, 2), _located(text, HEX, 3)))
 
 
-def _two_sided(z: Column) -> Column:
-    """Two-sided normal p-value by the logistic approximation with a cubic term."""
-    a = F.abs(z)
-    return F.greatest(F.lit(LEAST_P), 2 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * a + 0.07056 * a * a * a))))
+def _tail(x: Column) -> Column:
+    """Chance that a standard normal number is over x: 0.5 for small x, else its usual bound from above."""
+    return F.when(x < 0.8, F.lit(0.5)).otherwise(F.greatest(F.lit(LEAST_P), F.exp(-x * x / 2) / (x * 2.5066282746310002)))
 
 
-def _p_value(codes: Column, k: Column) -> Column:
-    """Joint p-value of symbols numbered 1..k; ``codes`` has 20 or more."""
-    n = F.size(codes).cast("double")
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    squares = total(F.transform(F.array_distinct(codes), lambda s: F.pow(F.size(F.filter(codes, lambda x: x == s)).cast("double"), F.lit(2.0))))
-    chi, df = squares * k / n - n, k - 1
-    uniform = _two_sided((F.cbrt(chi / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))  # Wilson-Hilferty
-    high = F.transform(codes, lambda x: (x * 2 > k).cast("double"))
-    follow = F.slice(codes, 2, F.size(codes) - 1)
-    runs = 1 + total(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda a, b: F.abs(a - b)))
+def _p_value(r: Column) -> Column:
+    """P-value of text for a reading: struct<symbols, alphabet, classes, k, a, b, c, d, slope, level, spread>."""
+    n = F.length(r["symbols"]).cast("double")
+    many = lambda text, s: (F.length(text) - F.length(F.replace(text, s, F.lit("")))).cast("double")
+    squares = F.aggregate(F.split(r["alphabet"], ""), F.lit(0.0), lambda t, s: t + _let(many(r["symbols"], s), lambda x: x * x))
+    classes = F.call_function("translate", r["symbols"], r["alphabet"], r["classes"])
+    shares = [r[x] for x in "abcd"]
 
-    def runs_p(n1: Column) -> Column:
-        both = 2 * n1 * (n - n1)
-        spread = F.sqrt(F.greatest(F.lit(1e-9), both * (both - n) / (n * n * (n - 1))))
-        return F.when(both <= n, F.lit(LEAST_P)).otherwise(_two_sided((runs - both / n - 1) / spread))
+    def normal(chi: Column, df: Column) -> Column:  # Wilson-Hilferty
+        return (F.cbrt(chi / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
 
-    def serial_p(mean: Column) -> Column:
-        own = total(F.transform(codes, lambda x: (x - mean) * (x - mean)))
-        lagged = total(F.zip_with(F.slice(codes, 1, F.size(codes) - 1), follow, lambda a, b: (a - mean) * (b - mean)))
-        return F.when(own == 0, F.lit(LEAST_P)).otherwise(_two_sided((lagged / F.when(own != 0, own) + 1 / n) * F.sqrt(n)))
+    def of_classes(text: Column) -> Column:
+        chi = sum((_let(many(text, F.lit(s)) - n * p, lambda x: x * x) / F.greatest(n * p, F.lit(1e-9)) for s, p in zip("ABCD", shares)), F.lit(0.0))
+        df = sum(((p > 0).cast("double") for p in shares), F.lit(-1.0))
+        runs = F.length(F.regexp_replace(text, "A+|B+|C+|D+", "x")).cast("double")
+        q, cubes = sum((p * p for p in shares), F.lit(0.0)), sum((p * p * p for p in shares), F.lit(0.0))
+        spread = F.sqrt((n - 1) * q * (1 - q) + 2 * (n - 2) * (cubes - q * q))
+        return F.struct(normal(chi, df).alias("g"), ((1 + (n - 1) * (1 - q) - runs) / spread).alias("r"))
 
-    half = -(F.log(uniform) + F.log(_let(total(high), runs_p)) + F.log(_let(total(codes) / n, serial_p)))
-    return F.greatest(F.lit(LEAST_P), F.exp(-half) * (1 + half + half * half / 2))  # chi-squared with six degrees of freedom
+    def serial(codes: Column) -> Column:
+        zero = F.struct(*(F.lit(0.0).alias(x) for x in ("last", "s", "ss", "lag")))
+        sums = F.aggregate(codes, zero, lambda t, x: F.struct(x.alias("last"), (t["s"] + x).alias("s"), (t["ss"] + x * x).alias("ss"), (t["lag"] + t["last"] * x).alias("lag")))
 
+        def value(t: Column) -> Column:
+            mean = t["s"] / n
+            own = t["ss"] - n * mean * mean
+            lagged = t["lag"] - mean * (2 * t["s"] - codes[0] - t["last"]) + (n - 1) * mean * mean
+            return F.when(own < 1e-6, F.lit(99.0)).otherwise((lagged / F.when(own >= 1e-6, own) + 1 / n) * F.sqrt(n))
 
-def _tested(text: Column) -> Column:
-    """array<struct<start, end, p, told>> of all tokens; ``told`` where the encoding of the whole token can be told.
+        return _let(sums, value)
 
-    A token may be random as a whole or behind a prefix; it is text only if it fails every reading, so the largest p counts.
-    """
-
-    def one(span: Column) -> Column:
-        return _let(F.substring(text, span["start"] + 1, span["end"] - span["start"]), lambda token: _let(_encoding(token), lambda e: measured(token, e, span)))
-
-    def measured(token: Column, e: Column, span: Column) -> Column:
-        p = F.aggregate(_readings(token, e), F.lit(LEAST_P), lambda a, r: F.greatest(a, _read_p(r)))
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), p.alias("p"), (e["k"] > 0).alias("told"))
+    codes = F.transform(F.split(r["symbols"], ""), lambda x: F.position(x, r["alphabet"]).cast("double"))
 
-    return F.transform(_located(text, TOKEN, 4), one)
+    def joined(z: Column) -> Column:
+        half = -sum((F.log(2 * _tail(F.abs(z[x]))) for x in ("u", "g", "r", "s")), F.lit(0.0))
+        random = F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6)  # chi-squared with eight degrees of freedom
+        total = z["u"] + z["g"] + z["r"] + F.abs(z["s"])
+        text = _tail((r["slope"] * F.sqrt(n) + r["level"] - total) / (r["spread"] * F.pow(n / 20, F.lit(0.25))))
+        return F.when(random < STRUCTURED, F.lit(1.0)).otherwise(text)
 
+    z = _let(classes, of_classes)
+    return _let(F.struct(normal(squares * r["k"] / n - n, r["k"] - 1).alias("u"), z["g"].alias("g"), z["r"].alias("r"), _let(codes, serial).alias("s")), joined)
 
-def _read_p(reading: Column) -> Column:
-    codes = F.transform(F.sequence(F.lit(1), F.length(reading["symbols"])), lambda i: F.position(F.substring(reading["symbols"], i, F.lit(1)), reading["alphabet"]).cast("double"))
-    return _let(codes, lambda c: _p_value(c, reading["k"]))
 
+def _which(name: str) -> Column:
+    alphabet, classes, slope, level, spread = ENCODINGS[name]
+    k = len(alphabet)
+    shares = [F.lit(classes.count(c) / k).alias(c.lower()) for c in "ABCD"]
+    return F.struct(F.lit(alphabet).alias("alphabet"), F.lit(classes).alias("classes"), F.lit(float(k)).alias("k"), *shares, F.lit(slope).alias("slope"), F.lit(level).alias("level"), F.lit(spread).alias("spread"))
 
-def _which(k: int, alphabet: str) -> Column:
-    return F.struct(F.lit(float(k)).alias("k"), F.lit(alphabet).alias("alphabet"))
 
+def _smallest(token: Column) -> Column:
+    """The smallest encoding that fits."""
+    return (
+        F.when(token.rlike("^[0-9]+$"), _which("digits"))
+        .when(token.rlike("^[a-z]+$"), _which("lower"))
+        .when(token.rlike("^[A-Z]+$"), _which("upper"))
+        .when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), _which("hex"))
+        .when(token.rlike("^[A-Za-z]+$"), _which("letters"))
+        .when(token.rlike("^[a-z2-7]+$"), _which("lower32"))
+        .when(token.rlike("^[A-Z2-7]+$"), _which("upper32"))
+        .when(token.rlike("^[a-z0-9]+$"), _which("lower36"))
+        .when(token.rlike("^[A-Z0-9]+$"), _which("upper36"))
+        .otherwise(_which("base64"))
+    )
 
-def _readings(token: Column, e: Column) -> Column:
-    """array<struct<symbols, k, alphabet>>: the whole token and the runs of 20 or more in it that another encoding fits."""
-
-    def reading(symbols: Column, which: Column) -> Column:
-        plain = F.translate(F.when(which["k"] == 16, F.lower(symbols)).otherwise(symbols), "-_", "+/")
-        return F.struct(plain.alias("symbols"), which["k"].alias("k"), which["alphabet"].alias("alphabet"))
 
-    whole = _let(F.when(e["k"] > 0, e).otherwise(_smallest(token)), lambda w: reading(token, w))
-    runs = [F.transform(F.filter(F.regexp_extract_all(token, F.lit(f"[{symbols}]{{20,}}"), F.lit(0)), lambda r: F.length(r) < F.length(token)), lambda r: _let(_smallest(r), lambda w: reading(r, w))) for symbols in ("0-9a-z", "0-9A-Z")]
-    # a hex run needs digit and letter; what the token or a run shows as hex already is read once
-    hexes = F.filter(F.regexp_extract_all(token, F.lit("[0-9a-f]{20,}|[0-9A-F]{20,}"), F.lit(0)), lambda r: (F.length(r) < F.length(token)) & r.rlike("[0-9]") & r.rlike("[A-Fa-f]"))
+def _readings(token: Column) -> Column:
+    """array<struct<symbols, ...>>: the whole token and the longest parts of 20 or more symbols that may be random in it."""
+    longer = lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)
+    parts = [F.filter(F.array(F.aggregate(F.regexp_extract_all(token, F.lit(p), F.lit(0)), F.lit(""), longer)), lambda x: x != "") for p in ("[0-9A-Za-z]{20,}", "[0-9a-z]{20,}", "[0-9A-Z]{20,}", "[0-9a-f]{20,}|[0-9A-F]{20,}")]
     bare = F.translate(token, "-", "")
-    dashed = token.rlike("^[0-9a-fA-F]+(-[0-9a-fA-F]+)+$") & (F.length(bare) >= 20) & token.rlike("[0-9]") & token.rlike("[A-Fa-f]")
-    as_hex = lambda symbols: reading(symbols, _which(16, HEX_ALPHABET))
-    return F.concat(F.array(whole), *runs, F.transform(hexes, as_hex), F.transform(F.when(dashed, F.array(bare)).otherwise(F.array().cast("array<string>")), as_hex))
+    dashed = F.when(token.rlike("^[0-9a-fA-F]+(-[0-9a-fA-F]+)+$") & (F.length(bare) >= 20), F.array(bare)).otherwise(F.array().cast("array<string>"))
 
+    def reading(symbols: Column) -> Column:
+        def told(w: Column) -> Column:
+            plain = F.translate(F.when(w["k"] == 16, F.lower(symbols)).otherwise(symbols), "-_", "+/")
+            return F.struct(plain.alias("symbols"), *(w[x].alias(x) for x in ("alphabet", "classes", "k", "a", "b", "c", "d", "slope", "level", "spread")))
 
-def _encoding(token: Column) -> Column:
-    digit, letter = token.rlike("[0-9]"), token.rlike("[A-Za-z]")
-    return (
-        F.when(digit & letter & (token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$")), _which(16, HEX_ALPHABET))
-        .when(digit & letter & token.rlike("^[A-Z2-7]+$"), _which(32, BASE32_ALPHABET))
-        .when(digit & token.rlike("[A-Z]") & token.rlike("[a-z]"), _which(64, BASE64_ALPHABET))
-        .otherwise(_which(0, ""))
-    )
+        return _let(_smallest(symbols), told)
 
+    return F.transform(F.array_distinct(F.concat(F.array(token), *parts, dashed)), reading)
 
-def _smallest(token: Column) -> Column:
-    """The smallest of the encodings that fit; a random token is uniform over it, given the kinds of symbols it shows."""
-    digit = token.rlike("[0-9]")
-    return (
-        F.when(token.rlike("^[0-9]+$"), _which(10, DIGITS))
-        .when(token.rlike("^[a-z]+$"), _which(26, LOWER))
-        .when(token.rlike("^[A-Z]+$"), _which(26, UPPER))
-        .when(token.rlike("^[A-Za-z]+$"), _which(52, UPPER + LOWER))
-        .when(digit & (token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$")), _which(16, HEX_ALPHABET))
-        .when(token.rlike("^[a-z2-7]+$"), _which(32, LOWER + DIGITS[2:8]))
-        .when(token.rlike("^[A-Z2-7]+$"), _which(32, BASE32_ALPHABET))
-        .when(token.rlike("^[a-z0-9]+$"), _which(36, DIGITS + LOWER))
-        .when(token.rlike("^[A-Z0-9]+$"), _which(36, DIGITS + UPPER))
-        .otherwise(_which(64, BASE64_ALPHABET))
-    )
 
+def tested(text: Column) -> Column:
+    """array<struct<start, end, p>> of all tokens."""
 
-class Discard:
-    """The corpus decision: weighted p-values in this bin or a later one are text; ``rest`` decides on tokens of no told encoding."""
+    def one(span: Column, token: Column) -> Column:
+        return _let(_readings(token), lambda rs: measured(rs, span))
 
-    def __init__(self, mean_length: float, bin_: int | None, level: float = LEVEL, rest: Discard | None = None):
-        self.mean_length, self.bin, self.level, self.rest = mean_length, bin_, level, rest
+    def measured(rs: Column, span: Column) -> Column:
+        p = F.aggregate(rs, F.lit(1.0), lambda a, r: F.least(a, _p_value(r)))
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.least(F.lit(1.0), p * F.size(rs)).alias("p"))
 
-    def keeps(self, length: Column, p: Column) -> Column:
-        return F.lit(True) if self.bin is None else (_bin(length, p, self.mean_length, self.level) < self.bin) | (p > self.level)
+    return F.zip_with(_located(text, TOKEN, 4), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), one)
 
-    def keeps_token(self, t: Column) -> Column:
-        length, p = t["end"] - t["start"], t["p"]
-        return self.keeps(length, p) if self.rest is None else F.when(t["told"], self.keeps(length, p)).otherwise(self.rest.keeps(length, p))
 
+def _class(length: Column) -> Column:
+    return sum(((length >= x).cast("int") for x in LENGTHS[1:]), F.lit(0))
 
-def _bin(length: Column, p: Column, mean_length: float, level: float = LEVEL) -> Column:
-    weighted = F.when(p > level, F.greatest(p, p * mean_length / length)).otherwise(p * mean_length / length)
-    return F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(-10 * F.log10(weighted)))).cast("int")
 
+def _bin(p: Column) -> Column:
+    return F.least(F.lit(BINS), F.floor(-10 * F.log10(F.greatest(F.lit(LEAST_P), p)))).cast("int")
 
-def calibrate(docs: DataFrame, text_col: str = "text", level: float = LEVEL) -> Discard:
-    """The step-up over the tokens of all documents, once for each family; the driver gets four numbers."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = materialise(docs.select(F.explode(_tested(text)).alias("t")).select((F.col("t.end") - F.col("t.start")).alias("length"), "t.p", "t.told"), "tokens")
-    return _step_up(tokens.where("told"), level, _step_up(tokens.where("not told"), level))
 
+class Flagged:
+    """The corpus decision: in each class of length, tokens in this bin of p-values or a later one are random (None: none are)."""
 
-def _step_up(tokens: DataFrame, level: float, rest: Discard | None = None) -> Discard:
-    m, mean = tokens.agg(F.count("*"), F.avg("length")).first()
-    if not m:
-        return Discard(1.0, None, level, rest)
-    later = W.orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)  # at most 151 rows
-    bins = tokens.groupBy(_bin(F.col("length"), F.col("p"), mean, level).alias("bin")).agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(later))
-    return Discard(mean, bins.where(F.pow(F.lit(10.0), -F.col("bin") / 10) * m <= level * F.col("n")).agg(F.min("bin")).first()[0], level, rest)
+    def __init__(self, bins: list[int | None]):
+        self.bins = bins
 
+    def takes(self, t: Column) -> Column:
+        length = t["end"] - t["start"]
+        least = F.lit(BINS + 1)
+        for c, b in enumerate(self.bins):
+            least = F.when(_class(length) == c, F.lit(BINS + 1 if b is None else b)).otherwise(least)
+        return _bin(t["p"]) >= least
 
-def spans(text: Column, discard: Discard) -> tuple[Column, Column]:
-    """(fixed spans, all spans) as arrays of struct<start, kind, end>, by start, then kind; kinds count from 1."""
-    text = F.coalesce(text, F.lit(""))
-    fixed = fixed_spans(text)
 
-    def added(own: Column) -> Column:
-        free = F.filter(_tested(text), lambda t: discard.keeps_token(t) & ~F.exists(own, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        return F.array_sort(F.concat(own, F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end")))))
+def decide(tokens: DataFrame, level: float = LEVEL) -> Flagged:
+    """The step-up over ``tokens`` (length, p) in each class of length; the driver gets 3 x 151 rows at most."""
+    rows = tokens.groupBy(_class(F.col("length")).alias("c"), _bin(F.col("p")).alias("bin")).agg(F.count("*").alias("n")).collect()
+    bins = []
+    for c in range(len(LENGTHS)):
+        own = {r["bin"]: r["n"] for r in rows if r["c"] == c}
+        m, later, found = sum(own.values()), 0, None
+        for b in sorted(own, reverse=True):
+            later += own[b]
+            found = b if 10 ** (-b / 10) * m <= level * later else found
+        bins.append(found)
+    return Flagged(bins)
 
-    return fixed, _let(fixed, added)
+
+def scan(docs: DataFrame, text_col: str = "text", level: float = LEVEL, drop: bool = True) -> tuple[DataFrame, str, str]:
+    """(``docs`` with two more columns, their names): fixed spans and all spans, as arrays of struct<start, kind, end> by start, then kind; kinds count from 1."""
+    fixed, tokens = fresh(docs, "fixed", "tokens")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    seen = docs.withColumns({fixed: fixed_spans(text), tokens: tested(text)})
+    seen = materialise(seen.drop(text_col) if drop else seen, "scanned")
+    each = seen.select(F.explode(tokens).alias("t")).select((F.col("t.end") - F.col("t.start")).alias("length"), F.col("t.p").alias("p"))
+    flagged = decide(each, level)
+    own = F.col(fixed)
+    free = F.filter(tokens, lambda t: flagged.takes(t) & ~F.exists(own, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    every = F.array_sort(F.concat(own, F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end")))))
+    return seen.withColumn(tokens, every), fixed, tokens
 
 
 def listed(found: Column) -> Column:
@@ -224,21 +258,18 @@ def listed(found: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mark``; overlapping spans give one mark, null text stays null."""
     text = F.col(text_col)
-    _, every = spans(text, calibrate(docs, text_col))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    seen, fixed, every = scan(docs, text_col, drop=False)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        ahead = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
+        ahead = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], ahead).otherwise(a["out"]).alias("out"))
 
-    (held,) = fresh(docs, "spans")
-    cut = F.aggregate(F.col(held), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return docs.withColumn(held, every).withColumn(text_col, F.when(F.size(held) > 0, cut).otherwise(text)).drop(held)
+    cut = F.aggregate(F.col(every), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return seen.withColumn(text_col, F.when(F.size(every) > 0, cut).otherwise(text)).drop(fixed, every).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    fixed, every = spans(F.col("text"), calibrate(docs))
-    found = docs.select("doc_id", fixed.alias("fixed"), every.alias("every"))
-    count = lambda kind: F.size(F.filter("fixed", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", count(1).alias("n_assign"), count(2).alias("n_access"), count(3).alias("n_hex"), F.sha2(listed(F.col("fixed")), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"))
+    found, fixed, every = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter(fixed, lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", count(1).alias("n_assign"), count(2).alias("n_access"), count(3).alias("n_hex"), F.sha2(listed(F.col(fixed)), 256).alias("base_sha256"), listed(F.col(every)).alias("spans"))

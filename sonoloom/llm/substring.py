@@ -56,18 +56,23 @@ def levels(window: int, shortest: int = SHORTEST) -> list[int]:
 
 
 def word_hashes(words: list[bytes], seed: int = SEED) -> np.ndarray:
-    """(n, 2) halves of the words' hashes."""
-    raw = b"".join(map(partial(xxhash.xxh3_128_digest, seed=seed), words))
-    return np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+    """(n, 2) halves of the words' hashes; each different word is hashed once."""
+    place = {w: i for i, w in enumerate(set(words))}
+    raw = b"".join(map(partial(xxhash.xxh3_128_digest, seed=seed), place))
+    return np.frombuffer(raw, dtype="<u8").reshape(-1, 2)[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
 
 def runs_of(h: np.ndarray, length: int, half: int) -> np.ndarray:
     """One half of the hash of each run of ``length`` words: a polynomial of their hashes, which are as good as random."""
-    n, step = len(h) - length + 1, np.uint64(STEPS[half])
-    out = np.zeros(max(0, n), dtype=np.uint64)
-    for i in range(length if n > 0 else 0):
-        out = out * step + h[i : n + i, half]
-    return out
+    n, base = max(0, len(h) - length + 1), STEPS[half]
+    out, have, run, span = None, 0, h[:, half], 1  # run: hashes of ``span`` words; out: of the last ``have`` of the length
+    while True:
+        if length & span:
+            out = run[:n].copy() if out is None else out * np.uint64(pow(base, span, 1 << 64)) + run[have : have + n]
+            have += span
+        if have == length:
+            return out
+        run, span = run[:-span] * np.uint64(pow(base, span, 1 << 64)) + run[span:], 2 * span
 
 
 def _slide(a: np.ndarray, width: int, best, fill: int) -> np.ndarray:
@@ -105,7 +110,7 @@ class _Block:
     def level(self, length: int) -> np.ndarray:
         """Places of the runs of ``length`` words that represent the windows alive."""
         n, width = len(self.h), self.window - length + 1
-        if n < self.window or not self.alive.any():
+        if not self.alive.any():
             self.least, self.alive = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
             return np.zeros(0, dtype=np.int64)
         self.grams = np.concatenate([runs_of(self.h, length, 0) | np.uint64(1), np.full(length - 1, ~np.uint64(0))])
