@@ -64,32 +64,55 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _located(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Spans of the pattern's matches, leftmost and without overlap; with ``least``, those whose second group is that long.
+def _folded(items: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Spans that ``step`` (number so far, item) -> (number, spans) puts out over the items, from 0; in blocks of 256, so the work is in proportion to the items."""
+
+    def zero(at: Column, kind: str) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+
+    def one(a: Column, x: Column) -> Column:
+        at, out = step(a["at"], x)
+        return F.struct(at.alias("at"), F.concat(a["out"], out).alias("out"))
+
+    def all_blocks(every: Column) -> Column:
+        def block(a: Column, b: Column) -> Column:
+            own = F.aggregate(F.slice(every, b * 256 + 1, F.lit(256)), zero(a["at"], SPAN), one)
+            return _let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(every) / 256).cast("int")), zero(F.lit(0), f"array<{SPAN}>"), block, lambda a: F.flatten(a["out"]))
+
+    return _let(items, all_blocks)
 
-    Offsets are summed over blocks of 256 matches, so the work is in proportion to the matches.
-    """
+
+def _span(start: Column, kind: Column, end: Column) -> Column:
+    return F.array(F.struct(start.alias("start"), kind.alias("kind"), end.alias("end")))
+
+
+def _located(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
+    """Spans of the pattern's matches, leftmost and without overlap; with ``least``, those whose second group is that long."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     second = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if least else 0))
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
     steps = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), second, lambda s, x: F.struct(s["g"].alias("g"), s["m"].alias("m"), (F.length(x) >= least).alias("ok")))
 
-    def start(at: Column, kind_: str) -> Column:
-        return F.struct(at.alias("at"), F.array().cast(kind_).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        begin, end = at + s["g"], at + s["g"] + s["m"]
+        return end, F.when(s["ok"], _span(begin, F.lit(kind), end)).otherwise(F.array().cast(SPAN))
 
-    def step(a: Column, s: Column) -> Column:
-        begin, end = a["at"] + s["g"], a["at"] + s["g"] + s["m"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["ok"], F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+    return F.when(text.rlike(pattern), _folded(steps, step)).otherwise(F.array().cast(SPAN))
 
-    def all_blocks(every: Column) -> Column:
-        def block(a: Column, b: Column) -> Column:
-            own = F.aggregate(F.slice(every, b * 256 + 1, F.lit(256)), start(a["at"], SPAN), step)
-            return _let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / 256).cast("int")), start(F.lit(0), f"array<{SPAN}>"), block, lambda a: F.flatten(a["out"]))
+def _added(own: Column, taken: Column) -> Column:
+    """``own`` and the spans ``taken`` (struct<start, end>) that overlap none of them, by start, then kind."""
+    event = lambda key, fixed, other: F.struct(key.alias("key"), F.lit(fixed).alias("fixed"), other.alias("other"))
+    # a taken span comes after the fixed ones that start before its end: it overlaps one if any of these ends behind its start
+    events = F.array_sort(F.concat(F.transform(own, lambda x: event(x["start"], 1, x["end"])), F.transform(taken, lambda x: event(x["end"], 0, x["start"]))))
+
+    def step(far: Column, e: Column) -> tuple[Column, Column]:
+        free = (e["fixed"] == 0) & (far <= e["other"])
+        return F.when(e["fixed"] == 1, F.greatest(far, e["other"])).otherwise(far), F.when(free, _span(e["other"], F.lit(4), e["key"])).otherwise(F.array().cast(SPAN))
 
-    return F.when(text.rlike(pattern), _let(steps, all_blocks)).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(taken) > 0, F.array_sort(F.concat(own, _folded(events, step)))).otherwise(own)
 
 
 def fixed_spans(text: Column) -> Column:
@@ -243,9 +266,7 @@ def scan(docs: DataFrame, text_col: str = "text", level: float = LEVEL, drop: bo
     seen = materialise(seen.drop(text_col) if drop else seen, "scanned")
     each = seen.select(F.explode(tokens).alias("t")).select((F.col("t.end") - F.col("t.start")).alias("length"), F.col("t.p").alias("p"))
     flagged = decide(each, level)
-    own = F.col(fixed)
-    free = F.filter(tokens, lambda t: flagged.takes(t) & ~F.exists(own, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    every = F.array_sort(F.concat(own, F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end")))))
+    every = _added(F.col(fixed), F.filter(tokens, flagged.takes))
     return seen.withColumn(tokens, every), fixed, tokens
 
 
