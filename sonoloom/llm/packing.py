@@ -3,10 +3,12 @@
 Lengths never exceed the capacity, so the packing is planned on the histogram of lengths, which has at
 most ``capacity`` rows however large the corpus is: (1) large lengths, sorted, fall into groups of equal
 cardinality, each rounded up to its largest; (2) the few sizes give a cutting-stock programme, solved by
-column generation, whose configurations are used as often as its rounded-down solution says; (3) the
-documents' own lengths replace the rounded ones, and sequences that these fill to within a few tokens
-stay; (4) what is left, small lengths last, is placed by best fit, longest first. The plan is a list of runs "documents number a to b of length l go to
-sequences c, c+1, ... at offset o"; Spark numbers the documents of each length and looks up their run.
+column generation, whose configurations are used as often as its rounded-down solution says; (3) actual
+documents are substituted: each place of a configuration takes the longest document left that its rounded
+length holds, the last place of several the longest that the sequence itself still holds, so that little is
+wasted; (4) what is left, small lengths last, goes into the gaps by best fit, longest first. The plan is a list of
+runs "documents number a to b of length l go to sequences c, c+1, ... at offset o"; Spark numbers the
+documents of each length and looks up their run.
 
 Defined results: null text is empty and has the end token alone; equal rows are packed as separate
 documents; an empty table gives an empty result; other columns play no part.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from bisect import bisect_right
 from collections import defaultdict
 from functools import cache, cached_property
 
@@ -33,24 +36,33 @@ from sonoloom.plans.scratch import materialise, small_batches
 CAPACITY, END = 1024, 2
 #: Lengths over this share of the capacity are large; they form so many groups.
 LARGE_SHARE, GROUPS = 1 / 8, 64
-#: Tokens that a configuration may waste after substitution.
-SLACK = 4
+#: Tokens that a configuration's sequence may leave to small documents.
+SLACK = 16
+#: What a tokenizer's file says, besides its vocabulary and merges, where the fast coder gives the same ids.
+PLAIN = {
+    "truncation": None, "padding": None, "normalizer": None, "post_processor": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 
 
 class _Coder:
     """text -> ids of the vocabulary in a file: a fast coder where it provably agrees, else the file's own library.
 
-    The fast coder merges by rank; that is the file's order of merges if merge i makes token 256 + i. Where
-    no two white-space characters stand together, its splitting needs no look-ahead over them.
+    The fast coder merges by rank; that is the file's order of merges if merge i makes token 256 + i, and the file
+    says nothing else that decides ids (``PLAIN``). Where no two white-space characters stand together, its
+    splitting needs no look-ahead over them.
     """
 
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, pairs = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(pairs)) or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
-            raise ValueError("the vocabulary is not a byte-level BPE in merge order")
+        vocab, pairs = spec["model"].pop("vocab"), [m.split(" ") if isinstance(m, str) else m for m in spec["model"].pop("merges")]
+        merged = all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs))
+        self.plain = merged and all(spec.get(k) == v for k, v in PLAIN.items()) and all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
+        if not self.plain:  # the file's own library codes everything
+            return
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -66,7 +78,7 @@ class _Coder:
         return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> array | np.ndarray:
-        if not any(t in text for t in self.fixed):
+        if self.plain and not any(t in text for t in self.fixed):
             if not self.pairs.search(text):
                 return array("I", self.single.encode_ordinary(text))
             try:
@@ -189,56 +201,53 @@ class _Plan:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, large_share: float = LARGE_SHARE, groups: int = GROUPS, slack: int = SLACK) -> list[tuple[int, int, int, int, int]]:
-    """(length, first number, count, first sequence, offset) for all documents of the histogram ``counts``.
-
-    A configuration's sequences stay if the documents put for the rounded lengths leave ``slack`` tokens at
-    most; the documents of the others join the small ones in the best fit.
-    """
-    out, left = _Plan(capacity), dict(counts)
-    large = sorted((n for n in counts if n > capacity * large_share), reverse=True)
-    total, queues, at = sum(counts[n] for n in large), [], 0
-    for n in large:  # a group ends where its share is reached, so equal lengths may span groups
-        c = counts[n]
-        while c:
+    """(length, first number, count, first sequence, offset) for all documents of the histogram ``counts``: configurations first, then best fit."""
+    out = _Plan(capacity)
+    left = {n: c for n, c in counts.items() if n > capacity * large_share and c}
+    total, at = sum(left.values()), 0
+    joined: dict[int, int] = defaultdict(int)  # rounded size -> documents
+    for n in sorted(left, reverse=True):
+        end = at + left[n]
+        while at < end:  # a group ends where its share is reached, so equal lengths may span groups
             g = at * groups // total
-            if len(queues) <= g or not queues or queues[-1][0] != g:
-                queues.append((g, []))
-            use = min(c, -(-(g + 1) * total // groups) - at)
-            queues[-1][1].append([n, use])
-            c, at = c - use, at + use
-    if queues:
-        rows = [q for _, q in queues]
-        for times, pattern in _configurations([q[0][0] for q in rows], [sum(c for _, c in q) for q in rows], capacity):
-            slots = [g for g, many in enumerate(pattern) for _ in range(many)]
-            filled = []
-            for g in slots:  # this slot's documents in all ``times`` bins
-                want, got = times, []
-                while want and rows[g]:
-                    use = min(want, rows[g][0][1])
-                    got.append((rows[g][0][0], use))
-                    rows[g][0][1] -= use
-                    want -= use
-                    if not rows[g][0][1]:
-                        rows[g].pop(0)
-                filled.append(got + ([(0, want)] if want else []))
-            done = 0
-            while done < times:
-                n, own = min(slot[0][1] for slot in filled), [slot[0][0] for slot in filled]
-                for slot in filled:
-                    slot[0] = (slot[0][0], slot[0][1] - n)
-                    if not slot[0][1]:
-                        slot.pop(0)
-                done += n
-                if capacity - sum(own) > slack:
-                    continue
-                first, used = out.open(n), 0
-                for length in filter(None, own):
-                    out.put(length, n, first, used)
-                    left[length] -= n
-                    used += length
-                out.leave(first, n, capacity - used)
-    for length in sorted(left, reverse=True):
-        out.best_fit(length, left[length])
+            upto = min(end, -(-(g + 1) * total // groups))
+            rounded = n if -(-g * total // groups) >= end - left[n] else rounded  # the length at the group's begin
+            joined[rounded] += upto - at
+            at = upto
+    sizes, demand = list(joined), list(joined.values())
+    lengths = sorted(left)
+
+    def longest(room: int, held: list[int]) -> int | None:
+        """The longest of the documents left, but for those held, that the room takes."""
+        i = bisect_right(lengths, room)
+        while i:
+            i -= 1
+            if left[lengths[i]] > held.count(lengths[i]):
+                return lengths[i]
+        return None
+
+    for times, pattern in _configurations(sizes, demand, capacity) if sizes else ():
+        places = [size for size, many in zip(sizes, pattern) for _ in range(many)]
+        while times:
+            own: list[int] = []
+            for i, size in enumerate(places):
+                last = i and i == len(places) - 1
+                found = longest(capacity - sum(own) if last else size, own)
+                if found:
+                    own.append(found)
+            if not own or capacity - sum(own) > slack:
+                break  # what is left no longer fills this configuration; best fit does better
+            n = min(times, *(left[x] // own.count(x) for x in own))
+            first, used = out.open(n), 0
+            for x in own:
+                out.put(x, n, first, used)
+                left[x] -= n
+                used += x
+            out.leave(first, n, capacity - used)
+            times -= n
+            lengths = [x for x in lengths if left[x]]
+    for length in sorted(counts, reverse=True):
+        out.best_fit(length, left.get(length, 0) if length in left else counts[length])
     return out.runs
 
 

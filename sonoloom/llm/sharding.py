@@ -1,10 +1,11 @@
 """Balanced shards by longest-processing-time scheduling.
 
 Documents of equal text form a group that stays together. Groups sorted by size, largest first, go to the
-least-loaded shard through a heap. A group that has at least 1/``fine`` of all bytes is scheduled on its
-own; there can be no more than ``fine`` of these. The others are dealt by a hash of their text to
-``fine`` bundles, which are scheduled like groups, so the heap sees at most 2 x ``fine`` entries at any
-corpus size, and the last entries placed, which decide the balance, are that small.
+least-loaded shard through a heap. Groups of one size are alike, so the driver schedules the histogram of group
+sizes: a run of equal groups is dealt at once up to its last round, as the heap would. Of total size b there are
+at most sqrt(2 b) different sizes, far fewer in practice; no group or text comes to the driver. Spark numbers
+the groups of each size and looks up their shard, then gives it to their documents; groups with at least
+1/``hot`` of all rows, ``hot`` at most, are joined by broadcast.
 
 Law: ``bytes`` (sizes near equal). Size: UTF-8 bytes of the text plus 1.
 
@@ -16,45 +17,71 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonoloom.plans.ranking import gapless_rank
 from sonoloom.plans.scratch import materialise
 
-SHARDS, FINE = 16, 32_768
+SHARDS, HOT = 16, 10_000
 
 
-def schedule(entries: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """entry -> shard; ties in size are settled by name, ties in load by shard number."""
-    heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for size, name in sorted(entries, key=lambda e: (-e[0], e[1])):
+def deal(heap: list[tuple[int, int]], size: int, count: int) -> dict[int, int]:
+    """shard -> groups of ``size`` that the heap of (load, shard) gives it, one after the other; the heap is brought up to date."""
+    got: dict[int, int] = {}
+    if count > 2 * len(heap):  # all that go to loads under some level, without popping each
+        low, high = heap[0][0], heap[0][0] + size * (count + 1)
+        under = lambda level: sum(max(0, -((load - level) // size)) for load, _ in heap)
+        while low + 1 < high:
+            middle = (low + high) // 2
+            low, high = (middle, high) if under(middle) <= count else (low, middle)
+        got = {shard: n for load, shard in heap if (n := max(0, -((load - low) // size)))}
+        heap[:] = [(load + size * got.get(shard, 0), shard) for load, shard in heap]
+        heapq.heapify(heap)
+        count -= sum(got.values())
+    for _ in range(count):
         load, shard = heap[0]
-        placed[name] = shard
+        got[shard] = got.get(shard, 0) + 1
         heapq.heapreplace(heap, (load + size, shard))
-    return placed
+    return got
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, fine: int = FINE) -> DataFrame:
+def schedule(counts: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
+    """(size, first number, shard) runs for a histogram (size, groups): groups from a first number on go to that shard."""
+    heap, out = [(0, s) for s in range(shards)], []
+    for size, count in sorted(counts, reverse=True):
+        got, first, starts = deal(heap, size, count), 0, []
+        for n in got.values():
+            starts.append(first)
+            first += n
+        out.append((size, starts, list(got)))
+    return out
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, hot: int = HOT) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot), one row per row of ``docs``; slots are gapless in a shard."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.sha2(text, 256).alias("group"))
-        .withColumn("bundle", F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(fine)))), "sizes",
+        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group")), "sizes",
     )
-    whole = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    groups = materialise(rows.groupBy("group", "bundle").agg(F.sum("size").alias("size")), "groups")
-    large = F.col("size") * fine >= F.lit(whole["bytes"] or 0)
-    entry = F.when(large, F.col("group")).otherwise(F.col("bundle"))
-    entries = groups.groupBy(entry.alias("entry")).agg(F.sum("size").alias("size")).collect()  # 2 x fine at most
-    placed = schedule([(r["size"], r["entry"]) for r in entries], shards)
-    places = F.broadcast(spark.createDataFrame(sorted(placed.items()), "entry string, shard int"))
-    own = places.where("length(entry) = 64").select(F.col("entry").alias("group"), F.col("shard").alias("_own"))
-    rest = places.where("length(entry) < 64").select(F.col("entry").alias("bundle"), F.col("shard").alias("_rest"))
-    found = rows.join(F.broadcast(own), "group", "left").join(F.broadcast(rest), "bundle", "left")
-    shared = materialise(found.select("doc_id", "size", "text_crc32", F.coalesce("_own", "_rest").alias("shard")), "shards")
-    return gapless_rank(shared, "shard", ["doc_id", "text_crc32", "size"], "slot", whole["n"])
+    groups = materialise(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    whole = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("c")).toArrow()
+    runs = schedule(list(zip(sizes["bytes"].to_pylist(), sizes["c"].to_pylist())), shards)
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    table = pa.table([pa.array(list(c), k) for c, k in zip(zip(*runs) if runs else ((), (), ()), kinds)], names=["of", "starts", "shards"])
+    numbered = gapless_rank(groups, "bytes", ["group"], "number", whole["groups"])
+    at = F.size(F.filter("starts", lambda x: x <= F.col("number")))
+    placed = numbered.join(spark.createDataFrame(table), F.col("bytes") == F.col("of")).select("group", "n", F.element_at("shards", at).alias("shard"))
+    placed = materialise(placed, "placed")
+    large = F.col("n") * hot >= F.lit(whole["rows"])
+    own = F.broadcast(placed.where(large).select("group", F.col("shard").alias("own")))
+    rest = placed.where(~large).select("group", F.col("shard").alias("rest"))
+    seen = rows.join(own, "group", "left")
+    columns = ["doc_id", "size", "text_crc32"]
+    found = seen.where("own IS NOT NULL").select(*columns, F.col("own").alias("shard")).unionByName(seen.where("own IS NULL").join(rest, "group").select(*columns, F.col("rest").alias("shard")))
+    return gapless_rank(materialise(found, "shards"), "shard", ["doc_id", "text_crc32", "size"], "slot", whole["rows"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -79,6 +80,36 @@ def test_plan_places_everything_once(counts, groups):
     assert sorted(fill) == list(range(len(fill)))
 
 
+def test_configurations_place_most_large_documents():
+    """The histogram has the shape of the given documents' lengths: many short ones, a long tail, some pieces of full length."""
+    rng = random.Random(5)
+    counts = Counter(min(1024, 1 + int(rng.lognormvariate(5.7, 1.0))) for _ in range(60_000))
+    placed = Counter()
+
+    class Watched(packing._Plan):
+        def best_fit(self, length, count):
+            placed[length] += count
+            super().best_fit(length, count)
+
+    plain, packing._Plan = packing._Plan, Watched
+    try:
+        runs = packing.plan(dict(counts))
+    finally:
+        packing._Plan = plain
+    bins, least = max(r[3] + r[2] for r in runs), -(-sum(n * c for n, c in counts.items()) // 1024)
+    large = sum(c for n, c in counts.items() if 128 < n < 1024)
+    assert sum(c for n, c in placed.items() if 128 < n < 1024) < large / 2 and bins <= least * 1.002 + 1
+
+
+def test_a_file_that_says_more_is_left_to_its_library(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    assert packing._Coder(PATH).plain
+    spec["model"]["ignore_merges"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    coder = packing._Coder(str(tmp_path / "other.json"))
+    assert not coder.plain and list(coder("some words")) == Tokenizer.from_file(str(tmp_path / "other.json")).encode("some words", add_special_tokens=False).ids
+
+
 def test_query(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     bins, least = check(docs, packing.query(spark, sf).collect())

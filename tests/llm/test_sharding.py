@@ -1,7 +1,11 @@
+import heapq
 import random
 import zlib
 from collections import Counter, defaultdict
 
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
 from sonoloom.llm import sharding
 
 SCHEMA = "doc_id long, text string, size string, shard string, group string"
@@ -38,11 +42,34 @@ def test_is_exactly_lpt_where_every_group_is_large(spark):
     assert sorted(load) == sorted(slow)
 
 
-def test_bundles_keep_balance_and_hot_group_together(spark):
-    rng = random.Random(2)
-    docs = [(i, str(rng.random()) * rng.randint(1, 9)) for i in range(3000)] + [(9000 + i, "copy") for i in range(1500)]
-    load = check(docs, run(spark, docs, shards=4, fine=256), 4)
-    assert max(load) - min(load) <= 0.02 * sum(load) / 4
+def plain_lpt(sizes, shards):
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, shard = heap[0]
+        heapq.heapreplace(heap, (load + size, shard))
+    return [load for load, _ in sorted(heap, key=lambda e: e[1])]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 300), st.integers(1, 90), max_size=12), st.integers(1, 7))
+def test_runs_are_dealt_as_the_heap_would(counts, shards):
+    load = [0] * shards
+    for size, starts, to in sharding.schedule(list(counts.items()), shards):
+        for a, b, s in zip(starts, [*starts[1:], counts[size]], to):
+            load[s] += size * (b - a)
+    assert load == plain_lpt([s for s, c in counts.items() for _ in range(c)], shards)
+
+
+def test_equals_plain_lpt_with_over_100_000_groups_and_a_hot_one(spark):
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit("é"), (F.pmod(F.xxhash64("id"), F.lit(97)) + F.when(F.col("id") < 40, 3000).otherwise(0)).cast("int")))
+    docs = spark.range(120_000).select(F.col("id").alias("doc_id"), text.alias("text")).unionByName(spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text")))
+    found = sharding.assign(docs)
+    load = {r.shard: r.b for r in found.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    groups = [r.b for r in docs.groupBy("text").agg(F.sum(F.octet_length("text") + 1).alias("b")).collect()]
+    assert len(groups) > 100_000 and [load[s] for s in range(16)] == plain_lpt(groups, 16)
+    assert found.where(F.col("text_crc32") == zlib.crc32(b"copy")).select("shard").distinct().count() == 1
+    slots = found.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r.n == r.d == r.m + 1 for r in slots)
 
 
 def test_empty_table(spark):
