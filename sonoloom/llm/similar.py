@@ -41,7 +41,7 @@ def shingles(text: str | None, size: int = PIECE_BYTES) -> tuple[np.ndarray, np.
     """(sorted distinct hashes of the shingles, 128-bit fingerprint of the distinct words) of a whole text, a piece at a time."""
     found, words, first = [], [], None
     for piece, behind, own in _cut((text or "").encode().translate(_LOWER), SHINGLE, size):
-        h = word_hashes(piece.split())
+        h = word_hashes(piece)[0]
         first = h if first is None else first
         words.append(np.unique(h[behind : behind + own], axis=0) if own else h[:0])
         if len(h) >= SHINGLE:

@@ -5,7 +5,7 @@ to the window length (35 words: 9, 18, 35). At each level a window is represente
 of that many words; windows whose representative starts once only are dropped, the others go on to the
 next level, until the last level is the whole window.
 
-Words are hashed by keyed XXH3 with 128 bits. The levels below the last only rule windows out, with 64 bits;
+Words are hashed with 128 bits by a keyed mixing function, no polynomial of their bytes. The levels below the last only rule windows out, with 64 bits;
 equal windows have equal hashes, so none is lost. The last level decides with 128 bits, which 10^13
 different windows share by chance with a probability under 10^-12.
 
@@ -25,7 +25,6 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -35,6 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sonoloom.llm.hashing import _mix
 from sonoloom.plans.scratch import materialise, scratch_path, small_batches
 
 WINDOW, SHORTEST, SEED = 35, 9, 0x9E3779B97F4A7C15
@@ -44,6 +44,8 @@ PIECE_BYTES, BLOCK_BYTES, PART_BYTES = 1 << 20, 1 << 21, 1 << 23
 STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 HASHES = "block long, part long, hashes binary, flags binary"
 WORD, SPACE = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
+MASK, LONG_WORD = (1 << 64) - 1, 64
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 KEY = np.dtype([("low", "<u8"), ("high", "<u8")])
 
 
@@ -55,11 +57,27 @@ def levels(window: int, shortest: int = SHORTEST) -> list[int]:
     return found
 
 
-def word_hashes(words: list[bytes], seed: int = SEED) -> np.ndarray:
-    """(n, 2) halves of the words' hashes; each different word is hashed once."""
-    place = {w: i for i, w in enumerate(set(words))}
-    raw = b"".join(map(partial(xxhash.xxh3_128_digest, seed=seed), place))
-    return np.frombuffer(raw, dtype="<u8").reshape(-1, 2)[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+def word_hashes(text: bytes, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """((n, 2) halves of the hashes, start, end) of a text's words.
+
+    Eight bytes at a time go through a mixing function (one-to-one, so words of at most eight bytes cannot collide
+    in either half); XXH3 hashes words of over ``LONG_WORD`` bytes.
+    """
+    gap = np.concatenate([[True], _SPACE[np.frombuffer(text, dtype=np.uint8)], [True]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[0::2], edge[1::2]
+    size = end - start
+    lanes = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+    h = _mix(np.array([seed & MASK, ~seed & MASK], dtype=np.uint64) + size.astype(np.uint64)[:, None] * np.array(STEPS, dtype=np.uint64))
+    at, first = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at):
+        rest = size[at] - first
+        lane = lanes[start[at] + first] & np.where(rest < 8, (np.uint64(1) << (8 * np.minimum(rest, 7)).astype(np.uint64)) - np.uint64(1), np.uint64(MASK))
+        h[at, 0], h[at, 1] = _mix(h[at, 0] ^ lane), _mix(h[at, 1] + lane * np.uint64(STEPS[0]))
+        at, first = at[rest > 8], first + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = np.frombuffer(xxhash.xxh3_128_digest(text[start[i] : end[i]], seed), dtype="<u8")
+    return h, start, end
 
 
 def runs_of(h: np.ndarray, length: int, half: int) -> np.ndarray:
@@ -91,21 +109,15 @@ class _Block:
     """The pieces of a block; ``alive`` marks the starts of windows still in question, ``own`` those that count here."""
 
     def __init__(self, row: dict, window: int):
-        text, at, words, size, own = zstandard.ZstdDecompressor().decompress(row["z"]), 0, [], [], []
-        for n, behind, mine in zip(row["size"], row["behind"], row["own"]):
-            found = text[at : at + n].split()
-            at += n
-            words += found
-            size.append(len(found))
-            own += [(behind, behind + mine)]
-        sizes = np.array(size, dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        self.words, self.starts, self.bounds, self.window = words, starts, own, window
-        self.h = word_hashes(words)
-        here = np.arange(len(words))
-        self.alive = here + window <= np.repeat(starts + sizes, sizes)
-        low, high = np.array(own, dtype=np.int64).reshape(-1, 2).T
-        self.own = (here >= np.repeat(starts + low, sizes)) & (here < np.repeat(starts + high, sizes))
+        self.text, self.window = zstandard.ZstdDecompressor().decompress(row["z"]), window
+        self.h, self.begin, self.end = word_hashes(self.text)
+        ends = np.searchsorted(self.begin, np.cumsum(row["size"]))  # of each piece, in words
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        sizes, behind = ends - starts, np.array(row["behind"], dtype=np.int64)
+        self.bounds = list(zip((starts + behind).tolist(), (starts + behind + np.array(row["own"], dtype=np.int64)).tolist()))
+        here, low, high = np.arange(len(self.h)), starts + behind, starts + behind + np.array(row["own"], dtype=np.int64)
+        self.alive = here + window <= np.repeat(ends, sizes)
+        self.own = (here >= np.repeat(low, sizes)) & (here < np.repeat(high, sizes))
 
     def level(self, length: int) -> np.ndarray:
         """Places of the runs of ``length`` words that represent the windows alive."""
@@ -275,9 +287,10 @@ def _finish(lengths: list[int]):
             _told(row, block, lengths, len(lengths))
             gone = block.removed()
             n_words, n_removed, kept = [], [], []
-            for start, (low, high) in zip(block.starts.tolist(), block.bounds):
-                words, own = block.words[start + low : start + high], gone[start + low : start + high]
-                n_words.append(len(words))
+            for low, high in block.bounds:
+                own = gone[low:high]
+                words = block.text[block.begin[low] : block.end[high - 1]].split() if high > low else []
+                n_words.append(high - low)
                 n_removed.append(int(own.sum()))
                 kept.append(b" ".join(compress(words, ~own) if own.any() else words).decode())
             columns = [one.column(c).flatten() for c in ("uid", "piece", "cut", "ids")]

@@ -2,7 +2,6 @@ import random
 from collections import defaultdict
 
 import numpy as np
-import xxhash
 
 import corpus_pipeline
 from sonoloom.llm import similar, substring
@@ -22,8 +21,8 @@ def slow_print(text):
     """128-bit fingerprint of the distinct words."""
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = {w for w in lowered.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if w}
-    h = [xxhash.xxh3_128_intdigest(w.encode(), substring.SEED) for w in words]
-    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    h = ["".join(f"{b:08b}" for b in substring.word_hashes(w.encode())[0].tobytes()) for w in words]
+    return int("0" + "".join(str(int(2 * sum(x[b] == "1" for x in h) > len(h))) for b in range(128)), 2)
 
 
 def union_find(n, joined):

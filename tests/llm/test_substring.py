@@ -61,6 +61,18 @@ def test_pieces_hold_each_word_once_with_its_neighbours():
             assert at == len(words)
 
 
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    rng = random.Random(7)
+    words = list({bytes(rng.choice(b"ab\x00\xc3") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 40, 64, 65, 200]))) for _ in range(5000)})
+    h, start, end = substring.word_hashes(b"  " + b" \n".join(words) + b"\t")
+    text = b"  " + b" \n".join(words) + b"\t"
+    assert [text[a:b] for a, b in zip(start, end)] == words
+    assert len({r.tobytes() for r in h}) == len(words) and len(set(h[:, 0].tolist())) == len(set(h[:, 1].tolist())) == len(words)
+    for i in rng.sample(range(len(words)), 50):
+        assert substring.word_hashes(words[i])[0].tolist() == [h[i].tolist()]
+    assert not len(substring.word_hashes(b"")[0]) and not len(substring.word_hashes(b" \n")[0])
+
+
 def test_long_words_are_not_taken_for_others(spark):
     """A polynomial modulo 2^64 cannot tell these two words apart, whatever its base."""
     first = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
