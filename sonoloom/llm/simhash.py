@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -102,25 +103,38 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(found, dtype=np.int64).reshape(-1, 2)
+def _edges(found: np.ndarray | list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.asarray(found, dtype=np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
-def _forests(radius: int):
-    """Over partitions sorted by bucket: one spanning forest for each run of equal buckets."""
+def _forests(radius: int, few: int = 4):
+    """Over partitions sorted by bucket: edges for each run of equal buckets, all links in one of ``few`` rows at most, else a spanning forest."""
+
+    def links(keys: np.ndarray, node: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        first, sizes = cuts[:-1], np.diff(cuts)
+        for m in range(2, few + 1):
+            at = first[sizes == m]
+            for i, j in combinations(range(m), 2):
+                near = at[np.bitwise_count(code[at + i] ^ code[at + j]).sum(axis=1) <= radius]
+                yield np.stack([node[near + i], node[near + j]], axis=1)
+        for a, n in zip(first[sizes > few].tolist(), sizes[sizes > few].tolist()):
+            yield np.array(_forest(node[a : a + n], code[a : a + n], radius), dtype=np.int64).reshape(-1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for t in runs(batches, 4):
-            node = t.column(4).to_numpy()
-            _, first = np.unique(node, return_index=True)
-            code = np.stack([t.column(i).to_numpy()[first] for i in range(5, t.num_columns)], axis=1).view(np.uint64) if t.num_columns > 5 else node[first].reshape(-1, 1).view(np.uint64)
-            found += _forest(node[first], code, radius)
-            if len(found) >= 1 << 16:
-                yield _edges(found)
-                found = []
-        yield _edges(found)
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+            now = [np.stack(now[:4], axis=1), now[4], np.stack(now[5:] or now[4:], axis=1).view(np.uint64)]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            whole = int(np.flatnonzero((now[0] != now[0][-1]).any(axis=1)).max(initial=-1)) + 1  # the last run may go on
+            held = [x[whole:] for x in now]
+            yield _edges(np.concatenate([np.zeros((0, 2), np.int64), *links(*(x[:whole] for x in now))]))
+        if held is not None:
+            yield _edges(np.concatenate([np.zeros((0, 2), np.int64), *links(*held)]))
 
     return run
 
