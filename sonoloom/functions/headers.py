@@ -44,10 +44,14 @@ def transducer_model(data: Column, manufacturer: Column, model: Column) -> Colum
 
 
 def hash_number(value: Column, modulus: int) -> Column:
-    """SHA-256 of the text as one number, modulo ``modulus``; sixteen bits at a time in 64-bit arithmetic."""
-    digest = F.sha2(value, 256)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substr(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: (a * 65536 + x) % modulus)
+    """SHA-256 of the text as one number, modulo ``modulus`` (at most 10^10): seven hexadecimal digits at a time, each part
+    times the residue of its place value, all in 64-bit arithmetic without a loop."""
+    digest, total = F.sha2(value, 256), F.lit(0).cast("long")
+    for end in range(64, 0, -7):
+        first = max(0, end - 7)
+        part = F.conv(F.substring(digest, first + 1, end - first), 16, 10).cast("long")
+        total = total + part * F.lit(pow(16, 64 - end, modulus)).cast("long") % F.lit(modulus).cast("long")
+    return total % F.lit(modulus).cast("long")
 
 
 def hash_id(value: Column, digits: int) -> Column:
@@ -91,9 +95,13 @@ def camel_to_snake(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2"))
 
 
+#: Fixed value: what counts as one word of a CamelCase name; digits stay with the word before them.
+CAMEL_WORD = r"[A-Z][a-z\d]+|[A-Z\d]+(?=[A-Z][a-z\d]|[^a-zA-Z\d]|$)|[a-z\d]+"
+
+
 def humanize(c: Column) -> Column:
     """CamelCase words, acronym runs kept together, joined by spaces."""
-    return F.array_join(F.regexp_extract_all(c, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+)"), F.lit(1)), " ")
+    return F.array_join(F.regexp_extract_all(c, F.lit(CAMEL_WORD), F.lit(0)), " ")
 
 
 def pixel_spacing(delta_cm: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sonoloom.functions import headers as H
 
-#: Tags that may pass de-identification, and those written blank when missing.
-ALLOWED = ("Modality", "NumberOfFrames", "PhysicalDeltaX", "PhysicalDeltaY", "TransducerData", "Manufacturer", "ManufacturerModelName", "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID")
-ALWAYS = ("TransducerData", "Manufacturer", "ManufacturerModelName")
+#: Tags that pass de-identification where present, and those written in any case, blank when missing.
+COPIED = ("BitsAllocated", "BitsStored", "HighBit", "PatientAge", "PatientSex", "PixelRepresentation", "SeriesNumber", "StationName", "StudyDate", "StudyDescription", "StudyTime", "Manufacturer")
+ALWAYS = ("TransducerData", "TransducerType", "ManufacturerModelName")
+UIDS = ("SOPClassUID", "SOPInstanceUID", "SeriesInstanceUID", "StudyInstanceUID")
+#: Conformance defaults; the pointer is the tag of the frame time.
+IMAGE_TYPE, FRAME_TIME, FRAME_TIME_TAG = "ORIGINAL\\PRIMARY\\IMAGE", 0.1, "00181063"
+NAME, BIRTH_DATE, PIXELS = "Patient's Name", "Patient's Birth Date", "Pixel Data"
 REQUIRED = ("PatientID", "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID")
 
 
@@ -42,6 +46,12 @@ def scan(df: DataFrame, hashed: bool = True) -> DataFrame:
     )
 
 
+def extract_spacing(df: DataFrame) -> DataFrame:
+    """Deltas of the first of a header's ``regions``, null where there is none."""
+    first = F.try_element_at("regions", F.lit(1))
+    return df.select("*", first["PhysicalDeltaX"].alias("dx"), first["PhysicalDeltaY"].alias("dy"))
+
+
 def patch_flag():
     return F.col("PhysicalDeltaX").isNull() | F.col("PhysicalDeltaY").isNull()
 
@@ -88,27 +98,31 @@ def collect_files(files: DataFrame) -> DataFrame:
 
 
 def tag_allowlist(df: DataFrame) -> DataFrame:
-    return df.select("InputPath", *(F.coalesce(c, F.lit("")).alias(c) if c in ALWAYS else F.col(c) for c in ALLOWED))
+    """The tags that may pass: copied ones stay null where missing, the others become blank."""
+    return df.select("InputPath", *COPIED, *(F.coalesce(c, F.lit("")).alias(c) for c in ALWAYS))
 
 
 def uid_passthrough(df: DataFrame) -> DataFrame:
     """UIDs as they are; a missing one becomes a number derived from the path and the UID's name."""
     made = lambda c: F.concat(F.lit("2.25."), H.hash_id(F.concat(F.lit(f"{c}|"), F.col("InputPath")), 10))
-    return df.select("InputPath", *(F.when(H.blank(F.col(c)), made(c)).otherwise(F.col(c)).alias(c) for c in REQUIRED[1:]))
+    return df.select("InputPath", *(F.when(H.blank(F.col(c)), made(c)).otherwise(F.col(c)).alias(c) for c in UIDS))
 
 
 def conformance_defaults(df: DataFrame) -> DataFrame:
-    many = F.coalesce("NumberOfFrames", F.lit(1)) > 1
+    """Required attributes: what is present stays; frame time and pointer for several frames only, planar configuration for colour only."""
+    many, colour = F.coalesce("NumberOfFrames", F.lit(1)) > 1, F.col("SamplesPerPixel") == 3
+    given = lambda c, default: F.coalesce(c, F.lit(default))
     return df.select(
-        "InputPath", F.lit("").alias("Laterality"), F.lit("1").alias("InstanceNumber"), F.lit("ORIGINAL\\PRIMARY\\IMAGE").alias("ImageType"),
-        F.when(many, F.lit("0.1")).alias("FrameTime"), F.when(many, F.lit("FrameTime")).alias("FrameIncrementPointer"),
+        "InputPath", given("Laterality", "").alias("Laterality"), given("InstanceNumber", "1").alias("InstanceNumber"), given("PatientOrientation", "").alias("PatientOrientation"), given("ImageType", IMAGE_TYPE).alias("ImageType"),
+        F.when(many, given("FrameTime", FRAME_TIME)).alias("FrameTime"), F.when(many, given("FrameIncrementPointer", FRAME_TIME_TAG)).alias("FrameIncrementPointer"),
+        F.when(colour, given("PlanarConfiguration", 0)).alias("PlanarConfiguration"),
     )
 
 
 def shift_dates(df: DataFrame) -> DataFrame:
-    """Study and content dates moved by one offset per patient; times stay."""
+    """Study, series and content dates moved by one offset per patient; times stay."""
     offset = H.date_offset(F.col("PatientID"))
-    return df.select("InputPath", offset.alias("offset"), *(H.shift_date(F.col(c), offset).alias(c) for c in ("StudyDate", "ContentDate")), "ContentTime")
+    return df.select("InputPath", offset.alias("offset"), *(H.shift_date(F.col(c), offset).alias(c) for c in ("StudyDate", "SeriesDate", "ContentDate")), "ContentTime")
 
 
 def blank_phi(df: DataFrame) -> DataFrame:
@@ -139,10 +153,20 @@ def lookup_instance(cat: DataFrame) -> DataFrame:
     return cat.groupBy("InstanceUID").agg(F.min("InputPath").alias("path"), F.coalesce(F.min_by("SeriesNumber", "InputPath").cast("string"), F.lit("1")).alias("series"))
 
 
-def asof_transducer_mask(saved: DataFrame) -> DataFrame:
-    """Each row's model with the mask saved last before it for that model."""
-    earlier = W.partitionBy("model").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    return saved.withColumn("mask_before", F.last("mask", ignorenulls=True).over(earlier))
+def asof_transducer_mask(saved: DataFrame, coarse: Column) -> DataFrame:
+    """Each row's model with the mask saved last before it for that model.
+
+    ``coarse`` never falls as ``seq`` rises, such as its date. A model's rows are ordered inside one value of it; across
+    values only each one's last mask is carried on, so no task holds a model.
+    """
+    ranged = saved.withColumn("_range", coarse)
+    last = ranged.groupBy("model", "_range").agg(F.max_by("mask", F.when(F.col("mask").isNotNull(), F.col("seq"))).alias("_last"))
+    before = W.partitionBy("model").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(F.col("model").alias("_model"), F.col("_range").alias("_of"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = W.partitionBy("model", "_range").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    own = ranged.withColumn("_own", F.last("mask", ignorenulls=True).over(inside))
+    joined = own.join(carried, F.col("model").eqNullSafe(F.col("_model")) & F.col("_range").eqNullSafe(F.col("_of")), "left")
+    return joined.withColumn("mask_before", F.coalesce("_own", "_carried")).select(*saved.columns, "mask_before")
 
 
 def run_summary(results: DataFrame, by: str) -> DataFrame:
@@ -162,13 +186,39 @@ def directory_summary(df: DataFrame) -> DataFrame:
     return df.where(is_dicom(F.col("InputPath"))).groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.bool_and(ok).alias("ok"))
 
 
-def header_pairs(df: DataFrame) -> DataFrame:
-    """(InputPath, at, key, value): a header record as rows in the order of its fields."""
-    fields = [c for c in df.columns if c != "InputPath"]
-    pairs = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for i, c in enumerate(fields)))
-    return df.select("InputPath", F.inline(pairs))
+def flatten_header(df: DataFrame, depth: int = 4) -> DataFrame:
+    """(InputPath, at, key, value): the elements of a nested header ``json``, pixel data left out.
+
+    ``at`` gives the place on each level, an item's place in its sequence between; its order is depth first. Items of
+    sequences are opened ``depth`` levels deep; an element below that keeps its text.
+    """
+    held, out = df.select("InputPath", F.array().cast("array<int>").alias("at"), "json"), None
+    nested = F.col("value").rlike(r"^\[\s*\{")
+    for level in range(depth):
+        found = held.select("InputPath", "at", F.posexplode(F.from_json("json", "map<string,string>")).alias("i", "key", "value")).where(F.col("key") != PIXELS)
+        found = found.select("InputPath", F.array_append("at", F.col("i")).alias("at"), "key", "value")
+        leaves = found.where(~F.coalesce(nested, F.lit(False))) if level + 1 < depth else found
+        out = leaves if out is None else out.unionByName(leaves)
+        items = found.where(nested).select("InputPath", "at", F.posexplode(F.from_json("value", "array<string>")).alias("i", "json"))
+        held = items.select("InputPath", F.array_append("at", F.col("i")).alias("at"), "json")
+    return out
+
+
+def find_key(flat: DataFrame, key: str) -> DataFrame:
+    """First value of ``key`` in each header, depth first, N/A where there is none."""
+    own = F.col("key") == key
+    return flat.groupBy("InputPath").agg(F.coalesce(F.min_by(F.when(own, F.col("value")), F.when(own, F.col("at"))), F.lit("N/A")).alias("found"))
+
+
+def header_json(df: DataFrame, stem: Column) -> DataFrame:
+    """(InputPath, json): the header as it is, but for the pixel data, the name (``stem``) and the birth date (its year)."""
+    given = F.from_json("json", "map<string,string>")
+    changed = F.transform_values(F.map_filter(given, lambda k, v: k != PIXELS), lambda k, v: F.when(k == NAME, stem).when(k == BIRTH_DATE, F.concat(F.substring(v, 1, 4), F.lit("0101"))).otherwise(v))
+    nested = lambda v: v.rlike(r"^\[\s*\{")
+    text = F.transform(F.map_entries(changed), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.when(nested(e["value"]), e["value"]).otherwise(_quoted(e["value"]))))
+    return df.select("InputPath", F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}")).alias("json"))
 
 
-def find_key(pairs: DataFrame, key: str) -> DataFrame:
-    """First value of ``key`` in each header, N/A where there is none."""
-    return pairs.groupBy("InputPath").agg(F.coalesce(F.min_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, F.col("at"))), F.lit("N/A")).alias("found"))
+def _quoted(c: Column) -> Column:
+    """A JSON string literal."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)

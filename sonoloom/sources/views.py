@@ -30,7 +30,18 @@ SELECT concat('/in/p', CAST(o_custkey AS STRING), '/s', CAST(l_orderkey AS STRIN
   CASE WHEN p_size % 7 = 0 THEN 'Butterfly Network Inc' ELSE p_brand END AS Manufacturer,
   p_name AS ManufacturerModelName,
   concat(lpad(CAST(p_size * 2 AS STRING), 3, '0'), CASE WHEN p_partkey % 5 = 0 THEN 'M' ELSE 'Y' END) AS PatientAge,
-  concat(CAST(1940 + o_custkey % 60 AS STRING), '0615') AS PatientBirthDate
+  concat(CAST(1940 + o_custkey % 60 AS STRING), '0615') AS PatientBirthDate,
+  CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE replace(substr(CAST(l_shipdate AS STRING), 1, 10), '-', '') END AS SeriesDate,
+  CASE WHEN p_size % 6 > 0 THEN 8 END AS BitsAllocated, CASE WHEN p_size % 6 > 0 THEN 8 END AS BitsStored, CASE WHEN p_size % 6 > 0 THEN 7 END AS HighBit,
+  CASE WHEN p_size % 5 > 0 THEN 0 END AS PixelRepresentation, CASE WHEN o_custkey % 3 = 0 THEN 'F' WHEN o_custkey % 3 = 1 THEN 'M' END AS PatientSex,
+  CASE WHEN l_linenumber < 6 THEN CAST(l_linenumber AS STRING) END AS SeriesNumber, CASE WHEN p_size % 9 > 0 THEN concat('ST', CAST(l_suppkey % 9 AS STRING)) END AS StationName,
+  CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS StudyDescription, concat(lpad(CAST(l_orderkey % 24 AS STRING), 2, '0'), '3000') AS StudyTime,
+  CASE WHEN l_partkey % 3 = 0 THEN p_type WHEN l_partkey % 3 = 1 THEN '' END AS TransducerType,
+  CASE WHEN l_partkey % 19 = 0 THEN NULL WHEN l_partkey % 19 = 1 THEN '' ELSE '1.2.840.10008.5.1.4.1.1.3.1' END AS SOPClassUID,
+  CASE WHEN p_size % 3 = 0 THEN 3 ELSE 1 END AS SamplesPerPixel, CASE WHEN l_returnflag = 'A' THEN 'L' END AS Laterality,
+  CASE WHEN l_linestatus = 'O' THEN CAST(l_linenumber AS STRING) END AS InstanceNumber, CASE WHEN l_returnflag = 'R' THEN 'A' END AS PatientOrientation,
+  CASE WHEN l_linestatus = 'F' THEN concat('DERIVED', chr(92), 'PRIMARY') END AS ImageType, CASE WHEN l_suppkey % 2 = 0 THEN 1000.0 / l_quantity END AS FrameTime,
+  CASE WHEN l_suppkey % 3 = 0 THEN '00181065' END AS FrameIncrementPointer, CASE WHEN l_suppkey % 5 = 0 THEN 1 END AS PlanarConfiguration
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
 """
 LINES = """
@@ -82,6 +93,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").alias("clip_id"), number.alias("frame_no"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.transform("embedding", pixel).alias("pixels"))
 
 
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(InputPath, json): each header as a nested document by element name, with a sequence of one or two items, the second with one of its own."""
+    region = lambda at, **more: F.struct(F.lit(at).alias("Region"), *(v.alias(k.replace("_", " ")) for k, v in more.items()))
+    inner = F.array(F.struct(F.concat(F.lit("inner "), "Manufacturer").alias("Manufacturer")))
+    none = F.lit(None)
+    one, two = region("1", Modality=F.col("Modality"), Inner_Sequence=none.cast("array<struct<Manufacturer:string>>")), region("2", Modality=none.cast("string"), Inner_Sequence=inner)
+    regions = F.when(F.col("NumberOfFrames").isNull(), F.array(one)).otherwise(F.array(one, two))
+    fields = {"Patient ID": F.col("PatientID"), "Patient's Name": F.concat(F.lit("Doe^"), "PatientID"), "Patient's Birth Date": F.col("PatientBirthDate"), "Modality": F.col("Modality"), "Sequence of Ultrasound Regions": regions, "Manufacturer": F.col("Manufacturer"), "Pixel Data": F.lit("AAAA"), "Transducer Data": F.col("TransducerData")}
+    return instances(spark, sf_dir).select("InputPath", "PatientID", "SOPInstanceUID", F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))).alias("json"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("clip_id", "frame_no", F.posexplode("pixels").alias("pos", "v"))
 

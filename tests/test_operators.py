@@ -53,7 +53,7 @@ def test_relative_path(spark):
 
 def test_names(spark):
     assert one(spark, H.camel_to_snake(F.col("t")), t="meanDistanceUpperLeft2X") == "mean_distance_upper_left2_x"
-    assert one(spark, H.humanize(F.col("t")), t="PleuraLineUSScan2") == "Pleura Line US Scan 2"
+    assert one(spark, H.humanize(F.col("t")), t="PleuraLineUSScan2") == "Pleura Line US Scan2"
 
 
 def test_corners_round_trip(spark):
