@@ -94,3 +94,21 @@ def redaction_height(rows: Column, top_left: Column, top_right: Column, ratio: f
     """Rows to blank: the share of the height, but not past the lowest upper corner inside the image."""
     base, top = F.floor(rows * ratio).cast("int"), F.floor(F.greatest(top_left, top_right)).cast("int")
     return F.least(rows - 1, F.when(top > 0, F.least(base, top)).otherwise(base))
+
+
+def redaction_mode(phi_only: Column, remove_phi: Column, top_ratio: Column, has_corners: Column) -> Column:
+    """Which image is written: the fan mask's in the usual mode, else top rows blanked if asked and corners are known, else untouched."""
+    return F.when(~phi_only, "mask").when(remove_phi & (top_ratio > 0) & has_corners, "top").otherwise("untouched")
+
+
+def denormalise(at: Column, size: Column) -> Column:
+    """Pixels of a coordinate given as a share of the image."""
+    return at * size
+
+
+def order_three_corners(points: Column) -> Column:
+    """array of 3 points (x, y structs) as apex, lower left, lower right: the highest first, the others left to right; null for another count."""
+    by_y = F.array_sort(F.transform(points, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
+    apex = F.transform(F.slice(by_y, 1, 1), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    rest = F.array_sort(F.transform(F.slice(by_y, 2, 2), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    return F.when(F.size(points) == 3, F.concat(apex, rest))

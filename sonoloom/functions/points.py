@@ -57,6 +57,14 @@ def hsv_to_rgb(h: Column, s: float, v: float) -> Column:
     return F.array(channel(F.lit(5.0)), channel(F.lit(3.0)), channel(F.lit(1.0)))
 
 
-def rater_hue(rank: Column, start: float = 0.0) -> Column:
-    """Golden-ratio steps around the colour circle."""
-    return F.pmod(F.lit(start) + rank * ((math.sqrt(5) - 1) / 2), F.lit(1.0))
+#: Hues that pleura lines and B-lines start from, their saturation, and the colours of no rater.
+PLEURA_HUE, B_HUE, SATURATION = 0.66, 0.33, 0.95
+NO_RATER = ((1.0, 0.0, 0.0), (1.0, 0.5, 0.0))
+
+
+def rater_colors(rater: Column, rank: Column) -> tuple[Column, Column]:
+    """(pleura, B-line) colours as array(r, g, b): golden-ratio steps around the colour circle by the rater's rank; fixed ones for none."""
+    step = (math.sqrt(5) - 1) / 2
+    known = F.trim(F.coalesce(rater, F.lit(""))) != ""
+    hue = lambda start: F.pmod(F.lit(start) + rank * step, F.lit(1.0))
+    return tuple(F.when(known, hsv_to_rgb(hue(start), SATURATION, 1.0)).otherwise(F.array(*map(F.lit, plain))) for start, plain in zip((PLEURA_HUE, B_HUE), NO_RATER))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from sonoloom.functions import masks as M
+from sonoloom.functions import masks as M, points as P
 
 CORNERS = ("ul", "ur", "ll", "lr")
 CONFIG = ("mask_type", "angle1", "angle2", "cx", "cy", "radius1", "radius2", "x_min", "x_max", "y_min", "y_max")
@@ -64,6 +64,44 @@ def corner_errors(configs: DataFrame) -> DataFrame:
     return configs.withColumns({f"{c}_error": e for c, e in errors.items()} | {"mean_error": mean})
 
 
+CORNER_NAMES = {"ul": "upper_left", "ur": "upper_right", "ll": "lower_left", "lr": "lower_right"}
+#: Names of a configuration's fields in documents and tables.
+FIELD_NAMES = {
+    "mask_type": "mask_type", "angle1": "angle1", "angle2": "angle2", "cy": "center_rows_px", "cx": "center_cols_px", "radius1": "radius1", "radius2": "radius2",
+    "x_min": "rectangle_left", "x_max": "rectangle_right", "y_min": "rectangle_top", "y_max": "rectangle_bottom",
+}
+
+
+def config_fields(config: str, prefix: str) -> list[Column]:
+    """A configuration as columns of their documents' names, floats to two decimals; fields of the other kind of mask are null."""
+    return [(F.bround(f"{config}.{c}", 2) if c.startswith("angle") else F.col(f"{config}.{c}")).alias(prefix + name) for c, name in FIELD_NAMES.items()]
+
+
+def eval_row(configs: DataFrame) -> DataFrame:
+    """The whole evaluation row of each clip: names, both documents, corners, angles of the four errors, metrics to two decimals.
+
+    ``configs`` comes from :func:`with_configs` and has filename, input_path, ground_truth_path, uid and labels besides.
+    """
+    measured = corner_errors(configs).join(dice_iou(overlap(configs, "clip_id")), "clip_id")
+    labels = F.array_join("labels", ", ")
+    document = lambda config, prefix: [F.col("uid").alias(f"{prefix}sopinstance_uid"), F.lit(0).alias(f"{prefix}grayscale_conversion"), *config_fields(config, prefix), F.col("image_rows").alias(f"{prefix}image_size_rows"), F.col("image_cols").alias(f"{prefix}image_size_cols")]
+    corners = [F.bround(f"{kind}_{c}_{a}", 2).alias(f"{kind}_corners_{name}_{a}") for kind in ("gt", "pred") for c, name in CORNER_NAMES.items() for a in "xy"]
+    angles = [P.angle_degrees(F.col(f"pred_{c}_x") - F.col(f"gt_{c}_x"), F.col(f"pred_{c}_y") - F.col(f"gt_{c}_y")).alias(f"angle_{name}") for c, name in CORNER_NAMES.items()]
+    metrics = {"dice": "dice_mean", "iou": "iou_mean", "mean_error": "mean_distance_error", **{f"{c}_error": f"{name}_error" for c, name in CORNER_NAMES.items()}}
+    return measured.select(
+        "filename", F.element_at(F.split("ground_truth_path", "/"), -1).alias("ground_truth_filename"), F.col("input_path").alias("dicom_input_path"), "ground_truth_path",
+        *document("gt", "gt_"), labels.alias("gt_annotation_labels"), *document("pred", "pred_"), labels.alias("pred_annotation_labels"), *corners, *angles, *(F.bround(m, 2).alias(n) for m, n in metrics.items()),
+    )
+
+
+def sequence_info(configs: DataFrame, config: str, key: str = "clip_id") -> DataFrame:
+    """(key, json): the sequence document: instance UID or "None", no grey conversion, the whole configuration, labels where there are any."""
+    raw = [F.col(f"{config}.{c}").alias(name) for c, name in FIELD_NAMES.items()]
+    uid = F.coalesce(F.nullif("uid", F.lit("")), F.lit("None")).alias("SOPInstanceUID")
+    labels = F.when(F.size("labels") > 0, F.col("labels")).alias("AnnotationLabels")
+    return configs.select(key, F.to_json(F.struct(uid, F.lit(False).alias("GrayscaleConversion"), *raw, F.col("image_rows").alias("image_size_rows"), F.col("image_cols").alias("image_size_cols"), labels)).alias("json"))
+
+
 def erode(r: DataFrame, key: str, size: int) -> DataFrame:
     """Runs of the mask eroded by a ``size`` x ``size`` box (odd): in ``size`` neighbouring rows, and so far from both ends."""
     half = size // 2

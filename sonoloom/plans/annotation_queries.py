@@ -63,7 +63,7 @@ R.add("filter_selected_raters", lambda s, d: lines(s, d).where(F.col("rater").is
 R.add("filter_validated", lambda s, d: _status_lines(s, d).where("status = 'validated'").select(*COLS), f"WITH {LATEST} SELECT {LINE} FROM sl WHERE status = 'validated'")
 R.add("filter_visible", lambda s, d: _status_lines(s, d).where(F.coalesce("status", F.lit("")) != "invalidated").select(*COLS), f"WITH {LATEST} SELECT {LINE} FROM sl WHERE status IS DISTINCT FROM 'invalidated'")
 R.add("filter_min_points", lambda s, d: lines(s, d).withColumn("points", F.when(F.col("line_ord") % 5 == 0, F.array(F.array("x1", "y1"))).otherwise(F.array(F.array("x1", "y1"), F.array("x2", "y2")))).where((F.size("points") >= 2) & (F.col("points")[0] != F.col("points")[1])).select(*COLS), f"SELECT {LINE} FROM v_line WHERE line_ord % 5 <> 0 AND NOT (x1 = x2 AND y1 = y2)")
-R.add("clean_nested_lines", lambda s, d: lines(s, d).select("clip_id", "line_ord", F.size(A.clean_nested(F.array(F.array("x1"), F.array().cast("array<double>"), F.lit(None).cast("array<double>"), F.array("y1", "y2")))).alias("n")), "SELECT clip_id, line_ord, 2 AS n FROM v_line")
+R.add("clean_nested_lines", lambda s, d: lines(s, d).select("clip_id", "line_ord", F.to_json(A.clean_nested(_nested())).alias("kept")), "SELECT clip_id, line_ord, '[' || concat_ws(',', CASE WHEN line_ord % 2 = 0 THEN '[' || x1 || ']' END, CASE WHEN line_ord % 3 = 0 THEN '[' || y1 || ',' || y2 || ']' END, '[' || x2 || ']') || ']' AS kept FROM v_line")
 R.add("drop_frame", lambda s, d: lines(s, d).where("frame_number != 3").select(*COLS), f"SELECT {LINE} FROM v_line WHERE frame_number <> 3")
 R.add("check_duplicate_frames", lambda s, d: lines(s, d).groupBy("clip_id", "frame_number").agg(F.count("*").alias("n")).where("n > 1"), "SELECT clip_id, frame_number, count(*) AS n FROM v_line GROUP BY 1, 2 HAVING count(*) > 1")
 RULES = {"rater": "length(trim(rater)) BETWEEN 1 AND 100 AND rater <> 'n'", "frame": "frame_number >= 0 AND frame_number < 6", "x": "x2 <= 100", "space": "coordinate_space IN ('RAS')"}
@@ -94,11 +94,20 @@ R.add("next_unlabeled", lambda s, d: _next(s, d, "SOPInstanceUID", 2), "WITH c A
 R.add("next_unadjudicated", lambda s, d: _next(s, d, "SeriesInstanceUID", 0), "WITH c AS (SELECT PatientID AS PatientUID, SeriesInstanceUID AS u, row_number() OVER (PARTITION BY PatientID ORDER BY InputPath) - 1 AS i FROM v_instance) SELECT PatientUID, min(i) FILTER (length(u) % 2 = 0) AS next FROM c GROUP BY 1")
 R.add("labels_in_vocabulary", lambda s, d: _vocabulary(s, d), f"WITH {FILES}, v AS (SELECT DISTINCT ('m' || (l_suppkey % 7)) AS label FROM lineitem WHERE l_quantity > 49), u AS (SELECT clip_id, unnest(labels) AS label FROM f) SELECT clip_id, count(*) FILTER (label IN (SELECT label FROM v)) AS known, count(*) FILTER (label NOT IN (SELECT label FROM v)) AS unknown FROM u GROUP BY 1")
 R.add("ras_lps", lambda s, d: lines(s, d).select("clip_id", "line_ord", P.ras_lps(F.array(F.array("x1", "y1", F.lit(7.0))), F.col("coordinate_space"), "LPS").alias("p")).select("clip_id", "line_ord", F.col("p")[0][0].alias("x"), F.col("p")[0][1].alias("y"), F.col("p")[0][2].alias("z")), "SELECT clip_id, line_ord, CASE coordinate_space WHEN 'RAS' THEN -x1 ELSE x1 END AS x, CASE coordinate_space WHEN 'RAS' THEN -y1 ELSE y1 END AS y, 7.0::DOUBLE AS z FROM v_line")
-R.add("line_length", lambda s, d: lines(s, d).select("clip_id", "line_ord", F.format_string("%.3f", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")), None)
+R.add("line_length", lambda s, d: lines(s, d).select("clip_id", "line_ord", F.format_string("%.3f", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")), "SELECT clip_id, line_ord, printf('%.3f', sqrt((x2 - x1) ^ 2 + (y2 - y1) ^ 2)) AS length FROM v_line")
 R.add("append_measurement", lambda s, d: lines(s, d).select("clip_id", "frame_number", "line_ord", F.round(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 3).alias("length"), F.concat(F.col("clip_id").cast("string"), F.lit("_"), F.col("frame_number").cast("string"), F.lit(".png")).alias("image")), "SELECT clip_id, frame_number, line_ord, round(sqrt((x2 - x1) ^ 2 + (y2 - y1) ^ 2), 3) AS length, clip_id || '_' || frame_number || '.png' AS image FROM v_line")
 R.add("line_coefficients", lambda s, d: _crossings(s, d), "SELECT clip_id, line_ord, y2 - y1 AS a, x1 - x2 AS b, x1 * y2 - x2 * y1 AS c, CASE WHEN x1 <> x2 THEN round(x1 + (x2 - x1) * (20 - y1) / (y2 - y1), 6) ELSE x1 END AS x_at_20 FROM v_line")
 R.add("apply_affine", lambda s, d: lines(s, d).select("clip_id", "line_ord", P.apply_affine(F.array(*map(F.lit, (-2.0, 0.0, 0.0, 640.0, 0.0, 1.5, 0.0, 10.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0))), F.col("x1"), F.col("y1"), F.lit(0.0)).alias("p")).select("clip_id", "line_ord", F.col("p")[0].alias("i"), F.col("p")[1].alias("j")), "SELECT clip_id, line_ord, CAST(640 - 2 * x1 AS INT) AS i, CAST(round_even(1.5 * y1 + 10, 0) AS INT) AS j FROM v_line")
-R.add("rater_palette", lambda s, d: _palette(s, d), "WITH r AS (SELECT ('m' || (l_suppkey % 7)) AS rater, dense_rank() OVER (ORDER BY ('m' || (l_suppkey % 7))) - 1 AS k FROM lineitem GROUP BY 1), h AS (SELECT rater, ((k * (sqrt(5) - 1) / 2) % 1) * 6 AS h FROM r) SELECT rater, round(1 - greatest(0, least((5 + h) % 6, 4 - (5 + h) % 6, 1)), 6) AS red, round(1 - greatest(0, least((3 + h) % 6, 4 - (3 + h) % 6, 1)), 6) AS green, round(1 - greatest(0, least((1 + h) % 6, 4 - (1 + h) % 6, 1)), 6) AS blue FROM h")
+def _palette_sql() -> str:
+    """Two colours for each rater, saturation 0.95."""
+    channel = lambda h, n: f"round(1 - 0.95 * greatest(0, least(({n} + {h}) % 6, 4 - ({n} + {h}) % 6, 1)), 6)"
+    none = {"pleura": (1, 0, 0), "b": (1, 0.5, 0)}
+    cols = ", ".join(f"CASE WHEN rater = '' THEN {none[kind][i]} ELSE {channel(kind + '_h', n)} END AS {kind}_{c}" for kind in ("pleura", "b") for i, (c, n) in enumerate((("red", 5), ("green", 3), ("blue", 1))))
+    rater = "CASE WHEN l_suppkey % 7 = 6 THEN '' ELSE 'm' || (l_suppkey % 7) END"
+    return f"WITH r AS (SELECT {rater} AS rater, dense_rank() OVER (ORDER BY {rater}) - 1 AS k FROM lineitem GROUP BY 1), h AS (SELECT rater, ((0.66::DOUBLE + k * (sqrt(5) - 1) / 2) % 1) * 6 AS pleura_h, ((0.33::DOUBLE + k * (sqrt(5) - 1) / 2) % 1) * 6 AS b_h FROM r) SELECT rater, {cols} FROM h"
+
+
+R.add("rater_palette", lambda s, d: _palette(s, d), _palette_sql())
 R.add("sort_frames", lambda s, d: lines(s, d).select(F.col("frame_number").cast("string").alias("frame"), "clip_id").distinct().orderBy(F.col("frame").cast("int"), "clip_id"), "SELECT DISTINCT CAST(frame_number AS VARCHAR) AS frame, clip_id FROM v_line")
 R.add("sort_frame_table", lambda s, d: A.frame_counts(lines(s, d)).orderBy(F.desc("n_pleura"), "clip_id", "frame_number"), "SELECT clip_id, frame_number, count(*) FILTER (kind = 'pleura') AS n_pleura, count(*) FILTER (kind = 'b') AS n_b FROM v_line GROUP BY 1, 2 ORDER BY 3 DESC")
 R.add("prune_orphans", lambda s, d: _kept_nodes(s, d), "SELECT CAST(c_custkey AS BIGINT) AS node, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) THEN 'referenced' ELSE 'landmark' END AS why FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) OR (c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0)")
@@ -130,9 +139,16 @@ def _crossings(s, d):
 
 
 def _palette(s, d):
-    raters = table(s, d, "lineitem").select(_mode().alias("rater")).distinct()
+    raters = table(s, d, "lineitem").select(F.when(F.col("l_suppkey") % 7 == 6, "").otherwise(_mode()).alias("rater")).distinct()
     ranks = raters.agg(F.array_sort(F.collect_set("rater")).alias("all")).select(F.posexplode("all").alias("k", "rater"))
-    return ranks.withColumn("rgb", P.hsv_to_rgb(P.rater_hue(F.col("k")), 1.0, 1.0)).select("rater", *(F.round(F.col("rgb")[i], 6).alias(n) for i, n in enumerate(("red", "green", "blue"))))
+    pleura, b = P.rater_colors(F.col("rater"), F.col("k"))
+    return ranks.withColumns({"pleura": pleura, "b": b}).select("rater", *(F.round(F.col(kind)[i], 6).alias(f"{kind}_{n}") for kind in ("pleura", "b") for i, n in enumerate(("red", "green", "blue"))))
+
+
+def _nested():
+    """Line lists with empty and missing elements between the others."""
+    none = F.array().cast("array<double>")
+    return F.array(F.when(F.col("line_ord") % 2 == 0, F.array("x1")).otherwise(none), F.lit(None).cast("array<double>"), F.when(F.col("line_ord") % 3 == 0, F.array("y1", "y2")), F.array("x2"))
 
 
 def _kept_nodes(s, d):
