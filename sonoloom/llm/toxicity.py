@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from sonoloom.llm.hashing import _CLASS, _LOWER, _VALUE, REPEAT, STEP, _mix, _spans, tokens
 from sonoloom.llm.learning import SAMPLE, Example, Ftrl, fit, held_out, labelled_sample
 
-BITS, STEMS, INTERCEPT = 20, (4, 5, 6), -10.0
-ALPHA, L1, L2, EPOCHS = 1.5, 1.0, 1e-3, 5
+BITS, STEMS, INTERCEPT = 20, (4, 5, 6), -8.0
+ALPHA, L1, L2, EPOCHS = 3.0, 2.0, 1e-3, 10
+#: Weight of a toxic document, as most are not.
+POSITIVE = 2.0
 THRESHOLD = 0.5
 _END = np.zeros(256, dtype=bool)
 _END[[10, 33, 46, 63]] = True
@@ -94,7 +96,7 @@ def learn(examples: list[Example]) -> np.ndarray:
             at, where = np.unique(bucket, return_inverse=True)
             w = model.weights(at)
             p, whole = _noisy_or(INTERCEPT + np.bincount(of, w[where], n))
-            slope = p * (1 - y / max(whole, 1e-12))
+            slope = p * (1 - y / max(whole, 1e-12)) * (POSITIVE if y else 1.0)
             model.update(at, w, np.bincount(where, slope[of]))
     return model.weights(slice(None))
 

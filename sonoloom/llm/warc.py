@@ -21,14 +21,14 @@ from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sonoloom.plans.scratch import materialise, scratch_path
 
-SEGMENT_BYTES, CHUNK_BYTES, LEAST_REVISIT, FILE_RECORDS = 32_768, 4096, 0, 2000
+SEGMENT_BYTES, CHUNK_BYTES, LEAST_REVISIT, FILE_RECORDS, HOT = 32_768, 4096, 0, 2000, 10_000
 CRLF = "\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -61,13 +61,31 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, value: str, total: int, slim: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``left`` with ``value`` and ``known`` of the written table ``right`` (key, value, n), as a left join.
+
+    A key with at least 1/``HOT`` of ``total`` rows, of which there are ``HOT`` at most, comes by broadcast; such rows go
+    on under keys of their own, so no task of the other join holds a hot key's rows. ``slim`` gives their payload.
+    """
+    large = F.col("n") * HOT >= F.lit(total)
+    near = right.where(large).select(F.col(key).alias("_near"), F.col(value).alias("_a"))
+    far = right.where(~large).select(F.col(key).alias("_far"), F.col(value).alias("_b"))
+    found = left.join(F.broadcast(near), F.col(key) == F.col("_near"), "left")
+    if slim:
+        found = found.withColumn("payload", F.when(F.col("_near").isNotNull(), slim(F.col("_a"))).otherwise(F.col("payload")))
+    spread = F.when(F.col("_near").isNull(), F.col(key)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id").cast("string")))
+    found = found.withColumn("_on", spread).join(far, F.col("_on") == F.col("_far"), "left")
+    return found.withColumns({value: F.coalesce("_a", "_b"), "known": F.col("_near").isNotNull() | F.col("_far").isNotNull()}).drop("_near", "_far", "_a", "_b", "_on")
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, least_revisit: int = LEAST_REVISIT) -> None:
     """One record for each row of ``pages`` (several if cut), as gzip files under ``path``."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
-    base = pages.select(F.col(id_col).alias("page_id"), F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7F]", "").alias("url"), payload.alias("payload")).withColumn("digest", sha1_base32(F.col("payload")))
+    base = pages.select(F.col(id_col).alias("page_id"), F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7F]", "").alias("url"), payload.alias("payload")).withColumns({"digest": sha1_base32(F.col("payload")), "length": F.length("payload")})
     copies = base.where(F.length("payload") >= least_revisit).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = base.join(materialise(copies, "copies"), "digest", "left")
-    joined = joined.withColumn("revisit", F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.length("payload") >= least_revisit))
+    own = F.length("payload") >= least_revisit
+    joined = join_counted(base, materialise(copies, "copies"), "digest", "first", pages.count(), lambda first: F.when(own & ~F.col("page_id").eqNullSafe(first), F.lit(b"")).otherwise(F.col("payload")))
+    joined = joined.withColumn("revisit", F.col("known") & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("length") >= least_revisit))
     framed = F.array_join(F.transform(_slices(F.col("payload"), chunk_bytes), lambda c: F.concat(F.lower(F.hex(F.octet_length(c))), F.lit(CRLF), c, F.lit(CRLF))), "")
     message = F.when(F.col("revisit"), F.lit(MESSAGE + CRLF)).otherwise(F.concat(F.lit(f"{MESSAGE}Transfer-Encoding: chunked{CRLF}{CRLF}"), framed, F.lit(f"0{CRLF}{CRLF}")))
     cut = joined.withColumns({"id": F.expr("uuid()"), "block": message.cast("binary")}).select("*", F.posexplode(_slices(F.col("block"), segment_bytes)).alias("i", "part"), F.length("block").alias("total")).withColumn("last", (F.col("i") + 1) * segment_bytes >= F.col("total"))
@@ -193,8 +211,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_archives(spark, path)
     own = found.select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.when(F.col("record_type") == "response", sha1_base32(F.col("payload"))).otherwise(F.col("digest")).alias("payload_digest"))
     own = materialise(own, "records")
-    sizes = materialise(own.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full")), "sizes")
-    revisits = own.where("record_type = 'revisit'").join(sizes, "payload_digest", "left").select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    sizes = materialise(own.groupBy("payload_digest").agg(F.max(F.when(F.col("record_type") == "response", F.col("payload_bytes"))).alias("full"), F.count("*").alias("n")).where("n > 1"), "sizes")
+    revisits = join_counted(own.where("record_type = 'revisit'"), sizes, "payload_digest", "full", own.count()).select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return own.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(revisits)
 
 

@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 
@@ -76,12 +77,82 @@ def test_score_is_the_sparse_dot_product(spark):
     assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
 
 
-@pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", 0.98), (toxicity, "toxic", 0.95)])
-def test_held_out_accuracy_on_sf01(spark, module, label, least):
+@pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", (0.98, 0.98, 0.99)), (toxicity, "toxic", (0.9, 0.87, 0.96))])
+def test_held_out_fold_of_sf01(spark, module, label, least):
+    """Precision, recall and area under the curve; some toxic labels are on texts without any toxic word, which bounds recall."""
     sf = "/root/testdata/sf0.1"
-    scored = module.query(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    right, n = scored.agg(F.avg((F.col("predicted") == F.col(label)).cast("int")), F.count("*")).first()
-    assert n > 700 and right >= least
+    rows = [(r.score, r.predicted, r[label]) for r in module.query(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()]
+    right, flagged, real = sum(p and y for _, p, y in rows), sum(p for _, p, _ in rows), sum(y for _, _, y in rows)
+    pos, neg = np.array([s for s, _, y in rows if y]), np.sort([s for s, _, y in rows if not y])
+    auc = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2 / len(pos) / len(neg)
+    print(label, len(rows), right / flagged, right / real, auc)
+    assert len(rows) > 700 and right / flagged >= least[0] and right / real >= least[1] and auc >= least[2]
+
+
+class SlowFtrl:
+    """One coordinate at a time, in plain numbers."""
+
+    def __init__(self, alpha, l1, l2):
+        self.z, self.n, self.alpha, self.l1, self.l2 = {}, {}, alpha, l1, l2
+
+    def weight(self, i):
+        z = self.z.get(i, 0.0)
+        return 0.0 if abs(z) <= self.l1 else -(z - math.copysign(self.l1, z)) / ((1 + math.sqrt(self.n.get(i, 0.0))) / self.alpha + self.l2)
+
+    def step(self, i, w, g):
+        n = self.n.get(i, 0.0)
+        self.z[i] = self.z.get(i, 0.0) + g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.alpha * w
+        self.n[i] = n + g * g
+
+
+TEXTS = ["good plain words here", "bad idiot words. fine words!", "", "you idiot. you moron", "plain words again and again", "fine day. idiot"]
+
+
+def test_quality_learns_as_coordinates_do_one_by_one():
+    examples = [(*quality.encode(t), float(i % 2)) for i, t in enumerate(TEXTS)]
+    slow = SlowFtrl(quality.ALPHA, quality.L1, quality.L2)
+    for epoch in range(quality.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(examples)):
+            at, x, y = examples[i]
+            w = [slow.weight(k) for k in at.tolist()]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x.tolist()))))
+            for k, a, b in zip(at.tolist(), w, x.tolist()):
+                slow.step(k, a, (p - y) * b)
+    got = quality.learn(examples)
+    assert np.flatnonzero(got).tolist() == sorted(k for k in slow.z if slow.weight(k)) and all(abs(got[k] - slow.weight(k)) < 1e-9 for k in slow.z)
+
+
+def test_toxicity_learns_as_coordinates_do_one_by_one():
+    examples = [(*toxicity.encode(t), float("idiot" in t)) for t in TEXTS]
+    slow = SlowFtrl(toxicity.ALPHA, toxicity.L1, toxicity.L2)
+    kept = [e for e in examples if len(e[0])]
+    for epoch in range(toxicity.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(kept)):
+            of, bucket, y = (x.tolist() if hasattr(x, "tolist") else x for x in kept[i])
+            w = {k: slow.weight(k) for k in set(bucket)}
+            z = [toxicity.INTERCEPT + sum(w[k] for o, k in zip(of, bucket) if o == s) for s in range(of[-1] + 1)]
+            p = [1 / (1 + math.exp(-v)) for v in z]
+            whole = 1 - math.prod(1 - v for v in p)
+            slope = [v * (1 - y / max(whole, 1e-12)) * (toxicity.POSITIVE if y else 1) for v in p]
+            for k in w:
+                slow.step(k, w[k], sum(slope[o] for o, b in zip(of, bucket) if b == k))
+    got = toxicity.learn(examples)
+    assert np.flatnonzero(got).size and all(abs(got[k] - slow.weight(k)) < 1e-6 * max(1, abs(slow.weight(k))) for k in slow.z)
+
+
+def test_long_texts_are_looked_at_in_chunks(monkeypatch):
+    text = "some words here and here and here. Other words! " * 40 + "x" * 300 + " end"
+    whole = np.sort(np.concatenate([b for _, b, _ in hashing.features([text], 18)]))
+    monkeypatch.setattr(hashing, "STEP", 512)
+    found, ended = [], 0
+    for doc, bucket, n in hashing.features(["first words", text, "last"], 18):
+        found.append(bucket[doc + ended == 1])
+        ended += n
+    assert ended == 3 and np.sort(np.concatenate(found)).tolist() == whole.tolist()
+    of, bucket, first, last = toxicity.sentences(text)
+    monkeypatch.setattr(toxicity, "STEP", 512)
+    cut = toxicity.sentences(text)
+    assert cut[0].tolist() == of.tolist() and cut[1].tolist() == bucket.tolist() and cut[2].tolist() == first.tolist() and cut[3].tolist() == last.tolist()
 
 
 def test_keep_good_keeps_columns(spark, sf):
