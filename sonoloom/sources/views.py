@@ -67,7 +67,7 @@ FROM {events}
 """
 PIXELS_DUCK = """
 SELECT clip_id, frame_no, i - 1 AS pos, CAST(greatest(0, least(255, floor(CAST(embedding[i] AS DOUBLE) * 255 + 128))) AS INT) AS v
-FROM (SELECT label AS clip_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_no, embedding, unnest(range(1, 65)) AS i FROM embeddings)
+FROM (SELECT vec_id // 64 AS clip_id, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS frame_no, embedding, unnest(range(1, 65)) AS i FROM embeddings)
 """
 
 
@@ -89,8 +89,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "embeddings")
     pixel = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 255 + 128))).cast("int")
-    number = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    return e.select(F.col("label").alias("clip_id"), number.alias("frame_no"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.transform("embedding", pixel).alias("pixels"))
+    clip = F.expr("vec_id div 64")  # clips of at most 64 frames, so a window holds one clip
+    number = F.row_number().over(W.partitionBy(clip).orderBy("vec_id")) - 1
+    return e.select(clip.alias("clip_id"), number.alias("frame_no"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.transform("embedding", pixel).alias("pixels"))
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
