@@ -45,6 +45,11 @@ def intersection(one: tuple[Column, ...], two: tuple[Column, ...]) -> tuple[Colu
     return (b2 * c1 - b1 * c2) / safe, (a1 * c2 - a2 * c1) / safe
 
 
+def move(m: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """A point under a row-major 4x4 matrix."""
+    return tuple(m[4 * r] * x + m[4 * r + 1] * y + m[4 * r + 2] * z + m[4 * r + 3] for r in range(3))
+
+
 def apply_affine(m: Column, x: Column, y: Column, z: Column) -> Column:
     """Rounded integer pixel of a point under a row-major 4x4 matrix."""
     row = lambda r: F.bround(m[4 * r] * x + m[4 * r + 1] * y + m[4 * r + 2] * z + m[4 * r + 3]).cast("int")

@@ -108,6 +108,12 @@ def dense_segmentation(frames: DataFrame, captured: DataFrame) -> DataFrame:
     return frames.select("clip_id", "frame_no", "height", "width").join(captured, ["clip_id", "frame_no"], "left").withColumn("labelmap", F.coalesce("labelmap", F.array_repeat(F.lit(0), F.col("height") * F.col("width"))))
 
 
+def with_transform(frames: DataFrame, transforms: DataFrame) -> DataFrame:
+    """``frames`` with ``m``, the 4x4 matrix of each, row by row; the identity where none is given."""
+    identity = F.array(*(F.lit(float(i % 5 == 0)) for i in range(16)))
+    return frames.join(transforms.select("clip_id", "frame_no", "m"), ["clip_id", "frame_no"], "left").withColumn("m", F.coalesce("m", identity))
+
+
 def trilinear(x: Column, y: Column, z: Column) -> Column:
     """array of the eight neighbour voxels of a point and their weights."""
     low = {a: F.floor(c).cast("int") for a, c in zip("xyz", (x, y, z))}

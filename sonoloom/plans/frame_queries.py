@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sonoloom.functions import points as P
 from sonoloom.operators import frames as O
 from sonoloom.plans.wiring import Registry
 from sonoloom.sources.views import frames
@@ -29,10 +30,23 @@ def _captured(s, d):
     return frames(s, d).where("frame_no % 3 = 0").select(*KEY, F.transform("pixels", lambda p: F.when(p > 140, 1).otherwise(0)).alias("labelmap"))
 
 
+def _transforms(s, d):
+    """A 4x4 matrix, row by row, for three of four frames: half a voxel a pixel, shifted by clip, a quarter a frame."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rows = [F.lit(0.5), zero, zero, F.col("clip_id") % 3 * 0.25, zero, F.lit(0.5), zero, zero, zero, zero, one, F.col("frame_no") * 0.25, zero, zero, zero, one]
+    return frames(s, d).where("frame_no % 4 < 3").select(*KEY, F.array(*(x.cast("double") for x in rows)).alias("m"))
+
+
+def _points(s, d):
+    """Every pixel of every frame at its place, through its frame's transform; the identity where there is none."""
+    at = O.with_transform(frames(s, d), _transforms(s, d)).select(*KEY, "m", F.posexplode("pixels").alias("pos", "v"))
+    px, py, pz = P.move(F.col("m"), F.col("pos") % 8, F.floor(F.col("pos") / 8), F.lit(0))
+    return at.select(*KEY, "pos", "v", px.alias("px"), py.alias("py"), pz.alias("pz"))
+
+
 def _placed(s, d):
-    """Pixels of the captured label maps in the volume: half a voxel per pixel, a quarter per frame."""
-    p = _captured(s, d).select(*KEY, F.posexplode("labelmap").alias("pos", "v")).where("v > 0")
-    return p.select("clip_id", "frame_no", "pos", (F.col("pos") % 8 * 0.5).alias("px"), (F.floor(F.col("pos") / 8) * 0.5).alias("py"), (F.col("frame_no") * 0.25).alias("pz"), (F.col("v") * 255).alias("v"))
+    """Labelled pixels of the captured frames at their places."""
+    return _points(s, d).where("frame_no % 3 = 0 AND v > 140").select(*KEY, "pos", "px", "py", "pz", F.lit(255).alias("v"))
 
 
 R.add("apply_mask", lambda s, d: _long(frames(s, d).withColumn("m", O.apply_mask(F.col("pixels"), F.when(F.col("clip_id") % 2 == 0, _mask()))), "m"), "SELECT clip_id, frame_no, pos, CASE WHEN clip_id % 2 = 1 OR pos % 8 IN (2, 3, 4, 5) THEN v ELSE 0 END AS v FROM v_pixel")
@@ -55,14 +69,20 @@ R.add("mmode_image", lambda s, d: O.mmode_image(_samples(s, d)).select("clip_id"
 R.add("mmode_scale", lambda s, d: O.zoom_in_time(_samples(s, d), 3).withColumn("v", F.round("v", 6)), f"WITH {SAMPLE}, n AS (SELECT a.*, b.v AS after FROM sm a LEFT JOIN sm b ON a.clip_id = b.clip_id AND a.depth = b.depth AND b.frame_no = a.frame_no + 1) SELECT clip_id, CAST(depth AS INT) AS depth, frame_no * 3 + k AS \"column\", round(CASE k WHEN 0 THEN v ELSE v + (after - v) * k / 3 END, 6) AS v FROM n, (SELECT unnest(range(3)) AS k) WHERE k = 0 OR after IS NOT NULL")
 R.add("model_input_frame", lambda s, d: O.max_pool(frames(s, d)).select("clip_id", F.posexplode(O.resize(F.col("pixels"), 8, 8, 4, 4)).alias("pos", "v")).withColumn("v", F.round("v", 6)), "WITH m AS (SELECT clip_id, pos, max(v) AS v FROM v_pixel GROUP BY 1, 2) SELECT clip_id, CAST(pos // 16 * 4 + pos % 8 // 2 AS INT) AS pos, round(avg(v), 6) AS v FROM m GROUP BY 1, 2")
 R.add("dense_segmentation", lambda s, d: O.dense_segmentation(frames(s, d), _captured(s, d)).select(*KEY, F.aggregate("labelmap", F.lit(0), lambda a, x: a + x).alias("labelled"), F.size("labelmap").alias("n")), "SELECT clip_id, frame_no, CAST(sum(CASE WHEN frame_no % 3 = 0 AND v > 140 THEN 1 ELSE 0 END) AS INT) AS labelled, 64 AS n FROM v_pixel GROUP BY 1, 2")
-R.add("export_arrays", lambda s, d: frames(s, d).join(_captured(s, d), KEY, "left").select(*KEY, F.md5(F.array_join("pixels", ",")).alias("frame_digest"), F.col("labelmap").isNotNull().alias("captured"), F.coalesce(F.aggregate("labelmap", F.lit(0), lambda a, x: a + x), F.lit(0)).alias("labelled")), "SELECT clip_id, frame_no, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos)) AS frame_digest, frame_no % 3 = 0 AS captured, CAST(count(*) FILTER (frame_no % 3 = 0 AND v > 140) AS INT) AS labelled FROM v_pixel GROUP BY 1, 2")
 R.add("capture_upsert", lambda s, d: _upserted(s, d), "SELECT clip_id, frame_no, CASE WHEN frame_no % 2 = 0 THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT clip_id, frame_no FROM v_pixel) WHERE frame_no % 3 = 0 OR frame_no % 2 = 0")
-VOX = "(SELECT clip_id, frame_no, pos, pos % 8 * 0.5 AS px, pos // 8 * 0.5 AS py, frame_no * 0.25 AS pz FROM v_pixel WHERE frame_no % 3 = 0 AND v > 140)"
-NEAR = f"""near AS (SELECT clip_id, frame_no, pos, floor(px) + i AS x, floor(py) + j AS y, floor(pz) + k AS z, (CASE i WHEN 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) * (CASE j WHEN 1 THEN py - floor(py) ELSE 1 - py + floor(py) END) * (CASE k WHEN 1 THEN pz - floor(pz) ELSE 1 - pz + floor(pz) END) AS w
-  FROM {VOX}, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS k))"""
+PLACE = """CASE WHEN frame_no % 4 = 3 THEN pos % 8 ELSE pos % 8 * 0.5::DOUBLE + clip_id % 3 * 0.25::DOUBLE END AS px, CASE WHEN frame_no % 4 = 3 THEN pos // 8 ELSE pos // 8 * 0.5::DOUBLE END AS py,
+  CASE WHEN frame_no % 4 = 3 THEN 0 ELSE frame_no * 0.25::DOUBLE END AS pz"""
+NEAR = """near AS (SELECT clip_id, frame_no, pos, floor(px) + i AS x, floor(py) + j AS y, floor(pz) + k AS z, (CASE i WHEN 1 THEN px - floor(px) ELSE 1 - px + floor(px) END) * (CASE j WHEN 1 THEN py - floor(py) ELSE 1 - py + floor(py) END) * (CASE k WHEN 1 THEN pz - floor(pz) ELSE 1 - pz + floor(pz) END) AS w
+  FROM (SELECT clip_id, frame_no, pos, {0} FROM v_pixel {1}), (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS k))"""
+SLICES = f"""{NEAR.format(PLACE, '')}, vox AS (SELECT clip_id, pos % 8 AS x, pos // 8 AS y, frame_no AS z, v FROM v_pixel), sl AS (SELECT clip_id, frame_no, pos, round(sum(w * coalesce(v, 0)), 6) AS v FROM near LEFT JOIN vox USING (clip_id, x, y, z) WHERE w > 0 GROUP BY 1, 2, 3)"""
+NEAR = NEAR.format(PLACE, "WHERE frame_no % 3 = 0 AND v > 140")
 R.add("reconstruct_volume", lambda s, d: O.reconstruct(_placed(s, d)).withColumn("v", F.round("v", 6)), f"WITH {NEAR} SELECT clip_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z, round(max(w) * 255, 6) AS v FROM near WHERE w > 0 GROUP BY 1, 2, 3, 4")
-R.add("reslice_secondary", lambda s, d: _resliced(s, d), f"WITH {NEAR}, vox AS (SELECT pos % 8 AS x, pos // 8 AS y, frame_no AS z, v FROM v_pixel WHERE clip_id = 0) SELECT clip_id, frame_no, pos, round(sum(w * coalesce(v, 0)), 6) AS v FROM near LEFT JOIN vox USING (x, y, z) WHERE w > 0 GROUP BY 1, 2, 3")
+R.add("reslice_secondary", lambda s, d: _resliced(s, d), f"WITH {SLICES} SELECT * FROM sl")
 
+
+R.add("export_arrays", lambda s, d: _exported(s, d), f"""WITH {SLICES}, sums AS (SELECT clip_id, frame_no, round(sum(v), 3) AS slice_sum FROM sl GROUP BY 1, 2),
+  own AS (SELECT clip_id, frame_no, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos)) AS frame_digest, frame_no % 3 = 0 AS captured, CAST(count(*) FILTER (frame_no % 3 = 0 AND v > 140) AS INT) AS labelled FROM v_pixel GROUP BY 1, 2)
+  SELECT *, CASE WHEN frame_no % 4 = 3 THEN '100,0,0,0,0,100,0,0,0,0,100,0,0,0,0,100' ELSE '50,0,0,' || CAST(clip_id % 3 * 25 AS INT) || ',0,50,0,0,0,0,100,' || CAST(frame_no * 25 AS INT) || ',0,0,0,100' END AS transform FROM own JOIN sums USING (clip_id, frame_no)""")
 R.add("reslice_secondary_all", lambda s, d: _resliced_all(s, d))
 
 
@@ -74,9 +94,21 @@ def _upserted(s, d):
 
 
 def _resliced(s, d):
-    vox = frames(s, d).where("clip_id = 0").select(F.col("frame_no").alias("z"), F.posexplode("pixels").alias("p", "v")).select((F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "z", "v")
-    points = _placed(s, d).select(F.struct("clip_id", "frame_no", "pos").alias("key"), "px", "py", "pz")
-    return O.reslice(points, vox).select("key.*", F.round("v", 6).alias("v"))
+    """Every pixel of every frame, through its transform, sampled in its own clip's volume."""
+    vox = frames(s, d).select("clip_id", F.col("frame_no").alias("z"), F.posexplode("pixels").alias("p", "v")).select("clip_id", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "z", "v")
+    points = _points(s, d).select("clip_id", F.struct("clip_id", "frame_no", "pos").alias("key"), "px", "py", "pz")
+    return O.reslice(points, vox, ("clip_id",)).select("key.*", F.round("v", 6).alias("v"))
+
+
+def _exported(s, d):
+    """The five aligned outputs of each frame, arrays as digests and sums."""
+    slices = _resliced(s, d).groupBy(*KEY).agg(F.round(F.sum("v"), 3).alias("slice_sum"))
+    whole = O.with_transform(O.dense_segmentation(frames(s, d), _captured(s, d)).join(frames(s, d).select(*KEY, "pixels"), KEY), _transforms(s, d))
+    captured = _captured(s, d).select(*KEY, F.lit(True).alias("captured"))
+    return whole.join(slices, KEY).join(captured, KEY, "left").select(
+        *KEY, F.md5(F.array_join("pixels", ",")).alias("frame_digest"), F.array_join(F.transform("m", lambda x: F.round(x * 100).cast("int")), ",").alias("transform"), "slice_sum",
+        F.aggregate("labelmap", F.lit(0), lambda a, x: a + x).alias("labelled"), F.coalesce("captured", F.lit(False)).alias("captured"),
+    )
 
 
 def _resliced_all(s, d):

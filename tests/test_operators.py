@@ -109,6 +109,28 @@ def test_files_round_trip(spark):
     assert spark.read.parquet(f"{folder}/m").count() == 2 * docs.count()
 
 
+def test_readers_and_writers_on_real_folders(spark, tmp_path):
+    (tmp_path / "in/a").mkdir(parents=True)
+    (tmp_path / "in/a/one.json").write_text('{"PatientID": "P1",\n "Modality": "US", "NumberOfFrames": 3, "Unknown": [1]}')
+    (tmp_path / "in/two.json").write_text("no json")
+    (tmp_path / "in/._two.json").write_text("fork")
+    heads = {r.InputPath.rsplit("/", 1)[-1]: r for r in files.read_headers(spark, f"{tmp_path}/in/a").collect()}
+    assert heads["one.json"].PatientID == "P1" and heads["one.json"].NumberOfFrames == 3 and heads["one.json"].StudyDate is None
+    texts = {r.path.rsplit("/", 1)[-1]: r.json for r in files.read_texts(spark, f"{tmp_path}/in").collect()}
+    assert set(texts) == {"one.json", "two.json"} and texts["two.json"] == "no json"
+    (tmp_path / "labels.csv").write_text("Lung, A-lines \nLung,B\n Heart ,C\n")
+    assert sorted(map(tuple, files.read_labels(spark, f"{tmp_path}/labels.csv").collect())) == [("Heart", "C"), ("Lung", "A-lines"), ("Lung", "B")]
+    frames = views.frames(spark, SF)
+    files.export_arrays({"frames": frames, "captured": frames.where("frame_no % 3 = 0").select("clip_id", "frame_no")}, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/frames").count() == frames.count() > spark.read.parquet(f"{tmp_path}/out/captured").count() > 0
+
+
+def test_three_corners_and_modes(spark):
+    points = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((9.0, 8.0), (5.0, 1.0), (2.0, 7.0))))
+    got = spark.range(1).select(M.order_three_corners(points).alias("p"), M.order_three_corners(F.slice(points, 1, 2)).alias("none")).first()
+    assert [tuple(p) for p in got.p] == [(5.0, 1.0), (2.0, 7.0), (9.0, 8.0)] and got.none is None
+
+
 def test_queries_without_sql(spark):
     q = entry.queries()
     for r in q["camel_to_snake"](spark, SF).limit(50).collect():
