@@ -10,7 +10,7 @@ The index holds the words of the items, so it is broadcast only in blocks of ``b
 most (an item is never split); more items mean more passes over the documents, whose hits are united.
 
 Defined results: null text and text without words have no words, no hits and no items; an item without
-words has no windows; words of an item without an id are hit, but it is not listed; items that repeat an
+words has no windows; an item of over two million different words is an error; words of an item without an id are hit, but it is not listed; items that repeat an
 id count once; equal rows get equal results; empty tables on either side are allowed; other columns play
 no part.
 """
@@ -82,6 +82,8 @@ class _Index:
         self.window, owners = window, defaultdict(set)
         for item_id, text in items:
             ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text))
+            if len(self.vocab) >= 1 << 21:
+                raise ValueError("a block of items, or one item, has over two million different words; give smaller items")
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners[ids[i : i + window]] |= {item_id} - {None}
         self.windows = sorted(owners)
