@@ -2,17 +2,21 @@
 
 The folder is read from ``spark.checkpoint.dir``. Only a local session may run without that
 setting; it then gets ``/tmp/checkpoints``. On a cluster a machine-local folder would be wrong,
-so a missing setting is an error there.
+so a missing setting is an error there. Tables stay while results may still read them; ``clear`` deletes those of
+this driver, and those in the local default folder go when the driver ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
 BATCH_BYTES = "4m"
+_made: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,7 +30,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path on every call; nothing is ever overwritten."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    if path.startswith(LOCAL_DEFAULT + "/"):
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables made so far; no result that reads them may be used afterwards."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -1,6 +1,7 @@
 """Literal cases and properties of the operators, and of the queries without SQL."""
 
 import math
+import os
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sonoloom.functions import headers as H, masks as M, points as P
 from sonoloom.operators import annotations as A, evaluate as V
+from sonoloom.plans import scratch
 from sonoloom.plans.ranking import gapless_rank
 from sonoloom.plans.scratch import materialise, scratch_path
 from sonoloom.sources import files, views
@@ -125,6 +127,15 @@ def test_readers_and_writers_on_real_folders(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/frames").count() == frames.count() > spark.read.parquet(f"{tmp_path}/out/captured").count() > 0
 
 
+def test_scratch_tables_can_be_cleared(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    made, scratch._made[:] = list(scratch._made), [path]
+    scratch.clear(spark)
+    assert not os.path.exists(path) and not scratch._made
+    scratch._made[:] = [p for p in made if p != path]
+
+
 def test_three_corners_and_modes(spark):
     points = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((9.0, 8.0), (5.0, 1.0), (2.0, 7.0))))
     got = spark.range(1).select(M.order_three_corners(points).alias("p"), M.order_three_corners(F.slice(points, 1, 2)).alias("none")).first()
