@@ -38,28 +38,44 @@ def corners_to_config(p: dict[str, Column], rows: Column) -> Column:
     )
 
 
-def config_to_corners(c: Column) -> Column:
-    """struct of ul, ur, ll, lr coordinates; an inner radius of 0 gives one upper corner."""
-    rectangle = c["mask_type"] == "rectangle"
-    at = lambda angle, radius: (c["cx"] + c[radius] * F.cos(F.radians(c[angle])), c["cy"] + c[radius] * F.sin(F.radians(c[angle])))
-    out = []
-    for name, angle, radius, x, y in (("ul", "angle2", "radius1", "x_min", "y_min"), ("ur", "angle1", "radius1", "x_max", "y_min"), ("ll", "angle2", "radius2", "x_min", "y_max"), ("lr", "angle1", "radius2", "x_max", "y_max")):
-        fx, fy = at(angle, radius)
-        gone = (c["radius1"] == 0) if name == "ur" else F.lit(False)
-        out += [F.when(rectangle, c[x].cast("double")).when(~F.coalesce(gone, F.lit(False)), fx).alias(f"{name}_x"), F.when(rectangle, c[y].cast("double")).when(~F.coalesce(gone, F.lit(False)), fy).alias(f"{name}_y")]
+def config_to_corners(c: Column, rows: Column | None = None, cols: Column | None = None) -> Column:
+    """struct of ul, ur, ll, lr in whole pixels: the two sides of a fan go left and right by their upper points, and to the image
+    if its size is given; with an inner radius of 0 the centre is the one upper corner and the lower points decide."""
+    rectangle, apex = c["mask_type"] == "rectangle", c["radius1"] == 0
+    at = lambda angle, radius: {"x": F.bround(c["cx"] + c[radius] * F.cos(F.radians(c[angle]))).cast("int"), "y": F.bround(c["cy"] + c[radius] * F.sin(F.radians(c[angle]))).cast("int")}
+    top, bottom = {k: at(f"angle{k}", "radius1") for k in (1, 2)}, {k: at(f"angle{k}", "radius2") for k in (1, 2)}
+    first_left = F.when(apex, bottom[1]["x"] <= bottom[2]["x"]).otherwise(top[1]["x"] <= top[2]["x"])
+    size, box, out = {"x": cols, "y": rows}, {"ul": ("x_min", "y_min"), "ur": ("x_max", "y_min"), "ll": ("x_min", "y_max"), "lr": ("x_max", "y_max")}, []
+    for name, edges in box.items():
+        points, first = (top if name[0] == "u" else bottom), (first_left if name[1] == "l" else ~first_left)
+        for axis, edge in zip("xy", edges):
+            fan = F.when(first, points[1][axis]).otherwise(points[2][axis])
+            if name == "ul":
+                fan = F.when(apex, c[f"c{axis}"]).otherwise(fan)
+            if size[axis] is not None:
+                fan = F.when(fan.isNotNull(), F.greatest(F.lit(0), F.least(size[axis] - 1, fan)))
+            fan = F.when(~apex, fan) if name == "ur" else fan
+            out.append(F.when(rectangle, c[edge]).otherwise(fan).cast("double").alias(f"{name}_{axis}"))
     return F.struct(*out)
 
 
+def rectangle_error(c: Column) -> Column:
+    """What is wrong with a rectangle's sides; null for none and for fans."""
+    wrong = (c["mask_type"] == "rectangle") & ((c["x_min"] >= c["x_max"]) | (c["y_min"] >= c["y_max"]))
+    return F.when(wrong, F.format_string("invalid rectangle: left=%d, right=%d, top=%d, bottom=%d", c["x_min"], c["x_max"], c["y_min"], c["y_max"]))
+
+
 def rasterise(df: DataFrame, rows: Column, cols: Column) -> DataFrame:
     """``df``, which has the fields of a configuration, with row, a, b: one row for each run of the mask's pixels.
 
     Ends are inclusive and clipped to the image. A fan's row ends at its rays and outer circle and may have
-    a hole, the inner circle; the row of the centre is left out.
+    a hole, the inner circle; the row of the centre is left out. An invalid rectangle (``rectangle_error``) has no pixels.
     """
     box, c = F.col("mask_type") == "rectangle", F.col
     first = F.greatest(F.lit(0), F.when(box, c("y_min")).otherwise(c("cy") + 1))
     last = F.least(rows - 1, F.when(box, c("y_max")).otherwise(c("cy") + c("radius2")))
-    each = df.withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))).withColumn("dy", (c("row") - c("cy")).cast("double"))
+    valid = ~F.coalesce(box & ((c("x_min") >= c("x_max")) | (c("y_min") >= c("y_max"))), F.lit(False))
+    each = df.where(valid).withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))).withColumn("dy", (c("row") - c("cy")).cast("double"))
     square = lambda r: F.greatest(F.lit(0.0), c(r).cast("double") * c(r) - c("dy") * c("dy"))
     ray = lambda angle: c("dy") / F.tan(F.radians(c(angle)))
     wide = F.floor(F.sqrt(square("radius2")) + EDGE)

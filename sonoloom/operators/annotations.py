@@ -61,6 +61,12 @@ def read_legacy(docs: DataFrame) -> DataFrame:
     return each.select("path", "rater", "frame_number", "kind", F.posexplode(clean_nested(F.col("ls"))).alias("line_ord", "points"))
 
 
+def measurements(lines: DataFrame) -> DataFrame:
+    """Measurement rows, ready to append: whose, of which instance, when (``at``), length to three decimals, base name of the image."""
+    length = F.format_string("%.3f", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    return lines.select("PatientName", "PatientID", "DicomInstanceUID", F.date_format("at", "yyyy-MM-dd_HH:mm:ss").alias("Timestamp"), length.alias("Length"), F.substring_index("image", "/", -1).alias("ImageFilename"))
+
+
 def clean_nested(lines: Column) -> Column:
     return F.filter(F.coalesce(lines, F.array()), lambda x: F.coalesce(F.size(x), F.lit(0)) > 0)
 

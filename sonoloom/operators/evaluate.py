@@ -102,10 +102,18 @@ def sequence_info(configs: DataFrame, config: str, key: str = "clip_id") -> Data
     return configs.select(key, F.to_json(F.struct(uid, F.lit(False).alias("GrayscaleConversion"), *raw, F.col("image_rows").alias("image_size_rows"), F.col("image_cols").alias("image_size_cols"), labels)).alias("json"))
 
 
+def erode_edges(r: DataFrame, key: str, rows: int, cols: int, fraction: float) -> DataFrame:
+    """The mask without the image's border, eroded by a box of the given share of the image's rows; unchanged for no share."""
+    if fraction <= 0:
+        return r
+    inner = r.where((F.col("row") > 0) & (F.col("row") < rows - 1)).select(key, "row", F.greatest("a", F.lit(1)).alias("a"), F.least("b", F.lit(cols - 2)).alias("b")).where("a <= b")
+    return erode(inner, key, int(fraction * rows))
+
+
 def erode(r: DataFrame, key: str, size: int) -> DataFrame:
-    """Runs of the mask eroded by a ``size`` x ``size`` box (odd): in ``size`` neighbouring rows, and so far from both ends."""
-    half = size // 2
-    lines = r.select(key, F.explode(F.sequence(F.col("row") - half, F.col("row") + half)).alias("row"), F.col("row").alias("src"), (F.col("a") + half).alias("a"), (F.col("b") - half).alias("b")).where("a <= b")
+    """Runs of the mask eroded by a ``size`` x ``size`` box: in ``size`` neighbouring rows, and so far from both ends; an even box reaches one pixel farther up and left."""
+    before, after = size // 2, size - 1 - size // 2
+    lines = r.select(key, F.explode(F.sequence(F.col("row") - after, F.col("row") + before)).alias("row"), F.col("row").alias("src"), (F.col("a") + before).alias("a"), (F.col("b") - after).alias("b")).where("a <= b")
     events = lines.select(key, "row", F.inline(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("x"), F.lit(-1).alias("d"))))).groupBy(key, "row", "x").agg(F.sum("d").alias("d"))
     order = W.partitionBy(key, "row").orderBy("x")
     seen = events.select(key, "row", "x", F.sum("d").over(order).alias("n"), F.lead("x").over(order).alias("next"))

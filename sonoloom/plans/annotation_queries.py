@@ -95,7 +95,8 @@ R.add("next_unadjudicated", lambda s, d: _next(s, d, "SeriesInstanceUID", 0), "W
 R.add("labels_in_vocabulary", lambda s, d: _vocabulary(s, d), f"WITH {FILES}, v AS (SELECT DISTINCT ('m' || (l_suppkey % 7)) AS label FROM lineitem WHERE l_quantity > 49), u AS (SELECT clip_id, unnest(labels) AS label FROM f) SELECT clip_id, count(*) FILTER (label IN (SELECT label FROM v)) AS known, count(*) FILTER (label NOT IN (SELECT label FROM v)) AS unknown FROM u GROUP BY 1")
 R.add("ras_lps", lambda s, d: lines(s, d).select("clip_id", "line_ord", P.ras_lps(F.array(F.array("x1", "y1", F.lit(7.0))), F.col("coordinate_space"), "LPS").alias("p")).select("clip_id", "line_ord", F.col("p")[0][0].alias("x"), F.col("p")[0][1].alias("y"), F.col("p")[0][2].alias("z")), "SELECT clip_id, line_ord, CASE coordinate_space WHEN 'RAS' THEN -x1 ELSE x1 END AS x, CASE coordinate_space WHEN 'RAS' THEN -y1 ELSE y1 END AS y, 7.0::DOUBLE AS z FROM v_line")
 R.add("line_length", lambda s, d: lines(s, d).select("clip_id", "line_ord", F.format_string("%.3f", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length")), "SELECT clip_id, line_ord, printf('%.3f', sqrt((x2 - x1) ^ 2 + (y2 - y1) ^ 2)) AS length FROM v_line")
-R.add("append_measurement", lambda s, d: lines(s, d).select("clip_id", "frame_number", "line_ord", F.round(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 3).alias("length"), F.concat(F.col("clip_id").cast("string"), F.lit("_"), F.col("frame_number").cast("string"), F.lit(".png")).alias("image")), "SELECT clip_id, frame_number, line_ord, round(sqrt((x2 - x1) ^ 2 + (y2 - y1) ^ 2), 3) AS length, clip_id || '_' || frame_number || '.png' AS image FROM v_line")
+R.add("append_measurement", lambda s, d: A.measurements(lines(s, d).join(table(s, d, "orders").select(F.col("o_orderkey").alias("clip_id"), F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("PatientID"), F.col("o_orderdate").alias("at")), "clip_id").withColumns({"PatientName": F.concat(F.lit("Doe^"), "PatientID"), "DicomInstanceUID": F.concat(F.lit("1.2.840."), F.col("clip_id").cast("string"), F.lit("."), F.col("line_ord").cast("string")), "image": F.concat(F.lit("/out/"), F.col("clip_id").cast("string"), F.lit("_"), F.col("frame_number").cast("string"), F.lit(".png"))})),
+      "SELECT 'Doe^P' || o_custkey AS PatientName, 'P' || o_custkey AS PatientID, '1.2.840.' || clip_id || '.' || line_ord AS DicomInstanceUID, strftime(o_orderdate, '%Y-%m-%d_%H:%M:%S') AS Timestamp, printf('%.3f', sqrt((x2 - x1) ^ 2 + (y2 - y1) ^ 2)) AS Length, clip_id || '_' || frame_number || '.png' AS ImageFilename FROM v_line JOIN orders ON o_orderkey = clip_id")
 R.add("line_coefficients", lambda s, d: _crossings(s, d), "SELECT clip_id, line_ord, y2 - y1 AS a, x1 - x2 AS b, x1 * y2 - x2 * y1 AS c, CASE WHEN x1 <> x2 THEN round(x1 + (x2 - x1) * (20 - y1) / (y2 - y1), 6) ELSE x1 END AS x_at_20 FROM v_line")
 R.add("apply_affine", lambda s, d: lines(s, d).select("clip_id", "line_ord", P.apply_affine(F.array(*map(F.lit, (-2.0, 0.0, 0.0, 640.0, 0.0, 1.5, 0.0, 10.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0))), F.col("x1"), F.col("y1"), F.lit(0.0)).alias("p")).select("clip_id", "line_ord", F.col("p")[0].alias("i"), F.col("p")[1].alias("j")), "SELECT clip_id, line_ord, CAST(640 - 2 * x1 AS INT) AS i, CAST(round_even(1.5 * y1 + 10, 0) AS INT) AS j FROM v_line")
 def _palette_sql() -> str:

@@ -105,12 +105,12 @@ def _normal(i: int):
 def _docs(s, d):
     """Sequence documents: every other clip has its mask nested, and one in five uses the older key names."""
     c = _configs(s, d).select("clip_id", "gt.*")
-    new, old = F.struct("mask_type", "angle1", "angle2", "radius1", "radius2"), F.struct("mask_type", F.col("angle1").alias("angle_min_degrees"), F.col("angle2").alias("angle_max_degrees"), F.col("radius1").alias("radius_min_px"), F.col("radius2").alias("radius_max_px"))
+    new, old = F.struct("mask_type", "angle1", "angle2", "radius1", "radius2", F.col("cy").alias("center_rows_px"), F.col("cx").alias("center_cols_px"), F.lit(480).alias("image_size_rows")), F.struct(F.array("cy", "cx").alias("center_coordinate_pixel"), "mask_type", F.col("angle1").alias("angle_min_degrees"), F.col("angle2").alias("angle_max_degrees"), F.col("radius1").alias("radius_min_px"), F.col("radius2").alias("radius_max_px"))
     pick = lambda body: F.when(F.col("clip_id") % 2 == 0, F.to_json(F.struct(body.alias("MaskConfig")))).otherwise(F.to_json(body))
     return c.select("clip_id", F.when(F.col("clip_id") % 5 == 0, pick(old)).otherwise(pick(new)).alias("json"))
 
 
-FIELDS = "mask_type string, angle1 double, angle2 double, radius1 int, radius2 int, angle_min_degrees double, angle_max_degrees double, radius_min_px int, radius_max_px int"
+FIELDS = "mask_type string, angle1 double, angle2 double, radius1 int, radius2 int, angle_min_degrees double, angle_max_degrees double, radius_min_px int, radius_max_px int, center_rows_px int, center_cols_px int, center_coordinate_pixel array<int>, image_size_rows int"
 
 
 def _read_config(s, d):
@@ -133,7 +133,19 @@ def _ordered(s, d):
 
 
 R.add("corners_to_config", lambda s, d: _configs(s, d).select("clip_id", "pred.*"), f"WITH {PRED} SELECT clip_id, {KEY} FROM pred")
-R.add("config_to_corners", lambda s, d: _configs(s, d).select("clip_id", M.config_to_corners(F.col("gt")).alias("c")).select("clip_id", *(F.round(f"c.{c}_{a}", 4).alias(f"{c}_{a}") for c in V.CORNERS for a in "xy")), f"WITH {GT} SELECT clip_id, " + ", ".join(f"round(CASE WHEN mask_type = 'rectangle' THEN x_{'min' if c[1] == 'l' else 'max'} ELSE cx + radius{1 if c[0] == 'u' else 2} * cos(radians(angle{2 if c[1] == 'l' else 1})) END, 4) AS {c}_x, round(CASE WHEN mask_type = 'rectangle' THEN y_{'min' if c[0] == 'u' else 'max'} ELSE cy + radius{1 if c[0] == 'u' else 2} * sin(radians(angle{2 if c[1] == 'l' else 1})) END, 4) AS {c}_y" for c in V.CORNERS) + " FROM gt")
+TURN = "round_even({c} + radius{r} * {f}(radians(angle{k})), 0)"
+LEFT = f"CASE WHEN {TURN.format(c='cx', r=1, f='cos', k=1)} <= {TURN.format(c='cx', r=1, f='cos', k=2)} THEN 1 ELSE 2 END"
+SIDE = "CASE WHEN mask_type = 'rectangle' THEN {edge} ELSE greatest(0, least({last}, CASE WHEN (" + LEFT + ") = {own} THEN {one} ELSE {two} END)) END"
+
+
+def _corner_sql(c: str, a: str) -> str:
+    r, f, centre = (1 if c[0] == "u" else 2), ("cos" if a == "x" else "sin"), ("cx" if a == "x" else "cy")
+    edge = f"x_{'min' if c[1] == 'l' else 'max'}" if a == "x" else f"y_{'min' if c[0] == 'u' else 'max'}"
+    return SIDE.format(edge=edge, last=639 if a == "x" else 479, own=1 if c[1] == "l" else 2, one=TURN.format(c=centre, r=r, f=f, k=1), two=TURN.format(c=centre, r=r, f=f, k=2)) + f" AS {c}_{a}"
+
+
+R.add("config_to_corners", lambda s, d: _configs(s, d).select("clip_id", M.config_to_corners(F.col("gt"), F.col("image_rows"), F.col("image_cols")).alias("c")).select("clip_id", "c.*"), f"WITH {GT} SELECT clip_id, " + ", ".join(_corner_sql(c, a) for c in V.CORNERS for a in "xy") + " FROM gt")
+R.add("mask_errors", lambda s, d: _configs(s, d).withColumn("c", F.col("gt").withField("x_max", F.when(F.col("clip_id") % 4 == 0, F.col("gt.x_min")).otherwise(F.col("gt.x_max")))).select("clip_id", M.rectangle_error(F.col("c")).alias("error")).where("error IS NOT NULL"), f"WITH {GT} SELECT clip_id, printf('invalid rectangle: left=%d, right=%d, top=%d, bottom=%d', x_min, x_min, y_min, y_max) AS error FROM gt WHERE mask_type = 'rectangle' AND clip_id % 4 = 0")
 R.add("mask_runs", lambda s, d: V.runs(_configs(s, d), "clip_id", "gt").groupBy("clip_id", "row").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels"), F.min("a").alias("first"), F.max("b").alias("last")), f"WITH {GT}, {PIXELS}, r AS (SELECT kid, y, count(*) AS pixels, min(x) AS first, max(x) AS last FROM px GROUP BY kid, y) SELECT gt.clip_id, CAST(y AS INT) AS row, pixels, CAST(first AS INT) AS first, CAST(last AS INT) AS last FROM gt JOIN one ON {SAME.format('gt', 'one')} JOIN r ON r.kid = one.kid")
 R.add("mask_overlap", lambda s, d: V.dice_iou(V.overlap(_configs(s, d), "clip_id")).select("clip_id", F.round("dice", 9).alias("dice"), F.round("iou", 9).alias("iou")), f"WITH {GT}, {PRED}, {PAIRS} SELECT clip_id, round(2 * common / (truth + predicted), 9) AS dice, round(common / (truth + predicted - common), 9) AS iou FROM o")
 R.add("mask_confusion", lambda s, d: V.overlap(_configs(s, d), "clip_id").select("clip_id", (F.col("truth") - F.col("common")).alias("truth_only"), (F.col("predicted") - F.col("common")).alias("predicted_only"), "common"), f"WITH {GT}, {PRED}, {PAIRS} SELECT clip_id, truth - common AS truth_only, predicted - common AS predicted_only, common FROM o")
@@ -144,7 +156,7 @@ R.add("write_metrics", lambda s, d: V.eval_row(_named(s, d)).where("gt_mask_type
 R.add("round_metrics", lambda s, d: masks(s, d).select("clip_id", *(F.bround(F.col("clip_id") * k + F.col("pred_dx") / 8, 2).alias(f"v{i}") for i, k in enumerate((0.001, 0.125, 1.0))), "image_rows"), "SELECT clip_id, " + ", ".join(f"round_even(clip_id * {k}::DOUBLE + pred_dx / 8, 2) AS v{i}" for i, k in enumerate((0.001, 0.125, 1.0))) + ", image_rows FROM v_mask")
 R.add("report_manifest", lambda s, d: _metrics(s, d).select("clip_id", *(F.coalesce(F.when(F.col(m) > 0, F.format_string("%.3f", F.col(m))), F.lit("N/A")).alias(m) for m in METRICS)), f"WITH {GT}, {PRED}, {PAIRS}, x AS (SELECT m.clip_id, {METRIC_SQL}, " + ", ".join(f"{ERR} AS {m}" for m in METRICS[2:]) + " FROM v_mask m JOIN o ON o.clip_id = m.clip_id) SELECT clip_id, " + ", ".join(f"CASE WHEN {m} > 0 THEN printf('%.3f', {m}) ELSE 'N/A' END AS {m}" for m in METRICS) + " FROM x")
 R.add("read_mask_config", lambda s, d: _read_config(s, d).select("clip_id", "mask_type", "angle1", "angle_min_degrees"), f"WITH {GT} SELECT clip_id, mask_type, CASE WHEN clip_id % 5 <> 0 THEN angle1 END AS angle1, CASE WHEN clip_id % 5 = 0 THEN angle1 END AS angle_min_degrees FROM gt")
-R.add("normalise_mask_keys", lambda s, d: _read_config(s, d).select("clip_id", F.coalesce("mask_type", F.lit("fan")).alias("mask_type"), F.coalesce("angle1", "angle_min_degrees").alias("angle1"), F.coalesce("angle2", "angle_max_degrees").alias("angle2"), F.coalesce("radius1", "radius_min_px").alias("radius1"), F.coalesce("radius2", "radius_max_px").alias("radius2")), f"WITH {GT} SELECT clip_id, mask_type, angle1, angle2, radius1, radius2 FROM gt")
+R.add("normalise_mask_keys", lambda s, d: _read_config(s, d).select("clip_id", F.coalesce("mask_type", F.lit("fan")).alias("mask_type"), F.coalesce("angle1", "angle_min_degrees").alias("angle1"), F.coalesce("angle2", "angle_max_degrees").alias("angle2"), F.coalesce("radius1", "radius_min_px").alias("radius1"), F.coalesce("radius2", "radius_max_px").alias("radius2"), *(F.coalesce(f"center_{n}_px", F.get("center_coordinate_pixel", F.lit(i))).alias(f"center_{n}_px") for i, n in enumerate(("rows", "cols"))), F.coalesce("image_size_rows", F.lit(600)).alias("image_size_rows")), f"WITH {GT} SELECT clip_id, mask_type, angle1, angle2, radius1, radius2, cy AS center_rows_px, cx AS center_cols_px, CASE WHEN clip_id % 5 = 0 THEN 600 ELSE 480 END AS image_size_rows FROM gt")
 R.add("config_columns", lambda s, d: _configs(s, d).select("clip_id", *(F.bround(f"gt.{c}", 2).alias(f"mask_{c}") if c.startswith("angle") else F.col(f"gt.{c}").alias(f"mask_{c}") for c in CFG), (F.col("gt.mask_type") == "fan").cast("int").alias("mask_is_fan")), f"WITH {GT} SELECT clip_id, " + ", ".join(f"round_even({c}, 2) AS mask_{c}" if c.startswith("angle") else f"{c} AS mask_{c}" for c in CFG) + ", CASE WHEN clip_id % 3 = 0 THEN 0 ELSE 1 END AS mask_is_fan FROM gt")
 R.add("write_sequence_info", lambda s, d: V.sequence_info(_named(s, d), "gt"), _info_sql())
 R.add("denormalise_corners", lambda s, d: masks(s, d).select("clip_id", *(F.round(M.denormalise(_normal(2 * i + (a == "y")), F.col("image_cols" if a == "x" else "image_rows")), 6).alias(f"{c}_{a}") for i, c in enumerate(V.CORNERS) for a in "xy")), "SELECT clip_id, " + ", ".join(f"round((clip_id + {7 * (2 * i + (a == 'y'))}) % 97 * {640 if a == 'x' else 480} / 97, 6) AS {c}_{a}" for i, c in enumerate(V.CORNERS) for a in "xy") + " FROM v_mask")
@@ -153,7 +165,7 @@ R.add("merge_top_corners", lambda s, d: masks(s, d).select("clip_id", *(v.alias(
 R.add("order_corners", _ordered, "SELECT clip_id, " + ", ".join(f"gt_{c}_{a} AS {c}_{a}" for c in V.CORNERS for a in "xy") + " FROM v_mask")
 R.add("redaction_height", lambda s, d: masks(s, d).select("clip_id", M.redaction_height(F.col("image_rows"), F.col("gt_ul_y") + 20 * F.col("pred_dy"), F.col("gt_ur_y") - 200, 0.2).alias("height")), "SELECT clip_id, CAST(CASE WHEN gt_ul_y + 20 * pred_dy > 0 THEN least(96, gt_ul_y + 20 * pred_dy) ELSE 96 END AS INT) AS height FROM v_mask")
 R.add("redaction_mode", lambda s, d: masks(s, d).select("clip_id", M.redaction_mode(F.col("clip_id") % 2 == 0, F.col("clip_id") % 3 > 0, (F.col("clip_id") % 5) / 10, F.col("clip_id") % 7 > 0).alias("mode")), "SELECT clip_id, CASE WHEN clip_id % 2 = 1 THEN 'mask' WHEN clip_id % 3 = 0 OR clip_id % 5 = 0 OR clip_id % 7 = 0 THEN 'untouched' ELSE 'top' END AS mode FROM v_mask")
-R.add("mask_erode", lambda s, d: V.area(V.erode(V.runs(_configs(s, d), "clip_id", "gt"), "clip_id", 5), "clip_id", "pixels"), f"WITH {GT}, {PIXELS}, n AS (SELECT kid, x + i AS x, y + j AS y FROM px, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)), e AS (SELECT kid, x, y FROM n GROUP BY kid, x, y HAVING count(*) = 25), k AS (SELECT kid, count(*) AS pixels FROM e GROUP BY kid) SELECT gt.clip_id, pixels FROM gt JOIN one ON {SAME.format('gt', 'one')} JOIN k ON k.kid = one.kid")
+R.add("mask_erode", lambda s, d: V.area(V.erode_edges(V.runs(_configs(s, d), "clip_id", "gt"), "clip_id", 480, 640, 0.0105), "clip_id", "pixels"), f"WITH {GT}, {PIXELS}, n AS (SELECT kid, x + i AS x, y + j AS y FROM px, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)), e AS (SELECT kid, x, y FROM n GROUP BY kid, x, y HAVING count(*) = 25), k AS (SELECT kid, count(*) AS pixels FROM e GROUP BY kid) SELECT gt.clip_id, pixels FROM gt JOIN one ON {SAME.format('gt', 'one')} JOIN k ON k.kid = one.kid")
 R.add("mask_contour", lambda s, d: _contour(s, d), None)
 R.add("sector_mask", lambda s, d: _sectors(lines(s, d).select("*")).groupBy("clip_id", "frame_number", "kind").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels")), "WITH ang AS (SELECT *, least(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS lo, greatest(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS hi FROM v_line), g AS (SELECT x, y FROM (SELECT unnest(range(-25, 26)) AS x), (SELECT unnest(range(1, 26)) AS y) WHERE x * x + y * y BETWEEN 100 AND 625) SELECT clip_id, frame_number, kind, count(*) AS pixels FROM ang, g WHERE x >= y / tan(radians(hi)) - 1e-9 AND x <= y / tan(radians(lo)) + 1e-9 GROUP BY 1, 2, 3")
 R.add("pleura_percentage", lambda s, d: V.pleura_percentage(_sectors(lines(s, d))), f"WITH {SECTOR_PIXELS.format('v_line')} {PERCENT}")
