@@ -61,6 +61,58 @@ def read_legacy(docs: DataFrame) -> DataFrame:
     return each.select("path", "rater", "frame_number", "kind", F.posexplode(clean_nested(F.col("ls"))).alias("line_ord", "points"))
 
 
+#: Kinds of the scalars and lists of a document, the keys that it, a frame and a line need, and the spaces.
+KINDS = {
+    "SOPInstanceUID": "string", "GrayscaleConversion": "boolean", "mask_type": "string", "angle1": "number", "angle2": "number", "center_rows_px": "integer", "center_cols_px": "integer", "radius1": "integer",
+    "radius2": "integer", "image_size_rows": "integer", "image_size_cols": "integer", "AnnotationLabels": "strings", "labels": "strings", "frame_annotations": "array",
+}
+NEEDED, FRAME_NEEDED, LINE_NEEDED, SPACES = ("SOPInstanceUID", "frame_annotations"), ("frame_number", "pleura_lines", "b_lines"), ("rater", "line"), ("LPS", "RAS")
+#: What the schema of a variant is called for each kind.
+VARIANTS = {
+    "string": "^STRING$", "boolean": "^BOOLEAN$", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "integer": "^(BIGINT$|DECIMAL.[0-9]+,0)", "strings": "^ARRAY<(STRING|VOID)>$",
+    "array": "^ARRAY<", "object": "^OBJECT<", "text or integer": "^(STRING$|BIGINT$|DECIMAL.[0-9]+,0)",
+}
+
+
+def validate_documents(docs: DataFrame) -> DataFrame:
+    """(columns of ``docs`` but json, at, message): what is wrong with each JSON document, one row for each fault.
+
+    A text that is no JSON has one fault. ``at`` is the place, keys and list numbers joined by slashes.
+    """
+    keys = [c for c in docs.columns if c != "json"]
+    parsed = docs.withColumn("v", F.try_parse_json("json"))
+    child = lambda v, key: F.try_variant_get(v, f"$.{key}", "variant")
+    fault = lambda wrong, at, message: F.when(wrong, F.struct(at.alias("at"), F.lit(message).alias("message")))
+    wrong_kind = lambda v, kind: v.isNotNull() & ~F.schema_of_variant(v).rlike(VARIANTS[kind])
+    missing = lambda v, names, at: [fault(child(v, k).isNull(), at, f"{k} is required") for k in names]
+    listed = lambda df, faults: df.select(*keys, F.inline(F.array_compact(F.array(*faults))))
+    items = lambda v, key: F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+
+    root = F.col("v")
+    top = [fault(root.isNull(), F.lit(""), "not readable"), *(F.when(root.isNotNull(), f) for f in missing(root, NEEDED, F.lit("")))]
+    out = listed(parsed, top + [fault(wrong_kind(child(root, k), kind), F.lit(k), f"not of kind {kind}") for k, kind in KINDS.items()])
+
+    frame, at = F.col("frame"), F.concat(F.lit("frame_annotations/"), F.col("i").cast("string"))
+    frames = parsed.select(*keys, F.posexplode(items(root, "frame_annotations")).alias("i", "frame"))
+    space = F.try_variant_get(frame, "$.coordinate_space", "string")
+    of_frame = [*missing(frame, FRAME_NEEDED, at), fault(wrong_kind(child(frame, "frame_number"), "text or integer"), F.concat(at, F.lit("/frame_number")), "not of kind text or integer")]
+    of_frame += [fault(child(frame, "coordinate_space").isNotNull() & ~F.coalesce(space.isin(*SPACES), F.lit(False)), F.concat(at, F.lit("/coordinate_space")), f"not one of {', '.join(SPACES)}")]
+    out = out.unionByName(listed(frames, of_frame + [fault(wrong_kind(child(frame, k), "array"), F.concat(at, F.lit(f"/{k}")), "not of kind array") for k in FRAME_NEEDED[1:]]))
+
+    for kind in FRAME_NEEDED[1:]:
+        lines = frames.select(*keys, at.alias("at0"), F.posexplode(items(frame, kind)).alias("i", "entry"))
+        entry, place = F.col("entry"), F.concat("at0", F.lit(f"/{kind}/"), F.col("i").cast("string"))
+        line = child(entry, "line")
+        of_line = [*missing(entry, LINE_NEEDED, place), fault(wrong_kind(child(entry, "rater"), "string"), F.concat(place, F.lit("/rater")), "not of kind string")]
+        of_line += [fault(wrong_kind(line, "object"), F.concat(place, F.lit("/line")), "not of kind object"), fault(line.isNotNull() & child(line, "points").isNull(), F.concat(place, F.lit("/line")), "points is required")]
+        out = out.unionByName(listed(lines, of_line + [fault(wrong_kind(child(line, "points"), "array"), F.concat(place, F.lit("/line/points")), "not of kind array")]))
+        points = lines.select(*keys, place.alias("at1"), F.posexplode(items(entry, "line.points")).alias("j", "point"))
+        spot, numbers = F.concat("at1", F.lit("/line/points/"), F.col("j").cast("string")), F.try_variant_get("point", "$", "array<variant>")
+        odd = F.exists(numbers, lambda x: ~F.coalesce(F.schema_of_variant(x).rlike(VARIANTS["number"]), F.lit(False)))
+        out = out.unionByName(listed(points, [fault(numbers.isNull() | (F.size(numbers) != 3), spot, "not 3 items"), fault(odd, spot, "not of kind number")]))
+    return out
+
+
 def measurements(lines: DataFrame) -> DataFrame:
     """Measurement rows, ready to append: whose, of which instance, when (``at``), length to three decimals, base name of the image."""
     length = F.format_string("%.3f", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))

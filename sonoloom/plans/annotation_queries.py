@@ -66,8 +66,12 @@ R.add("filter_min_points", lambda s, d: lines(s, d).withColumn("points", F.when(
 R.add("clean_nested_lines", lambda s, d: lines(s, d).select("clip_id", "line_ord", F.to_json(A.clean_nested(_nested())).alias("kept")), "SELECT clip_id, line_ord, '[' || concat_ws(',', CASE WHEN line_ord % 2 = 0 THEN '[' || x1 || ']' END, CASE WHEN line_ord % 3 = 0 THEN '[' || y1 || ',' || y2 || ']' END, '[' || x2 || ']') || ']' AS kept FROM v_line")
 R.add("drop_frame", lambda s, d: lines(s, d).where("frame_number != 3").select(*COLS), f"SELECT {LINE} FROM v_line WHERE frame_number <> 3")
 R.add("check_duplicate_frames", lambda s, d: lines(s, d).groupBy("clip_id", "frame_number").agg(F.count("*").alias("n")).where("n > 1"), "SELECT clip_id, frame_number, count(*) AS n FROM v_line GROUP BY 1, 2 HAVING count(*) > 1")
-RULES = {"rater": "length(trim(rater)) BETWEEN 1 AND 100 AND rater <> 'n'", "frame": "frame_number >= 0 AND frame_number < 6", "x": "x2 <= 100", "space": "coordinate_space IN ('RAS')"}
-R.add("validate_documents", lambda s, d: lines(s, d).select("clip_id", "line_ord", F.explode(F.array_compact(F.array(*(F.when(~F.expr(t), F.lit(n)) for n, t in RULES.items())))).alias("rule")), "SELECT clip_id, line_ord, unnest(list_filter([" + ", ".join(f"CASE WHEN {t} THEN NULL ELSE '{n}' END" for n, t in RULES.items()) + "], lambda r: r IS NOT NULL)) AS rule FROM v_line")
+R.add("validate_documents", lambda s, d: A.validate_documents(_faulty(s, d)), """WITH f AS (SELECT clip_id, line_ord, unnest([
+  CASE WHEN line_ord % 7 = 0 THEN {'at': 'SOPInstanceUID', 'message': 'not of kind string'} END, CASE WHEN line_ord % 11 = 0 THEN {'at': 'radius1', 'message': 'not of kind integer'} END,
+  CASE WHEN line_ord % 5 = 0 THEN {'at': 'frame_annotations/0', 'message': 'frame_number is required'} END, CASE WHEN line_ord % 3 = 0 THEN {'at': 'frame_annotations/0/coordinate_space', 'message': 'not one of LPS, RAS'} END,
+  CASE WHEN line_ord % 13 = 0 THEN {'at': 'frame_annotations/0/pleura_lines/0/line/points/1', 'message': 'not 3 items'} END, CASE WHEN line_ord % 19 = 0 THEN {'at': 'frame_annotations/0/pleura_lines/0/line/points/0', 'message': 'not of kind number'} END,
+  CASE WHEN line_ord % 23 = 0 THEN {'at': 'frame_annotations/0/pleura_lines/0', 'message': 'rater is required'} END]) AS x FROM v_line WHERE line_ord % 17 <> 0)
+  SELECT clip_id, line_ord, x['at'] AS at, x['message'] AS message FROM f WHERE x IS NOT NULL UNION ALL SELECT clip_id, line_ord, '', 'not readable' FROM v_line WHERE line_ord % 17 = 0""")
 R.add("validate_fields", lambda s, d: instances(s, d).select("InputPath", F.lower("InputPath").endswith(".dcm").alias("dcm"), F.when(F.col("StudyDate").rlike("^[0-9]{8}$"), F.try_to_timestamp("StudyDate", F.lit("yyyyMMdd"))).isNotNull().alias("date"), F.length("Manufacturer").between(1, 10).alias("maker"), F.coalesce(F.col("NumberOfFrames") >= 0, F.lit(False)).alias("frames")), "SELECT InputPath, suffix(lower(InputPath), '.dcm') AS dcm, try_strptime(StudyDate, '%Y%m%d') IS NOT NULL AS date, length(Manufacturer) BETWEEN 1 AND 10 AS maker, NumberOfFrames IS NOT NULL AS frames FROM v_instance")
 R.add("frame_line_counts", lambda s, d: A.frame_counts(lines(s, d)).orderBy("clip_id", "frame_number"), "SELECT clip_id, frame_number, sum(CASE kind WHEN 'pleura' THEN 1 ELSE 0 END)::BIGINT AS n_pleura, sum(CASE kind WHEN 'b' THEN 1 ELSE 0 END)::BIGINT AS n_b FROM v_line GROUP BY ALL")
 R.add("max_lines_per_clip", lambda s, d: A.max_lines(lines(s, d)), "WITH c AS (SELECT clip_id, frame_number, count(*) FILTER (kind = 'pleura') AS p, count(*) FILTER (kind = 'b') AS b FROM v_line GROUP BY 1, 2) SELECT clip_id, least(10, greatest(2, max(p))) AS max_pleura, least(10, greatest(2, max(b))) AS max_b FROM c GROUP BY 1")
@@ -146,6 +150,17 @@ def _palette(s, d):
     return ranks.withColumns({"pleura": pleura, "b": b}).select("rater", *(F.round(F.col(kind)[i], 6).alias(f"{kind}_{n}") for kind in ("pleura", "b") for i, n in enumerate(("red", "green", "blue"))))
 
 
+def _faulty(s, d):
+    """A document for each line, with faults of each kind in some."""
+    n = F.col("line_ord")
+    pick = lambda k, wrong, right: F.when(n % k == 0, F.lit(wrong)).otherwise(F.lit(right))
+    number = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("{"), pick(23, "", '"rater":"a",'), F.lit('"line":{"points":[['), F.when(n % 19 == 0, F.concat(F.lit('"'), number("x1"), F.lit('"'))).otherwise(number("x1")), F.lit(","), number("y1"), F.lit(",0],["), number("x2"), F.lit(","), number("y2"), pick(13, "", ",0.5"), F.lit("]]}}"))
+    frame = F.concat(F.lit("{"), F.when(n % 5 == 0, "").otherwise(F.concat(F.lit('"frame_number":'), number("frame_number"), F.lit(","))), F.lit('"coordinate_space":"'), pick(3, "XYZ", "LPS"), F.lit('","pleura_lines":['), line, F.lit('],"b_lines":[]}'))
+    text = F.concat(F.lit('{"SOPInstanceUID":'), pick(7, "5", '"1.2"'), F.lit(',"GrayscaleConversion":false,"angle1":1.5,"labels":["A"],"radius1":'), pick(11, "2.5", "3"), F.lit(',"frame_annotations":['), frame, F.lit("]}"))
+    return lines(s, d).select("clip_id", "line_ord", F.when(n % 17 == 0, "{broken").otherwise(text).alias("json"))
+
+
 def _nested():
     """Line lists with empty and missing elements between the others."""
     none = F.array().cast("array<double>")
