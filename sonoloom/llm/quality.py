@@ -51,7 +51,7 @@ def score(text: Column, weights: np.ndarray, spark: SparkSession) -> Column:
     def of_batch(texts: pa.Array) -> pa.Array:
         w, out, open_ = shared.value, [], np.zeros(2)
         for doc, bucket, n in features((t.as_py() for t in texts), BITS):
-            sums = np.array([np.bincount(doc, minlength=n + 1), np.bincount(doc, w[bucket], n + 1)])
+            sums = np.array([np.bincount(doc, minlength=n + 1), np.bincount(doc, w[bucket], n + 1)], dtype=np.float64)
             sums[:, 0] += open_
             open_ = sums[:, n]  # of a document that goes on
             z = sums[1, :n] * (SCALE / np.maximum(1, sums[0, :n])) + w[1 << BITS]

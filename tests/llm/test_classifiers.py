@@ -155,6 +155,13 @@ def test_long_texts_are_looked_at_in_chunks(monkeypatch):
     assert cut[0].tolist() == of.tolist() and cut[1].tolist() == bucket.tolist() and cut[2].tolist() == first.tolist() and cut[3].tolist() == last.tolist()
 
 
+def test_batches_of_empty_texts_only(spark):
+    weights = np.zeros((1 << quality.BITS) + 1)
+    weights[-1] = 1.0
+    docs = spark.createDataFrame([(None,), ("",), (" ",)], "text string").coalesce(1)
+    assert all(abs(r.s - 1 / (1 + math.exp(-1))) < 1e-12 for r in docs.select(quality.score(F.col("text"), weights, spark).alias("s")).collect())
+
+
 def test_keep_good_keeps_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = quality.keep_good(docs, spark.read.parquet(f"{sf}/labels.parquet"))
