@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import decontaminate, hamming, packing, quality, secrets, sharding, simhash, substring, toxicity, warc
+from sonoloom.llm import decontaminate, hamming, packing, quality, secrets, sharding, simhash, spelling, substring, toxicity, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_linear_grouping_pack": packing.query,
     "op9_doubling_dedup": substring.query,
     "op10_simhash_covering": simhash.query,
+    "op12_trie_pairs": spelling.query,
 }
 
 ORACLES: dict[str, str] = {
