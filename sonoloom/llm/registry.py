@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import decontaminate, hamming, packing, quality, secrets, sharding, simhash, spelling, substring, toxicity, warc
+from sonoloom.llm import decontaminate, hamming, negatives, packing, quality, secrets, sharding, simhash, spelling, substring, toxicity, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_doubling_dedup": substring.query,
     "op10_simhash_covering": simhash.query,
     "op12_trie_pairs": spelling.query,
+    "op13_lemp_negatives": negatives.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_segments": warc.SQL,
     "op3_hamming_topk": hamming.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op13_lemp_negatives": negatives.SQL,
 }
