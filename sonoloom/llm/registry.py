@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonoloom.llm import decontaminate, hamming, negatives, packing, quality, secrets, sharding, simhash, spelling, substring, toxicity, warc
+from sonoloom.llm import decontaminate, hamming, negatives, packing, quality, secrets, sharding, simhash, spelling, substring, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_warc_segments": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_linear_grouping_pack": packing.query,
     "op9_doubling_dedup": substring.query,
     "op10_simhash_covering": simhash.query,
+    "op11_suffix_cover": suffixes.query,
     "op12_trie_pairs": spelling.query,
     "op13_lemp_negatives": negatives.query,
 }
