@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sonoloom.plans.scratch import materialise, small_batches
 
 MODULUS, LEAST_LETTERS, LEAST_COUNT, FACTOR = 97, 5, 3, 2
-WORDS_PER_PART = 100_000
+WORDS_PER_PART = 20_000
 #: Bytes of text that are counted at once.
-STEP = 1 << 22
+STEP = 1 << 21
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ASCII = np.array([97 <= c <= 122 for c in range(256)])
 _TAIL = np.array([0x80 <= c <= 0xBF for c in range(256)])
@@ -128,18 +129,20 @@ def _paths(rows: pa.Table) -> pa.Table:
     """Local nodes of the sorted words of one part; the offset of a word is the number of letters of those before it."""
     order = np.argsort(np.array([w.encode() for w in rows["w"].to_pylist()], dtype=object), kind="stable")
     rows = rows.take(pa.array(order))
-    words, nodes, firsts, before, path, offset = rows["w"].to_pylist(), [], [], "", [], 0
+    words, nodes, ends, firsts, before, path, offset = rows["w"].to_pylist(), array("q"), [0], bytearray(), "", array("q"), 0
     for w in words:
         shared = len(os.path.commonprefix([before, w]))
-        path = path[:shared] + list(range(offset + shared + 1, offset + len(w) + 1))
-        nodes.append(path)
-        firsts.append([i == 0 or w[i - 1] != c for i, c in enumerate(w)])
+        path = path[:shared] + array("q", range(offset + shared + 1, offset + len(w) + 1))
+        nodes.extend(path)
+        firsts.extend(i == 0 or w[i - 1] != c for i, c in enumerate(w))
         offset += len(w)
+        ends.append(offset)
         before = w
     n = len(words)
+    lists = lambda flat: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
     return pa.table({
-        "part": rows["part"], "place": pa.array(range(n), pa.int64()), "w": rows["w"], "key": rows["key"], "n": rows["n"],
-        "nodes": pa.array(nodes, pa.list_(pa.int64())), "firsts": pa.array(firsts, pa.list_(pa.bool_())), "letters": pa.array([offset] * n, pa.int64()),
+        "part": rows["part"], "place": pa.array(range(n), pa.int64()), "w": rows["w"], "key": rows["key"], "n": rows["n"], "nodes": lists(pa.array(np.frombuffer(nodes, dtype=np.int64))),
+        "firsts": lists(pa.array(np.frombuffer(firsts, dtype=np.bool_))), "letters": pa.array([offset] * n, pa.int64()),
     })
 
 
