@@ -1,4 +1,4 @@
-"""Annotation lines of several raters: documents, filters, merges, adjudication and edits.
+"""Annotation lines of several raters: checks of documents, filters, merges, adjudication and edits.
 
 The working form is one row per line: clip_id, frame_number, rater, kind ('pleura' or 'b'), line_ord (order
 inside the frame), the end points x1, y1, x2, y2 and coordinate_space.
@@ -11,56 +11,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sonoloom.functions import points as P
 
 #: Fixed values of the document model.
-DOCUMENT = "clip_id long, rater string, frame_annotations array<struct<frame_number:string,coordinate_space:string,lines:array<struct<kind:string,line_ord:long,points:array<array<double>>>>>>"
-LEGACY = "map<string,struct<pleura_lines:array<array<array<double>>>,b_lines:array<array<array<double>>>>>"
 RESERVED = ("__all__", "__adjudicated__")
 CLAMP = (2, 10)
 
 
-def line_points() -> Column:
-    return F.array(F.array("x1", "y1", F.lit(0.0)), F.array("x2", "y2", F.lit(0.0)))
-
-
-def write_documents(lines: DataFrame) -> DataFrame:
-    """(clip_id, rater, json): one document for each rater's lines of a clip, frames and lines in order."""
-    frame = lines.groupBy("clip_id", "rater", "frame_number").agg(F.array_sort(F.collect_list(F.struct("line_ord", "kind", line_points().alias("points")))).alias("l"), F.first("coordinate_space").alias("space"))
-    body = F.struct(F.col("frame_number").alias("at"), F.col("frame_number").cast("string").alias("frame_number"), F.col("space").alias("coordinate_space"), F.transform("l", lambda x: F.struct(x["kind"].alias("kind"), x["line_ord"].alias("line_ord"), x["points"].alias("points"))).alias("lines"))
-    doc = frame.groupBy("clip_id", "rater").agg(F.array_sort(F.collect_list(body)).alias("f"))
-    frames = F.transform("f", lambda x: F.struct(x["frame_number"].alias("frame_number"), x["coordinate_space"].alias("coordinate_space"), x["lines"].alias("lines")))
-    return doc.select("clip_id", "rater", F.to_json(F.struct("clip_id", "rater", frames.alias("frame_annotations"))).alias("json"))
-
-
-def read_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, errors): parsed documents, and those that are no such JSON."""
-    parsed = docs.withColumn("d", F.from_json("json", DOCUMENT, {"mode": "PERMISSIVE"}))
-    bad = F.col("d.frame_annotations").isNull()
-    lines = (
-        parsed.where(~bad).select("d.clip_id", "d.rater", F.explode("d.frame_annotations").alias("f"))
-        .select("clip_id", F.col("f.frame_number").cast("int").alias("frame_number"), "rater", F.explode("f.lines").alias("l"))
-        .select("clip_id", "frame_number", "rater", "l.kind", "l.line_ord", F.col("l.points")[0][0].alias("x1"), F.col("l.points")[0][1].alias("y1"), F.col("l.points")[1][0].alias("x2"), F.col("l.points")[1][1].alias("y2"))
-    )
-    return lines, parsed.where(bad).select("clip_id", "rater")
-
-
-def write_legacy(lines: DataFrame) -> DataFrame:
-    """(path, json): documents of the older form, frames keyed by number, the rater in the path only."""
-    bare = lambda kind: F.transform(F.filter("l", lambda x: x["kind"] == kind), lambda x: x["points"])
-    frame = lines.groupBy("clip_id", "rater", "frame_number").agg(F.array_sort(F.collect_list(F.struct("line_ord", "kind", line_points().alias("points")))).alias("l"))
-    entry = F.struct(F.col("frame_number").cast("string").alias("k"), F.struct(bare("pleura").alias("pleura_lines"), bare("b").alias("b_lines")).alias("v"))
-    return frame.groupBy("clip_id", "rater").agg(F.map_from_entries(F.collect_list(entry)).alias("m")).select(F.concat(F.lit("/data/"), F.upper("rater"), F.lit("/x/"), F.col("clip_id").cast("string"), F.lit(".json")).alias("path"), F.to_json("m").alias("json"))
-
-
-def read_legacy(docs: DataFrame) -> DataFrame:
-    """(path, rater, frame_number, kind, line_ord, points): frames by number, lines in document order, rater from the path.
-
-    Empty lines are dropped; a key that is no number gives a null frame.
-    """
-    frames = docs.select("path", F.lower(F.regexp_extract("path", "([^/]+)/[^/]+/[^/]+$", 1)).alias("rater"), F.explode(F.from_json("json", LEGACY)).alias("k", "v"))
-    kinds = F.array(F.struct(F.lit("pleura").alias("kind"), F.col("v.pleura_lines").alias("ls")), F.struct(F.lit("b").alias("kind"), F.col("v.b_lines").alias("ls")))
-    each = frames.select("path", "rater", F.col("k").try_cast("int").alias("frame_number"), F.inline(kinds))
-    return each.select("path", "rater", "frame_number", "kind", F.posexplode(clean_nested(F.col("ls"))).alias("line_ord", "points"))
-
-
 #: Kinds of the scalars and lists of a document, the keys that it, a frame and a line need, and the spaces.
 KINDS = {
     "SOPInstanceUID": "string", "GrayscaleConversion": "boolean", "mask_type": "string", "angle1": "number", "angle2": "number", "center_rows_px": "integer", "center_cols_px": "integer", "radius1": "integer",
@@ -123,11 +77,6 @@ def clean_nested(lines: Column) -> Column:
     return F.filter(F.coalesce(lines, F.array()), lambda x: F.coalesce(F.size(x), F.lit(0)) > 0)
 
 
-def convert_legacy(docs: DataFrame) -> DataFrame:
-    """Legacy lines with their rater, tagged and turned from RAS to LPS."""
-    return read_legacy(docs).select("path", "frame_number", "kind", "line_ord", "rater", P.ras_lps(F.col("points"), F.lit("RAS"), "LPS").alias("points"), F.lit("LPS").alias("coordinate_space"))
-
-
 def filter_rater(lines: DataFrame, rater: str) -> DataFrame:
     return lines.where(F.lower(F.trim("rater")) == rater.strip().lower())
 

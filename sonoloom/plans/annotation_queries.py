@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from sonoloom.functions import headers as H, points as P
-from sonoloom.operators import annotations as A, catalogue as C
+from sonoloom.operators import annotations as A, documents as D
 from sonoloom.plans.wiring import Registry
 from sonoloom.sources.views import instances, lines, statuses, table
 
@@ -19,10 +19,58 @@ def _mode():
     return F.concat(F.lit("m"), (F.col("l_suppkey") % 7).cast("string"))
 
 
+def _held(s, d):
+    """Lines as documents hold them: of a rater's file, some with a validation, some with a key that nobody knows."""
+    n, none = F.col("line_ord"), F.lit(None).cast(D.VALIDATION)
+    judged = F.struct(F.lit("validated").alias("status"), F.concat(F.lit("adj"), (n % 3).cast("string")).alias("adjudicator"), F.lit("2024-05-06T07:08:09").alias("timestamp"))
+    extra = F.when(n % 2 == 1, F.concat(F.lit('{"note":{"of":['), (n % 5).cast("string"), F.lit("]}}"))).otherwise(F.lit("{}"))
+    return lines(s, d).withColumns({"owner": F.col("rater"), "validation": F.when(n % 4 == 0, judged).otherwise(none), "extra": extra})
+
+
+def _heads(s, d, *keys):
+    """What a document holds besides its lines."""
+    head = F.concat(F.lit('{"SOPInstanceUID":"1.2.'), F.col("clip_id").cast("string"), F.lit('","radius1":'), (F.col("clip_id") % 9).cast("string"), F.lit(',"note":[1,{"a":null}]}'))
+    return lines(s, d).withColumn("owner", F.col("rater")).select(*keys).distinct().withColumns({"head": head, "labels": F.array(F.concat(F.lit("c/"), (F.col("clip_id") % 4).cast("string")))})
+
+
 def _docs(s, d):
-    """Documents; one clip in thirteen has its text cut off."""
-    docs = A.write_documents(lines(s, d))
-    return docs.withColumn("json", F.when(F.col("clip_id") % 13 == 0, F.expr("left(json, length(json) - 5)")).otherwise(F.col("json")))
+    """Documents by clip and rater's file: one clip in thirteen has its text cut off, one in three no tag of the space."""
+    docs = D.write_documents(_held(s, d), ["clip_id", "owner"], _heads(s, d, "clip_id", "owner"))
+    text = F.when(F.col("clip_id") % 13 == 0, F.expr("left(json, length(json) - 5)")).when(F.col("clip_id") % 3 == 0, F.replace("json", F.lit('"coordinate_space":"LPS",'), F.lit(""))).otherwise(F.col("json"))
+    return docs.withColumn("json", text)
+
+
+#: The form of a written document, told to Spark's own JSON reader.
+FORM = "SOPInstanceUID string, radius1 int, labels array<string>, note array<string>, frame_annotations array<struct<frame_number:int,coordinate_space:string,{0}>>"
+FORM = FORM.format(",".join(f"{k}:array<struct<rater:string,line:struct<points:array<array<double>>>,validation:{D.VALIDATION},note:struct<of:array<int>>>>" for k in D.KINDS.values()))
+
+
+def _written(docs, *keys):
+    """The lines of written documents, as another reader finds them; a document that the schema check finds a fault in has none."""
+    clean = docs.join(A.validate_documents(docs.select(*keys, "json")).select(*keys).distinct(), list(keys), "left_anti")
+    each = clean.withColumn("d", F.from_json("json", FORM)).select(*keys, "d.SOPInstanceUID", "d.radius1", F.col("d.labels")[0].alias("label"), F.posexplode("d.frame_annotations").alias("frame_at", "f"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"f.{name}").alias("entries")) for k, name in D.KINDS.items()))
+    entry = each.select("*", "f.frame_number", "f.coordinate_space", F.inline(kinds)).select(*keys, "SOPInstanceUID", "radius1", "label", "frame_at", "frame_number", "coordinate_space", "kind", F.posexplode("entries").alias("line_ord", "e"))
+    ends = D.with_ends(entry.withColumn("points", F.col("e.line.points")))
+    return ends.select(*keys, "SOPInstanceUID", "radius1", "label", "frame_at", "frame_number", "coordinate_space", "kind", "line_ord", "e.rater", "x1", "y1", "x2", "y2", F.col("e.validation.adjudicator").alias("adjudicator"), F.col("e.note.of")[0].alias("note"))
+
+
+def _old_docs(s, d):
+    """Documents of the older form; every other frame has its lines in a nested object, one clip in eleven a frame that is no number."""
+    n = lines(s, d).withColumns({"points": F.array(F.array("x1", "y1", F.lit(0.5)), F.array("x2", "y2", F.lit(0.0))), "root": F.upper("rater")})
+    frame = n.groupBy("clip_id", "root", "frame_number").agg(F.array_sort(F.collect_list(F.struct("line_ord", "kind", "points"))).alias("l"))
+    bare = lambda kind: F.concat(F.array(F.array().cast("array<array<double>>")), F.transform(F.filter("l", lambda x: x["kind"] == kind), lambda x: x["points"]))
+    plain = F.to_json(F.struct(bare("pleura").alias("pleura_lines"), bare("b").alias("b_lines"), (F.col("frame_number") * 2).alias("depth")))
+    text = F.when(F.col("frame_number") % 2 == 0, F.concat(F.lit('{"annotation":'), plain, F.lit("}"))).otherwise(plain)
+    key = F.when((F.col("clip_id") % 11 == 0) & (F.col("frame_number") == 1), "first").when(F.col("frame_number") == 3, "03").otherwise(F.col("frame_number").cast("string"))
+    entry = F.concat(F.lit('"'), key, F.lit('":'), text)
+    doc = frame.groupBy("clip_id", "root").agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("frames"))
+    return doc.select(F.concat(F.lit("/data/"), "root", F.lit("/x/"), F.col("clip_id").cast("string"), F.lit(".json")).alias("path"), F.concat(F.lit('{"SOPInstanceUID":"1.2.'), F.col("clip_id").cast("string"), F.lit('","frame_annotations":{'), "frames", F.lit("}}")).alias("json"))
+
+
+PLACE = "CAST(row_number() OVER (PARTITION BY clip_id, rater, frame_number, kind ORDER BY line_ord) - 1 AS INT)"
+HELD = f"SELECT *, {PLACE} AS place, CASE WHEN line_ord % 4 = 0 THEN 'adj' || (line_ord % 3) END AS judge, CASE WHEN line_ord % 2 = 1 THEN CAST(line_ord % 5 AS INT) END AS of FROM v_line"
+OLD = f"SELECT *, '/data/' || upper(rater) || '/x/' || clip_id || '.json' AS path, {PLACE} AS place FROM v_line WHERE NOT (clip_id % 11 = 0 AND (clip_id, rater) IN (SELECT clip_id, rater FROM v_line WHERE frame_number = 1))"
 
 
 def _status_lines(s, d):
@@ -45,19 +93,26 @@ def _files(s, d):
 FILES = """f AS (SELECT l_orderkey AS clip_id, '/a/' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '_' || l_partkey || '_' || l_suppkey AS path, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE ('m' || (l_suppkey % 7)) END AS mask_type,
   CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS owner, [l_returnflag, l_linestatus, ('m' || (l_suppkey % 7))] AS labels FROM lineitem)"""
 LATEST = "lv AS (SELECT line_id, arg_max(status, (ts, event_id)) AS status, arg_max(adjudicator, (ts, event_id)) AS adjudicator FROM v_status GROUP BY 1), sl AS (SELECT l.*, line_ord % 997 AS line_id, status, adjudicator FROM v_line l LEFT JOIN lv ON lv.line_id = line_ord % 997)"
-LEG = "row_number() OVER (PARTITION BY clip_id, rater, frame_number, kind ORDER BY line_ord, x1, x2) - 1"
-
-
-def _legacy_unique(s, d):
-    return A.write_legacy(lines(s, d))
 
 
-R.add("read_annotations", lambda s, d: A.read_documents(_docs(s, d))[0], f"SELECT {LINE} FROM v_line WHERE clip_id % 13 <> 0")
-R.add("annotation_errors", lambda s, d: A.read_documents(_docs(s, d))[1], "SELECT DISTINCT clip_id, rater FROM v_line WHERE clip_id % 13 = 0")
-R.add("read_legacy_annotations", lambda s, d: A.read_legacy(_legacy_unique(s, d)).groupBy("path", "rater", "frame_number", "kind").agg(F.count("*").alias("n")), "SELECT '/data/' || upper(rater) || '/x/' || clip_id || '.json' AS path, rater, frame_number, kind, count(*) AS n FROM v_line GROUP BY ALL")
-R.add("convert_legacy", lambda s, d: A.convert_legacy(_legacy_unique(s, d)).groupBy("path", "frame_number", "kind", "rater", "coordinate_space").agg(F.sum(F.col("points")[0][0]).alias("sx1"), F.sum(F.col("points")[1][1]).alias("sy2")), "SELECT '/data/' || upper(rater) || '/x/' || clip_id || '.json' AS path, frame_number, kind, rater, 'LPS' AS coordinate_space, sum(-x1) AS sx1, sum(-y2) AS sy2 FROM v_line GROUP BY ALL")
-R.add("write_rater_annotations", lambda s, d: A.write_documents(A.filter_rater(lines(s, d), " R ")).select("clip_id", "rater", F.get_json_object("json", "$.frame_annotations[0].frame_number").alias("first_frame"), F.get_json_object("json", "$.frame_annotations[0].lines[0].points[1][0]").cast("double").alias("x2")), "WITH k AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_number, line_ord, kind, x1, y1, x2) AS n FROM v_line WHERE rater = 'r') SELECT clip_id, rater, CAST(frame_number AS VARCHAR) AS first_frame, x2 FROM k WHERE n = 1")
-R.add("write_adjudication", lambda s, d: A.write_documents(lines(s, d)).groupBy("clip_id").agg(F.count("*").alias("raters"), F.sum(F.json_array_length(F.get_json_object("json", "$.frame_annotations"))).alias("frames")), "SELECT clip_id, count(DISTINCT rater) AS raters, CAST(count(DISTINCT (rater, frame_number)) AS BIGINT) AS frames FROM v_line GROUP BY 1")
+def _read(s, d):
+    found = D.read_documents(_docs(s, d)).lines
+    return found.select("clip_id", "owner", "frame_number", "kind", "line_ord", "rater", "x1", "y1", "x2", "y2", F.col("points")[1][2].alias("z2"), F.col("validation.adjudicator").alias("adjudicator"), F.get_json_object("extra", "$.note.of[0]").cast("int").alias("note"))
+
+
+R.add("read_annotations", _read, f"""WITH h AS ({HELD}) SELECT clip_id, rater AS owner, frame_number, kind, place AS line_ord, rater, CASE WHEN clip_id % 3 = 0 THEN -x1 ELSE x1 END AS x1, CASE WHEN clip_id % 3 = 0 THEN -y1 ELSE y1 END AS y1,
+  CASE WHEN clip_id % 3 = 0 THEN -x2 ELSE x2 END AS x2, CASE WHEN clip_id % 3 = 0 THEN -y2 ELSE y2 END AS y2, 0.0::DOUBLE AS z2, judge AS adjudicator, of AS note FROM h WHERE clip_id % 13 <> 0""")
+R.add("annotation_errors", lambda s, d: D.read_documents(_docs(s, d)).errors, "SELECT DISTINCT clip_id, rater AS owner, 'not a JSON object' AS message FROM v_line WHERE clip_id % 13 = 0")
+R.add("read_legacy_annotations", lambda s, d: D.read_legacy(_old_docs(s, d)).lines.select("path", "rater", "frame_key", "frame_number", "kind", "line_ord", "x1", "y1", "x2", "y2", F.col("points")[0][2].alias("z1")), f"""WITH o AS ({OLD})
+  SELECT path, rater, CASE WHEN frame_number = 3 THEN '03' ELSE CAST(frame_number AS VARCHAR) END AS frame_key, frame_number, kind, place AS line_ord, x1, y1, x2, y2, 0.5::DOUBLE AS z1 FROM o""")
+R.add("legacy_errors", lambda s, d: D.read_legacy(_old_docs(s, d)).errors, "SELECT DISTINCT '/data/' || upper(rater) || '/x/' || clip_id || '.json' AS path, 'a frame key that is no number' AS message FROM v_line WHERE clip_id % 11 = 0 AND frame_number = 1")
+R.add("convert_legacy", lambda s, d: _written(D.convert_legacy(_old_docs(s, d))[0].select("file", "json"), "file").drop("radius1", "label", "adjudicator", "note", "frame_at"), f"""WITH o AS ({OLD})
+  SELECT '/data/' || upper(rater) || '/x/' || clip_id || '.' || rater || '.json' AS file, '1.2.' || clip_id AS SOPInstanceUID, frame_number, 'LPS' AS coordinate_space, kind, place AS line_ord, rater, -x1 AS x1, -y1 AS y1, -x2 AS x2, -y2 AS y2 FROM o""")
+R.add("write_rater_annotations", lambda s, d: _written(D.write_rater(_held(s, d), "clip_id", " R ", _heads(s, d, "clip_id")), "clip_id", "file"), f"""WITH h AS ({HELD}) SELECT clip_id, clip_id || '.r.json' AS file, '1.2.' || clip_id AS SOPInstanceUID, CAST(clip_id % 9 AS INT) AS radius1, 'c/' || (clip_id % 4) AS label,
+  CAST(dense_rank() OVER (PARTITION BY clip_id ORDER BY frame_number) - 1 AS INT) AS frame_at, frame_number, 'LPS' AS coordinate_space, kind, place AS line_ord, rater, -x1 AS x1, -y1 AS y1, -x2 AS x2, -y2 AS y2, judge AS adjudicator, of AS note FROM h WHERE rater = 'r'""")
+R.add("write_adjudication", lambda s, d: _written(D.write_adjudication(_held(s, d), "clip_id", _heads(s, d, "clip_id")), "clip_id", "file"), f"""WITH h AS ({HELD}) SELECT clip_id, clip_id || '.adjudication.json' AS file, '1.2.' || clip_id AS SOPInstanceUID, CAST(clip_id % 9 AS INT) AS radius1, 'c/' || (clip_id % 4) AS label,
+  CAST(dense_rank() OVER (PARTITION BY clip_id ORDER BY frame_number) - 1 AS INT) AS frame_at, frame_number, 'LPS' AS coordinate_space, kind, CAST(row_number() OVER (PARTITION BY clip_id, frame_number, kind ORDER BY line_ord) - 1 AS INT) AS line_ord,
+  rater, -x1 AS x1, -y1 AS y1, -x2 AS x2, -y2 AS y2, judge AS adjudicator, of AS note FROM h""")
 R.add("filter_rater_lines", lambda s, d: A.frame_counts(A.filter_rater(lines(s, d), "A")), "SELECT clip_id, frame_number, count(*) FILTER (kind = 'pleura') AS n_pleura, count(*) FILTER (kind = 'b') AS n_b FROM v_line WHERE rater = 'a' GROUP BY 1, 2")
 R.add("filter_selected_raters", lambda s, d: lines(s, d).where(F.col("rater").isin("a", "n")).select(*COLS), f"SELECT {LINE} FROM v_line WHERE rater <> 'r'")
 R.add("filter_validated", lambda s, d: _status_lines(s, d).where("status = 'validated'").select(*COLS), f"WITH {LATEST} SELECT {LINE} FROM sl WHERE status = 'validated'")
