@@ -47,6 +47,16 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the tables that ``df``, and nothing else any more, reads."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in [p for p in _made if file.endswith(p.split("://", 1)[-1].rsplit("/", 1)[-1])]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _made.remove(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound by bytes what a Python worker gets at once: rows of long texts would make batches by count large."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
