@@ -46,12 +46,23 @@ def transducer_model(data: Column, manufacturer: Column, model: Column) -> Colum
 def hash_number(value: Column, modulus: int) -> Column:
     """SHA-256 of the text as one number, modulo ``modulus`` (at most 10^10): seven hexadecimal digits at a time, each part
     times the residue of its place value, all in 64-bit arithmetic without a loop."""
-    digest, total = F.sha2(value, 256), F.lit(0).cast("long")
-    for end in range(64, 0, -7):
-        first = max(0, end - 7)
-        part = F.conv(F.substring(digest, first + 1, end - first), 16, 10).cast("long")
-        total = total + part * F.lit(pow(16, 64 - end, modulus)).cast("long") % F.lit(modulus).cast("long")
-    return total % F.lit(modulus).cast("long")
+
+
+    def of(digest: Column) -> Column:
+        total = F.lit(0).cast("long")
+        for end in range(64, 0, -7):
+            first = max(0, end - 7)
+            part = F.conv(F.substring(digest, first + 1, end - first), 16, 10).cast("long")
+            total = total + part * F.lit(pow(16, 64 - end, modulus)).cast("long") % F.lit(modulus).cast("long")
+        return total % F.lit(modulus).cast("long")
+
+    return F.transform(F.array(F.sha2(value, 256)), of)[0]  # the digest is bound once, whatever the value's expression
+
+
+def hash_uid(value: Column) -> Column:
+    """A UID under the root for random ones, with 124 bits of the text's SHA-256 as its number."""
+    number = lambda digest: F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)") * F.lit("18446744073709551616").cast("decimal(20,0)") + F.conv(F.substring(digest, 16, 16), 16, 10).cast("decimal(20,0)")
+    return F.concat(F.lit("2.25."), F.transform(F.array(F.sha2(value, 256)), number)[0].cast("decimal(38,0)").cast("string"))
 
 
 def hash_id(value: Column, digits: int) -> Column:

@@ -106,6 +106,14 @@ def order_corners(points: Column) -> Column:
     return F.when(F.size(points) == 4, F.concat(pair(1), pair(3)))
 
 
+def ordered_corners(points: Column, three: Column) -> Column:
+    """struct of ul, ur, ll, lr (x, y) and message: four points, or with ``three`` an apex (ul) and two; a wrong number gives the message alone."""
+    wanted, four, apex = F.when(three, 3).otherwise(4), order_corners(points), order_three_corners(points)
+    message = F.when(F.size(points) < wanted, F.concat(F.lit("At least "), wanted.cast("string"), F.lit(" control points are needed to define a mask"))).when(F.size(points) > wanted, F.concat(F.lit("Only "), wanted.cast("string"), F.lit(" control points are needed to define a mask")))
+    pick = lambda i, j: F.when(message.isNull(), F.when(three, F.get(apex, F.lit(j)) if j is not None else F.lit(None)).otherwise(F.get(four, F.lit(i))))
+    return F.struct(pick(0, 0).alias("ul"), pick(1, None).alias("ur"), pick(2, 1).alias("ll"), pick(3, 2).alias("lr"), message.alias("message"))
+
+
 def redaction_height(rows: Column, top_left: Column, top_right: Column, ratio: float) -> Column:
     """Rows to blank: the share of the height, but not past the lowest upper corner inside the image."""
     base, top = F.floor(rows * ratio).cast("int"), F.floor(F.greatest(top_left, top_right)).cast("int")

@@ -16,11 +16,28 @@ def ras_lps(points: Column, given: Column, wanted: str) -> Column:
     return F.when(F.coalesce(given, F.lit("RAS")) == wanted, points).otherwise(turned)
 
 
+def round_exact(value: Column, digits: int = 2) -> Column:
+    """A double rounded to ``digits`` (at most 6) decimals by its exact binary value, halves to even: 0.125 is a tie, 0.135 lies above one.
+
+    The product with the power of ten is taken with its rounding error, by splitting the value into two halves of
+    its bits, so the comparison with one half is exact. Numbers from 10^9 on, nulls and what is no number stay as they are.
+    """
+    v, scale = value.cast("double"), float(10**digits)
+    big = v * 134217729.0
+    high = big - (big - v)
+    product = v * scale
+    error = (high * scale - product) + (v - high) * scale
+    whole = F.floor(product).cast("double")
+    beyond = (product - whole - 0.5) + error
+    odd = F.pmod(whole, F.lit(2.0))
+    return F.when(F.abs(v) < 1e9, (whole + F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(odd)) / scale).otherwise(v)
+
+
 def angle_degrees(dx: Column, dy: Column, y_down: bool = True) -> Column:
     """Direction in 0..360 degrees, two decimals; 0 for no distance."""
     raw = F.degrees(F.atan2(-dy if y_down else dy, dx))
     turned = F.when(raw < 0, raw + 360).otherwise(raw)
-    return F.when((dx == 0) & (dy == 0), F.lit(0.0)).otherwise(F.bround(turned, 2))
+    return F.when((dx == 0) & (dy == 0), F.lit(0.0)).otherwise(round_exact(turned))
 
 
 def segment_distance_squared(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -100,18 +100,18 @@ def distinct_raters(lines: DataFrame, current: str) -> DataFrame:
 
 
 def latest_validation(statuses: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("status", "adjudicator"), F.struct("ts", "event_id"))
-    return statuses.groupBy("line_id").agg(last.alias("v")).select("line_id", "v.status", "v.adjudicator")
+    last = F.max_by(F.struct("status", "adjudicator", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")), F.struct("ts", "event_id"))
+    return statuses.groupBy("line_id").agg(last.alias("v")).select("line_id", "v.*")
 
 
 def toggled(status: Column) -> Column:
     return F.when(status == "validated", "invalidated").when(status == "invalidated", "unadjudicated").otherwise("validated")
 
 
-def validate_bulk(lines: DataFrame, adjudicator: str) -> DataFrame:
-    """Every unadjudicated line (a missing status counts) becomes validated by ``adjudicator``."""
+def validate_bulk(lines: DataFrame, adjudicator: str, at: Column, status: str = "validated") -> DataFrame:
+    """Every unadjudicated line (a missing status counts) gets ``status``, by ``adjudicator``, at the time ``at``; ``changed`` tells which."""
     open_ = F.coalesce("status", F.lit("unadjudicated")) == "unadjudicated"
-    return lines.withColumns({"status": F.when(open_, F.lit("validated")).otherwise(F.col("status")), "adjudicator": F.when(open_, F.lit(adjudicator)).otherwise(F.col("adjudicator")), "changed": open_})
+    return lines.withColumns({"status": F.when(open_, F.lit(status)).otherwise(F.col("status")), "adjudicator": F.when(open_, F.lit(adjudicator)).otherwise(F.col("adjudicator")), "timestamp": F.when(open_, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.col("timestamp")), "changed": open_})
 
 
 def replace_lines(lines: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,6 +190,3 @@ def last_line(lines: DataFrame) -> DataFrame:
     return lines.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
-def capture_upsert(held: DataFrame, captured: DataFrame) -> DataFrame:
-    """Segmentations keyed by original frame: captured ones replace or extend the held."""
-    return replace_lines(held, captured, ["clip_id", "frame_no"])

@@ -104,7 +104,7 @@ def tag_allowlist(df: DataFrame) -> DataFrame:
 
 def uid_passthrough(df: DataFrame) -> DataFrame:
     """UIDs as they are; a missing one becomes a number derived from the path and the UID's name."""
-    made = lambda c: F.concat(F.lit("2.25."), H.hash_id(F.concat(F.lit(f"{c}|"), F.col("InputPath")), 10))
+    made = lambda c: H.hash_uid(F.concat(F.lit(f"{c}|"), F.col("InputPath")))
     return df.select("InputPath", *(F.when(H.blank(F.col(c)), made(c)).otherwise(F.col(c)).alias(c) for c in UIDS))
 
 
@@ -190,24 +190,36 @@ def flatten_header(df: DataFrame, depth: int = 4) -> DataFrame:
     """(InputPath, at, key, value): the elements of a nested header ``json``, pixel data left out.
 
     ``at`` gives the place on each level, an item's place in its sequence between; its order is depth first. Items of
-    sequences are opened ``depth`` levels deep; an element below that keeps its text.
+    sequences are opened ``depth`` levels deep, all inside the row, so that the source is read once and each text parsed once; an element below that keeps its text.
     """
-    held, out = df.select("InputPath", F.array().cast("array<int>").alias("at"), "json"), None
-    nested = F.col("value").rlike(r"^\[\s*\{")
-    for level in range(depth):
-        found = held.select("InputPath", "at", F.posexplode(F.from_json("json", "map<string,string>")).alias("i", "key", "value")).where(F.col("key") != PIXELS)
-        found = found.select("InputPath", F.array_append("at", F.col("i")).alias("at"), "key", "value")
-        leaves = found.where(~F.coalesce(nested, F.lit(False))) if level + 1 < depth else found
-        out = leaves if out is None else out.unionByName(leaves)
-        items = found.where(nested).select("InputPath", "at", F.posexplode(F.from_json("value", "array<string>")).alias("i", "json"))
-        held = items.select("InputPath", F.array_append("at", F.col("i")).alias("at"), "json")
-    return out
+    nested = lambda e: F.coalesce(e["value"].rlike(r"^\[\s*\{"), F.lit(False))
+
+    def elements(text: Column, above: Column) -> Column:
+        listed = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e, i: F.struct(F.array_append(above, i).alias("at"), e["key"].alias("key"), e["value"].alias("value")))
+        return F.filter(listed, lambda e: e["key"] != PIXELS)
+
+    def opened(level: Column) -> Column:
+        items = lambda e: F.flatten(F.transform(F.from_json(e["value"], "array<string>"), lambda text, i: F.coalesce(elements(text, F.array_append(e["at"], i)), F.filter(level, lambda _: F.lit(False)))))
+        return F.flatten(F.transform(F.filter(level, nested), items))
+
+    def whole(level: Column, left: int) -> Column:
+        if not left:
+            return level
+        below = F.transform(F.array(opened(level)), lambda next_level: whole(next_level, left - 1))[0]  # bound once
+        return F.concat(F.filter(level, lambda e: ~nested(e)), below)
+
+    first = F.transform(F.array(elements(F.col("json"), F.array().cast("array<int>"))), lambda level: whole(level, depth - 1))[0]
+    return df.select("InputPath", F.inline(first))
+
+
+def find_keys(flat: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """First value of each key in each header, depth first, N/A where there is none; ``keys`` is by column."""
+    first = lambda key: F.coalesce(F.min_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, F.col("at"))), F.lit("N/A"))
+    return flat.groupBy("InputPath").agg(*(first(key).alias(column) for column, key in keys.items()))
 
 
 def find_key(flat: DataFrame, key: str) -> DataFrame:
-    """First value of ``key`` in each header, depth first, N/A where there is none."""
-    own = F.col("key") == key
-    return flat.groupBy("InputPath").agg(F.coalesce(F.min_by(F.when(own, F.col("value")), F.when(own, F.col("at"))), F.lit("N/A")).alias("found"))
+    return find_keys(flat, {"found": key})
 
 
 def header_json(df: DataFrame, stem: Column) -> DataFrame:

@@ -74,7 +74,7 @@ FIELD_NAMES = {
 
 def config_fields(config: str, prefix: str) -> list[Column]:
     """A configuration as columns of their documents' names, floats to two decimals; fields of the other kind of mask are null."""
-    return [(F.bround(f"{config}.{c}", 2) if c.startswith("angle") else F.col(f"{config}.{c}")).alias(prefix + name) for c, name in FIELD_NAMES.items()]
+    return [(P.round_exact(F.col(f"{config}.{c}")) if c.startswith("angle") else F.col(f"{config}.{c}")).alias(prefix + name) for c, name in FIELD_NAMES.items()]
 
 
 def eval_row(configs: DataFrame) -> DataFrame:
@@ -85,12 +85,12 @@ def eval_row(configs: DataFrame) -> DataFrame:
     measured = corner_errors(configs).join(dice_iou(overlap(configs, "clip_id")), "clip_id")
     labels = F.array_join("labels", ", ")
     document = lambda config, prefix: [F.col("uid").alias(f"{prefix}sopinstance_uid"), F.lit(0).alias(f"{prefix}grayscale_conversion"), *config_fields(config, prefix), F.col("image_rows").alias(f"{prefix}image_size_rows"), F.col("image_cols").alias(f"{prefix}image_size_cols")]
-    corners = [F.bround(f"{kind}_{c}_{a}", 2).alias(f"{kind}_corners_{name}_{a}") for kind in ("gt", "pred") for c, name in CORNER_NAMES.items() for a in "xy"]
+    corners = [P.round_exact(F.col(f"{kind}_{c}_{a}")).alias(f"{kind}_corners_{name}_{a}") for kind in ("gt", "pred") for c, name in CORNER_NAMES.items() for a in "xy"]
     angles = [P.angle_degrees(F.col(f"pred_{c}_x") - F.col(f"gt_{c}_x"), F.col(f"pred_{c}_y") - F.col(f"gt_{c}_y")).alias(f"angle_{name}") for c, name in CORNER_NAMES.items()]
     metrics = {"dice": "dice_mean", "iou": "iou_mean", "mean_error": "mean_distance_error", **{f"{c}_error": f"{name}_error" for c, name in CORNER_NAMES.items()}}
     return measured.select(
         "filename", F.element_at(F.split("ground_truth_path", "/"), -1).alias("ground_truth_filename"), F.col("input_path").alias("dicom_input_path"), "ground_truth_path",
-        *document("gt", "gt_"), labels.alias("gt_annotation_labels"), *document("pred", "pred_"), labels.alias("pred_annotation_labels"), *corners, *angles, *(F.bround(m, 2).alias(n) for m, n in metrics.items()),
+        *document("gt", "gt_"), labels.alias("gt_annotation_labels"), *document("pred", "pred_"), labels.alias("pred_annotation_labels"), *corners, *angles, *(P.round_exact(F.col(m)).alias(n) for m, n in metrics.items()),
     )
 
 
@@ -130,6 +130,15 @@ def sector(x1: Column, y1: Column, x2: Column, y2: Column, cx: int, cy: int, r1:
     )
 
 
+def rectangle_between(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Rectangle from one point to before the other, as a configuration; points that span no pixel give one that has none."""
+    none, whole = F.lit(None), lambda c: F.floor(c).cast("int")
+    return F.struct(
+        F.lit("rectangle").alias("mask_type"), none.cast("double").alias("angle1"), none.cast("double").alias("angle2"), *(none.cast("int").alias(c) for c in CONFIG[3:7]),
+        whole(x1).alias("x_min"), (whole(x2) - 1).alias("x_max"), whole(y1).alias("y_min"), (whole(y2) - 1).alias("y_max"),
+    )
+
+
 def pleura_percentage(sectors: DataFrame) -> DataFrame:
     """Per clip and frame: share of the pleura sectors' union that B-line sectors cover, in percent; 0 without pleura.
 

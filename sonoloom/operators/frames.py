@@ -29,10 +29,14 @@ def skip_frames(frames: DataFrame, skip: int) -> DataFrame:
     return frames.where(F.col("frame_no") % (skip + 1) == 0)
 
 
-def max_pool(frames: DataFrame) -> DataFrame:
-    """Per-pixel maximum over a clip's frames, as an ordered array; pixels are combined before the shuffle."""
-    top = frames.select("clip_id", F.posexplode("pixels").alias("pos", "v")).groupBy("clip_id", "pos").agg(F.max("v").alias("v"))
-    return top.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("pixels"))
+#: What the pixels of one channel, and of three, are called.
+GREY, COLOUR = "MONOCHROME2", "YBR_FULL_422"
+
+
+def image_attributes(frames: DataFrame) -> DataFrame:
+    """(clip_id, frames, height, width, samples, photometric) of each clip."""
+    sizes = frames.groupBy("clip_id").agg(F.count("*").alias("frames"), F.max("height").alias("height"), F.max("width").alias("width"), F.max("channels").alias("samples"))
+    return sizes.withColumn("photometric", F.when(F.col("samples") == 1, GREY).otherwise(COLOUR))
 
 
 def percentile_bounds(frames: DataFrame, low: float, high: float) -> DataFrame:
@@ -48,46 +52,31 @@ def percentile_bounds(frames: DataFrame, low: float, high: float) -> DataFrame:
     return frames.withColumns({"low": at(low), "high": at(high)})
 
 
-def normalise(frames: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Stretch between two percentiles to 0..1; where they agree between smallest and largest, else zeros."""
-    b = percentile_bounds(frames, low, high)
-    flat = F.col("low") == F.col("high")
-    ends = F.struct(F.when(flat, F.array_min("pixels")).otherwise(F.col("low")).alias("lo"), F.when(flat, F.array_max("pixels")).otherwise(F.col("high")).alias("hi"))
-
-    def stretched(e: Column) -> Column:
-        span = F.when(e["hi"] > e["lo"], e["hi"] - e["lo"])
-        return F.transform("pixels", lambda p: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((p - e["lo"]) / span, F.lit(0.0)))))
-
-    return b.withColumn("scaled", F.transform(F.array(ends), stretched)[0]).drop("low", "high")
-
-
-def bilinear(pixels: Column, width: Column | int, height: Column | int, x: Column, y: Column) -> Column:
-    """Value at a fractional position, edges repeated."""
+def bilinear(pixels: Column, width: Column | int, height: Column | int, x: Column, y: Column, channels: Column | int = 1, channel: Column | int = 0) -> Column:
+    """Value of one of the interleaved channels at a fractional position, edges repeated."""
     width, height = (F.lit(n) if isinstance(n, int) else n for n in (width, height))
     x, y = F.least(F.greatest(x, F.lit(0.0)), width - 1.0), F.least(F.greatest(y, F.lit(0.0)), height - 1.0)
     x0, y0 = F.floor(x).cast("int"), F.floor(y).cast("int")
     x1, y1 = F.least(x0 + 1, width - 1), F.least(y0 + 1, height - 1)
-    at = lambda i, j: F.get(pixels, (j * width + i).cast("int"))
+    at = lambda i, j: F.get(pixels, ((j * width + i) * channels + channel).cast("int"))
     fx, fy = x - x0, y - y0
     return (1 - fx) * (1 - fy) * at(x0, y0) + fx * (1 - fy) * at(x1, y0) + (1 - fx) * fy * at(x0, y1) + fx * fy * at(x1, y1)
 
 
-def resize(pixels: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
-    """Bilinear resize on pixel centres."""
-    grid = F.sequence(F.lit(0), F.lit(to_width * to_height - 1))
-    x = lambda i: ((i % to_width) + 0.5) * (width / to_width) - 0.5
-    y = lambda i: (F.floor(i / to_width) + 0.5) * (height / to_height) - 0.5
-    return F.transform(grid, lambda i: bilinear(pixels, width, height, x(i), y(i)))
+def sample_line(frames: DataFrame, x1: float, y1: float, x2: float, y2: float, points: int) -> DataFrame:
+    """(clip_id, frame_no, depth, v): values along a segment, from the end point with the larger y; of colour the channels' mean."""
+    each = sample_channels(frames, x1, y1, x2, y2, points)
+    return each.select("clip_id", "frame_no", "depth", (F.aggregate("values", F.lit(0.0), lambda a, v: a + v) / F.size("values")).alias("v"))
 
 
-def sample_line(frames: DataFrame, x1: float, y1: float, x2: float, y2: float, points: int) -> DataFrame:
-    """Values along a segment, from the end point with the larger y."""
+def sample_channels(frames: DataFrame, x1: float, y1: float, x2: float, y2: float, points: int) -> DataFrame:
+    """(clip_id, frame_no, depth, values): like ``sample_line``, the value of each channel."""
     if y1 < y2:
         x1, y1, x2, y2 = x2, y2, x1, y1
-    each = frames.select("clip_id", "frame_no", "pixels", "width", "height", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("depth"))
-    t = F.col("depth") / (points - 1)
-    value = bilinear(F.col("pixels"), F.col("width"), F.col("height"), F.lit(x1) + t * (x2 - x1), F.lit(y1) + t * (y2 - y1))
-    return each.select("clip_id", "frame_no", "depth", value.alias("v"))
+    each = frames.select("clip_id", "frame_no", "pixels", "width", "height", "channels", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("depth"))
+    t = F.col("depth") / max(1, points - 1)
+    value = lambda c: bilinear(F.col("pixels"), F.col("width"), F.col("height"), F.lit(x1) + t * (x2 - x1), F.lit(y1) + t * (y2 - y1), F.col("channels"), c)
+    return each.select("clip_id", "frame_no", "depth", F.transform(F.sequence(F.lit(0), F.col("channels") - 1), value).alias("values"))
 
 
 def mmode_image(samples: DataFrame) -> DataFrame:
@@ -95,12 +84,31 @@ def mmode_image(samples: DataFrame) -> DataFrame:
     return samples.groupBy("clip_id", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "v"))), lambda s: s["v"]).alias("row"))
 
 
-def zoom_in_time(samples: DataFrame, factor: int) -> DataFrame:
-    """Linear interpolation between neighbouring frames, ``factor`` steps for each gap."""
-    order = W.partitionBy("clip_id", "depth").orderBy("frame_no")
-    following = samples.withColumn("after", F.lead("v").over(order))
-    steps = F.explode(F.sequence(F.lit(0), F.when(F.col("after").isNull(), 0).otherwise(factor - 1))).alias("k")
-    return following.select("clip_id", "depth", "frame_no", "v", "after", steps).select("clip_id", "depth", (F.col("frame_no") * factor + F.col("k")).alias("column"), (F.col("v") + F.coalesce(F.col("after") - F.col("v"), F.lit(0.0)) * F.col("k") / factor).alias("v"))
+#: Frames a second that the paper speed is for.
+CINE_RATE = 20.0
+
+
+def time_zoom(speed: Column, spacing: Column, depth: Column, frames: Column) -> Column:
+    """Columns of the motion image for a frame: by paper speed and pixel spacing, but at least as many as make it square."""
+    return F.greatest(speed / CINE_RATE / spacing, depth / frames)
+
+
+def zoom_in_time(samples: DataFrame, zoom: Column) -> DataFrame:
+    """(clip_id, depth, column, v): each depth's samples on a grid of ``zoom`` times as many columns, the newest first.
+
+    ``zoom`` is constant in a clip and may lie above or below 1; the first and last columns are the last and first frames, those
+    between lie on lines between two neighbours. Frames count by their order. A grid of no column has no rows.
+    """
+    order, whole = W.partitionBy("clip_id", "depth").orderBy("frame_no"), W.partitionBy("clip_id", "depth")
+    at = samples.select("clip_id", "depth", "v", F.lead("v").over(order).alias("after"), (F.row_number().over(order) - 1).cast("long").alias("a"), F.count("*").over(whole).alias("n"), zoom.alias("zoom"))
+    sized = at.withColumn("m", F.rint(F.col("n") * F.col("zoom")).cast("long"))
+    gaps, steps = F.greatest(F.col("n") - 1, F.lit(1)), F.col("m") - 1
+    raised = lambda x: ((x + gaps - 1 - F.pmod(x + gaps - 1, gaps)) / gaps).cast("long")
+    begin = raised(F.col("a") * steps)
+    upto = F.when(F.col("after").isNull(), steps).otherwise(raised((F.col("a") + 1) * steps) - 1)
+    cells = sized.where((F.col("m") > 0) & (begin <= upto)).select("*", F.explode(F.sequence(begin, upto)).alias("i"))
+    part = F.when(F.col("after").isNull() | (steps == 0), F.lit(0.0)).otherwise((F.col("i") * gaps - F.col("a") * steps) / steps)
+    return cells.select("clip_id", "depth", (steps - F.col("i")).alias("column"), (F.col("v") + F.coalesce(F.col("after") - F.col("v"), F.lit(0.0)) * part).alias("v"))
 
 
 def dense_segmentation(frames: DataFrame, captured: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from sonoloom.functions import headers as H, points as P
-from sonoloom.operators import annotations as A, documents as D
+from sonoloom.operators import annotations as A, documents as D, scenes as C
 from sonoloom.plans.wiring import Registry
 from sonoloom.sources.views import instances, lines, statuses, table
 
@@ -92,7 +92,7 @@ def _files(s, d):
 
 FILES = """f AS (SELECT l_orderkey AS clip_id, '/a/' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '_' || l_partkey || '_' || l_suppkey AS path, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE ('m' || (l_suppkey % 7)) END AS mask_type,
   CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS owner, [l_returnflag, l_linestatus, ('m' || (l_suppkey % 7))] AS labels FROM lineitem)"""
-LATEST = "lv AS (SELECT line_id, arg_max(status, (ts, event_id)) AS status, arg_max(adjudicator, (ts, event_id)) AS adjudicator FROM v_status GROUP BY 1), sl AS (SELECT l.*, line_ord % 997 AS line_id, status, adjudicator FROM v_line l LEFT JOIN lv ON lv.line_id = line_ord % 997)"
+LATEST = "lv AS (SELECT line_id, arg_max(status, (ts, event_id)) AS status, arg_max(adjudicator, (ts, event_id)) AS adjudicator, strftime(arg_max(ts, (ts, event_id)), '%Y-%m-%dT%H:%M:%S') AS timestamp FROM v_status GROUP BY 1), sl AS (SELECT l.*, line_ord % 997 AS line_id, status, adjudicator, timestamp FROM v_line l LEFT JOIN lv ON lv.line_id = line_ord % 997)"
 
 
 def _read(s, d):
@@ -131,7 +131,7 @@ R.add("validate_fields", lambda s, d: instances(s, d).select("InputPath", F.lowe
 R.add("frame_line_counts", lambda s, d: A.frame_counts(lines(s, d)).orderBy("clip_id", "frame_number"), "SELECT clip_id, frame_number, sum(CASE kind WHEN 'pleura' THEN 1 ELSE 0 END)::BIGINT AS n_pleura, sum(CASE kind WHEN 'b' THEN 1 ELSE 0 END)::BIGINT AS n_b FROM v_line GROUP BY ALL")
 R.add("max_lines_per_clip", lambda s, d: A.max_lines(lines(s, d)), "WITH c AS (SELECT clip_id, frame_number, count(*) FILTER (kind = 'pleura') AS p, count(*) FILTER (kind = 'b') AS b FROM v_line GROUP BY 1, 2) SELECT clip_id, least(10, greatest(2, max(p))) AS max_pleura, least(10, greatest(2, max(b))) AS max_b FROM c GROUP BY 1")
 R.add("distinct_raters", lambda s, d: A.distinct_raters(lines(s, d), "n").select("clip_id", F.array_join("raters", ",").alias("raters"), "n_real"), "SELECT clip_id, 'n,__all__,__adjudicated__' || coalesce(',' || string_agg(DISTINCT rater, ',' ORDER BY rater) FILTER (rater <> 'n'), '') AS raters, CAST(count(DISTINCT rater) AS INT) AS n_real FROM v_line GROUP BY 1")
-R.add("latest_validation", lambda s, d: A.latest_validation(statuses(s, d)), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY ts DESC, event_id DESC) AS n FROM v_status) SELECT line_id, status, adjudicator FROM r WHERE n = 1")
+R.add("latest_validation", lambda s, d: A.latest_validation(statuses(s, d)), "WITH r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY ts DESC, event_id DESC) AS n FROM v_status) SELECT line_id, status, adjudicator, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM r WHERE n = 1")
 R.add("last_line_of_rater", lambda s, d: A.last_line(lines(s, d)).select("clip_id", "frame_number", "kind", "rater", "line_ord"), "SELECT clip_id, frame_number, kind, rater, max(line_ord) AS line_ord FROM v_line GROUP BY 1, 2, 3, 4")
 R.add("merge_annotations", lambda s, d: A.merge_scalars(_files(s, d), "clip_id", ["mask_type", "owner"]).join(A.merge_labels(_files(s, d), "clip_id"), "clip_id").select("clip_id", "mask_type", "owner", F.array_join("labels", ",").alias("labels")), f"WITH {FILES}, l AS (SELECT clip_id, label, min((path, p)) AS seen FROM (SELECT clip_id, path, unnest(labels) AS label, unnest(range(3)) AS p FROM f) GROUP BY 1, 2), g AS (SELECT clip_id, string_agg(label, ',' ORDER BY seen) AS labels FROM l GROUP BY 1) SELECT f.clip_id, arg_min(mask_type, path) FILTER (mask_type IS NOT NULL) AS mask_type, arg_min(owner, path) FILTER (owner IS NOT NULL) AS owner, any_value(g.labels) AS labels FROM f JOIN g ON f.clip_id = g.clip_id GROUP BY 1")
 R.add("merge_conflicts", lambda s, d: A.merge_conflicts(_files(s, d), "clip_id", "owner"), f"WITH {FILES}, k AS (SELECT clip_id, arg_min(owner, path) FILTER (owner IS NOT NULL) AS kept FROM f GROUP BY 1) SELECT f.clip_id, path, owner AS value, kept FROM f JOIN k ON f.clip_id = k.clip_id WHERE owner <> kept")
@@ -144,7 +144,7 @@ R.add("paste_dedup", lambda s, d: A.paste_new(lines(s, d).where("line_ord % 2 =
 R.add("nearest_line", lambda s, d: A.nearest_line(lines(s, d), lines(s, d).select("clip_id", "frame_number", ((F.col("x1") + F.col("x2")) / 2 + 1).alias("px"), F.col("y1").alias("py")).distinct()).select("clip_id", "frame_number", "px", "py", "line_ord", F.round("d2", 6).alias("d2")), """WITH q AS (SELECT DISTINCT clip_id, frame_number, (x1 + x2) / 2 + 1 AS px, y1 AS py FROM v_line), m AS (SELECT q.*, line_ord, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, least(1, greatest(0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ^ 2 + (y2 - y1) ^ 2))) AS t FROM q JOIN v_line USING (clip_id, frame_number)),
   e AS (SELECT clip_id, frame_number, px, py, line_ord, (px - x1 - t * dx) ^ 2 + (py - y1 - t * dy) ^ 2 AS d2 FROM m) SELECT clip_id, frame_number, px, py, arg_min(line_ord, (d2, line_ord)) AS line_ord, round(min(d2), 6) AS d2 FROM e WHERE d2 < 4 GROUP BY 1, 2, 3, 4""")
 R.add("match_validation", lambda s, d: A.match_validation(lines(s, d), lines(s, d).where("line_ord % 3 = 0").select("clip_id", "frame_number", "rater", "x1", "y1", "x2", "y2", F.concat_ws("_", "clip_id", "frame_number", "line_ord").alias("validation_id"))), "WITH v AS (SELECT *, clip_id || '_' || frame_number || '_' || line_ord AS validation_id FROM v_line WHERE line_ord % 3 = 0), m AS (SELECT validation_id, l.line_ord, l.kind, row_number() OVER (PARTITION BY validation_id ORDER BY l.kind DESC, l.line_ord) AS n FROM v JOIN v_line l USING (clip_id, frame_number, rater, x1, y1, x2, y2)) SELECT validation_id, line_ord, kind FROM m WHERE n = 1")
-R.add("validate_bulk", lambda s, d: A.validate_bulk(_status_lines(s, d), "me").groupBy("clip_id").agg(F.count_if("changed").alias("lines"), F.count_distinct(F.when(F.col("changed"), F.col("frame_number"))).alias("frames"), F.count_if(F.col("status") == "validated").alias("validated")), f"WITH {LATEST} SELECT clip_id, count(*) FILTER (coalesce(status, 'unadjudicated') = 'unadjudicated') AS lines, count(DISTINCT frame_number) FILTER (coalesce(status, 'unadjudicated') = 'unadjudicated') AS frames, count(*) FILTER (status IS DISTINCT FROM 'invalidated') AS validated FROM sl GROUP BY 1")
+R.add("validate_bulk", lambda s, d: A.validate_bulk(_status_lines(s, d), "me", F.lit("2024-05-06 07:08:09").cast("timestamp")).groupBy("clip_id").agg(F.max("timestamp").alias("latest"), F.min("timestamp").alias("earliest"), F.count_if("changed").alias("lines"), F.count_distinct(F.when(F.col("changed"), F.col("frame_number"))).alias("frames"), F.count_if(F.col("status") == "validated").alias("validated")), f"WITH {LATEST}, sb AS (SELECT *, CASE WHEN coalesce(status, 'unadjudicated') = 'unadjudicated' THEN '2024-05-06T07:08:09' ELSE timestamp END AS t FROM sl) SELECT clip_id, max(t) AS latest, min(t) AS earliest, count(*) FILTER (coalesce(status, 'unadjudicated') = 'unadjudicated') AS lines, count(DISTINCT frame_number) FILTER (coalesce(status, 'unadjudicated') = 'unadjudicated') AS frames, count(*) FILTER (status IS DISTINCT FROM 'invalidated') AS validated FROM sb GROUP BY 1")
 R.add("toggle_validation", lambda s, d: _status_lines(s, d).select("clip_id", "frame_number", "line_ord", "status", A.toggled(F.col("status")).alias("next")), f"WITH {LATEST} SELECT clip_id, frame_number, line_ord, status, CASE coalesce(status, '') WHEN 'validated' THEN 'invalidated' WHEN 'invalidated' THEN 'unadjudicated' ELSE 'validated' END AS next FROM sl")
 R.add("reset_validation", lambda s, d: _status_lines(s, d).select("clip_id", "frame_number", "line_ord", F.when(F.col("frame_number") == 1, F.lit("unadjudicated")).otherwise(F.col("status")).alias("status")), f"WITH {LATEST} SELECT clip_id, frame_number, line_ord, CASE WHEN frame_number = 1 THEN 'unadjudicated' ELSE status END AS status FROM sl")
 R.add("prefer_adjudication", lambda s, d: A.replace_lines(lines(s, d).select(*COLS), lines(s, d).where("clip_id % 4 = 0 AND rater = 'r'").select(*COLS), ["clip_id"]), f"SELECT {LINE} FROM v_line v WHERE NOT (clip_id % 4 = 0 AND rater <> 'r' AND clip_id IN (SELECT clip_id FROM v_line WHERE rater = 'r'))")
@@ -170,7 +170,15 @@ def _palette_sql() -> str:
 R.add("rater_palette", lambda s, d: _palette(s, d), _palette_sql())
 R.add("sort_frames", lambda s, d: lines(s, d).select(F.col("frame_number").cast("string").alias("frame"), "clip_id").distinct().orderBy(F.col("frame").cast("int"), "clip_id"), "SELECT DISTINCT CAST(frame_number AS VARCHAR) AS frame, clip_id FROM v_line")
 R.add("sort_frame_table", lambda s, d: A.frame_counts(lines(s, d)).orderBy(F.desc("n_pleura"), "clip_id", "frame_number"), "SELECT clip_id, frame_number, count(*) FILTER (kind = 'pleura') AS n_pleura, count(*) FILTER (kind = 'b') AS n_b FROM v_line GROUP BY 1, 2 ORDER BY 3 DESC")
-R.add("prune_orphans", lambda s, d: _kept_nodes(s, d), "SELECT CAST(c_custkey AS BIGINT) AS node, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) THEN 'referenced' ELSE 'landmark' END AS why FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) OR (c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0)")
+R.add("prune_orphans", lambda s, d: C.prune_orphans(*_scenes(s, d))[0], """WITH n AS (SELECT o_custkey AS scene, 'l' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS node, ['Sequence', 'Model', 'MarkupsFiducial', 'MarkupsCurve', 'MarkupsROI', 'Text'][1 + l_suppkey % 6] AS class,
+    CASE WHEN l_partkey % 3 = 0 THEN 'my Reconstructor ' ELSE 'node ' END || l_partkey AS name, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  c AS (SELECT o_custkey AS scene, min(o_orderkey) AS first FROM orders WHERE o_custkey % 7 > 0 GROUP BY 1),
+  a AS (SELECT scene, max(node) FILTER (class = 'Model' AND scene % 3 > 0) AS atlas, max(node) FILTER (class = 'MarkupsFiducial' AND scene % 4 > 0) AS landmark FROM n GROUP BY 1)
+  SELECT DISTINCT n.scene, node, class, CASE WHEN node = atlas THEN 'P' || n.scene || '_axial_AtlasModel' WHEN node = landmark THEN 'P' || n.scene || '_axial_Landmarks' ELSE name END AS name,
+    CASE class WHEN 'Sequence' THEN 'referenced' WHEN 'MarkupsROI' THEN 'named' WHEN 'Text' THEN 'other' WHEN 'Model' THEN CASE WHEN atlas IS NULL THEN 'none chosen' ELSE 'chosen' END ELSE CASE WHEN landmark IS NULL THEN 'none chosen' ELSE 'chosen' END END AS why
+  FROM n JOIN c USING (scene) LEFT JOIN a USING (scene) WHERE class = 'Text' OR (class = 'Sequence' AND o_orderkey = first) OR (class = 'MarkupsROI' AND name LIKE '%Reconstructor%') OR (class = 'Model' AND node = coalesce(atlas, node)) OR (class = 'MarkupsFiducial' AND node = coalesce(landmark, node))
+  UNION ALL SELECT scene, 'b' || first, 'SequenceBrowser', 'browser', 'chosen' FROM c""")
+R.add("scene_errors", lambda s, d: C.prune_orphans(*_scenes(s, d))[1], "SELECT DISTINCT o_custkey AS scene, 'no sequence browser is chosen' AS error FROM orders WHERE o_custkey % 7 = 0")
 
 
 def _resolved(s, d):
@@ -222,7 +230,14 @@ def _nested():
     return F.array(F.when(F.col("line_ord") % 2 == 0, F.array("x1")).otherwise(none), F.lit(None).cast("array<double>"), F.when(F.col("line_ord") % 3 == 0, F.array("y1", "y2")), F.array("x2"))
 
 
-def _kept_nodes(s, d):
-    nodes, refs = table(s, d, "customer"), table(s, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("r")).distinct()
-    kept = nodes.join(refs, "c_custkey", "left").where(F.col("r") | ((F.col("c_mktsegment") == "BUILDING") & (F.col("c_nationkey") % 2 == 0)))
-    return kept.select(F.col("c_custkey").cast("long").alias("node"), F.when(F.col("r"), "referenced").otherwise("landmark").alias("why"))
+def _scenes(s, d):
+    """A customer's scene: an order is a browser of the sequences among its lines; other lines are nodes of other classes."""
+    orders = table(s, d, "orders").select(F.col("o_custkey").alias("scene"), "o_orderkey")
+    of = F.element_at(F.array(*map(F.lit, (C.SEQUENCE, C.MODEL, C.FIDUCIAL, C.CURVE, C.ROI, "Text"))), (F.col("l_suppkey") % 6 + 1).cast("int"))
+    text = lambda *cs: F.concat(*(F.col(c).cast("string") if c[0] != "-" else F.lit(c[1:]) for c in cs))
+    each = table(s, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("scene", text("-l", "l_orderkey", "-_", "l_linenumber", "-_", "l_partkey").alias("node"), of.alias("class"), F.concat(F.when(F.col("l_partkey") % 3 == 0, "my Reconstructor ").otherwise("node "), text("l_partkey")).alias("name"), text("-b", "o_orderkey").alias("browser"))
+    nodes = each.drop("browser").distinct().unionByName(orders.select("scene", text("-b", "o_orderkey").alias("node"), F.lit(C.BROWSER).alias("class"), F.lit("browser").alias("name")))
+    refs = each.where(F.col("class") == C.SEQUENCE).select("scene", F.col("browser").alias("source"), F.col("node").alias("target"))
+    browser = orders.groupBy("scene").agg(F.min("o_orderkey").alias("o_orderkey")).select("scene", F.when(F.col("scene") % 7 > 0, text("-b", "o_orderkey")).alias("browser"))
+    picked = each.groupBy("scene").agg(F.max(F.when((F.col("class") == C.MODEL) & (F.col("scene") % 3 > 0), F.col("node"))).alias("atlas"), F.max(F.when((F.col("class") == C.FIDUCIAL) & (F.col("scene") % 4 > 0), F.col("node"))).alias("landmark"))
+    return nodes, refs, browser.join(picked, "scene", "left").withColumns({"patient": F.concat(F.lit("P"), F.col("scene").cast("string")), "scan": F.lit("axial")})

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from sonoloom.functions import headers as H
 from sonoloom.operators import catalogue as C
+from sonoloom.plans.scratch import scratch_path
 from sonoloom.plans.wiring import Registry
+from sonoloom.sources.headers import read_headers
 from sonoloom.sources.views import headers, instances, table
 
 R = Registry()
@@ -31,6 +33,16 @@ def _cat(s, d):
     return C.scan(instances(s, d))
 
 
+def _from_files(s, d):
+    """The catalogue of header files: the headers written as text, one on a line, and read by the data source."""
+    i = instances(s, d)
+    spacing = [F.col(c).cast("double").alias(c) for c in ("PhysicalDeltaX", "PhysicalDeltaY")]
+    head = F.struct(*(c for c in i.columns if c not in ("PhysicalDeltaX", "PhysicalDeltaY")), F.array(F.struct(*spacing)).alias("SequenceOfUltrasoundRegions"))
+    path = scratch_path(s, "headers")
+    i.select(F.to_json(head)).write.text(path)
+    return C.scan(read_headers(s, path, lines=True)).withColumns({c: F.col(c).cast(i.schema[c].dataType) for c in ("PhysicalDeltaX", "PhysicalDeltaY")})
+
+
 def _paths(s, d):
     """Paths of JSON siblings: half are header dumps, and folders repeat names."""
     p = H.stem(F.col("InputPath"))
@@ -58,6 +70,7 @@ JSON_PATH = "regexp_replace(InputPath, '[.][^.]*$', '') || CASE WHEN Modality =
 BASE = "regexp_replace({0}, '^.*/', '')"
 
 R.add("scan_catalogue", _cat, f"WITH {CAT} SELECT * FROM cat")
+R.add("scan_header_files", lambda s, d: _from_files(s, d), f"WITH {CAT} SELECT * FROM cat")
 R.add("scan_first_by_basename", lambda s, d: C.first_by_basename(instances(s, d)), f"SELECT {BASE.format('InputPath')} AS base, min(InputPath) AS InputPath FROM v_instance WHERE InputPath ILIKE '%.dcm' GROUP BY 1")
 R.add("index_ground_truth", lambda s, d: C.index_ground_truth(_paths(s, d)), f"WITH f AS (SELECT {JSON_PATH} AS path FROM v_instance) SELECT {BASE.format('path')} AS name, min(path) AS path, count(*) - 1 AS duplicates FROM f WHERE path NOT ILIKE '%~_dicomheader.json' ESCAPE '~' GROUP BY 1")
 R.add("collect_files", lambda s, d: C.collect_files(instances(s, d).select(F.col("InputPath").alias("path")).union(_paths(s, d))), f"WITH f AS (SELECT InputPath AS path FROM v_instance UNION ALL SELECT {JSON_PATH} FROM v_instance) SELECT {BASE.format('path')} AS name, max(path) AS path FROM f WHERE path ILIKE '%.dcm' OR path ILIKE '%.json' GROUP BY 1")
@@ -77,8 +90,9 @@ R.add("extract_spacing", lambda s, d: C.extract_spacing(_regions(s, d)).select("
 R.add("patch_flag", lambda s, d: instances(s, d).select("InputPath", C.patch_flag().alias("patch")), "SELECT InputPath, NOT (PhysicalDeltaX IS NOT NULL AND PhysicalDeltaY IS NOT NULL) AS patch FROM v_instance")
 R.add("pixel_spacing", lambda s, d: instances(s, d).select("InputPath", H.pixel_spacing(F.col("PhysicalDeltaX").cast("double")).alias("mm")), "SELECT InputPath, CASE WHEN PhysicalDeltaX IS NOT NULL THEN printf('%.14f', CAST(PhysicalDeltaX AS DOUBLE) * 10) END AS mm FROM v_instance")
 R.add("tag_allowlist", lambda s, d: C.tag_allowlist(instances(s, d)), "SELECT InputPath, BitsAllocated, BitsStored, HighBit, PatientAge, PatientSex, PixelRepresentation, SeriesNumber, StationName, StudyDate, StudyDescription, StudyTime, Manufacturer, coalesce(TransducerData, '') AS TransducerData, coalesce(TransducerType, '') AS TransducerType, coalesce(ManufacturerModelName, '') AS ManufacturerModelName FROM v_instance")
-UID = "CASE WHEN coalesce({0}, '') <> '' THEN {0} ELSE '2.25.' || {1} END AS {0}"
-R.add("uid_passthrough", lambda s, d: C.uid_passthrough(instances(s, d)), "SELECT InputPath, " + ", ".join(UID.format(c, IDHASH(f"'{c}|' || InputPath", 10)) for c in ("SOPClassUID", "SOPInstanceUID", "SeriesInstanceUID", "StudyInstanceUID")) + " FROM v_instance")
+DIGITS = "CAST(CAST('0x' || sha256('{0}|' || InputPath)[{1}] AS UBIGINT) AS HUGEINT)"
+UID = "CASE WHEN coalesce({0}, '') <> '' THEN {0} ELSE '2.25.' || ({1}) END AS {0}"
+R.add("uid_passthrough", lambda s, d: C.uid_passthrough(instances(s, d)), "SELECT InputPath, " + ", ".join(UID.format(c, f"{DIGITS.format(c, '1 : 15')} * 18446744073709551616 + {DIGITS.format(c, '16 : 31')}") for c in ("SOPClassUID", "SOPInstanceUID", "SeriesInstanceUID", "StudyInstanceUID")) + " FROM v_instance")
 R.add("conformance_defaults", lambda s, d: C.conformance_defaults(instances(s, d)), """SELECT InputPath, ifnull(Laterality, '') AS Laterality, ifnull(InstanceNumber, '1') AS InstanceNumber, ifnull(PatientOrientation, '') AS PatientOrientation,
   ifnull(ImageType, 'ORIGINAL' || chr(92) || 'PRIMARY' || chr(92) || 'IMAGE') AS ImageType, CASE WHEN NumberOfFrames > 1 THEN ifnull(FrameTime, 0.1) END AS FrameTime,
   CASE WHEN NumberOfFrames > 1 THEN ifnull(FrameIncrementPointer, '00181063') END AS FrameIncrementPointer, CASE WHEN SamplesPerPixel = 3 THEN ifnull(PlanarConfiguration, 0) END AS PlanarConfiguration FROM v_instance""")
@@ -89,7 +103,7 @@ FLAT = """flat AS (SELECT InputPath, '0' AS at, 'Patient ID' AS key, PatientID A
   UNION ALL SELECT InputPath, '4.1.0', 'Region', '2' FROM v_instance WHERE NumberOfFrames IS NOT NULL UNION ALL SELECT InputPath, '4.1.1.0.0', 'Manufacturer', 'inner ' || Manufacturer FROM v_instance WHERE NumberOfFrames IS NOT NULL
   UNION ALL SELECT InputPath, '5', 'Manufacturer', Manufacturer FROM v_instance UNION ALL SELECT InputPath, '7', 'Transducer Data', TransducerData FROM v_instance WHERE TransducerData IS NOT NULL)"""
 R.add("flatten_header", lambda s, d: C.flatten_header(headers(s, d)).withColumn("at", F.concat_ws(".", F.col("at").cast("array<string>"))), f"WITH {FLAT} SELECT * FROM flat")
-R.add("find_key", lambda s, d: C.find_key(C.flatten_header(headers(s, d)), "Manufacturer").join(C.find_key(C.flatten_header(headers(s, d)), "Transducer Data").withColumnRenamed("found", "transducer"), "InputPath"), "SELECT DISTINCT InputPath, CASE WHEN NumberOfFrames IS NULL THEN Manufacturer ELSE 'inner ' || Manufacturer END AS found, coalesce(TransducerData, 'N/A') AS transducer FROM v_instance")
+R.add("find_key", lambda s, d: C.find_keys(C.flatten_header(headers(s, d)), {"found": "Manufacturer", "transducer": "Transducer Data"}), "SELECT DISTINCT InputPath, CASE WHEN NumberOfFrames IS NULL THEN Manufacturer ELSE 'inner ' || Manufacturer END AS found, coalesce(TransducerData, 'N/A') AS transducer FROM v_instance")
 R.add("extract_rater_from_path", lambda s, d: instances(s, d).select("InputPath", F.lower(F.regexp_extract("InputPath", "([^/]+)/[^/]+/[^/]+$", 1)).alias("rater")), "SELECT InputPath, lower(split_part(InputPath, '/', -3)) AS rater FROM v_instance")
 R.add("resume_pending", lambda s, d: C.resume_pending(_cat(s, d), _outputs(s, d)).select("InputPath", "AnonFilename"), f"WITH {CAT}, {OUTPUTS} SELECT InputPath, AnonFilename FROM cat WHERE AnonFilename NOT IN (SELECT AnonFilename FROM outs)")
 R.add("resume_position", lambda s, d: C.resume_position(_cat(s, d), _outputs(s, d)).select("PatientUID", F.col("position").cast("long").alias("position")), f"WITH {CAT}, {OUTPUTS}, g AS (SELECT PatientUID, min(InputPath) AS p FROM cat WHERE AnonFilename NOT IN (SELECT AnonFilename FROM outs) GROUP BY 1) SELECT c.PatientUID, CASE WHEN any_value(p) IS NOT NULL THEN CAST(count(*) FILTER (InputPath < p) AS BIGINT) END AS position FROM cat c LEFT JOIN g ON c.PatientUID = g.PatientUID GROUP BY 1")

@@ -51,21 +51,28 @@ def _sectors(df):
     return M.rasterise(own.select("clip_id", "frame_number", "kind", "c.*"), F.lit(128), F.lit(128)).select("clip_id", "frame_number", "kind", "row", "a", "b")
 
 
+def _between(df):
+    """Runs of each line's sector: of a rectangle between its points in every third clip, else of a fan."""
+    points = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    own = df.withColumn("c", F.when(F.col("clip_id") % 3 == 0, V.rectangle_between(*points)).otherwise(V.sector(*points, 50, 0, 10, 25)))
+    return M.rasterise(own.select("clip_id", "frame_number", "line_ord", "kind", "x2", "c.*"), F.lit(128), F.lit(128))
+
+
 SECTOR_PIXELS = """ang AS (SELECT *, least(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS lo, greatest(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS hi FROM {0}),
   g AS (SELECT x, y FROM (SELECT unnest(range(-25, 26)) AS x), (SELECT unnest(range(1, 26)) AS y) WHERE x * x + y * y BETWEEN 100 AND 625),
   spx AS (SELECT DISTINCT clip_id, frame_number, kind, x, y FROM ang, g WHERE x >= y / tan(radians(hi)) - 1e-9 AND x <= y / tan(radians(lo)) + 1e-9),
   pc AS (SELECT clip_id, frame_number, x, y, bool_or(kind = 'pleura') AS p, bool_or(kind = 'b') AS q FROM spx GROUP BY 1, 2, 3, 4)"""
 PERCENT = "SELECT clip_id, frame_number, count(*) FILTER (p) AS pleura, count(*) FILTER (p AND q) AS common, CASE WHEN count(*) FILTER (p) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (p AND q) / count(*) FILTER (p), 4) ELSE 0 END AS percentage FROM pc GROUP BY 1, 2"
 METRICS = ["dice", "iou", "ul_error", "ur_error", "ll_error", "lr_error", "mean_error"]
-METRIC_SQL = "round_even(2 * common / (truth + predicted), 2) AS dice, round_even(common / (truth + predicted - common), 2) AS iou"
-ERR = "round_even(sqrt(pred_dx ^ 2 + pred_dy ^ 2), 2)"
+METRIC_SQL = "CAST(printf('%.2f', CAST(2 * common / (truth + predicted) AS DOUBLE)) AS DOUBLE) AS dice, CAST(printf('%.2f', CAST(common / (truth + predicted - common) AS DOUBLE)) AS DOUBLE) AS iou"
+ERR = "CAST(printf('%.2f', CAST(sqrt(pred_dx ^ 2 + pred_dy ^ 2) AS DOUBLE)) AS DOUBLE)"
 
 
 def _metrics(s, d):
     c = V.corner_errors(_configs(s, d))
     o = V.dice_iou(V.overlap(c, "clip_id"))
     angle = P.angle_degrees(F.col("pred_dx"), F.col("pred_dy")).alias("angle")
-    return c.join(o, "clip_id").select("clip_id", *(F.bround(m, 2).alias(m) for m in METRICS), angle)
+    return c.join(o, "clip_id").select("clip_id", *(P.round_exact(F.col(m)).alias(m) for m in METRICS), angle)
 
 
 def _named(s, d):
@@ -77,7 +84,7 @@ def _named(s, d):
 
 NAMED = "CASE WHEN m.clip_id % 4 > 0 THEN '1.2.' || m.clip_id END"
 LABELS = "CASE WHEN m.clip_id % 3 = 0 THEN 'Lung/A, Lung/B' || m.clip_id WHEN m.clip_id % 3 = 1 THEN '' END"
-ANGLE = "CASE WHEN m.pred_dx = 0 AND m.pred_dy = 0 THEN 0 ELSE round_even((degrees(atan2(-m.pred_dy, m.pred_dx)) + 360) % 360, 2) END"
+ANGLE = "CASE WHEN m.pred_dx = 0 AND m.pred_dy = 0 THEN 0 ELSE CAST(printf('%.2f', CAST((degrees(atan2(-m.pred_dy, m.pred_dx)) + 360) % 360 AS DOUBLE)) AS DOUBLE) END"
 
 
 def _eval_sql() -> str:
@@ -85,10 +92,10 @@ def _eval_sql() -> str:
     out = ["m.clip_id || '.dcm' AS filename", "m.clip_id || '.json' AS ground_truth_filename", "'/in/' || m.clip_id || '.dcm' AS dicom_input_path", "'/gt/' || m.clip_id || '.json' AS ground_truth_path"]
     for t in ("gt", "pred"):
         out += [f"{NAMED} AS {t}_sopinstance_uid", f"0 AS {t}_grayscale_conversion", f"{LABELS} AS {t}_annotation_labels", f"m.image_rows AS {t}_image_size_rows", f"m.image_cols AS {t}_image_size_cols"]
-        out += [(f"round_even({t}.{c}, 2)" if c.startswith("angle") else f"{t}.{c}") + f" AS {t}_{n}" for c, n in V.FIELD_NAMES.items()]
-        out += [f"round_even(m.gt_{c}_{a}{f' + m.pred_d{a}' if t == 'pred' else ''}, 2) AS {t}_corners_{n}_{a}" for c, n in V.CORNER_NAMES.items() for a in "xy"]
-    out += [f"{ANGLE} AS angle_{n}" for n in V.CORNER_NAMES.values()] + ["round_even(2 * common / (truth + predicted), 2) AS dice_mean", "round_even(common / (truth + predicted - common), 2) AS iou_mean"]
-    out += [f"round_even(sqrt(m.pred_dx ^ 2 + m.pred_dy ^ 2), 2) AS {n}" for n in ("mean_distance_error", *(f"{n}_error" for n in V.CORNER_NAMES.values()))]
+        out += [(f"CAST(printf('%.2f', CAST({t}.{c} AS DOUBLE)) AS DOUBLE)" if c.startswith("angle") else f"{t}.{c}") + f" AS {t}_{n}" for c, n in V.FIELD_NAMES.items()]
+        out += [f"CAST(printf('%.2f', CAST(m.gt_{c}_{a}{f' + m.pred_d{a}' if t == 'pred' else ''} AS DOUBLE)) AS DOUBLE) AS {t}_corners_{n}_{a}" for c, n in V.CORNER_NAMES.items() for a in "xy"]
+    out += [f"{ANGLE} AS angle_{n}" for n in V.CORNER_NAMES.values()] + ["CAST(printf('%.2f', CAST(2 * common / (truth + predicted) AS DOUBLE)) AS DOUBLE) AS dice_mean", "CAST(printf('%.2f', CAST(common / (truth + predicted - common) AS DOUBLE)) AS DOUBLE) AS iou_mean"]
+    out += [f"CAST(printf('%.2f', CAST(sqrt(m.pred_dx ^ 2 + m.pred_dy ^ 2) AS DOUBLE)) AS DOUBLE) AS {n}" for n in ("mean_distance_error", *(f"{n}_error" for n in V.CORNER_NAMES.values()))]
     return f"WITH {GT}, {PRED}, {PAIRS} SELECT {', '.join(out)} FROM v_mask m JOIN gt ON gt.clip_id = m.clip_id JOIN pred ON pred.clip_id = m.clip_id JOIN o ON o.clip_id = m.clip_id"
 
 
@@ -126,10 +133,14 @@ def _corners(s, d, change):
 
 
 def _ordered(s, d):
+    """Four points, three (the upper left as apex), or a wrong number of them."""
     p = V.corner_columns("gt_")
-    points = F.array(*(F.struct(p[f"{c}_x"].alias("x"), p[f"{c}_y"].alias("y")) for c in ("lr", "ul", "ll", "ur")))
-    o = M.order_corners(points)
-    return masks(s, d).withColumn("o", o).select("clip_id", *(F.col("o")[i][a].alias(f"{c}_{a}") for i, c in enumerate(V.CORNERS) for a in "xy"))
+    at = lambda *names: F.array(*(F.struct(p[f"{c}_x"].alias("x"), p[f"{c}_y"].alias("y")) for c in names))
+    kind = F.col("clip_id") % 5
+    points = F.when(kind == 1, at("lr", "ul")).when(kind == 2, at("lr", "ul", "ll", "ur", "ul")).when(kind == 3, at("lr", "ul", "ll")).otherwise(at("lr", "ul", "ll", "ur"))
+    o = M.ordered_corners(F.col("points"), F.col("three"))
+    made = masks(s, d).select("clip_id", points.alias("points"), kind.isin(1, 3).alias("three")).withColumn("o", o)
+    return made.select("clip_id", "o.message", *(F.col(f"o.{c}.{a}").alias(f"{c}_{a}") for c in V.CORNERS for a in "xy"))
 
 
 R.add("corners_to_config", lambda s, d: _configs(s, d).select("clip_id", "pred.*"), f"WITH {PRED} SELECT clip_id, {KEY} FROM pred")
@@ -150,24 +161,30 @@ R.add("mask_runs", lambda s, d: V.runs(_configs(s, d), "clip_id", "gt").groupBy(
 R.add("mask_overlap", lambda s, d: V.dice_iou(V.overlap(_configs(s, d), "clip_id")).select("clip_id", F.round("dice", 9).alias("dice"), F.round("iou", 9).alias("iou")), f"WITH {GT}, {PRED}, {PAIRS} SELECT clip_id, round(2 * common / (truth + predicted), 9) AS dice, round(common / (truth + predicted - common), 9) AS iou FROM o")
 R.add("mask_confusion", lambda s, d: V.overlap(_configs(s, d), "clip_id").select("clip_id", (F.col("truth") - F.col("common")).alias("truth_only"), (F.col("predicted") - F.col("common")).alias("predicted_only"), "common"), f"WITH {GT}, {PRED}, {PAIRS} SELECT clip_id, truth - common AS truth_only, predicted - common AS predicted_only, common FROM o")
 R.add("corner_errors", lambda s, d: V.corner_errors(_configs(s, d)).select("clip_id", *(F.round(m, 6).alias(m) for m in METRICS[2:])), "SELECT clip_id, " + ", ".join(f"round(sqrt(pred_dx ^ 2 + pred_dy ^ 2), 6) AS {m}" for m in METRICS[2:]) + " FROM v_mask")
-R.add("angle_degrees", lambda s, d: masks(s, d).select("clip_id", P.angle_degrees(F.col("pred_dx"), F.col("pred_dy")).alias("down"), P.angle_degrees(F.col("pred_dx"), F.col("pred_dy"), False).alias("up")), "SELECT clip_id, CASE WHEN pred_dx = 0 AND pred_dy = 0 THEN 0 ELSE round_even((degrees(atan2(-pred_dy, pred_dx)) + 360) % 360, 2) END AS down, CASE WHEN pred_dx = 0 AND pred_dy = 0 THEN 0 ELSE round_even((degrees(atan2(pred_dy, pred_dx)) + 360) % 360, 2) END AS up FROM v_mask")
+R.add("angle_degrees", lambda s, d: masks(s, d).select("clip_id", P.angle_degrees(F.col("pred_dx"), F.col("pred_dy")).alias("down"), P.angle_degrees(F.col("pred_dx"), F.col("pred_dy"), False).alias("up")), "SELECT clip_id, CASE WHEN pred_dx = 0 AND pred_dy = 0 THEN 0 ELSE CAST(printf('%.2f', CAST((degrees(atan2(-pred_dy, pred_dx)) + 360) % 360 AS DOUBLE)) AS DOUBLE) END AS down, CASE WHEN pred_dx = 0 AND pred_dy = 0 THEN 0 ELSE CAST(printf('%.2f', CAST((degrees(atan2(pred_dy, pred_dx)) + 360) % 360 AS DOUBLE)) AS DOUBLE) END AS up FROM v_mask")
 R.add("eval_metrics", lambda s, d: V.eval_row(_named(s, d)), _eval_sql())
 R.add("write_metrics", lambda s, d: V.eval_row(_named(s, d)).where("gt_mask_type = 'rectangle' OR pred_mask_type = 'rectangle'"), _eval_sql() + " WHERE gt.mask_type = 'rectangle' OR pred.mask_type = 'rectangle'")
-R.add("round_metrics", lambda s, d: masks(s, d).select("clip_id", *(F.bround(F.col("clip_id") * k + F.col("pred_dx") / 8, 2).alias(f"v{i}") for i, k in enumerate((0.001, 0.125, 1.0))), "image_rows"), "SELECT clip_id, " + ", ".join(f"round_even(clip_id * {k}::DOUBLE + pred_dx / 8, 2) AS v{i}" for i, k in enumerate((0.001, 0.125, 1.0))) + ", image_rows FROM v_mask")
+R.add("round_metrics", lambda s, d: masks(s, d).select("clip_id", *(P.round_exact(F.col("clip_id") * k + F.col("pred_dx") / 8).alias(f"v{i}") for i, k in enumerate((0.001, 0.125, 1.0))), "image_rows"), "SELECT clip_id, " + ", ".join(f"CAST(printf('%.2f', CAST(clip_id * {k}::DOUBLE + pred_dx / 8 AS DOUBLE)) AS DOUBLE) AS v{i}" for i, k in enumerate((0.001, 0.125, 1.0))) + ", image_rows FROM v_mask")
 R.add("report_manifest", lambda s, d: _metrics(s, d).select("clip_id", *(F.coalesce(F.when(F.col(m) > 0, F.format_string("%.3f", F.col(m))), F.lit("N/A")).alias(m) for m in METRICS)), f"WITH {GT}, {PRED}, {PAIRS}, x AS (SELECT m.clip_id, {METRIC_SQL}, " + ", ".join(f"{ERR} AS {m}" for m in METRICS[2:]) + " FROM v_mask m JOIN o ON o.clip_id = m.clip_id) SELECT clip_id, " + ", ".join(f"CASE WHEN {m} > 0 THEN printf('%.3f', {m}) ELSE 'N/A' END AS {m}" for m in METRICS) + " FROM x")
 R.add("read_mask_config", lambda s, d: _read_config(s, d).select("clip_id", "mask_type", "angle1", "angle_min_degrees"), f"WITH {GT} SELECT clip_id, mask_type, CASE WHEN clip_id % 5 <> 0 THEN angle1 END AS angle1, CASE WHEN clip_id % 5 = 0 THEN angle1 END AS angle_min_degrees FROM gt")
 R.add("normalise_mask_keys", lambda s, d: _read_config(s, d).select("clip_id", F.coalesce("mask_type", F.lit("fan")).alias("mask_type"), F.coalesce("angle1", "angle_min_degrees").alias("angle1"), F.coalesce("angle2", "angle_max_degrees").alias("angle2"), F.coalesce("radius1", "radius_min_px").alias("radius1"), F.coalesce("radius2", "radius_max_px").alias("radius2"), *(F.coalesce(f"center_{n}_px", F.get("center_coordinate_pixel", F.lit(i))).alias(f"center_{n}_px") for i, n in enumerate(("rows", "cols"))), F.coalesce("image_size_rows", F.lit(600)).alias("image_size_rows")), f"WITH {GT} SELECT clip_id, mask_type, angle1, angle2, radius1, radius2, cy AS center_rows_px, cx AS center_cols_px, CASE WHEN clip_id % 5 = 0 THEN 600 ELSE 480 END AS image_size_rows FROM gt")
-R.add("config_columns", lambda s, d: _configs(s, d).select("clip_id", *(F.bround(f"gt.{c}", 2).alias(f"mask_{c}") if c.startswith("angle") else F.col(f"gt.{c}").alias(f"mask_{c}") for c in CFG), (F.col("gt.mask_type") == "fan").cast("int").alias("mask_is_fan")), f"WITH {GT} SELECT clip_id, " + ", ".join(f"round_even({c}, 2) AS mask_{c}" if c.startswith("angle") else f"{c} AS mask_{c}" for c in CFG) + ", CASE WHEN clip_id % 3 = 0 THEN 0 ELSE 1 END AS mask_is_fan FROM gt")
+R.add("config_columns", lambda s, d: _configs(s, d).select("clip_id", *(P.round_exact(F.col(f"gt.{c}")).alias(f"mask_{c}") if c.startswith("angle") else F.col(f"gt.{c}").alias(f"mask_{c}") for c in CFG), (F.col("gt.mask_type") == "fan").cast("int").alias("mask_is_fan")), f"WITH {GT} SELECT clip_id, " + ", ".join(f"CAST(printf('%.2f', CAST({c} AS DOUBLE)) AS DOUBLE) AS mask_{c}" if c.startswith("angle") else f"{c} AS mask_{c}" for c in CFG) + ", CASE WHEN clip_id % 3 = 0 THEN 0 ELSE 1 END AS mask_is_fan FROM gt")
 R.add("write_sequence_info", lambda s, d: V.sequence_info(_named(s, d), "gt"), _info_sql())
 R.add("denormalise_corners", lambda s, d: masks(s, d).select("clip_id", *(F.round(M.denormalise(_normal(2 * i + (a == "y")), F.col("image_cols" if a == "x" else "image_rows")), 6).alias(f"{c}_{a}") for i, c in enumerate(V.CORNERS) for a in "xy")), "SELECT clip_id, " + ", ".join(f"round((clip_id + {7 * (2 * i + (a == 'y'))}) % 97 * {640 if a == 'x' else 480} / 97, 6) AS {c}_{a}" for i, c in enumerate(V.CORNERS) for a in "xy") + " FROM v_mask")
 R.add("corner_array", lambda s, d: masks(s, d).select("clip_id", F.posexplode(F.array(*(F.struct(F.col(f"gt_{c}_x").alias("x"), F.col(f"gt_{c}_y").alias("y")) for c in V.CORNERS))).alias("at", "p")).select("clip_id", "at", "p.x", "p.y"), " UNION ALL ".join(f"SELECT clip_id, {i} AS at, gt_{c}_x AS x, gt_{c}_y AS y FROM v_mask" for i, c in enumerate(V.CORNERS)))
 R.add("merge_top_corners", lambda s, d: masks(s, d).select("clip_id", *(v.alias(k) for k, v in M.merge_top({**V.corner_columns("gt_"), "ur_x": F.col("gt_ul_x") + F.col("clip_id") % 20}).items() if k[0] == "u")), "SELECT clip_id, CASE WHEN clip_id % 20 < 15 THEN gt_ul_x + (clip_id % 20) / 2 ELSE gt_ul_x END AS ul_x, gt_ul_y AS ul_y, CASE WHEN clip_id % 20 >= 15 THEN gt_ul_x + clip_id % 20 END AS ur_x, CASE WHEN clip_id % 20 >= 15 THEN gt_ur_y END AS ur_y FROM v_mask")
-R.add("order_corners", _ordered, "SELECT clip_id, " + ", ".join(f"gt_{c}_{a} AS {c}_{a}" for c in V.CORNERS for a in "xy") + " FROM v_mask")
+R.add("order_corners", _ordered, "SELECT clip_id, CASE clip_id % 5 WHEN 1 THEN 'At least 3 control points are needed to define a mask' WHEN 2 THEN 'Only 4 control points are needed to define a mask' END AS message, "
+      + ", ".join(f"CASE WHEN clip_id % 5 IN (1, 2) THEN NULL WHEN clip_id % 5 = 3 THEN {'NULL' if c == 'ur' else f'gt_{c}_{a}'} ELSE gt_{c}_{a} END AS {c}_{a}" for c in V.CORNERS for a in "xy") + " FROM v_mask")
 R.add("redaction_height", lambda s, d: masks(s, d).select("clip_id", M.redaction_height(F.col("image_rows"), F.col("gt_ul_y") + 20 * F.col("pred_dy"), F.col("gt_ur_y") - 200, 0.2).alias("height")), "SELECT clip_id, CAST(CASE WHEN gt_ul_y + 20 * pred_dy > 0 THEN least(96, gt_ul_y + 20 * pred_dy) ELSE 96 END AS INT) AS height FROM v_mask")
 R.add("redaction_mode", lambda s, d: masks(s, d).select("clip_id", M.redaction_mode(F.col("clip_id") % 2 == 0, F.col("clip_id") % 3 > 0, (F.col("clip_id") % 5) / 10, F.col("clip_id") % 7 > 0).alias("mode")), "SELECT clip_id, CASE WHEN clip_id % 2 = 1 THEN 'mask' WHEN clip_id % 3 = 0 OR clip_id % 5 = 0 OR clip_id % 7 = 0 THEN 'untouched' ELSE 'top' END AS mode FROM v_mask")
 R.add("mask_erode", lambda s, d: V.area(V.erode_edges(V.runs(_configs(s, d), "clip_id", "gt"), "clip_id", 480, 640, 0.0105), "clip_id", "pixels"), f"WITH {GT}, {PIXELS}, n AS (SELECT kid, x + i AS x, y + j AS y FROM px, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)), e AS (SELECT kid, x, y FROM n GROUP BY kid, x, y HAVING count(*) = 25), k AS (SELECT kid, count(*) AS pixels FROM e GROUP BY kid) SELECT gt.clip_id, pixels FROM gt JOIN one ON {SAME.format('gt', 'one')} JOIN k ON k.kid = one.kid")
 R.add("mask_contour", lambda s, d: _contour(s, d), None)
-R.add("sector_mask", lambda s, d: _sectors(lines(s, d).select("*")).groupBy("clip_id", "frame_number", "kind").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels")), "WITH ang AS (SELECT *, least(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS lo, greatest(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS hi FROM v_line), g AS (SELECT x, y FROM (SELECT unnest(range(-25, 26)) AS x), (SELECT unnest(range(1, 26)) AS y) WHERE x * x + y * y BETWEEN 100 AND 625) SELECT clip_id, frame_number, kind, count(*) AS pixels FROM ang, g WHERE x >= y / tan(radians(hi)) - 1e-9 AND x <= y / tan(radians(lo)) + 1e-9 GROUP BY 1, 2, 3")
+R.add("sector_mask", lambda s, d: _between(lines(s, d)).groupBy("clip_id", "frame_number", "line_ord", "kind", "x2", "mask_type").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels")),
+      """WITH ang AS (SELECT *, least(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS lo, greatest(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS hi FROM v_line WHERE clip_id % 3 > 0),
+  g AS (SELECT x, y FROM (SELECT unnest(range(-25, 26)) AS x), (SELECT unnest(range(1, 26)) AS y) WHERE x * x + y * y BETWEEN 100 AND 625),
+  box AS (SELECT *, unnest(range(CAST(x1 AS BIGINT), least(128, CAST(x2 AS BIGINT)))) AS x FROM v_line WHERE clip_id % 3 = 0)
+  SELECT clip_id, frame_number, line_ord, kind, x2, 'fan' AS mask_type, count(*) AS pixels FROM ang, g WHERE x >= y / tan(radians(hi)) - 1e-9 AND x <= y / tan(radians(lo)) + 1e-9 GROUP BY ALL
+  UNION ALL SELECT clip_id, frame_number, line_ord, kind, x2, 'rectangle', CAST(sum(least(128, y2) - y1) AS BIGINT) FROM box WHERE x2 - x1 > 1 AND y2 - y1 > 1 GROUP BY clip_id, frame_number, line_ord, kind, x2""")
 R.add("pleura_percentage", lambda s, d: V.pleura_percentage(_sectors(lines(s, d))), f"WITH {SECTOR_PIXELS.format('v_line')} {PERCENT}")
 R.add("pleura_percentage_validated", lambda s, d: V.pleura_percentage(_sectors(_status_lines(s, d).where("status = 'validated'"))), f"WITH {LATEST}, {SECTOR_PIXELS.format('''(SELECT * FROM sl WHERE status = 'validated')''')} {PERCENT}")
 R.add("sector_corners", lambda s, d: lines(s, d).select("clip_id", "line_ord", *(F.round(c + r * (F.col(f"{a}{i}") - c) / F.hypot(F.col(f"x{i}") - 50, F.col(f"y{i}") + 7), 6).alias(f"{a}{i}_{r}") for i in (1, 2) for a, c in (("x", F.lit(50.0)), ("y", F.lit(-7.0))) for r in (10, 25))), "SELECT clip_id, line_ord, " + ", ".join(f"round({c} + {r} * ({a}{i} - {c}) / sqrt((x{i} - 50) ^ 2 + (y{i} + 7) ^ 2), 6) AS {a}{i}_{r}" for i in (1, 2) for a, c in (("x", "50"), ("y", "(-7)")) for r in (10, 25)) + " FROM v_line")

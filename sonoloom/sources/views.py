@@ -71,6 +71,9 @@ FROM (SELECT vec_id // 64 AS clip_id, row_number() OVER (PARTITION BY vec_id //
 """
 
 
+COLOUR_DUCK = f"SELECT a.clip_id, a.frame_no, a.pos, c, CASE c WHEN 0 THEN a.v WHEN 1 THEN b.v ELSE 255 - a.v END AS v FROM ({PIXELS_DUCK}) a JOIN ({PIXELS_DUCK}) b ON a.clip_id = b.clip_id AND a.frame_no = b.frame_no AND b.pos = 63 - a.pos, (SELECT unnest([0, 1, 2]) AS c)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,6 +97,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(clip.alias("clip_id"), number.alias("frame_no"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.transform("embedding", pixel).alias("pixels"))
 
 
+def colour_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of three interleaved channels: a frame's pixels, the same in reverse order, and their negative."""
+    mixed = F.flatten(F.zip_with("pixels", F.reverse("pixels"), lambda a, b: F.array(a, b, 255 - a)))
+    return frames(spark, sf_dir).withColumns({"pixels": mixed, "channels": F.lit(3)})
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(InputPath, json): each header as a nested document by element name, with a sequence of one or two items, the second with one of its own."""
     region = lambda at, **more: F.struct(F.lit(at).alias("Region"), *(v.alias(k.replace("_", " ")) for k, v in more.items()))
@@ -111,7 +120,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duck(body: str) -> str:
     """``body`` with the views it names as common tables."""
-    found = {"v_instance": INSTANCES, "v_line": LINES, "v_mask": MASKS, "v_status": STATUSES, "v_pixel": PIXELS_DUCK}
+    found = {"v_instance": INSTANCES, "v_line": LINES, "v_mask": MASKS, "v_status": STATUSES, "v_pixel": PIXELS_DUCK, "v_colour": COLOUR_DUCK}
     used = [f"{n} AS ({re.sub(r'{(\w+)}', r'\1', t)})" for n, t in found.items() if re.search(rf"\b{n}\b", body)]
     if not used:
         return body
