@@ -81,7 +81,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     seen = rows.join(own, "group", "left")
     columns = ["doc_id", "size", "text_crc32"]
     found = seen.where("own IS NOT NULL").select(*columns, F.col("own").alias("shard")).unionByName(seen.where("own IS NULL").join(rest, "group").select(*columns, F.col("rest").alias("shard")))
-    return gapless_rank(materialise(found, "shards"), "shard", ["doc_id", "text_crc32", "size"], "slot", whole["rows"])
+    return gapless_rank(materialise(found.withColumn("_salt", F.monotonically_increasing_id()), "shards"), "shard", ["doc_id", "text_crc32", "size"], "slot", whole["rows"], "_salt")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
