@@ -251,7 +251,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, large_share: float =
     return out.runs
 
 
-def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salt: str | None = None) -> DataFrame:
     """``pieces``, a written table with ``length``, with sequence_id and offset; ``order`` tells its rows apart."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     runs = sorted(plan(counts, capacity))
@@ -265,8 +265,8 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
         run = np.searchsorted(keys, (length.to_numpy(zero_copy_only=False) << 48) + n, side="right") - 1
         return pa.StructArray.from_arrays([pa.array(to[run, 0] + n - starts[run, 1]), pa.array(to[run, 1])], ["sequence_id", "offset"])
 
-    ranked = gapless_rank(pieces, "length", order, "_number", sum(counts.values()))
-    return ranked.withColumn("_at", place("length", "_number")).select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    ranked = gapless_rank(pieces, "length", order, "_number", sum(counts.values()), salt)
+    return ranked.withColumn("_at", place("length", "_number")).select(*(c for c in pieces.columns if c != salt), "_at.sequence_id", "_at.offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def sequences(placed: DataFrame) -> DataFrame:
 def packed_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns: each piece's place and a digest of its ids."""
     digested = tokenise(docs).select("doc_id", "text_key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(materialise(digested, "pieces"), ["doc_id", "text_key", "piece"]).drop("text_key")
+    return pack(materialise(digested.withColumn("_salt", F.monotonically_increasing_id()), "pieces"), ["doc_id", "text_key", "piece"], salt="_salt").drop("text_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
