@@ -5,7 +5,7 @@ to the window length (35 words: 9, 18, 35). At each level a window is represente
 of that many words; windows whose representative starts once only are dropped, the others go on to the
 next level, until the last level is the whole window.
 
-Words are hashed with 128 bits by a keyed mixing function, no polynomial of their bytes. The levels below the last only rule windows out, with 64 bits;
+Words are hashed with 128 bits by a mixing function whose key is drawn for each run, no polynomial of their bytes. The levels below the last only rule windows out, with 64 bits;
 equal windows have equal hashes, so none is lost. The last level decides with 128 bits, which 10^13
 different windows share by chance with a probability under 10^-12.
 
@@ -23,7 +23,7 @@ play no part. A text's kept words are put together in one row, as its input was.
 from __future__ import annotations
 
 import re
-import uuid
+import secrets as entropy
 from collections.abc import Iterator
 from itertools import compress
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sonoloom.llm.hashing import _mix
-from sonoloom.plans.scratch import materialise, scratch_path, small_batches
+from sonoloom.plans.scratch import bucketed, materialise, small_batches
 
 WINDOW, SHORTEST, SEED = 35, 9, 0x9E3779B97F4A7C15
 #: Bytes of text in a piece and in a block, and of hashes in a part.
@@ -108,9 +108,9 @@ def _slide(a: np.ndarray, width: int, best, fill: int) -> np.ndarray:
 class _Block:
     """The pieces of a block; ``alive`` marks the starts of windows still in question, ``own`` those that count here."""
 
-    def __init__(self, row: dict, window: int):
+    def __init__(self, row: dict, window: int, seed: int):
         self.text, self.window = zstandard.ZstdDecompressor().decompress(row["z"]), window
-        self.h, self.begin, self.end = word_hashes(self.text)
+        self.h, self.begin, self.end = word_hashes(self.text, seed)
         ends = np.searchsorted(self.begin, np.cumsum(row["size"]))  # of each piece, in words
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         sizes, behind = ends - starts, np.array(row["behind"], dtype=np.int64)
@@ -240,10 +240,10 @@ def _told(row: dict, block: _Block, lengths: list[int], upto: int) -> None:
         block.keep(np.concatenate(bits).astype(bool) if bits else np.zeros(len(keys), dtype=bool), keys, of, lengths[k])
 
 
-def _ask(lengths: list[int], level: int, part_bits: int):
+def _ask(lengths: list[int], level: int, part_bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
-            block = _Block(row, lengths[-1])
+            block = _Block(row, lengths[-1], seed)
             _told(row, block, lengths, level)
             keys, counts, _ = block.asked(lengths[level])
             part = (keys["low"] >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(keys), dtype=np.int64)
@@ -279,11 +279,11 @@ def _answer(level: int, last: bool):
     return run
 
 
-def _finish(lengths: list[int]):
+def _finish(lengths: list[int], seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
             row = one.to_pylist()[0]
-            block = _Block(row, lengths[-1])
+            block = _Block(row, lengths[-1], seed)
             _told(row, block, lengths, len(lengths))
             gone = block.removed()
             n_words, n_removed, kept = [], [], []
@@ -307,27 +307,25 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, window: int, piece_byte
     ddl = f"block long, z binary, size array<int>, behind array<int>, own array<int>, uid array<long>, piece array<int>, cut array<boolean>, ids array<{kind.simpleString()}>"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
     packed = docs.select(id_col, text_col).mapInArrow(_pack(window, piece_bytes, block_bytes), ddl)
-    name = f"blocks_{uuid.uuid4().hex}"
-    packed.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", scratch_path(spark, "blocks")).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(packed, buckets, "block", "blocks")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shortest: int = SHORTEST, piece_bytes: int = PIECE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept), one row per row of ``docs``; kept is the text of the words that stay."""
     small_batches(docs.sparkSession)
-    lengths = levels(window, shortest)
+    lengths, seed = levels(window, shortest), entropy.randbits(64)
     blocks = _blocks(docs, id_col, text_col, window, piece_bytes, block_bytes)
     words = blocks.select(F.sum(F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
     part_bits = max(6, (8 * words // PART_BYTES).bit_length())
     answers = None
     for level in range(len(lengths)):
         last = level == len(lengths) - 1
-        hashes = _with(blocks, answers).mapInArrow(_ask(lengths, level, part_bits), HASHES)
+        hashes = _with(blocks, answers).mapInArrow(_ask(lengths, level, part_bits, seed), HASHES)
         now = materialise(hashes.groupBy("part").applyInArrow(_answer(level, last), "block long, level int, part long, n int, bits binary"), f"answers{level}")
         answers = now if answers is None else answers.unionByName(now)
     kind = docs.schema[id_col].dataType
     schema = f"uid long, piece int, cut boolean, doc_id {kind.simpleString()}, n_words long, n_removed long, kept string"
-    found = materialise(_with(blocks, answers).mapInArrow(_finish(lengths), schema), "pieces")
+    found = materialise(_with(blocks, answers).mapInArrow(_finish(lengths, seed), schema), "pieces")
     columns = ["doc_id", "n_words", "n_removed", "kept"]
     joined = found.where("cut").groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("n_removed").alias("n_removed"),
