@@ -276,17 +276,19 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Fixed value: the encoding of as many bytes for each code point.
+WIDE = "UTF-32"
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mark``; overlapping spans give one mark, null text stays null."""
     text = F.col(text_col)
     seen, fixed, every = scan(docs, text_col, drop=False)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        ahead = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], ahead).otherwise(a["out"]).alias("out"))
-
-    cut = F.aggregate(F.col(every), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    ahead = lambda at, s: (F.greatest(at, s["end"]), F.when(s["start"] >= at, _span(at, F.lit(0), s["start"])).otherwise(F.array().cast(SPAN)))
+    last = F.struct(F.array_max(F.transform(every, lambda s: s["end"])).alias("start"), F.lit(0).alias("kind"), F.length(text).alias("end"))
+    kept = F.concat(_folded(F.col(every), ahead), F.array(last))  # what lies between the spans
+    # four bytes for each code point, so that a part is cut out without a look at what precedes it
+    cut = _let(F.encode(text, WIDE), lambda wide: F.array_join(F.transform(kept, lambda g: F.decode(F.substring(wide, 4 * g["start"] + 1, 4 * (g["end"] - g["start"])), WIDE)), mark))
     return seen.withColumn(text_col, F.when(F.size(every) > 0, cut).otherwise(text)).drop(fixed, every).select(docs.columns)
 
 

@@ -115,14 +115,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([shingles(t.as_py())[0].tobytes() for t in b.column(3)], pa.binary())], ["root", "n", "node", "set"])
 
 
-def links(docs: DataFrame, text_col: str, keyed: DataFrame) -> DataFrame:
+def links(docs: DataFrame, id_col: str, text_col: str, keyed: DataFrame) -> DataFrame:
     """(a, b): links between the nodes of ``keyed``, a written table, that connect what all links connect."""
     nodes = materialise(keyed.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("size", "low", "high"))), "nodes")
     near = components(covering_links(nodes, RADIUS, code=("low", "high"), parts=PARTS))
     grouped = nodes.join(near.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("node", "text_key", "size", "root")
     sizes = grouped.groupBy("root").agg(F.sum("size").alias("n"))
-    wanted = materialise(grouped.join(sizes, "root").select("root", "n", "node", "text_key"), "wanted")
-    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).join(wanted, "text_key").select("root", "n", "node", "text")
+    # of all copies of a text the one with the smallest id is asked for, so the join has no hot key
+    one = keyed.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("k")).select("text_key", F.col("k.doc_id").alias("wanted_id"))
+    wanted = materialise(grouped.join(sizes, "root").join(one, "text_key").select("root", "n", "node", "text_key", "wanted_id"), "wanted")
+    own = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own_key"), F.col(id_col).alias("own_id"))
+    texts = own.join(wanted, (F.col("own_key") == F.col("text_key")) & F.col("own_id").eqNullSafe(F.col("wanted_id"))).select("root", "n", "node", "text")
     sets = materialise(texts.mapInArrow(_sets, "root long, n long, node long, set binary").dropDuplicates(["node"]), "sets")
     pairs = in_chunks(sets, ["root"], F.ceil(F.col("n") / CHUNK).cast("int"), ["node", "set"])
     return pairs.mapInArrow(_compare, "a long, b long").distinct()
@@ -132,7 +135,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, text_key, root), one row per row of ``docs``; root names the component over links."""
     small_batches(docs.sparkSession)
     keyed = materialise(_keyed(docs, id_col, text_col), "shingled")
-    roots = components(links(docs, text_col, keyed))
+    roots = components(links(docs, id_col, text_col, keyed))
     return keyed.select("doc_id", "text_key", "node").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
