@@ -29,9 +29,9 @@ def scratch_root(spark: SparkSession) -> str:
     return LOCAL_DEFAULT
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, joint: str = "-") -> str:
     """A new path on every call; nothing is ever overwritten."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}{joint}{uuid.uuid4().hex}"
     _made.append(path)
     if path.startswith(LOCAL_DEFAULT + "/"):
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -50,8 +50,11 @@ def clear(spark: SparkSession) -> None:
 def discard(df: DataFrame) -> None:
     """Delete the tables that ``df``, and nothing else any more, reads."""
     spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for path in [p for p in _made if file.endswith(p.split("://", 1)[-1].rsplit("/", 1)[-1])]:
+    for folder in {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}:
+        for path in [p for p in _made if p.rsplit("/", 1)[-1] == folder]:
+            if folder in _tables:
+                spark.sql(f"DROP TABLE IF EXISTS {folder}")
+                _tables.remove(folder)
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
             _made.remove(path)
@@ -70,10 +73,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, buckets: int, key: str, name: str) -> DataFrame:
-    """Like ``materialise``, in a catalogue table bucketed by ``key``: joins on it do not shuffle these rows again."""
+def bucketed(df: DataFrame, buckets: int, key: str, name: str, spread: bool = True) -> DataFrame:
+    """Like ``materialise``, in a catalogue table bucketed by ``key``: joins on it do not shuffle these rows again.
+
+    Rows that already come by bucket, as those of a join with such a table do, need no ``spread``.
+    """
     spark = df.sparkSession
-    table, path = f"{name}_{uuid.uuid4().hex}", scratch_path(spark, name)
+    path = scratch_path(spark, name, "_")
+    table = path.rsplit("/", 1)[-1]
     _tables.append(table)
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    (df.repartition(buckets, key) if spread else df).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
