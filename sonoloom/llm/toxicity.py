@@ -22,7 +22,7 @@ from sonoloom.llm.hashing import _CLASS, _LOWER, _VALUE, REPEAT, STEP, _mix, _sp
 from sonoloom.llm.learning import SAMPLE, Example, Ftrl, fit, held_out, labelled_sample
 
 BITS, STEMS, INTERCEPT = 20, (4, 5, 6), -8.0
-ALPHA, L1, L2, EPOCHS = 3.0, 2.0, 1e-3, 10
+ALPHA, L1, L2, EPOCHS = 3.0, 4.0, 1e-3, 10
 #: Weight of a toxic document, as most are not.
 POSITIVE = 2.0
 THRESHOLD = 0.5

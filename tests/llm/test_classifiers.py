@@ -77,7 +77,7 @@ def test_score_is_the_sparse_dot_product(spark):
     assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
 
 
-@pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", (0.98, 0.98, 0.99)), (toxicity, "toxic", (0.9, 0.87, 0.96))])
+@pytest.mark.parametrize(("module", "label", "least"), [(quality, "quality", (0.98, 0.98, 0.99)), (toxicity, "toxic", (0.94, 0.89, 0.96))])
 def test_held_out_fold_of_sf01(spark, module, label, least):
     """Precision, recall and area under the curve; some toxic labels are on texts without any toxic word, which bounds recall."""
     sf = "/root/testdata/sf0.1"
