@@ -1,18 +1,9 @@
-"""Readers and writers of the file forms: header JSON, annotation JSON, label CSV, key and metric tables."""
+"""Readers and writers of the file forms: annotation JSON, label CSV, key and metric tables; see also ``headers`` and ``arrays``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-HEADER = "PatientID string, StudyInstanceUID string, SeriesInstanceUID string, SOPInstanceUID string, Modality string, NumberOfFrames int, PhysicalDeltaX double, PhysicalDeltaY double, ContentDate string, StudyDate string, ContentTime string, TransducerData string, Manufacturer string, ManufacturerModelName string, PatientAge string, PatientBirthDate string"
-
-
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Header records of a tree of JSON files, one object each; a file that is no such object gives nulls."""
-    found = spark.read.schema(HEADER).option("recursiveFileLookup", "true").option("multiLine", "true").json(path)
-    return found.select("*", F.col("_metadata.file_path").alias("InputPath"))
-
-
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(path, json): whole files of a tree; hidden resource forks are left out."""
     found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
@@ -36,9 +27,3 @@ def write_documents(docs: DataFrame, path: str, by: str = "rater") -> None:
 
 def append_measurements(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
-
-
-def export_arrays(tables: dict[str, DataFrame], path: str, compression: str = "zstd") -> None:
-    """Aligned tables of a clip collection, each in a folder of its name."""
-    for name, df in tables.items():
-        df.write.option("compression", compression).parquet(f"{path}/{name}")

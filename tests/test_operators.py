@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sonoloom.functions import headers as H, masks as M, points as P
-from sonoloom.operators import annotations as A, evaluate as V
+from sonoloom.operators import documents as D, evaluate as V, scenes
 from sonoloom.plans import scratch
 from sonoloom.plans.ranking import gapless_rank
 from sonoloom.plans.scratch import materialise, scratch_path
-from sonoloom.sources import files, views
+from sonoloom.sources import files, headers, segmentations, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,18 +92,13 @@ def test_gapless_rank_with_a_hot_group(spark):
     assert len(by) == 8 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
-def test_legacy_keys_that_are_no_numbers(spark):
-    doc = '{"x": {"pleura_lines": [[[1, 2, 3]], [], null], "b_lines": null}, "10": {"pleura_lines": [], "b_lines": [[[4, 5, 6], [7, 8, 9]]]}}'
-    rows = A.convert_legacy(spark.createDataFrame([("/a/Tom/x/c.json", doc)], "path string, json string")).collect()
-    assert sorted((str(r.frame_number), r.kind, r.rater, r.points) for r in rows) == [("10", "b", "tom", [[-4.0, -5.0, 6.0], [-7.0, -8.0, 9.0]]), ("None", "pleura", "tom", [[-1.0, -2.0, 3.0]])]
-
-
 def test_files_round_trip(spark):
     folder = scratch_path(spark, "files")
-    docs = A.write_documents(views.lines(spark, SF))
+    given = views.lines(spark, SF)
+    docs = D.write_documents(given, ["clip_id", "rater"])
     files.write_documents(docs, f"{folder}/docs")
-    back = spark.read.text(f"{folder}/docs").select(F.lit(0).alias("clip_id"), F.lit("").alias("rater"), F.col("value").alias("json"))
-    assert A.read_documents(back)[0].count() == views.lines(spark, SF).count()
+    back = spark.read.text(f"{folder}/docs").select("rater", F.col("value").alias("json"))
+    assert D.read_documents(back.withColumnRenamed("rater", "file")).lines.count() == given.count()
     files.write_table(docs.select("clip_id", "rater"), f"{folder}/keys")
     assert spark.read.option("header", "true").csv(f"{folder}/keys").columns == ["clip_id", "rater"]
     for _ in range(2):
@@ -111,20 +106,71 @@ def test_files_round_trip(spark):
     assert spark.read.parquet(f"{folder}/m").count() == 2 * docs.count()
 
 
+def test_rounding_is_by_the_exact_value(spark):
+    """Decimal ties that no double holds, true ties, both signs, large and missing numbers."""
+    values = [0.125, 0.375, 2.675, 1.005, 1.115, 2.5, -0.125, -2.675, 0.285, 1e-9, 0.0, 123456.785, 1e8 + 0.005, 1e300, float("inf"), None]
+    values += [n / 1000 for n in range(-3000, 3000, 5)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", P.round_exact(F.col("v")).alias("two"), P.round_exact(F.col("v"), 0).alias("none")).collect()
+    for r in rows:
+        assert (r.two, r.none) == ((r.v, r.v) if r.v is None or math.isinf(r.v) else (round(r.v, 2), round(r.v, 0))), r.v
+
+
+def test_corners_by_number_of_points(spark):
+    at = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    rows = [(1, at((9, 9), (1, 1), (2, 8), (8, 2)), False), (2, at((9, 9), (5, 1), (2, 8)), True), (3, at((1, 1)), False), (4, at(*[(1, 1)] * 5), False), (5, at(*[(1, 1)] * 4), True)]
+    df = spark.createDataFrame(rows, "id int, points array<struct<x:double,y:double>>, three boolean")
+    got = {r.id: r.o for r in df.select("id", M.ordered_corners(F.col("points"), F.col("three")).alias("o")).collect()}
+    assert [tuple(got[1][c]) for c in ("ul", "ur", "ll", "lr")] == [(1, 1), (8, 2), (2, 8), (9, 9)] and got[1].message is None
+    assert tuple(got[2].ul) == (5, 1) and got[2].ur is None and tuple(got[2].lr) == (9, 9)
+    assert got[3].message.startswith("At least 4") and got[4].message.startswith("Only 4") and got[5].message.startswith("Only 3") and got[5].ul is None
+
+
+def test_made_uids_differ(spark):
+    made = spark.range(20000).select(H.hash_uid(F.col("id").cast("string")).alias("u"))
+    assert made.distinct().count() == 20000 and all(re.fullmatch(r"2\.25\.[1-9][0-9]{30,37}", r.u) for r in made.limit(50).collect())
+
+
+def test_stored_segmentations_rewrite_their_parts_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    captured = spark.range(400).select((F.col("id") % 40).alias("clip_id"), F.floor(F.col("id") / 40).cast("int").alias("frame_no"), F.array(F.col("id").cast("int")).alias("labelmap"))
+    segmentations.create(captured, path)
+    stamps = lambda: {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    before = stamps()
+    one = spark.createDataFrame([(3, 2, [7]), (3, 99, [8]), (3, 99, [8])], "clip_id long, frame_no int, labelmap array<int>")
+    segmentations.upsert(one, path)
+    now = {(r.clip_id, r.frame_no): r.labelmap for r in segmentations.read(spark, path).collect()}
+    assert len(now) == 401 and now[3, 2] == [7] and now[3, 99] == [8] and now[4, 2] == [84]
+    assert len(set(before) & set(stamps())) == len(before) - 1
+    segmentations.remove_frames(one, path)
+    segmentations.remove_clips(spark.createDataFrame([(5,), (77,)], "clip_id long"), path)
+    left = {(r.clip_id, r.frame_no) for r in segmentations.read(spark, path).collect()}
+    assert len(left) == 399 - 10 and (3, 2) not in left and not any(c == 5 for c, _ in left)
+    segmentations.remove_clips(spark.range(40).select(F.col("id").alias("clip_id")), path)
+    assert [f for f in stamps()] == []
+
+
+def test_scene_cleanup(spark):
+    nodes = [("s", n, c, n) for n, c in [("b1", "SequenceBrowser"), ("b2", "SequenceBrowser"), ("q1", "Sequence"), ("q2", "Sequence"), ("m1", "Model"), ("m2", "Model"), ("f1", "MarkupsFiducial"), ("c1", "MarkupsCurve"), ("my Reconstructor", "MarkupsROI"), ("r", "MarkupsROI"), ("v", "Volume")]]
+    nodes += [("t", "q1", "Sequence", "q1")]
+    refs = [("s", "b1", "q1"), ("s", "b2", "q2"), ("t", "b1", "q2")]
+    chosen = [("s", "b1", "m1", None, "P", "axial"), ("t", None, None, None, "P", "axial")]
+    make = spark.createDataFrame
+    kept, errors = scenes.prune_orphans(make(nodes, "scene string, node string, class string, name string"), make(refs, "scene string, source string, target string"), make(chosen, "scene string, browser string, atlas string, landmark string, patient string, scan string"))
+    assert {(r.node, r.name) for r in kept.collect()} == {("b1", "b1"), ("q1", "q1"), ("m1", "P_axial_AtlasModel"), ("f1", "f1"), ("my Reconstructor", "my Reconstructor"), ("v", "v")}
+    assert [r.scene for r in errors.collect()] == ["t"]
+
+
 def test_readers_and_writers_on_real_folders(spark, tmp_path):
     (tmp_path / "in/a").mkdir(parents=True)
     (tmp_path / "in/a/one.json").write_text('{"PatientID": "P1",\n "Modality": "US", "NumberOfFrames": 3, "Unknown": [1]}')
     (tmp_path / "in/two.json").write_text("no json")
     (tmp_path / "in/._two.json").write_text("fork")
-    heads = {r.InputPath.rsplit("/", 1)[-1]: r for r in files.read_headers(spark, f"{tmp_path}/in/a").collect()}
-    assert heads["one.json"].PatientID == "P1" and heads["one.json"].NumberOfFrames == 3 and heads["one.json"].StudyDate is None
+    heads = {r.InputPath.rsplit("/", 1)[-1]: r for r in headers.read_headers(spark, f"{tmp_path}/in/a").collect()}
+    assert heads["one.dcm"].PatientID == "P1" and heads["one.dcm"].NumberOfFrames == 3 and heads["one.dcm"].StudyDate is None
     texts = {r.path.rsplit("/", 1)[-1]: r.json for r in files.read_texts(spark, f"{tmp_path}/in").collect()}
     assert set(texts) == {"one.json", "two.json"} and texts["two.json"] == "no json"
     (tmp_path / "labels.csv").write_text("Lung, A-lines \nLung,B\n Heart ,C\n")
     assert sorted(map(tuple, files.read_labels(spark, f"{tmp_path}/labels.csv").collect())) == [("Heart", "C"), ("Lung", "A-lines"), ("Lung", "B")]
-    frames = views.frames(spark, SF)
-    files.export_arrays({"frames": frames, "captured": frames.where("frame_no % 3 = 0").select("clip_id", "frame_no")}, f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out/frames").count() == frames.count() > spark.read.parquet(f"{tmp_path}/out/captured").count() > 0
 
 
 def test_scratch_tables_can_be_cleared(spark):
