@@ -40,6 +40,12 @@ def angle_degrees(dx: Column, dy: Column, y_down: bool = True) -> Column:
     return F.when((dx == 0) & (dy == 0), F.lit(0.0)).otherwise(round_exact(turned))
 
 
+def sector_corners(x1: Column, y1: Column, x2: Column, y2: Column, cx: float, cy: float, r1: float, r2: float) -> Column:
+    """struct of ul, ll, ur, lr (x, y): where the rays from a centre through two points meet the inner and the outer circle."""
+    at = lambda x, y, r: F.struct((cx + r * (x - cx) / F.hypot(x - cx, y - cy)).alias("x"), (cy + r * (y - cy) / F.hypot(x - cx, y - cy)).alias("y"))
+    return F.struct(at(x1, y1, r1).alias("ul"), at(x1, y1, r2).alias("ll"), at(x2, y2, r1).alias("ur"), at(x2, y2, r2).alias("lr"))
+
+
 def segment_distance_squared(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Squared distance of a point from a segment, by clamped projection."""
     dx, dy = x2 - x1, y2 - y1

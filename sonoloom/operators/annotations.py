@@ -81,6 +81,46 @@ def filter_rater(lines: DataFrame, rater: str) -> DataFrame:
     return lines.where(F.lower(F.trim("rater")) == rater.strip().lower())
 
 
+def filter_selected(lines: DataFrame, raters: list[str]) -> DataFrame:
+    """Lines of the selected raters; of an empty selection none."""
+    return lines.where(F.col("rater").isin(*raters)) if raters else lines.where(F.lit(False))
+
+
+def filter_validated(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("status") == "validated")
+
+
+def filter_visible(lines: DataFrame, show_invalid: bool = False) -> DataFrame:
+    """Lines without the invalidated ones, unless these are asked for; a missing status is visible."""
+    return lines if show_invalid else lines.where(F.coalesce("status", F.lit("")) != "invalidated")
+
+
+def filter_min_points(lines: DataFrame, least: int = 2) -> DataFrame:
+    """Lines with ``least`` points whose first two differ."""
+    return lines.where((F.size("points") >= least) & (F.get("points", F.lit(0)) != F.get("points", F.lit(1))))
+
+
+def drop_frame(lines: DataFrame, frame: int) -> DataFrame:
+    return lines.where(F.col("frame_number") != frame)
+
+
+def copy_lines(lines: DataFrame, frame: Column, rater: str) -> DataFrame:
+    """The lines put on ``frame`` under ``rater``; ``paste_new`` then leaves out those that are there."""
+    return lines.withColumns({"frame_number": frame, "rater": F.lit(rater)})
+
+
+def reset_validation(lines: DataFrame, frame: int) -> DataFrame:
+    """Every line of a frame becomes unadjudicated."""
+    return lines.withColumn("status", F.when(F.col("frame_number") == frame, F.lit("unadjudicated")).otherwise(F.col("status")))
+
+
+def labels_in_vocabulary(labelled: DataFrame, vocabulary: DataFrame, key: str = "clip_id") -> DataFrame:
+    """(key, known, unknown): how many of each document's ``labels`` are in the vocabulary's ``label``."""
+    words = vocabulary.select("label", F.lit(True).alias("known")).distinct()
+    used = labelled.select(key, F.explode("labels").alias("label")).join(words, "label", "left")
+    return used.groupBy(key).agg(F.count_if(F.col("known").isNotNull()).alias("known"), F.count_if(F.col("known").isNull()).alias("unknown"))
+
+
 def frame_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("clip_id", "frame_number").agg(F.count_if(F.col("kind") == "pleura").alias("n_pleura"), F.count_if(F.col("kind") == "b").alias("n_b"))
 

@@ -97,6 +97,13 @@ def collect_files(files: DataFrame) -> DataFrame:
     return files.select(H.base_name(F.col("path")).alias("name"), "path").where(F.lower("name").rlike(r"\.(dcm|json)$")).groupBy("name").agg(F.max("path").alias("path"))
 
 
+def reunite_dicom(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """(json, dcm): the DICOM files of each document (``path`` in both) by folder and the name before its first dot."""
+    named = lambda df, out: df.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.substring_index(H.base_name(F.col("path")), ".", 1).alias("prefix"), F.col("path").alias(out))
+    dicom = files.where(F.endswith("path", F.lit(".dcm")))
+    return named(documents, "json").join(named(dicom, "dcm"), ["folder", "prefix"]).select("json", "dcm")
+
+
 def tag_allowlist(df: DataFrame) -> DataFrame:
     """The tags that may pass: copied ones stay null where missing, the others become blank."""
     return df.select("InputPath", *COPIED, *(F.coalesce(c, F.lit("")).alias(c) for c in ALWAYS))

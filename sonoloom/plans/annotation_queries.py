@@ -114,12 +114,12 @@ R.add("write_adjudication", lambda s, d: _written(D.write_adjudication(_held(s,
   CAST(dense_rank() OVER (PARTITION BY clip_id ORDER BY frame_number) - 1 AS INT) AS frame_at, frame_number, 'LPS' AS coordinate_space, kind, CAST(row_number() OVER (PARTITION BY clip_id, frame_number, kind ORDER BY line_ord) - 1 AS INT) AS line_ord,
   rater, -x1 AS x1, -y1 AS y1, -x2 AS x2, -y2 AS y2, judge AS adjudicator, of AS note FROM h""")
 R.add("filter_rater_lines", lambda s, d: A.frame_counts(A.filter_rater(lines(s, d), "A")), "SELECT clip_id, frame_number, count(*) FILTER (kind = 'pleura') AS n_pleura, count(*) FILTER (kind = 'b') AS n_b FROM v_line WHERE rater = 'a' GROUP BY 1, 2")
-R.add("filter_selected_raters", lambda s, d: lines(s, d).where(F.col("rater").isin("a", "n")).select(*COLS), f"SELECT {LINE} FROM v_line WHERE rater <> 'r'")
-R.add("filter_validated", lambda s, d: _status_lines(s, d).where("status = 'validated'").select(*COLS), f"WITH {LATEST} SELECT {LINE} FROM sl WHERE status = 'validated'")
-R.add("filter_visible", lambda s, d: _status_lines(s, d).where(F.coalesce("status", F.lit("")) != "invalidated").select(*COLS), f"WITH {LATEST} SELECT {LINE} FROM sl WHERE status IS DISTINCT FROM 'invalidated'")
-R.add("filter_min_points", lambda s, d: lines(s, d).withColumn("points", F.when(F.col("line_ord") % 5 == 0, F.array(F.array("x1", "y1"))).otherwise(F.array(F.array("x1", "y1"), F.array("x2", "y2")))).where((F.size("points") >= 2) & (F.col("points")[0] != F.col("points")[1])).select(*COLS), f"SELECT {LINE} FROM v_line WHERE line_ord % 5 <> 0 AND NOT (x1 = x2 AND y1 = y2)")
+R.add("filter_selected_raters", lambda s, d: A.filter_selected(lines(s, d), ["a", "n"]).select(*COLS), f"SELECT {LINE} FROM v_line WHERE rater <> 'r'")
+R.add("filter_validated", lambda s, d: A.filter_validated(_status_lines(s, d)).select(*COLS), f"WITH {LATEST} SELECT {LINE} FROM sl WHERE status = 'validated'")
+R.add("filter_visible", lambda s, d: A.filter_visible(_status_lines(s, d)).select(*COLS), f"WITH {LATEST} SELECT {LINE} FROM sl WHERE status IS DISTINCT FROM 'invalidated'")
+R.add("filter_min_points", lambda s, d: A.filter_min_points(lines(s, d).withColumn("points", F.when(F.col("line_ord") % 5 == 0, F.array(F.array("x1", "y1"))).otherwise(F.array(F.array("x1", "y1"), F.array("x2", "y2"))))).select(*COLS), f"SELECT {LINE} FROM v_line WHERE line_ord % 5 <> 0 AND NOT (x1 = x2 AND y1 = y2)")
 R.add("clean_nested_lines", lambda s, d: lines(s, d).select("clip_id", "line_ord", F.to_json(A.clean_nested(_nested())).alias("kept")), "SELECT clip_id, line_ord, '[' || concat_ws(',', CASE WHEN line_ord % 2 = 0 THEN '[' || x1 || ']' END, CASE WHEN line_ord % 3 = 0 THEN '[' || y1 || ',' || y2 || ']' END, '[' || x2 || ']') || ']' AS kept FROM v_line")
-R.add("drop_frame", lambda s, d: lines(s, d).where("frame_number != 3").select(*COLS), f"SELECT {LINE} FROM v_line WHERE frame_number <> 3")
+R.add("drop_frame", lambda s, d: A.drop_frame(lines(s, d), 3).select(*COLS), f"SELECT {LINE} FROM v_line WHERE frame_number <> 3")
 R.add("check_duplicate_frames", lambda s, d: lines(s, d).groupBy("clip_id", "frame_number").agg(F.count("*").alias("n")).where("n > 1"), "SELECT clip_id, frame_number, count(*) AS n FROM v_line GROUP BY 1, 2 HAVING count(*) > 1")
 R.add("validate_documents", lambda s, d: A.validate_documents(_faulty(s, d)), """WITH f AS (SELECT clip_id, line_ord, unnest([
   CASE WHEN line_ord % 7 = 0 THEN {'at': 'SOPInstanceUID', 'message': 'not of kind string'} END, CASE WHEN line_ord % 11 = 0 THEN {'at': 'radius1', 'message': 'not of kind integer'} END,
@@ -139,14 +139,14 @@ R.add("toggle_label", lambda s, d: _files(s, d).select("clip_id", "path", F.arra
 R.add("replace_rater_lines", lambda s, d: A.replace_lines(lines(s, d).select(*COLS), lines(s, d).where("rater = 'n' AND line_ord % 2 = 0").select(*COLS[:-1], (F.col("y2") + 5).alias("y2")), ["clip_id", "frame_number", "rater"]), f"WITH n AS (SELECT * REPLACE (y2 + 5 AS y2) FROM v_line WHERE rater = 'n' AND line_ord % 2 = 0) SELECT {LINE} FROM v_line v WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.clip_id = v.clip_id AND n.frame_number = v.frame_number AND n.rater = v.rater) UNION ALL SELECT {LINE} FROM n")
 R.add("replace_frame_lines", lambda s, d: A.replace_lines(lines(s, d).select(*COLS), lines(s, d).where("kind = 'pleura' AND frame_number < 3").select(*COLS), ["clip_id", "frame_number"]), f"SELECT {LINE} FROM v_line v WHERE NOT EXISTS (SELECT 1 FROM v_line n WHERE n.kind = 'pleura' AND n.frame_number < 3 AND n.clip_id = v.clip_id AND n.frame_number = v.frame_number) UNION ALL SELECT {LINE} FROM v_line WHERE kind = 'pleura' AND frame_number < 3")
 R.add("delete_own_lines", lambda s, d: A.delete_own(lines(s, d).select(*COLS), lines(s, d).select(*COLS).where("frame_number <= 2"), "a"), f"SELECT {LINE} FROM v_line WHERE NOT (frame_number <= 2 AND rater = 'a')")
-R.add("copy_lines", lambda s, d: lines(s, d).where("frame_number = 1").select("clip_id", (F.col("frame_number") + 1).alias("frame_number"), F.lit("me").alias("rater"), *COLS[3:]), "SELECT clip_id, 2 AS frame_number, 'me' AS rater, kind, line_ord, x1, y1, x2, y2 FROM v_line WHERE frame_number = 1")
+R.add("copy_lines", lambda s, d: A.copy_lines(lines(s, d).where("frame_number = 1"), F.col("frame_number") + 1, "me").select(*COLS), "SELECT clip_id, 2 AS frame_number, 'me' AS rater, kind, line_ord, x1, y1, x2, y2 FROM v_line WHERE frame_number = 1")
 R.add("paste_dedup", lambda s, d: A.paste_new(lines(s, d).where("line_ord % 2 = 0"), lines(s, d).select("clip_id", "frame_number", "kind", F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))), "SELECT p.clip_id, p.frame_number, p.kind, p.x2 AS x1, p.y2 AS y1, p.x1 AS x2, p.y1 AS y2 FROM v_line p WHERE NOT EXISTS (SELECT 1 FROM v_line e WHERE e.line_ord % 2 = 0 AND e.clip_id = p.clip_id AND e.frame_number = p.frame_number AND e.kind = p.kind AND ((e.x1 = p.x1 AND e.y1 = p.y1 AND e.x2 = p.x2 AND e.y2 = p.y2) OR (e.x1 = p.x2 AND e.y1 = p.y2 AND e.x2 = p.x1 AND e.y2 = p.y1)))")
 R.add("nearest_line", lambda s, d: A.nearest_line(lines(s, d), lines(s, d).select("clip_id", "frame_number", ((F.col("x1") + F.col("x2")) / 2 + 1).alias("px"), F.col("y1").alias("py")).distinct()).select("clip_id", "frame_number", "px", "py", "line_ord", F.round("d2", 6).alias("d2")), """WITH q AS (SELECT DISTINCT clip_id, frame_number, (x1 + x2) / 2 + 1 AS px, y1 AS py FROM v_line), m AS (SELECT q.*, line_ord, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, least(1, greatest(0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ^ 2 + (y2 - y1) ^ 2))) AS t FROM q JOIN v_line USING (clip_id, frame_number)),
   e AS (SELECT clip_id, frame_number, px, py, line_ord, (px - x1 - t * dx) ^ 2 + (py - y1 - t * dy) ^ 2 AS d2 FROM m) SELECT clip_id, frame_number, px, py, arg_min(line_ord, (d2, line_ord)) AS line_ord, round(min(d2), 6) AS d2 FROM e WHERE d2 < 4 GROUP BY 1, 2, 3, 4""")
 R.add("match_validation", lambda s, d: A.match_validation(lines(s, d), lines(s, d).where("line_ord % 3 = 0").select("clip_id", "frame_number", "rater", "x1", "y1", "x2", "y2", F.concat_ws("_", "clip_id", "frame_number", "line_ord").alias("validation_id"))), "WITH v AS (SELECT *, clip_id || '_' || frame_number || '_' || line_ord AS validation_id FROM v_line WHERE line_ord % 3 = 0), m AS (SELECT validation_id, l.line_ord, l.kind, row_number() OVER (PARTITION BY validation_id ORDER BY l.kind DESC, l.line_ord) AS n FROM v JOIN v_line l USING (clip_id, frame_number, rater, x1, y1, x2, y2)) SELECT validation_id, line_ord, kind FROM m WHERE n = 1")
 R.add("validate_bulk", lambda s, d: A.validate_bulk(_status_lines(s, d), "me", F.lit("2024-05-06 07:08:09").cast("timestamp")).groupBy("clip_id").agg(F.max("timestamp").alias("latest"), F.min("timestamp").alias("earliest"), F.count_if("changed").alias("lines"), F.count_distinct(F.when(F.col("changed"), F.col("frame_number"))).alias("frames"), F.count_if(F.col("status") == "validated").alias("validated")), f"WITH {LATEST}, sb AS (SELECT *, CASE WHEN coalesce(status, 'unadjudicated') = 'unadjudicated' THEN '2024-05-06T07:08:09' ELSE timestamp END AS t FROM sl) SELECT clip_id, max(t) AS latest, min(t) AS earliest, count(*) FILTER (coalesce(status, 'unadjudicated') = 'unadjudicated') AS lines, count(DISTINCT frame_number) FILTER (coalesce(status, 'unadjudicated') = 'unadjudicated') AS frames, count(*) FILTER (status IS DISTINCT FROM 'invalidated') AS validated FROM sb GROUP BY 1")
 R.add("toggle_validation", lambda s, d: _status_lines(s, d).select("clip_id", "frame_number", "line_ord", "status", A.toggled(F.col("status")).alias("next")), f"WITH {LATEST} SELECT clip_id, frame_number, line_ord, status, CASE coalesce(status, '') WHEN 'validated' THEN 'invalidated' WHEN 'invalidated' THEN 'unadjudicated' ELSE 'validated' END AS next FROM sl")
-R.add("reset_validation", lambda s, d: _status_lines(s, d).select("clip_id", "frame_number", "line_ord", F.when(F.col("frame_number") == 1, F.lit("unadjudicated")).otherwise(F.col("status")).alias("status")), f"WITH {LATEST} SELECT clip_id, frame_number, line_ord, CASE WHEN frame_number = 1 THEN 'unadjudicated' ELSE status END AS status FROM sl")
+R.add("reset_validation", lambda s, d: A.reset_validation(_status_lines(s, d), 1).select("clip_id", "frame_number", "line_ord", "status"), f"WITH {LATEST} SELECT clip_id, frame_number, line_ord, CASE WHEN frame_number = 1 THEN 'unadjudicated' ELSE status END AS status FROM sl")
 R.add("prefer_adjudication", lambda s, d: A.replace_lines(lines(s, d).select(*COLS), lines(s, d).where("clip_id % 4 = 0 AND rater = 'r'").select(*COLS), ["clip_id"]), f"SELECT {LINE} FROM v_line v WHERE NOT (clip_id % 4 = 0 AND rater <> 'r' AND clip_id IN (SELECT clip_id FROM v_line WHERE rater = 'r'))")
 R.add("resolve_annotation_file", lambda s, d: _resolved(s, d), "WITH b AS (SELECT clip_id, bool_or(rater = 'a') AS own, bool_or(rater = 'n') AS plain FROM v_line GROUP BY 1) SELECT clip_id, CASE WHEN own THEN clip_id || '.a.json' WHEN plain THEN clip_id || '.json' ELSE clip_id || '.a.json' END AS file, own OR plain AS found FROM b")
 R.add("next_unlabeled", lambda s, d: _next(s, d, "SOPInstanceUID", 2), "WITH c AS (SELECT PatientID AS PatientUID, SOPInstanceUID AS u, row_number() OVER (PARTITION BY PatientID ORDER BY InputPath) - 1 AS i FROM v_instance) SELECT PatientUID, min(i) FILTER (i >= 2 AND NOT (u <> '' AND hash_odd)) AS next FROM (SELECT *, length(u) % 2 = 1 AS hash_odd FROM c) GROUP BY 1")
@@ -195,9 +195,7 @@ def _next(s, d, uid, cursor):
 
 
 def _vocabulary(s, d):
-    words = table(s, d, "lineitem").where("l_quantity > 49").select(_mode().alias("label"), F.lit(True).alias("known")).distinct()
-    used = _files(s, d).select("clip_id", F.explode("labels").alias("label")).join(words, "label", "left")
-    return used.groupBy("clip_id").agg(F.count_if(F.col("known").isNotNull()).alias("known"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    return A.labels_in_vocabulary(_files(s, d), table(s, d, "lineitem").where("l_quantity > 49").select(_mode().alias("label")))
 
 
 def _crossings(s, d):

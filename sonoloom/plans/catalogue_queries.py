@@ -127,5 +127,5 @@ R.add("light_header", lambda s, d: C.light_header(instances(s, d)), f"SELECT Inp
 R.add("camel_to_snake", lambda s, d: instances(s, d).select("InputPath", H.camel_to_snake(F.concat(F.initcap("ManufacturerModelName"), F.lit("DeltaX"), F.col("Modality"))).alias("snake")), r"SELECT InputPath, lower(regexp_replace(list_aggregate(list_transform(string_split(ManufacturerModelName, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') || 'DeltaX' || Modality, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake FROM v_instance")
 R.add("humanize", lambda s, d: table(s, d, "part").select("p_partkey", H.humanize(F.concat(F.lit("USScan"), F.regexp_replace(F.initcap("p_name"), " ", ""), "p_size")).alias("words")), r"SELECT p_partkey, trim(regexp_replace(regexp_replace('USScan' || list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', '') || p_size, '([A-Z][a-z0-9]+)', ' \1 ', 'g'), ' +', ' ', 'g')) AS words FROM part")
 R.add("sort_catalogue", lambda s, d: _cat(s, d).select("InputPath", "ContentDate", "ContentTime").orderBy("InputPath", "ContentDate", "ContentTime"), f"WITH {CAT} SELECT InputPath, ContentDate, ContentTime FROM cat ORDER BY ALL")
-R.add("reunite_dicom", lambda s, d: _paths(s, d).where("path NOT LIKE '%Header.json'").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.substring_index(H.base_name(F.col("path")), ".", 1).alias("prefix"), F.col("path").alias("json")).join(instances(s, d).where("InputPath LIKE '%.dcm'").select(F.regexp_replace("InputPath", "/[^/]*$", "").alias("folder"), F.substring_index(H.base_name(F.col("InputPath")), ".", 1).alias("prefix"), F.col("InputPath").alias("dcm")), ["folder", "prefix"]).select("json", "dcm"), f"WITH f AS (SELECT {JSON_PATH} AS json FROM v_instance WHERE Modality <> 'CT'), g AS (SELECT InputPath AS dcm FROM v_instance WHERE InputPath LIKE '%.dcm') SELECT json, dcm FROM f JOIN g ON replace(json, '.json', '.dcm') = dcm")
+R.add("reunite_dicom", lambda s, d: C.reunite_dicom(_paths(s, d).where("path NOT LIKE '%Header.json'"), instances(s, d).select(F.col("InputPath").alias("path"))), f"WITH f AS (SELECT {JSON_PATH} AS json FROM v_instance WHERE Modality <> 'CT'), g AS (SELECT InputPath AS dcm FROM v_instance WHERE InputPath LIKE '%.dcm') SELECT json, dcm FROM f JOIN g ON replace(json, '.json', '.dcm') = dcm")
 R.add("join_ground_truth", lambda s, d: _cat(s, d).select("InputPath", F.concat(H.stem(H.base_name(F.col("InputPath"))), F.lit(".json")).alias("name")).join(C.index_ground_truth(_paths(s, d)), "name", "left").select("InputPath", "path"), f"WITH {CAT}, f AS (SELECT {JSON_PATH} AS path FROM v_instance WHERE Modality <> 'CT'), g AS (SELECT {BASE.format('path')} AS name, min(path) AS path FROM f GROUP BY 1) SELECT InputPath, g.path FROM cat LEFT JOIN g ON g.name = regexp_replace({BASE.format('InputPath')}, '[.][^.]*$', '.json')")

@@ -8,7 +8,7 @@ from sonoloom.functions import points as P
 from sonoloom.operators import frames as O, pixels as X
 from sonoloom.plans.scratch import scratch_path
 from sonoloom.plans.wiring import Registry
-from sonoloom.sources import segmentations
+from sonoloom.sources import arrays, segmentations
 from sonoloom.sources.views import colour_frames, frames
 
 R = Registry()
@@ -115,13 +115,19 @@ def _resliced(s, d):
 
 
 def _exported(s, d):
-    """The five aligned outputs of each frame, arrays as digests and sums."""
-    slices = _resliced(s, d).groupBy(*KEY).agg(F.round(F.sum("v"), 3).alias("slice_sum"))
+    """The five aligned outputs of each frame, written and committed together, read back, arrays as digests and sums."""
+    slices = _resliced(s, d).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("slice"))
     whole = O.with_transform(O.dense_segmentation(frames(s, d), _captured(s, d)).join(frames(s, d).select(*KEY, "pixels"), KEY), _transforms(s, d))
     captured = _captured(s, d).select(*KEY, F.lit(True).alias("captured"))
-    return whole.join(slices, KEY).join(captured, KEY, "left").select(
-        *KEY, F.md5(F.array_join("pixels", ",")).alias("frame_digest"), F.array_join(F.transform("m", lambda x: F.round(x * 100).cast("int")), ",").alias("transform"), "slice_sum",
-        F.aggregate("labelmap", F.lit(0), lambda a, x: a + x).alias("labelled"), F.coalesce("captured", F.lit(False)).alias("captured"),
+    path = scratch_path(s, "export")
+    arrays.export_arrays(whole.join(slices, KEY).join(captured, KEY, "left").select(*KEY, "pixels", "m", "slice", "labelmap", F.coalesce("captured", F.lit(False)).alias("captured")), path)
+    held = arrays.read_export(s, path)
+    both = held["frames"]
+    for name in list(held)[1:]:
+        both = both.join(held[name], KEY)
+    return both.select(
+        *KEY, F.md5(F.array_join("pixels", ",")).alias("frame_digest"), F.array_join(F.transform("m", lambda x: F.round(x * 100).cast("int")), ",").alias("transform"),
+        F.round(F.aggregate("slice", F.lit(0.0), lambda a, x: a + x), 3).alias("slice_sum"), F.aggregate("labelmap", F.lit(0), lambda a, x: a + x).alias("labelled"), "captured",
     )
 
 

@@ -178,7 +178,8 @@ R.add("order_corners", _ordered, "SELECT clip_id, CASE clip_id % 5 WHEN 1 THEN '
 R.add("redaction_height", lambda s, d: masks(s, d).select("clip_id", M.redaction_height(F.col("image_rows"), F.col("gt_ul_y") + 20 * F.col("pred_dy"), F.col("gt_ur_y") - 200, 0.2).alias("height")), "SELECT clip_id, CAST(CASE WHEN gt_ul_y + 20 * pred_dy > 0 THEN least(96, gt_ul_y + 20 * pred_dy) ELSE 96 END AS INT) AS height FROM v_mask")
 R.add("redaction_mode", lambda s, d: masks(s, d).select("clip_id", M.redaction_mode(F.col("clip_id") % 2 == 0, F.col("clip_id") % 3 > 0, (F.col("clip_id") % 5) / 10, F.col("clip_id") % 7 > 0).alias("mode")), "SELECT clip_id, CASE WHEN clip_id % 2 = 1 THEN 'mask' WHEN clip_id % 3 = 0 OR clip_id % 5 = 0 OR clip_id % 7 = 0 THEN 'untouched' ELSE 'top' END AS mode FROM v_mask")
 R.add("mask_erode", lambda s, d: V.area(V.erode_edges(V.runs(_configs(s, d), "clip_id", "gt"), "clip_id", 480, 640, 0.0105), "clip_id", "pixels"), f"WITH {GT}, {PIXELS}, n AS (SELECT kid, x + i AS x, y + j AS y FROM px, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)), e AS (SELECT kid, x, y FROM n GROUP BY kid, x, y HAVING count(*) = 25), k AS (SELECT kid, count(*) AS pixels FROM e GROUP BY kid) SELECT gt.clip_id, pixels FROM gt JOIN one ON {SAME.format('gt', 'one')} JOIN k ON k.kid = one.kid")
-R.add("mask_contour", lambda s, d: _contour(s, d), None)
+R.add("mask_contour", lambda s, d: _contour(s, d), f"""WITH {GT}, {PIXELS}, h AS (SELECT kid, x + i AS x, y FROM px, (SELECT unnest(range(-3, 4)) AS i) GROUP BY ALL HAVING count(*) = 7), e AS (SELECT kid, x, y + j AS y FROM h, (SELECT unnest(range(-3, 4)) AS j) GROUP BY ALL HAVING count(*) = 7),
+  n AS (SELECT kid, count(*) AS inside FROM e GROUP BY kid), w AS (SELECT kid, count(*) AS pixels FROM px GROUP BY kid) SELECT gt.clip_id, pixels, pixels - coalesce(inside, 0) AS rim FROM gt JOIN one ON {SAME.format('gt', 'one')} JOIN w ON w.kid = one.kid LEFT JOIN n ON n.kid = one.kid""")
 R.add("sector_mask", lambda s, d: _between(lines(s, d)).groupBy("clip_id", "frame_number", "line_ord", "kind", "x2", "mask_type").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels")),
       """WITH ang AS (SELECT *, least(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS lo, greatest(round_even(degrees(atan2(y1, x1 - 50)), 6), round_even(degrees(atan2(y2, x2 - 50)), 6)) AS hi FROM v_line WHERE clip_id % 3 > 0),
   g AS (SELECT x, y FROM (SELECT unnest(range(-25, 26)) AS x), (SELECT unnest(range(1, 26)) AS y) WHERE x * x + y * y BETWEEN 100 AND 625),
@@ -187,7 +188,7 @@ R.add("sector_mask", lambda s, d: _between(lines(s, d)).groupBy("clip_id", "fram
   UNION ALL SELECT clip_id, frame_number, line_ord, kind, x2, 'rectangle', CAST(sum(least(128, y2) - y1) AS BIGINT) FROM box WHERE x2 - x1 > 1 AND y2 - y1 > 1 GROUP BY clip_id, frame_number, line_ord, kind, x2""")
 R.add("pleura_percentage", lambda s, d: V.pleura_percentage(_sectors(lines(s, d))), f"WITH {SECTOR_PIXELS.format('v_line')} {PERCENT}")
 R.add("pleura_percentage_validated", lambda s, d: V.pleura_percentage(_sectors(_status_lines(s, d).where("status = 'validated'"))), f"WITH {LATEST}, {SECTOR_PIXELS.format('''(SELECT * FROM sl WHERE status = 'validated')''')} {PERCENT}")
-R.add("sector_corners", lambda s, d: lines(s, d).select("clip_id", "line_ord", *(F.round(c + r * (F.col(f"{a}{i}") - c) / F.hypot(F.col(f"x{i}") - 50, F.col(f"y{i}") + 7), 6).alias(f"{a}{i}_{r}") for i in (1, 2) for a, c in (("x", F.lit(50.0)), ("y", F.lit(-7.0))) for r in (10, 25))), "SELECT clip_id, line_ord, " + ", ".join(f"round({c} + {r} * ({a}{i} - {c}) / sqrt((x{i} - 50) ^ 2 + (y{i} + 7) ^ 2), 6) AS {a}{i}_{r}" for i in (1, 2) for a, c in (("x", "50"), ("y", "(-7)")) for r in (10, 25)) + " FROM v_line")
+R.add("sector_corners", lambda s, d: lines(s, d).select("clip_id", "line_ord", P.sector_corners(*map(F.col, ("x1", "y1", "x2", "y2")), 50.0, -7.0, 10.0, 25.0).alias("c")).select("clip_id", "line_ord", *(F.round(f"c.{c}.{a}", 6).alias(f"{a}{i}_{r}") for c, i, r in (("ul", 1, 10), ("ll", 1, 25), ("ur", 2, 10), ("lr", 2, 25)) for a in "xy")), "SELECT clip_id, line_ord, " + ", ".join(f"round({c} + {r} * ({a}{i} - {c}) / sqrt((x{i} - 50) ^ 2 + (y{i} + 7) ^ 2), 6) AS {a}{i}_{r}" for i in (1, 2) for a, c in (("x", "50"), ("y", "(-7)")) for r in (10, 25)) + " FROM v_line")
 
 
 def _contour(s, d):
