@@ -119,7 +119,6 @@ def max_pool(frames: DataFrame) -> DataFrame:
             add(pooled, b)
         yield rows(pooled)
 
-    final.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     ddl = f"clip_id {frames.schema['clip_id'].dataType.simpleString()}, height int, width int, channels int, pixels array<int>"
     given = frames.select("clip_id", *(F.col(c).cast("int").alias(c) for c in _SHAPE), "pixels")
     return given.mapInArrow(partial, ddl).groupBy("clip_id").applyInArrow(final, ddl)
