@@ -134,7 +134,7 @@ def test_stored_segmentations_rewrite_their_parts_only(spark, tmp_path):
     path = str(tmp_path / "table")
     captured = spark.range(400).select((F.col("id") % 40).alias("clip_id"), F.floor(F.col("id") / 40).cast("int").alias("frame_no"), F.array(F.col("id").cast("int")).alias("labelmap"))
     segmentations.create(captured, path)
-    stamps = lambda: {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    stamps = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
     before = stamps()
     one = spark.createDataFrame([(3, 2, [7]), (3, 99, [8]), (3, 99, [8])], "clip_id long, frame_no int, labelmap array<int>")
     segmentations.upsert(one, path)
