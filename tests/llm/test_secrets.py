@@ -213,3 +213,10 @@ def test_query(spark, sf):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in (1, 2, 3))
         assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
         assert ",".join(s for s in r.spans.split(",") if not s.startswith("random")) == listed(base)
+
+
+def test_forty_thousand_matches_are_redacted(spark):
+    text = " ".join(f"é😀 password = abcdef{i:06d}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert got == {1: " ".join(["é😀 [SECRET]"] * 40_000), 2: None, 3: ""}
