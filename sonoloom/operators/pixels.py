@@ -70,18 +70,20 @@ def grey(frame: np.ndarray) -> np.ndarray:
 
 
 def _taps(n: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two neighbours and the second one's weight for each of ``to`` centres on an axis of ``n``, edges repeated."""
-    at = np.clip((np.arange(to) + 0.5) * (n / to) - 0.5, 0, n - 1)
-    low = np.floor(at).astype(np.int64)
-    return low, np.minimum(low + 1, n - 1), at - low
+    """Two neighbours and the second one's weight, in 2 ``to``-ths, for each of ``to`` centres on an axis of ``n``, edges repeated."""
+    at = np.clip((2 * np.arange(to, dtype=np.int64) + 1) * n - to, 0, (n - 1) * 2 * to)
+    low = at // (2 * to)
+    return low, np.minimum(low + 1, n - 1), at - low * 2 * to
 
 
 def resized(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Bilinear resize on pixel centres, rounded to whole values as for an image of bytes."""
+    """Bilinear resize on pixel centres, rounded to whole values as for an image of bytes, halves up; in whole numbers, so that a half is one."""
     y0, y1, fy = _taps(image.shape[0], rows)
     x0, x1, fx = _taps(image.shape[1], columns)
-    across = image[:, x0] * (1 - fx) + image[:, x1] * fx
-    return np.floor(across[y0] * (1 - fy)[:, None] + across[y1] * fy[:, None] + 0.5)
+    image, one = image.astype(np.int64), 4 * rows * columns
+    across = image[:, x0] * (2 * columns - fx) + image[:, x1] * fx
+    total = across[y0] * (2 * rows - fy)[:, None] + across[y1] * fy[:, None]
+    return ((2 * total + one) // (2 * one)).astype(np.float64)
 
 
 def max_pool(frames: DataFrame) -> DataFrame:

@@ -76,9 +76,9 @@ R.add("mmode_scale", lambda s, d: _scaled(s, d), f"""WITH {SAMPLE}, o AS (SELECT
   t AS (SELECT *, CASE WHEN m > 1 THEN i * (n - 1) / (m - 1) ELSE 0 END AS src FROM i)
   SELECT t.clip_id, CAST(x.depth AS INT) AS depth, m - 1 - i AS "column", round(x.v + (coalesce(y.v, x.v) - x.v) * (src - floor(src + 1e-9)), 6) AS v FROM t JOIN o x ON x.clip_id = t.clip_id AND x.a = floor(src + 1e-9) LEFT JOIN o y ON y.clip_id = x.clip_id AND y.depth = x.depth AND y.a = x.a + 1""")
 R.add("model_input_frame", lambda s, d: X.model_input(colour_frames(s, d), 5, 12).select("clip_id", F.posexplode("pixels").alias("pos", "v")), """WITH m AS (SELECT clip_id, pos, c, max(v) AS v FROM v_colour GROUP BY ALL), g AS (SELECT clip_id, pos, (sum(v * CASE c WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END) + 32768) // 65536 AS v FROM m GROUP BY ALL),
-  t AS (SELECT r * 12 + q AS pos, greatest(0, least(7, (r + 0.5::DOUBLE) * 8 / 5 - 0.5)) AS y, greatest(0, least(7, (q + 0.5::DOUBLE) * 8 / 12 - 0.5)) AS x FROM (SELECT unnest(range(5)) AS r), (SELECT unnest(range(12)) AS q)),
-  w AS (SELECT pos, least(7, floor(y) + j) * 8 + least(7, floor(x) + i) AS p, (CASE i WHEN 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) * (CASE j WHEN 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) AS w FROM t, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
-  SELECT clip_id, CAST(w.pos AS INT) AS pos, floor(sum(w * v) + 0.5) AS v FROM w JOIN g ON g.pos = p GROUP BY 1, 2""")
+  t AS (SELECT r * 12 + q AS pos, greatest(0, least(70, (2 * r + 1) * 8 - 5)) AS y, greatest(0, least(168, (2 * q + 1) * 8 - 12)) AS x FROM (SELECT unnest(range(5)) AS r), (SELECT unnest(range(12)) AS q)),
+  w AS (SELECT pos, least(7, y // 10 + j) * 8 + least(7, x // 24 + i) AS p, (CASE i WHEN 1 THEN x % 24 ELSE 24 - x % 24 END) * (CASE j WHEN 1 THEN y % 10 ELSE 10 - y % 10 END) AS w FROM t, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+  SELECT clip_id, CAST(w.pos AS INT) AS pos, CAST((2 * sum(w * v) + 240) // 480 AS DOUBLE) AS v FROM w JOIN g ON g.pos = p GROUP BY 1, 2""")
 R.add("dense_segmentation", lambda s, d: O.dense_segmentation(frames(s, d), _captured(s, d)).select(*KEY, F.aggregate("labelmap", F.lit(0), lambda a, x: a + x).alias("labelled"), F.size("labelmap").alias("n")), "SELECT clip_id, frame_no, CAST(sum(CASE WHEN frame_no % 3 = 0 AND v > 140 THEN 1 ELSE 0 END) AS INT) AS labelled, 64 AS n FROM v_pixel GROUP BY 1, 2")
 R.add("capture_upsert", lambda s, d: _upserted(s, d), "SELECT clip_id, frame_no, CASE WHEN frame_no % 2 = 0 THEN 1 ELSE 0 END AS fresh, CAST(sum(CASE WHEN v > 140 THEN 1 ELSE 0 END) AS INT) AS labelled FROM v_pixel WHERE (frame_no % 3 = 0 OR frame_no % 2 = 0) AND frame_no % 10 <> 4 AND clip_id % 5 <> 2 GROUP BY 1, 2, 3")
 PLACE = """CASE WHEN frame_no % 4 = 3 THEN pos % 8 ELSE pos % 8 * 0.5::DOUBLE + clip_id % 3 * 0.25::DOUBLE END AS px, CASE WHEN frame_no % 4 = 3 THEN pos // 8 ELSE pos // 8 * 0.5::DOUBLE END AS py,

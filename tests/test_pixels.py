@@ -74,3 +74,23 @@ def test_zoom_in_time_is_linear_on_any_grid(spark, zoom):
 def test_time_zoom_takes_the_larger_scale(spark):
     row = spark.range(1).select(O.time_zoom(F.lit(25.0), F.lit(0.5), F.lit(100), F.lit(64)).alias("speed"), O.time_zoom(F.lit(25.0), F.lit(5.0), F.lit(100), F.lit(64)).alias("square")).first()
     assert row.speed == 2.5 and row.square == 100 / 64
+
+
+def test_resize_rounds_exact_halves_up():
+    """Weights of fifths and twelfths are no binary fractions; a sum that is a half must be one all the same."""
+    from fractions import Fraction as Q
+
+    def axis(n, to, i):
+        at = min(max(Q(2 * i + 1, 2) * Q(n, to) - Q(1, 2), Q(0)), Q(n - 1))
+        low = at.numerator // at.denominator
+        return low, min(low + 1, n - 1), at - low
+
+    image = np.random.default_rng(3).integers(0, 256, (8, 8))
+    for k in range(40):
+        got = X.resized(np.roll(image, k) ^ k, 5, 12)
+        own = np.roll(image, k) ^ k
+        for r in range(5):
+            for q in range(12):
+                (y0, y1, fy), (x0, x1, fx) = axis(8, 5, r), axis(8, 12, q)
+                v = sum(int(own[y, x]) * a * b for y, a in ((y0, 1 - fy), (y1, fy)) for x, b in ((x0, 1 - fx), (x1, fx))) + Q(1, 2)
+                assert got[r, q] == v.numerator // v.denominator
