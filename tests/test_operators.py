@@ -203,3 +203,32 @@ def test_queries_without_sql(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_masks_are_compared_once_for_each_kind(spark):
+    """Equal configurations, nulls in them included, are one kind; every row gets its measure, one without pixels too."""
+    one = views.masks(spark, SF).where("clip_id < 40")
+    many = one.unionByName(one.withColumn("clip_id", F.col("clip_id") + 1000)).unionByName(one.withColumn("clip_id", F.col("clip_id") + 2000))
+    seen = []
+
+    def measure(kinds):
+        seen.append(kinds.count())
+        return kinds.select("mask", F.lit(1).alias("m"))
+
+    configs = V.with_configs(many)
+    assert V.of_each(configs, "clip_id", ("gt", "pred"), measure).count() == many.count()
+    assert seen == [V.with_configs(one).select("gt", "pred", "image_rows", "image_cols").distinct().count()]
+    gone = configs.withColumn("pred", F.col("pred").withField("x_max", F.col("pred.x_min")))
+    assert V.overlap(gone.where("pred.mask_type = 'rectangle'"), "clip_id").where("predicted = 0 AND common = 0 AND truth > 0").count() == many.where("clip_id % 1000 % 3 = 0").count()
+
+
+def test_crowded_frames_give_what_single_rows_give(spark, monkeypatch):
+    """Sectors looked at inside a row, and those swept along pixel rows, have one result; the frame is one row before any pixel is."""
+    from sonoloom.plans.mask_queries import _sectors
+
+    lines = views.lines(spark, SF).where("clip_id < 200").withColumn("clip_id", F.col("clip_id") % 5)
+    within = sorted(map(str, V.pleura_percentage(_sectors(lines), 128, 128).collect()))
+    monkeypatch.setattr(V, "CROWD", 0)
+    assert within == sorted(map(str, V.pleura_percentage(_sectors(lines), 128, 128).collect()))
+    monkeypatch.setattr(V, "CROWD", 3)
+    assert within == sorted(map(str, V.pleura_percentage(_sectors(lines), 128, 128).collect()))
