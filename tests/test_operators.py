@@ -222,13 +222,10 @@ def test_masks_are_compared_once_for_each_kind(spark):
     assert V.overlap(gone.where("pred.mask_type = 'rectangle'"), "clip_id").where("predicted = 0 AND common = 0 AND truth > 0").count() == many.where("clip_id % 1000 % 3 = 0").count()
 
 
-def test_crowded_frames_give_what_single_rows_give(spark, monkeypatch):
-    """Sectors looked at inside a row, and those swept along pixel rows, have one result; the frame is one row before any pixel is."""
+def test_no_run_of_a_sector_is_shuffled(spark):
+    """Lines are dealt by frame before they are rasterised: above the shuffle of lines there is none."""
     from sonoloom.plans.mask_queries import _sectors
 
-    lines = views.lines(spark, SF).where("clip_id < 200").withColumn("clip_id", F.col("clip_id") % 5)
-    within = sorted(map(str, V.pleura_percentage(_sectors(lines), 128, 128).collect()))
-    monkeypatch.setattr(V, "CROWD", 0)
-    assert within == sorted(map(str, V.pleura_percentage(_sectors(lines), 128, 128).collect()))
-    monkeypatch.setattr(V, "CROWD", 3)
-    assert within == sorted(map(str, V.pleura_percentage(_sectors(lines), 128, 128).collect()))
+    plan = V.pleura_percentage(_sectors(views.lines(spark, SF)), 128, 128)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(clip_id" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "row#" in x]
