@@ -93,3 +93,44 @@ def test_older_form(spark):
     assert [f["frame_number"] for f in frames] == [2, " 5", 10] and frames[0]["mark"] == "m" and frames[2]["depth"] == 4
     assert frames[2]["pleura_lines"] == [{"rater": "raterx", "line": {"points": [[-1.0, -2.0, 0.0], [-3.0, -4.0, 0.0]]}}, {"rater": "raterx", "line": {"points": [[-5.0, -6.0, 7.0], [-8.0, -9.0, 1.0]]}}]
     assert A.validate_documents(done.select("path", "json")).count() == 0
+
+
+def test_one_text_has_all_its_faults(spark):
+    """Every place of a document in one pass: a fault of each kind, beside kinds that look alike."""
+    frames = [{"frame_number": 1.5, "coordinate_space": 7, "pleura_lines": {}, "b_lines": [{"line": "x"}, 4, {"rater": 1, "line": {"points": 2}}]}, "frame", {"frame_number": None, "pleura_lines": [{"rater": "a", "line": {"points": [[1, "2", 3], [1], "p", [1, 2, None]]}}], "b_lines": None}]
+    texts = {"all": json.dumps({"labels": ["a", 1], "radius1": None, "frame_annotations": frames}), "list": "[1]", "text": '"x"', "cut": "{", "none": None, "no list": '{"SOPInstanceUID": "1", "frame_annotations": {"1": []}}', "sound": json.dumps(DOC)}
+    found = A.validate_documents(spark.createDataFrame(list(texts.items()), "name string, json string"))
+    at = "frame_annotations"
+    assert {(r["at"], r["message"]) for r in found.where("name = 'all'").collect()} == {
+        ("", "SOPInstanceUID is required"), ("labels", "not of kind strings"), ("radius1", "not of kind integer"), (f"{at}/0/frame_number", "not of kind text or integer"), (f"{at}/0/coordinate_space", "not one of LPS, RAS"), (f"{at}/0/pleura_lines", "not of kind array"),
+        (f"{at}/0/b_lines/0", "rater is required"), (f"{at}/0/b_lines/0/line", "not of kind object"), (f"{at}/0/b_lines/0/line", "points is required"), (f"{at}/0/b_lines/1", "rater is required"), (f"{at}/0/b_lines/1", "line is required"),
+        (f"{at}/0/b_lines/2/rater", "not of kind string"), (f"{at}/0/b_lines/2/line/points", "not of kind array"), (f"{at}/1", "frame_number is required"), (f"{at}/1", "pleura_lines is required"), (f"{at}/1", "b_lines is required"),
+        (f"{at}/2/frame_number", "not of kind text or integer"), (f"{at}/2/b_lines", "not of kind array"), (f"{at}/2/pleura_lines/0/line/points/0", "not of kind number"), (f"{at}/2/pleura_lines/0/line/points/1", "not 3 items"),
+        (f"{at}/2/pleura_lines/0/line/points/2", "not 3 items"), (f"{at}/2/pleura_lines/0/line/points/3", "not of kind number"),
+    }
+    rest = sorted((r["name"], r["at"], r["message"]) for r in found.where("name <> 'all'").collect())
+    assert rest == sorted([("cut", "", "not readable"), ("none", "", "not readable"), *((n, "", f"{k} is required") for n in ("list", "text") for k in ("SOPInstanceUID", "frame_annotations")), ("no list", at, "not of kind array")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tryParseJson") + plan.count("parseJson") + plan.count("parse_json") == 1, plan  # parsed once, whatever the number of checks
+
+
+def parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+
+
+def test_a_text_is_parsed_once(spark):
+    """Whatever is asked for: no filter and no later column repeats the parsing."""
+    docs = spark.createDataFrame([("/d/Y/s/n.json", json.dumps(DOC))], "path string, json string")
+    assert [parses(df) for df in D.read_documents(docs)] == [1, 1, 1]
+
+
+def test_an_older_text_is_parsed_once(spark):
+    docs = spark.createDataFrame([("/d/Y/s/n.json", json.dumps(DOC))], "path string, json string")
+    assert [parses(df) for df in D.read_legacy(docs)] == [1, 1, 1]
+    assert [parses(df) for df in D.convert_legacy(docs)] == [1, 1]
+
+
+def test_rows_of_a_document_are_dealt_once(spark):
+    lines = spark.range(40).selectExpr("id % 4 AS clip", "id AS line_ord", "int(id % 3) AS frame_number", "'a' AS rater", "'b' AS kind", "1D AS x1", "2D AS y1", "3D AS x2", "4D AS y2")
+    plan = D.write_documents(lines, ["clip"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
