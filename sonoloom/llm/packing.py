@@ -119,8 +119,8 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), pieces_of(F.col(text_col), path, capacity, end).alias("all"))
     length = F.length("ids") / 4
     first = F.length(F.col("all")[0]) / 4
-    return (
-        cut.select("doc_id", "text_key", "all", F.posexplode("all").alias("piece", "ids"))
+    return (  # outer: no text is without pieces, and for an inner one Spark would tokenise every text once more, to filter by it
+        cut.select("doc_id", "text_key", "all", F.posexplode_outer("all").alias("piece", "ids"))
         .select("doc_id", "text_key", "piece", F.when(F.col("piece") == 0, 0).otherwise(first + (F.col("piece") - 1) * capacity).cast("long").alias("start"), length.cast("long").alias("length"), "ids")
     )
 

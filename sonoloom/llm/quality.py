@@ -35,7 +35,7 @@ def learn(examples: list[Example]) -> np.ndarray:
             w = model.weights(u)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             model.update(u, w, (p - y) * x)
-    return model.weights(slice(None))[: (1 << BITS) + 1]
+    return model.weights(slice((1 << BITS) + 1))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:

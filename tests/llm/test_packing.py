@@ -49,6 +49,12 @@ def test_edge_cases(spark):
     assert packing.packed_documents(df.limit(0)).count() == 0
 
 
+def test_texts_are_tokenised_once(spark):
+    """A second Python stage in a task is a second worker with a coder of its own."""
+    plan = packing.tokenise(spark.createDataFrame([(1, "a", "", "")], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_sequences_hold_the_ids(spark):
     docs = [(i, "some words here " * i) for i in range(60)]
     df = spark.createDataFrame([(i, t, "", "") for i, t in docs], SCHEMA)
