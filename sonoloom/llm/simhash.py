@@ -12,7 +12,7 @@ an empty table gives an empty result; other columns of the input play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -104,14 +104,40 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _edges(found: np.ndarray | list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.asarray(found, dtype=np.int64).reshape(-1, 2)
+    both = np.sort(np.asarray(found, dtype=np.int64).reshape(-1, 2), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
+def pair_forest(forest: Callable[[np.ndarray], list[tuple[int, int]]], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what all links in a pair of chunks connect; ``forest`` gives those of some rows, ``left`` and ``right`` have the chunks' rows by node.
+
+    A chunk's own edges do not depend on the other chunk, so they are the same in all its pairs; only parts that they leave get an
+    edge across. A group of n rows in k chunks so gives n + k^2 edges if all are alike, not n * k.
+    """
+    edges = [e for rows in (left, right) if len(rows) for e in forest(rows)]
+    if not len(left) or not len(right):
+        return edges
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    own = len(edges)
+    for n, (i, j) in enumerate([*edges, *forest(np.concatenate([left, right]))]):
+        a, b = top(i), top(j)
+        if a != b:
+            up[a] = b
+            if n >= own:
+                edges.append((i, j))
+    return edges
+
+
 def _forests(radius: int, few: int = 4):
     """Over partitions sorted by bucket: edges for each run of equal buckets, all links in one of ``few`` rows at most, else a spanning forest."""
 
-    def links(keys: np.ndarray, node: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
+    def links(keys: np.ndarray, left: np.ndarray, node: np.ndarray, code: np.ndarray) -> Iterator[np.ndarray]:
         cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
         first, sizes = cuts[:-1], np.diff(cuts)
         for m in range(2, few + 1):
@@ -120,7 +146,9 @@ def _forests(radius: int, few: int = 4):
                 near = at[np.bitwise_count(code[at + i] ^ code[at + j]).sum(axis=1) <= radius]
                 yield np.stack([node[near + i], node[near + j]], axis=1)
         for a, n in zip(first[sizes > few].tolist(), sizes[sizes > few].tolist()):
-            yield np.array(_forest(node[a : a + n], code[a : a + n], radius), dtype=np.int64).reshape(-1, 2)
+            own = a + np.argsort(node[a : a + n])
+            first_chunk = left[own] == 1
+            yield np.array(pair_forest(lambda at: _forest(node[at], code[at], radius), own[first_chunk], own[~first_chunk]), dtype=np.int64).reshape(-1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -128,7 +156,7 @@ def _forests(radius: int, few: int = 4):
             if not b.num_rows:
                 continue
             now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
-            now = [np.stack(now[:4], axis=1), now[4], np.stack(now[5:] or now[4:], axis=1).view(np.uint64)]
+            now = [np.stack(now[:4], axis=1), now[4], now[5], np.stack(now[6:] or now[5:], axis=1).view(np.uint64)]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             whole = int(np.flatnonzero((now[0] != now[0][-1]).any(axis=1)).max(initial=-1)) + 1  # the last run may go on
             held = [x[whole:] for x in now]
@@ -154,27 +182,45 @@ def covering_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, c
 
 
 def in_chunks(rows: DataFrame, group: list[str], split: Column, held: list[str]) -> DataFrame:
-    """``rows`` (group, lo, hi, held), dealt and sorted by group and chunk pair: any two of a group's nodes meet in some pair.
+    """``rows`` (group, lo, hi, left, held), dealt and sorted by group and chunk pair: any two of a group's nodes meet in some pair.
+
+    ``left`` is true for the rows of chunk ``lo``.
 
     A group of more than one chunk has a part for each pair of different chunks, so none is larger than two chunks.
     """
     own = F.pmod(F.xxhash64("node"), split).cast("int")
     others = F.filter(F.sequence(F.lit(0), split - 1), lambda d: (d != F.col("c")) | (split == 1))
     keys = [*group, "lo", "hi"]
-    dealt = rows.withColumn("c", own).select(*group, *held, "c", F.explode(others).alias("d")).select(*group, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), *held)
+    dealt = rows.withColumn("c", own).select(*group, *held, "c", F.explode(others).alias("d")).select(*group, F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), (F.col("c") <= F.col("d")).alias("left"), *held)
     return dealt.repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _lowest(both: DataFrame) -> DataFrame:
+    """(u, m): the smallest of each node and its neighbours; ``both`` has each edge in both directions."""
+    return both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(a, b): edges that connect what ``edges``, a written table, connect: each node with its smallest neighbour, and of an edge the two ends' smallest neighbours.
+
+    Nodes of a dense group share few smallest neighbours, so its many edges become few besides one for each node.
+    """
+    low = materialise(_lowest(edges.union(edges.select("b", "a"))), "lowest")
+    ends = edges.join(low, F.col("a") == F.col("u")).select(F.col("m").alias("from"), "b").join(low, F.col("b") == F.col("u")).select(F.col("from").alias("a"), F.col("m").alias("b"))
+    moved = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return moved.union(low).where("a != b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges``, root the smallest node reachable; by alternating stars.
 
     Each round replaces the edges by written ones; the rounds grow with the logarithm of the longest path.
     """
-    edges = materialise(edges, "edges")
+    edges = materialise(contracted(materialise(edges, "edges")), "edges")
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = _lowest(both)
         large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
         low2 = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sonoloom.llm.hashing import _LOWER
-from sonoloom.llm.simhash import _edges, components, covering_links, in_chunks, one_of_each, runs
+from sonoloom.llm.simhash import _edges, components, covering_links, in_chunks, one_of_each, pair_forest, runs
 from sonoloom.llm.substring import PIECE_BYTES, _cut, runs_of, word_hashes
 from sonoloom.plans.scratch import materialise, small_batches
 
@@ -104,10 +104,13 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in runs(batches, 3):
-        node = t.column(3).to_numpy()
+        left, node, held = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5)
         _, once = np.unique(node, return_index=True)
-        held = t.column(4)
-        yield _edges([(int(node[once[i]]), int(node[once[j]])) for i, j in linked([np.frombuffer(held[int(k)].as_buffer(), dtype="<u8") for k in once])])
+
+        def forest(at: np.ndarray) -> list[tuple[int, int]]:
+            return [(int(node[at[i]]), int(node[at[j]])) for i, j in linked([np.frombuffer(held[int(k)].as_buffer(), dtype="<u8") for k in at])]
+
+        yield _edges(pair_forest(forest, once[left[once]], once[~left[once]]))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

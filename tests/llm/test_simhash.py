@@ -71,6 +71,36 @@ def test_dense_cluster_is_chunked(spark):
     assert len({roots[f] for f in fps}) == 1 and ~base not in roots
 
 
+def test_chunks_of_one_group_share_their_edges(spark):
+    base = 0x0123456789ABCDEF
+    fps = sorted({base ^ (1 << a) for a in range(60)} | {base})  # two bits apart at most, so all are linked
+    nodes = spark.createDataFrame([(f, 0) for f in fps], "node long, c long")
+    pairs = simhash.in_chunks(nodes.withColumn("v", F.lit(0)).withColumn("k", F.lit(0)), ["v", "k"], F.lit(5), ["node"])
+    links = pairs.mapInArrow(simhash._forests(3), "a long, b long").distinct().collect()
+    assert len(links) <= len(fps) + 25  # one forest for each chunk and an edge for each pair
+    assert len({r.root for r in simhash.components(spark.createDataFrame(links)).collect()}) == 1
+
+
+def test_contracted_edges_connect_the_same_and_are_few_in_a_dense_group(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(6000)] + [(1000 + i, 1001 + i) for i in range(50)] + [(-5, -4), (-4, -5), (2000, 2000)]
+    df = spark.createDataFrame(edges, "a long, b long").where("a != b").cache()
+    few = simhash.contracted(df).collect()
+    assert len(few) < 1000
+    assert {x for r in few for x in r} == {x for e in edges if e[0] != e[1] for x in e}
+    lab = {x: x for e in edges for x in e}
+
+    def find(i):
+        while lab[i] != i:
+            i = lab[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        lab[max(x, y)] = min(x, y)
+    assert {(r.node, r.root) for r in simhash.components(df).collect()} == {(x, find(x)) for x in lab if x != 2000}
+
+
 def test_every_pair_within_radius_meets():
     rng = random.Random(3)
     masks = simhash.covering_masks()
