@@ -229,3 +229,9 @@ def test_no_run_of_a_sector_is_shuffled(spark):
     plan = V.pleura_percentage(_sectors(views.lines(spark, SF)), 128, 128)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(clip_id" in plan
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "row#" in x]
+
+
+def test_metrics_of_every_clip_are_written(spark):
+    """Those of fans too, not of rectangles only."""
+    written = entry.queries()["write_metrics"](spark, SF)
+    assert written.count() == views.masks(spark, SF).count() and {r.gt_mask_type for r in written.collect()} == {"fan", "rectangle"}
