@@ -58,6 +58,21 @@ def test_keys_are_found_inside_the_row(spark, sf):
     assert "inline" not in plan.split("Aggregate")[0] and "min_by" not in plan
 
 
+def test_keys_are_found_at_any_depth(spark):
+    """Behind any number of sequences, depth first, and inside a text that holds a sequence."""
+
+    def inside(levels, leaf):
+        for _ in range(levels):
+            leaf = {"S": [{"a": 1}, leaf], "Other": "o"}
+        return leaf
+
+    leaf = {"Pixel Data": "x", "S": [{"Key": "first"}], "Key": "second"}
+    texts = {str(n): json.dumps(inside(n, leaf)) for n in (0, 3, 4, 5, 9, 300)}
+    texts["text"] = json.dumps({"S": [{"S": json.dumps([inside(7, leaf)])}]}).replace('"[', '"\\u005b')
+    df = spark.createDataFrame(list(texts.items()), "InputPath string, json string")
+    assert {r.InputPath: (r.k, r.o) for r in C.find_keys(df, {"k": "Key", "o": "None"}).collect()} == dict.fromkeys(texts, ("first", "N/A"))
+
+
 def test_header_texts_are_quoted_as_json(spark):
     head = {"A": 'say "x"', "B": "back\\slash", "C": "line\nfeed", "D": "ä中\x7f", "E": None, "F": "", "Patient's Name": "n", "Patient's Birth Date": "19800229"}
     df = spark.createDataFrame([("p", json.dumps(head))], "InputPath string, json string")
