@@ -1,7 +1,9 @@
 import math
 import random
+from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,36 @@ def test_query_matches_sql(spark, sf):
     expected = con.execute(hamming.SQL)
     assert df.columns == [c[0] for c in expected.description]
     assert sorted(map(tuple, df.collect())) == sorted(expected.fetchall())
+
+
+@pytest.mark.parametrize("spread", [2, 6, 64])
+def test_levels_and_scans_of_a_block(spark, spread):
+    """Neighbours found by probing, by looking at all codes, and behind a value that many codes share."""
+    rng = np.random.default_rng(spread)
+    centres = rng.integers(0, 2**63, 2500, dtype=np.uint64)
+    codes = np.unique(np.concatenate([centres ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (spread // 2, 2500), dtype=np.uint64), axis=0) for _ in range(8)] + [np.arange(9000, dtype=np.uint64) << np.uint64(40)]))
+    rng.shuffle(codes)
+    parts = hamming.cuts(len(codes))
+    rounds = hamming._levels(len(codes), parts)
+    assert max(level for level, _ in rounds) >= 2
+    masks = {(w, n): np.array([sum(1 << i for i in c) for c in combinations(range(w), n)]) for _, w in parts for n in range(4)}
+    asked = np.unique(np.concatenate([codes[:40], centres[:20], np.array([0, 2**64 - 1], dtype=np.uint64)]))
+    q, at, gap = hamming._Block(codes, parts, 10).nearest(asked, rounds, masks)
+    gaps = np.bitwise_count(codes[None, :] ^ asked[:, None]).astype(np.int64)
+    best = np.argsort(gaps * len(codes) + np.arange(len(codes)), axis=1)[:, :10]
+    assert (q.reshape(-1, 10) == np.arange(len(asked))[:, None]).all() and (at.reshape(-1, 10) == best).all() and (gap.reshape(-1, 10) == np.take_along_axis(gaps, best, 1)).all()
+
+
+def test_no_probes_reach_the_driver(spark, monkeypatch):
+    """Several blocks and tasks; a broadcast of over 4 MB is an error."""
+    monkeypatch.setattr(hamming, "BLOCK", 1 << 11, raising=False)
+    monkeypatch.setattr(hamming, "ASKED", 1 << 5, raising=False)
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(-(2**63), 2**63)) for i in range(10_000)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 4 << 20)
+    try:
+        df = spark.createDataFrame(rows, "id long, code long")
+        got = sorted(map(tuple, hamming.top_k(df.where("id % 100 = 0"), df, 10).collect()))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == slow(rows[::100], rows, 10)
