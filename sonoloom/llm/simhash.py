@@ -177,7 +177,8 @@ def covering_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, c
     word = F.element_at(F.array(*code), F.col("t.w") + 1)
     keyed = nodes.select(*held, F.explode(masks).alias("t")).select(*held, F.col("t.v").alias("v"), word.bitwiseAND(F.col("t.m")).alias("k"))
     full = keyed.groupBy("v", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = in_chunks(keyed.join(full, ["v", "k"]), ["v", "k"], F.ceil(F.col("n") / chunk).cast("int"), held)
+    # Spark takes the exploded rows for as small as the nodes, and would broadcast them
+    met = in_chunks(keyed.hint("merge").join(full, ["v", "k"]), ["v", "k"], F.ceil(F.col("n") / chunk).cast("int"), held)
     return met.mapInArrow(_forests(radius), "a long, b long").distinct()
 
 
@@ -263,7 +264,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "root")).alias("k"))
     own, key = fresh(docs, "kept_id", "kept_key")
     kept = materialise(best.select(F.col("k.doc_id").alias(own), F.col("k.text_key").alias(key)), "kept")
-    stays = docs.join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(key)), "left_semi")
+    stays = docs.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(key)), "left_semi")
     return stays.withColumn(key, F.xxhash64(text_col)).dropDuplicates([id_col, key]).drop(key)
 
 

@@ -128,7 +128,7 @@ def links(docs: DataFrame, id_col: str, text_col: str, keyed: DataFrame) -> Data
     one = keyed.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("k")).select("text_key", F.col("k.doc_id").alias("wanted_id"))
     wanted = materialise(grouped.join(sizes, "root").join(one, "text_key").select("root", "n", "node", "text_key", "wanted_id"), "wanted")
     own = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own_key"), F.col(id_col).alias("own_id"))
-    texts = own.join(wanted, (F.col("own_key") == F.col("text_key")) & F.col("own_id").eqNullSafe(F.col("wanted_id"))).select("root", "n", "node", "text")
+    texts = own.join(wanted.hint("merge"), (F.col("own_key") == F.col("text_key")) & F.col("own_id").eqNullSafe(F.col("wanted_id"))).select("root", "n", "node", "text")
     sets = materialise(texts.mapInArrow(_sets, "root long, n long, node long, set binary").dropDuplicates(["node"]), "sets")
     pairs = in_chunks(sets, ["root"], F.ceil(F.col("n") / CHUNK).cast("int"), ["node", "set"])
     return pairs.mapInArrow(_compare, "a long, b long").distinct()

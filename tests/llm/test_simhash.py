@@ -132,3 +132,14 @@ def test_empty_table_and_keep_one(spark):
 def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, simhash.query(spark, sf).collect()), key=str) == slow_components(rows)
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Spark estimates them as small as the nodes; a broadcast of over 4 MB is an error here."""
+    nodes = spark.range(40_000).select(F.xxhash64("id").alias("node")).union(spark.range(1).select(F.xxhash64("id").bitwiseXOR(F.lit(5)).alias("node")))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 4 << 20)
+    try:
+        got = simhash.covering_links(nodes).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert [(r.a ^ r.b) & (2**64 - 1) for r in got] == [5]
