@@ -134,3 +134,30 @@ def test_rows_of_a_document_are_dealt_once(spark):
     lines = spark.range(40).selectExpr("id % 4 AS clip", "id AS line_ord", "int(id % 3) AS frame_number", "'a' AS rater", "'b' AS kind", "1D AS x1", "2D AS y1", "3D AS x2", "4D AS y2")
     plan = D.write_documents(lines, ["clip"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_sound_texts_are_known_by_their_form(spark):
+    """What matches has no fault when it is parsed; what nearly matches is parsed."""
+    point, line = "[-1.0,2,0.5E-3]", '{"rater":"a","line":{"points":[[-1.0,2,0.5E-3],[1,2,3]]}}'
+    text = lambda frame, more="": f'{{"SOPInstanceUID":"1.2"{more},"frame_annotations":[{frame}]}}'
+    frame = lambda lines, number="4", space="LPS", more="": f'{{"frame_number":{number},"coordinate_space":"{space}","pleura_lines":[{lines}],"b_lines":[]{more}}}'
+    sound = [text(""), text(frame("")), text(",".join([frame(f"{line},{line}", '" 5"', "RAS", ',"depth":[1,{"a":null}]')] * 900)), text(frame(line), ',"radius1":3,"note":[1,{"a":null}],"labels":["a","b"]')]
+    near = [
+        text(frame(line, "1.5")), text(frame(line, "4", "XYZ")), text(frame(line.replace(point, "[1,2]"))), text(frame(line.replace("-1.0", '"1"', 1))), text(frame(line.replace('"a"', "1"))), text(frame("4")), text(frame(line, more=',"b_lines":[]')),
+        text(frame(line, more=',"a":1,"a":2')), text("", ',"radius1":2.5'), text("", ',"radius1":1,"radius1":2'), text("", ',"labels":["a",1]'), text("", ',"angle1":"x"'), text(frame(line))[:-1], text(frame(line.replace("2,", "02,"))),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(sound + near)], "n int, json string")
+    got = {r.n: (r.form, r.faults) for r in df.select("n", F.col("json").rlike(A.SOUND).alias("form"), F.size(A.faults(F.col("json"))).alias("faults")).collect()}
+    assert {i: (form, n > 0) for i, (form, n) in got.items()} == {i: (i < len(sound), i >= len(sound)) for i in range(len(sound + near))}
+    spaced = df.where(F.col("n") < len(sound)).withColumn("json", F.concat(F.lit(" "), "json"))  # no such form: parsed
+    assert spaced.where(F.col("json").rlike(A.SOUND)).count() == 0 and A.validate_documents(spaced).count() == 0
+
+
+def test_a_nested_list_counts_where_it_is_none(spark):
+    """As before lines were asked for as lists: a nested value that is no list hides the one beside it."""
+    line = [[[1, 2, 0], [3, 4, 0]]]
+    frames = {"1": {"annotation": {"b_lines": "x"}, "b_lines": line}, "2": {"annotation": {"pleura_lines": None}, "pleura_lines": line}, "3": {"annotation": {}, "b_lines": line}, "4": {"annotation": {"b_lines": line}, "b_lines": []}}
+    docs = spark.createDataFrame([("/d/R/s/c.json", json.dumps({"frame_annotations": frames}))], "path string, json string")
+    out = json.loads(D.convert_legacy(docs)[0].first().json)["frame_annotations"]
+    assert [(len(f["pleura_lines"]), len(f["b_lines"])) for f in out] == [(0, 0), (0, 0), (0, 1), (0, 1)]
+    assert [r.frame_key for r in D.read_legacy(docs).lines.orderBy("frame_at").collect()] == ["3", "4"]
